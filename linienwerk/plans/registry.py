@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from linienwerk.plans.fixtures import sql_views
 
-MODULES = ("scalars", "usage", "feed", "service")
+MODULES = ("scalars", "usage", "feed", "service", "spatial", "lines")
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
