@@ -81,15 +81,16 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: flo
         return none
     dim, count = common
     good = good.where(F.size("e") == dim)
-    bits = max(4, min(dim, math.ceil(math.log2(max(count, 16) / 8))))
+    bits = min(dim, max(4, math.ceil(math.log2(max(count, 16) / 8))))
     tables = n_tables(bits, threshold, recall)
     sample = np.array([r[0] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("e").collect()])
-    mean, rotations = learn_rotations(sample / np.abs(sample).max(1, keepdims=True) / np.linalg.norm(sample / np.abs(sample).max(1, keepdims=True), axis=1, keepdims=True), -(-tables // (dim // bits)))
 
     def unit(x: np.ndarray) -> np.ndarray:
-        x = x / np.abs(x).max(1, keepdims=True)
+        x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
+    mean, rotations = learn_rotations(unit(sample), -(-tables // (dim // bits)))
+
     def encode(batches):
         for b in batches:
             if not b.num_rows:

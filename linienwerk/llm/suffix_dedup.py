@@ -145,12 +145,11 @@ def repeats(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, order: n
     return _scan(buffer, offset, length, order, which[pick], inner[pick], width)
 
 
-def _scan(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, order: np.ndarray, str_: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts suffixes, finds common prefixes of neighbours, and scans the interval tree."""
+def suffix_array(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, str_: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes by their bytes up to their string's end, and the bytes that each shares with the one before."""
     size = length[str_] - start
     n_words = int(-(-size.max() // 8))
     padded = np.concatenate((buffer, np.zeros(8 * n_words + 8, np.uint8)))
-    out = [[], [], []]
     # 8 bytes a column, read where the suffix still has them
     cols = np.empty((n_words, len(str_)), np.uint64)
     at = offset[str_] + start
@@ -160,8 +159,7 @@ def _scan(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, order: np.
         have = np.clip(size - 8 * k, 0, 8)
         cols[k] = np.where(have >= 8, word, np.where(have <= 0, np.uint64(0), word >> ((8 - have) * 8 % 64).astype(np.uint64) << ((8 - have) * 8 % 64).astype(np.uint64)))
     sa = np.lexsort(cols[::-1])
-    cols, str_, start, size = cols[:, sa], str_[sa], start[sa], size[sa]
-    m = len(sa)
+    cols, size, m = cols[:, sa], size[sa], len(sa)
     lcp = np.zeros(m, np.int64)
     diff = cols[:, 1:] ^ cols[:, :-1]
     some = diff != 0
@@ -173,6 +171,27 @@ def _scan(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, order: np.
         lead += np.where(zero, b // 8, 0)
         x = np.where(zero, x << np.uint64(b), x)
     lcp[1:] = np.minimum(np.minimum(np.where(word < n_words, 8 * word + lead, 8 * n_words), size[1:]), size[:-1])
+    return sa, lcp
+
+
+def intervals(lcp: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """``(depth, first, last)`` of every interval of the common-prefix tree of at least ``width``, by one scan with a stack."""
+    out, stack = [], []
+    for i, d in enumerate([*lcp.tolist()[1:], 0], 1):
+        left = i - 1
+        while stack and stack[-1][0] > d:
+            depth, left = stack.pop()
+            out.append((depth, left, i - 1))
+        if d >= width and (not stack or stack[-1][0] < d):
+            stack.append((d, left))
+    return out
+
+
+def _scan(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, order: np.ndarray, str_: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Covers from one scan of the tree: each interval passes its earliest suffix on, the others repeat it."""
+    sa, lcp = suffix_array(buffer, offset, length, str_, start)
+    str_, start, m = str_[sa], start[sa], len(sa)
+    out = [[], []]
     # the stack holds open intervals: depth and the earliest suffix seen in each
     rank = order[str_] * (1 << 20) + start
     depths, firsts = [], []
@@ -364,3 +383,45 @@ def kept_bytes(data: Column, spans: Column) -> Column:
     end = lambda i: F.coalesce(F.get(spans, i)["start"] + F.get(spans, i)["length"], F.lit(0)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.substring(data, end(i - 1) + 1, F.coalesce(F.get(spans, i)["start"].cast("int"), n) - end(i - 1)))
     return F.when(F.size(spans) == 0, data).otherwise(F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x)), "")))
+
+
+def repeat_groups(docs: DataFrame, width: int = 100, bucket_bytes: int = 2 << 20) -> DataFrame:
+    """``(doc_id, text) → (bucket, group_id, length, doc_id, start)``: maximal repeats with all their occurrences.
+
+    A group is an interval of the common-prefix tree whose occurrences differ
+    in the byte before (or have none, or begin a bucket's string). Repeats
+    longer than a bucket's strings come as groups of their overlapping parts.
+    """
+    n_buckets = max(1, -(-total_bytes(docs, "text") // bucket_bytes))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                which, start, size, h, data = _cut([text.encode("utf-8", "surrogatepass")], width)
+                if len(which):
+                    rows = [{"bucket": int(k % n_buckets), "doc_id": doc, "start": int(s), "before": int(data[s - 1]) if s else 256, "string": data[s : s + n].tobytes()} for s, n, k in zip(start, size, h.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pylist(rows, schema=_STRING)
+
+    def scan(key: tuple, t: pa.Table) -> pa.Table:
+        strings = t.column("string").to_pylist()
+        length = np.array([len(x) for x in strings], np.int64)
+        offset, buffer = np.cumsum(length) - length, np.frombuffer(b"".join(strings), np.uint8)
+        doc, begin, before = (t.column(c).to_numpy() for c in ("doc_id", "start", "before"))
+        n = length - width + 1
+        which = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        left = np.where(inner > 0, buffer[np.maximum(offset[which] + inner - 1, 0)].astype(np.int64), before[which])
+        sa, lcp = suffix_array(buffer, offset, length, which, inner)
+        out = [[], [], [], []]
+        for g, (depth, a, b) in enumerate(intervals(lcp, width)):
+            some = sa[a : b + 1]
+            if len(set(left[some].tolist())) > 1 or (inner[some] == 0).any():
+                for c, v in zip(out, ([g] * len(some), [depth] * len(some), doc[which[some]].tolist(), (begin[which[some]] + inner[some]).tolist()), strict=True):
+                    c.extend(v)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(out[0]), pa.int32()), *[pa.array(c, pa.int64()) for c in out]], names=["bucket", "group_id", "length", "doc_id", "start"])
+
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["doc_id"])
+    return rows.mapInArrow(cut, "bucket int, doc_id long, start long, before int, string binary").groupBy("bucket").applyInArrow(scan, "bucket int, group_id long, length long, doc_id long, start long")
+
+
+_STRING = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("before", pa.int32()), ("string", pa.binary())])
