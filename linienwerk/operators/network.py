@@ -162,3 +162,36 @@ def match_ways(points: DataFrame, segments: DataFrame, radius_m: float, toleranc
     return j.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("point_id", "way_id", F.round("_d", 3).alias("dist_m"))
 
 
+
+
+def arrival_skip(line_ends: DataFrame, line_stops: DataFrame, modes: tuple[str, ...] = ("tram", "bus")) -> DataFrame:
+    """``line_ends (line_id, ref, mode, stop_id, uic, code?, paired), line_stops (ref, mode, uic, code?) → (line_id)``: lines whose last stop isn't drawn.
+
+    Arrivals of trams and buses that no departure pairs with, and stops without
+    a code where a line of the same name calls at the station with one.
+    """
+    alone = line_ends.where(F.col("mode").isin(*modes) & ~F.col("paired")).select("line_id")
+    coded = line_stops.where("code is not null").select("ref", "mode", "uic").distinct()
+    shadowed = line_ends.where("code is null").join(coded, ["ref", "mode", "uic"], "left_semi").select("line_id")
+    return alone.union(shadowed).distinct()
+
+
+def resplit_groups(variants: DataFrame, frequency: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``variants (tg, variant_id long, station), frequency (variant_id, season, f) → (variant_id, group), (group, season, f)``.
+
+    After filters, the variants of a group that still share ``least`` stations
+    are one group, named by its smallest variant; frequencies are summed anew.
+    """
+    from linienwerk.operators.lines import sharing_components
+
+    m = variants.select("tg", F.col("variant_id").alias("pattern_id"), "station")
+    named = sharing_components(m, "tg", least).select(F.col("id").alias("variant_id"), F.col("component").alias("group"))
+    return named, frequency.join(named, "variant_id").groupBy("group", "season").agg(F.sum("f").alias("f"))
+
+
+def hybrid_stop(narrow: DataFrame, tram: DataFrame, points: DataFrame, most_m: float = 2.0) -> DataFrame:
+    """``(point_id, dist_m)`` of the nearest ways of two kinds → ``(point_id, hybrid)``: narrow gauge within ``most_m`` and nearer than any tram way."""
+    n = narrow.groupBy("point_id").agg(F.min("dist_m").alias("_n"))
+    t = tram.groupBy("point_id").agg(F.min("dist_m").alias("_t"))
+    j = points.select("point_id").join(n, "point_id", "left").join(t, "point_id", "left")
+    return j.select("point_id", F.coalesce((F.col("_n") <= most_m) & (F.col("_t").isNull() | (F.col("_n") < F.col("_t"))), F.lit(False)).alias("hybrid"))

@@ -166,3 +166,32 @@ def match_ways(spark, d):
     s = view(spark, d, "fx_buildings").select(C("id").alias("way_id"), (C("lon") - 0.01).alias("x0"), (C("lat") - 0.004).alias("y0"), (C("lon") + 0.01).alias("x1"), (C("lat") + 0.004 * (C("id") % 3 - 1)).alias("y1"))
     p = view(spark, d, "fx_stations").select(C("uic").alias("point_id"), "lon", "lat", (C("uic").cast("int") % 3 * 0.4).alias("bearing"))
     return ops.match_ways(p, s, 6007.0, 0.5)
+
+
+@query("fx_line_stops fx_lines", """with e as (select line_id, max_by(stop_id, seq) stop_id, max_by(uic, seq) uic from fx_line_stops group by 1), x as (select e.*, mode, line_id % 3 = 0 paired, case when cast(stop_id as int) % 2 = 0 then stop_id end code from e join fx_lines using (line_id)),
+c as (select distinct mode, uic from fx_line_stops join fx_lines using (line_id) where cast(stop_id as int) % 2 = 0) select line_id from x where mode in ('tram', 'bus') and not paired union select line_id from x join c using (mode, uic) where code is null""")
+def arrival_skip(spark, d):
+    lines = view(spark, d, "fx_lines").select("line_id", F.lit("").alias("ref"), "mode")
+    code = F.when(C("stop_id").cast("int") % 2 == 0, C("stop_id"))
+    s = view(spark, d, "fx_line_stops").join(lines, "line_id").withColumn("code", code)
+    e = s.groupBy("line_id", "ref", "mode").agg(F.max_by(F.struct("stop_id", "uic", "code"), "seq").alias("e")).select("line_id", "ref", "mode", "e.*", (C("line_id") % 3 == 0).alias("paired"))
+    return ops.arrival_skip(e, s)
+
+
+@query("fx_stop_times fx_trips", """with recursive m as (select distinct t.route_id tg, t.route_id * 100 + t.trip_id % 25 v, x.stop_id from fx_stop_times x join fx_trips t using (trip_id) where cast(x.stop_id as int) % 4 = 0 and t.route_id < 50),
+e as (select a.v a, b.v b from m a join m b on a.tg = b.tg and a.stop_id = b.stop_id and a.v <> b.v group by 1, 2 having count(*) >= 5), r(id, o) as (select distinct v, v from m union select r.id, e.b from r join e on e.a = r.o), c as (select id, min(o) g from r group by 1)
+select g as "group", season, sum(id % 7 + season) f from c, (select unnest(range(3)) season) s group by 1, 2""")
+def resplit_groups(spark, d):
+    t = view(spark, d, "fx_trips").where("route_id < 50").select("trip_id", C("route_id").alias("tg"), (C("route_id") * 100 + C("trip_id") % 25).alias("variant_id"))
+    v = view(spark, d, "fx_stop_times").where(C("stop_id").cast("int") % 4 == 0).join(t, "trip_id").select("tg", "variant_id", C("stop_id").alias("station")).distinct()
+    f = v.select("variant_id").distinct().withColumn("season", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("season", C("season").cast("long")).withColumn("f", C("variant_id") % 7 + C("season"))
+    return ops.resplit_groups(v, f, 5)[1]
+
+
+@query("fx_stations", "select uic point_id, coalesce(case when cast(uic as int) % 3 < 2 then cast(uic as int) % 5 * 0.7 end <= 2.0 and (cast(uic as int) % 4 = 0 or cast(uic as int) % 5 * 0.7 < cast(uic as int) % 7 * 0.5), false) hybrid from fx_stations")
+def hybrid_stop(spark, d):
+    u = C("uic").cast("int")
+    s = view(spark, d, "fx_stations")
+    narrow = s.where(u % 3 < 2).select(C("uic").alias("point_id"), (u % 5 * 0.7).alias("dist_m"))
+    tram = s.where(u % 4 != 0).select(C("uic").alias("point_id"), (u % 7 * 0.5).alias("dist_m"))
+    return ops.hybrid_stop(narrow, tram, s.select(C("uic").alias("point_id")))

@@ -77,3 +77,9 @@ def sink_feed(tables: dict[str, DataFrame], folder: str) -> None:
     """Tables as CSV folders ``<table>.txt`` with headers; every column is quoted where it must be."""
     for name, df in tables.items():
         df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/{name}.txt")
+
+
+def load_overrides(spark: SparkSession, entries: list[dict], schema: str) -> DataFrame:
+    """A section of hand-kept rules as a small table; entries without every column of the schema are skipped."""
+    names = [c.split()[0] for c in schema.split(",")]
+    return spark.createDataFrame([tuple(e[n] for n in names) for e in entries if all(e.get(n) is not None for n in names)], schema)
