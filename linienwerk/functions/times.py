@@ -22,4 +22,4 @@ def weekday_mask(counts: Column) -> Column:
 
 def log_day(stamp: Column) -> Column:
     """Local day of a log's time stamp; null for an unknown month."""
-    return F.try_to_date(F.regexp_extract(stamp, r"^(\d{2}/[A-Za-z]{3}/\d{4}):", 1), "dd/MMM/yyyy") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.regexp_extract(stamp, r"^(\d{2}/[A-Za-z]{3}/\d{4}):", 1), F.lit("dd/MMM/yyyy")))
+    return F.try_to_timestamp(F.regexp_extract(stamp, r"^(\d{2}/[A-Za-z]{3}/\d{4}):", 1), F.lit("dd/MMM/yyyy")).cast("date")
