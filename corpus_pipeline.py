@@ -20,13 +20,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; ids are keys, and rows without one go."""
     kept = quality_rules(docs).where("kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that with the smallest doc_id; repeated rows count as one."""
+    """One document of each class of near-duplicates: that with the smallest doc_id; rows of one id count once, and rows without one go."""
     kept = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 

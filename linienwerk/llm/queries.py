@@ -55,7 +55,7 @@ def op7_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
     chats = format_chat(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
     turns, loss = parse_chat(F.col("formatted")), masked_text(F.col("formatted"), F.col("spans"))
     read = chats.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linienwerk.llm.shards import MANIFEST, AttemptFile, commit, spread
-from linienwerk.shared import open_fs
+from linienwerk.shared import Stash, open_fs
 
 _SCHEMA = pa.schema([("shard", pa.int64()), ("roll", pa.int64()), ("tmp", pa.string()), ("name", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("n_items", pa.int64()), ("extra", pa.string())])
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("html", pa.string()), ("name", pa.string())])
@@ -36,11 +36,8 @@ def shard_bounds(sizes: DataFrame, shard_bytes: int, max_shards: int = 4096) ->
     total = int(sizes.agg(F.sum("n")).first()[0] or 0)
     step = max(shard_bytes, -(-total // max_shards))
     n = max(1, min(max_shards, total // step))
-    part = F.spark_partition_id()
-    from linienwerk.shared import Stash
-
     stash = Stash(sizes.sparkSession, "warc-bounds")
-    placed = stash.put(sizes.where("page_id is not null").groupBy("page_id").agg(F.sum("n").alias("n")).repartitionByRange(n, "page_id").withColumn("part", part))
+    placed = stash.put(sizes.where("page_id is not null").groupBy("page_id").agg(F.sum("n").alias("n")).repartitionByRange(n, "page_id").withColumn("part", F.spark_partition_id()))
     before = placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("base"))
     run = F.sum("n").over(Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     at = placed.withColumn("run", run).join(F.broadcast(before), "part").select("page_id", ((F.col("base") + F.col("run")) / step).cast("long").alias("shard"))
