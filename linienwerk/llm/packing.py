@@ -79,8 +79,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, cut: str = "word", end_id: i
             return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.binary())], ["doc_id", "start", "doc_tokens", "pack_group", "ids"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc(text.as_py()) + end
+            for doc, ids in enc.batch(b):
+                ids += end
                 n = len(ids) // enc.dtype.itemsize
                 for at in range(0, len(ids), width):
                     start = at // enc.dtype.itemsize

@@ -78,8 +78,8 @@ def write_token_records(docs: DataFrame, out_dir: str, tokenizer: str, cut: str
         enc = PieceEncoder.of(tokenizer, cut)
         end, shard, roll, data, index, done = np.asarray([end_id], enc.dtype).tobytes(), TaskContext.get().partitionId(), 0, None, None, []
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc(text.as_py()) + end
+            for doc, ids in enc.batch(b):
+                ids += end
                 if data is None:
                     name = f"tokens-{shard:06d}-{roll:04d}"
                     data, index = AttemptFile(out_dir, shard, roll, f"{name}.bin", enc.dtype.str), AttemptFile(out_dir, shard, roll, f"{name}.idx", "index")

@@ -9,6 +9,7 @@ Texts where a cut isn't certain are encoded whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -16,10 +17,8 @@ import numpy as np
 _UNSURE_BYTE = re.compile(r"\s \s|  |[\x1c-\x1f] | [\x1c-\x1f]")
 #: White space to Python but not to the vocabulary's patterns.
 _UNSURE_WORD = re.compile(r"[\x1c-\x1f]")
-#: Runs that both vocabularies certainly cut apart: Latin letters, signs, and a line end between others.
-_RUN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[.,!?;:|*$%&#<>()/=+-]+|\n(?!\s)")
-#: Runs that stay one pre-token each when many are encoded as one text.
-_STEM = {"byte": re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+"), "word": re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")}
+#: Runs that are words of their own where white space is dropped: Latin letters, and signs.
+_RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,!?;:|*$%&#<>()/=+-]+")
 
 _LOADED: dict[tuple[str, str], "PieceEncoder"] = {}
 
@@ -39,6 +38,11 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cut, self.max_pieces, self.cache = cut, max_pieces, {}
+        vocab = self.tokenizer.get_vocab()
+        #: Of each id the bytes of its token, and whether it ends a word.
+        self.sizes, self.ends = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), bool)
+        for token, k in vocab.items():
+            self.sizes[k], self.ends[k] = len(token), token.endswith("</w>")
 
     @classmethod
     def of(cls, path: str, cut: str) -> "PieceEncoder":
@@ -47,51 +51,91 @@ class PieceEncoder:
             _LOADED[path, cut] = cls(path, cut)
         return _LOADED[path, cut]
 
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text as little-endian integers of ``self.dtype``."""
-        if not text:
-            return b""
-        if self.cut == "byte" and not _UNSURE_BYTE.search(text):
-            pieces = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else None
-        elif self.cut == "word" and not _UNSURE_WORD.search(text):
-            pieces = text.split()
-        else:
-            pieces = None
-        if pieces is None:
-            return self._whole(text)
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(cache) > self.max_pieces:
-            cache.clear()
-        self._learn({p for p in pieces if p not in cache})
-        return b"".join([cache[p] for p in pieces])
+        return self.many([text])[0]
+
+    def batch(self, rows, size: int = 64) -> Iterator[tuple[int | None, bytes]]:
+        """First column and ids of the second of an Arrow batch, some texts at a time."""
+        for at in range(0, rows.num_rows, size):
+            part = rows.slice(at, size)
+            yield from zip(part.column(0).to_pylist(), self.many(part.column(1).to_pylist()), strict=True)
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; what none of them has met is encoded together."""
+        if len(self.cache) > self.max_pieces:
+            self.cache.clear()
+        get, new, out = self.cache.get, set(), []
+        for text in texts:
+            pieces = self._pieces(text or "")
+            if pieces is None:
+                out.append(self._whole(text or ""))
+                continue
+            found = list(map(get, pieces))
+            holes = [k for k, x in enumerate(found) if x is None] if None in found else ()
+            new.update(pieces[k] for k in holes)
+            out.append((pieces, found, holes))
+        if new:
+            self._learn(new)
+        for n, x in enumerate(out):
+            if type(x) is tuple:
+                pieces, found, holes = x
+                for k in holes:
+                    found[k] = get(pieces[k])
+                out[n] = b"".join(found)
+        return out
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """Parts that the pre-tokenizer certainly cuts apart; in a byte-level vocabulary each but the first had a space before it."""
+        if self.cut == "byte" and not _UNSURE_BYTE.search(text) and "\x00" not in text:
+            pieces = text.split(" ")
+            pieces[0] = "\x00" + pieces[0]
+            return pieces
+        if self.cut == "word" and not _UNSURE_WORD.search(text):
+            return text.split()
+        return None
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        """Enters pieces into the cache, by their runs of letters and signs where these are certain pre-tokens."""
-        cache, parts, lone = self.cache, {}, set()
+        """Enters pieces into the cache. Many are encoded as one text and told apart again."""
+        rest = (self._learn_bytes if self.cut == "byte" else self._learn_words)(new)
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([self._spelt(p) for p in rest], add_special_tokens=False), strict=True):
+            self.cache[p] = np.asarray(e.ids, self.dtype).tobytes()
+
+    def _spelt(self, p: str) -> str:
+        return p if self.cut == "word" else p[1:] if p[:1] == "\x00" else " " + p
+
+    def _enter(self, pieces: list[str], texts: list[str], ends_of) -> None:
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            some = pieces[k * 256 : k * 256 + 256]
+            ids = np.asarray(e.ids, self.dtype)
+            ends, raw, at = (ends_of(some, ids) * self.dtype.itemsize).tolist(), ids.tobytes(), 0
+            for p, end in zip(some, ends, strict=True):
+                self.cache[p] = raw[at:end]
+                at = end
+
+    def _learn_bytes(self, new: set[str]) -> list[str]:
+        """Pieces between spaces, one after another; their bytes tell which ids are whose. Returns those that white space makes unsure."""
+        sure = [p for p in new if p and p[0] != "\x00" and not p[0].isspace() and not p[-1].isspace()]
+        ends = lambda some, ids: np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) + 1 for p in some])) + 1
+        self._enter(sure, [" " + " ".join(sure[k : k + 256]) for k in range(0, len(sure), 256)], ends)
+        return list(new.difference(sure))
+
+    def _learn_words(self, new: set[str]) -> list[str]:
+        """Runs of Latin letters and runs of signs are words of their own; an id that ends a word ends its run."""
+        cache, parts, runs, rest = self.cache, {}, set(), []
         for p in new:
             found = _RUN.findall(p)
-            if len(found) > 1 and "".join(found) == p:
+            if sum(map(len, found)) == len(p):
                 parts[p] = found
-                lone.update(x for x in found if x not in cache)
+                runs.update(found)
             else:
-                lone.add(p)
-        stems = [x for x in lone if _STEM[self.cut].fullmatch(x)]
-        for k in range(0, len(stems), 256):
-            some = stems[k : k + 256]
-            e = self.tokenizer.encode("".join(some) if self.cut == "byte" else " ".join(some), add_special_tokens=False)
-            ends = np.searchsorted(np.asarray(e.word_ids), np.arange(len(some)), "right") * self.dtype.itemsize
-            ids, at = np.asarray(e.ids, self.dtype).tobytes(), 0
-            for x, end in zip(some, ends.tolist(), strict=True):
-                cache[x], at = ids[at:end], end
-        rest = [x for x in lone if x not in cache]
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            cache[x] = np.asarray(e.ids, self.dtype).tobytes()
+                rest.append(p)
+        words = [x for x in runs if x not in cache]
+        self._enter(words, [" ".join(words[k : k + 256]) for k in range(0, len(words), 256)], lambda some, ids: np.flatnonzero(self.ends[ids]) + 1)
         for p, found in parts.items():
-            cache[p] = b"".join([cache[x] for x in found])
+            if len(found) > 1:
+                cache[p] = b"".join([cache[x] for x in found])
+        return rest
