@@ -378,11 +378,16 @@ def dedup_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
 
 
 def kept_bytes(data: Column, spans: Column) -> Column:
-    """The bytes outside the spans, one after another."""
-    n = F.octet_length(data)
-    end = lambda i: F.coalesce(F.get(spans, i)["start"] + F.get(spans, i)["length"], F.lit(0)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.substring(data, end(i - 1) + 1, F.coalesce(F.get(spans, i)["start"].cast("int"), n) - end(i - 1)))
-    return F.when(F.size(spans) == 0, data).otherwise(F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x)), "")))
+    """The bytes outside the spans, one after another. Text and spans are worked out once and then bound by a lambda."""
+
+    def cut(x: Column) -> Column:
+        d, s = x["d"], x["s"]
+        end = lambda i: F.coalesce(F.get(s, i)["start"] + F.get(s, i)["length"], F.lit(0)).cast("int")
+        part = lambda i: F.hex(F.substring(d, end(i - 1) + 1, F.coalesce(F.get(s, i)["start"].cast("int"), F.octet_length(d)) - end(i - 1)))
+        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), part), ""))
+
+    bound = F.transform(F.array(F.struct(data.alias("d"), spans.alias("s"))), cut)
+    return F.when(F.size(spans) == 0, data).otherwise(bound[0])
 
 
 def repeat_groups(docs: DataFrame, width: int = 100, bucket_bytes: int = 2 << 20) -> DataFrame:
