@@ -272,8 +272,10 @@ def covered_spans(docs: DataFrame, width: int = 100, bucket_bytes: int = 2 << 20
             bucket = (h % np.uint64(n_buckets)).astype(np.int64)
             again = _again(data, begin, size, doc[which], start)
             # of equal strings of this chunk the earliest alone is sent; the others are known to repeat it
-            blobs = [zlib.compress(np.concatenate(([-len(again)], doc[which[again]], start[again], size[again])).astype("<i8").tobytes(), 1)] * bool(len(again))
-            keys = [int(bucket[again[0]])] * bool(len(again))
+            blobs, keys = [], []
+            if len(again):
+                blobs.append(zlib.compress(np.concatenate(([-len(again)], doc[which[again]], start[again], size[again])).astype("<i8").tobytes(), 1))
+                keys.append(int(bucket[again[0]]))
             by = np.argsort(bucket, kind="stable")
             by = by[~np.isin(by, again)]
             cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))

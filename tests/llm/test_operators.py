@@ -371,6 +371,9 @@ def test_repeats(spark, width):
 
 def test_repeats_edge(spark):
     assert suffix_dedup.dedup_repeats(docs(spark, [])).count() == 0
+    # nothing repeats, neither within a part nor across parts
+    alone = suffix_dedup.dedup_repeats(docs(spark, [(k, sentence(k, 50)) for k in range(6)]).repartition(3)).collect()
+    assert all(not r.spans and r.kept == r.bytes for r in alone) and len(alone) == 6
     with pytest.raises(ValueError, match="two texts"):
         suffix_dedup.dedup_repeats(docs(spark, [(1, "a"), (1, "b")]))
 
