@@ -93,7 +93,7 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndar
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
-def sign(docs: DataFrame, k: int = 256, bands: int = 32, rows: int = 6, shingle: int = 5) -> DataFrame:
+def sign(docs: DataFrame, k: int = 512, bands: int = 32, rows: int = 6, shingle: int = 5) -> DataFrame:
     """``(doc_id, text) → (doc_id, sha, sig, keys)``: hash of the text, a byte of each coordinate, the bands' keys; none for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,54 +121,94 @@ def sign(docs: DataFrame, k: int = 256, bands: int = 32, rows: int = 6, shingle:
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def candidates(reps: DataFrame, agree: float, small: int = 16, block: int = 1024) -> DataFrame:
-    """``(doc_id, sig, keys) → distinct pairs (a < b)`` that share a band's key and agree in enough coordinates.
-
-    Pairs of a small bucket are listed and then compared. A larger bucket is
-    cut into blocks, and each two blocks are compared as matrices in a task of
-    their own, which returns the pairs that agree alone.
-    """
-    k = reps.select(F.octet_length("sig")).first()
-    least = int(np.ceil(agree * (k[0] if k else 1)))
+def buckets(reps: DataFrame) -> DataFrame:
+    """``(doc_id, keys) → (key, doc_id, c)``: members of the bands' buckets of two or more, with the bucket's size."""
     keys = reps.select("doc_id", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    stash = Stash(reps.sparkSession, "bands")
-    multi = stash.put(keys.join(sizes, "key"))
+    return keys.join(sizes, "key")
+
+
+def agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """The pairs whose signatures agree in ``least`` coordinates."""
 
-    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = (np.stack([np.frombuffer(v, np.uint8) for v in b.column(c).to_pylist()]) for c in ("sig", "sig_b"))
-                keep = (x == y).sum(1) >= least
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], schema=_PAIR)
+                keep = pa.array((x == y).sum(1) >= least)
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], schema=_PAIR)
 
-    groups = multi.where(F.col("c") <= small).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-    listed = groups.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b").distinct()
     sig = reps.select("doc_id", "sig")
-    listed = listed.join(sig.withColumnRenamed("doc_id", "a"), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig", "sig_b").mapInArrow(agreeing, "a long, b long")
-
-    n = F.ceil(F.col("c") / block)
-    placed = multi.where(F.col("c") > small).withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n"))).join(sig, "doc_id")
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "sig")
-
-    def compare(key: tuple, t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        own, ids = t.column("own").to_numpy(), t.column("doc_id").to_numpy()
-        sigs = np.stack([np.frombuffer(v, np.uint8) for v in t.column("sig").to_pylist()])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = [np.empty((0, 2), np.int64)]
-        for at in left:
-            near = right[(sigs[right] == sigs[at]).sum(1) >= least]
-            if i == j:
-                near = near[ids[near] > ids[at]]
-            if len(near):
-                p = np.stack((np.full(len(near), ids[at]), ids[near]), 1)
-                out.append(np.sort(p, 1))
-        p = np.concatenate(out)
-        return pa.Table.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=_PAIR)
-
-    blocks = spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-    return listed.unionByName(blocks).distinct()
+    j = pairs.join(sig.withColumnRenamed("doc_id", "a"), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    return j.select("a", "b", "sig", "sig_b").mapInArrow(run, "a long, b long")
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """``(key, doc_id, c) → distinct pairs (a < b)``: each bucket's members with its hub, the one that stands in the fullest buckets altogether.
+
+    The original of many copies is the hub of most of their buckets, so one
+    link for each copy tells the class, and the copies' own pairs aren't made.
+    """
+    score = members.groupBy("doc_id").agg(F.sum("c").alias("score"))
+    hubs = members.join(score, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("hub"))
+    j = members.join(hubs, "key").where("doc_id <> hub")
+    return j.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+
+
+def crossing_pairs(members: DataFrame, least: int, best: bool, block: int = 1024) -> DataFrame:
+    """``(key, doc_id, c, sig, label) → distinct pairs (a < b)`` of a bucket with different labels that agree in ``least`` coordinates.
+
+    Buckets of one label alone have nothing to tell. A bucket of more than
+    ``block`` members is cut into blocks, and each two blocks are compared for
+    themselves. With ``best`` a member is paired only with the one of another
+    label that it agrees with most.
+    """
+    mixed = members.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+    n = F.ceil(F.col("c") / block).cast("int")
+    placed = members.join(mixed, "key", "left_semi").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "sig")
+
+    def compare(t: pa.Table, i: int, j: int) -> list[tuple[int, int]]:
+        own, ids, label = (t.column(c).to_numpy() for c in ("own", "doc_id", "label"))
+        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        out = []
+        for side, other in ((i, j), (j, i))[: 1 if i == j else 2]:
+            right = np.flatnonzero(own == other)
+            for at in np.flatnonzero(own == side):
+                some = right[label[right] != label[at]]
+                if not best:
+                    some = some[ids[some] > ids[at]]
+                if not len(some):
+                    continue
+                agree = (sigs[some] == sigs[at]).sum(1)
+                near = some[agree >= (max(least, agree.max()) if best else least)][: 1 if best else None]
+                out += [(min(ids[at], x), max(ids[at], x)) for x in ids[near].tolist()]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in _with_end(batches):
+            t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if t is None or not len(t):
+                continue
+            k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            cuts = np.append(0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1)
+            ends = np.append(cuts[1:], len(t))
+            out = []
+            # the last group may go on in the next batch
+            for a, e in zip(cuts, ends, strict=True) if b is None else zip(cuts[:-1], ends[:-1], strict=True):
+                out += compare(t.slice(a, e - a), int(k[1, a]), int(k[2, a]))
+            held = t.slice(int(cuts[-1]))
+            p = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=_PAIR)
+
+    n_parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -179,31 +219,10 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return shared / total if total else 0.0
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, k: int = 256, bands: int = 32, rows: int = 6, slack: float = 0.08) -> DataFrame:
-    """``docs → (doc_id, class_id, n_links)``: class ids are the smallest doc_id of the class.
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """The pairs whose texts ``(i, text)`` have the least similarity."""
 
-    Documents are linked whose weighted Jaccard similarity of word shingles
-    (5 words, weighed by count) is ``threshold`` or more; classes are the
-    components of links, copies of a text included. ``n_links`` counts the
-    other texts linked to the document's own. Every link is verified on the
-    texts. A pair at 0.8 shares one of 32 bands of 6 coordinates but for 6 in
-    100,000; pairs whose 256 coordinates agree in less than ``threshold -
-    slack`` (three standard deviations) aren't verified.
-
-    Equal texts are one while signatures are compared. A null text, and one
-    without words, is a class of its own; so is a null doc_id, whose class_id
-    is null. Repeated rows come back as often as they occur. Other columns are
-    ignored; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    stash = Stash(spark, "near")
-    signed = stash.put(sign(docs, k, bands, rows, shingle))
-    reps = stash.put(signed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig"), F.min_by("keys", "doc_id").alias("keys")))
-    pairs = stash.put(candidates(reps, threshold - slack))
-    ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
-    texts = stash.put(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("i"), "text").join(ids, "i", "left_semi").dropDuplicates(["i"]))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, None
         for b in batches:
             out = []
@@ -216,10 +235,55 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, k
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], schema=_PAIR)
 
     both = pairs.join(texts.select(F.col("i").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("i").alias("a"), F.col("text").alias("ta")), "a")
-    links = stash.put(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
-    comp = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    rep = reps.select("sha", F.col("doc_id").alias("id")).join(comp.join(degree, "id"), "id", "left").select("sha", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    moved = signed.select(F.col("doc_id").alias("m_id"), "sha").join(rep, "sha").select("m_id", "class_id", "n_links").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, k: int = 512, bands: int = 32, rows: int = 6, slack: float = 0.055, rounds: int = 1) -> DataFrame:
+    """``docs → (doc_id, class_id)``: class ids are the smallest doc_id of the class.
+
+    Documents are linked whose weighted Jaccard similarity of word shingles
+    (5 words, weighed by count) is ``threshold`` or more; classes are the
+    components of links, copies of a text included. Every link is verified on
+    the texts. A pair at 0.8 shares one of 32 bands of 6 coordinates but for 6
+    in 100,000; pairs whose 512 coordinates agree in less than ``threshold -
+    slack`` (three standard deviations) aren't verified.
+
+    Buckets are linked by their hubs first, then for ``rounds`` times each
+    member with the one of another class that it agrees with most, and at last
+    all members that this left in different classes. So a large group of near
+    copies costs a few pairs for each copy, and no pair that could join two
+    classes is left out.
+
+    Equal texts are one while signatures are compared. A null text, and one
+    without words, is a class of its own; so is a null doc_id, whose class_id
+    is null. Repeated rows come back as often as they occur. Other columns are
+    ignored; an empty table gives no rows.
+    """
+    stash = Stash(docs.sparkSession, "near")
+    least = int(np.ceil((threshold - slack) * k))
+    signed = stash.put(sign(docs, k, bands, rows, shingle))
+    reps = stash.put(signed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig"), F.min_by("keys", "doc_id").alias("keys")))
+    members = stash.put(buckets(reps).join(reps.select("doc_id", "sig"), "doc_id"))
+    # the texts of documents that share a bucket; a merge at any size, as their number follows the corpus
+    ids = members.select(F.col("doc_id").alias("i")).distinct().hint("merge")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("text"))
+    texts = stash.put(texts.join(ids, "i", "left_semi").dropDuplicates(["i"]))
+    tested = stash.put(agreeing(hub_pairs(members.drop("sig")), reps, least))
+    links = stash.put(verified(tested, texts, threshold, shingle))
+    comp = _components(links)
+    for k in range(rounds + 1):
+        labelled = members.join(comp.select(F.col("id").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        new = stash.put(crossing_pairs(labelled, least, best=k < rounds).join(tested, ["a", "b"], "left_anti"))
+        found = stash.put(verified(new, texts, threshold, shingle))
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            comp = _components(links)
+        tested = tested.unionByName(new)
+    rep = reps.select("sha", F.col("doc_id").alias("id")).join(comp, "id", "left").select("sha", F.coalesce("component", "id").alias("class_id"))
+    moved = signed.select(F.col("doc_id").alias("m_id"), "sha").join(rep, "sha").select("m_id", "class_id").distinct()
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(moved, F.col("doc_id") == F.col("m_id"), "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
