@@ -110,19 +110,21 @@ def write_warc(pages: DataFrame, out_dir: str, shard_bytes: int = 64 << 20, roll
     bounds = shard_bounds(narrow.select("page_id", "n"), shard_bytes)
     able = narrow.where(F.col("page_id").isNotNull() & (F.col("n") >= min_revisit_bytes))
     first = able.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    notes = able.join(first, "sha").where("page_id > first").select("page_id", "first").distinct()
+    notes = able.join(first, "sha").where("page_id > first").select("page_id", "sha", "first").distinct()
     # a page and its note meet in its shard: the payloads are shuffled once
-    both = p.select("page_id", "url", "html", F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind")).unionByName(notes.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first", F.lit(0).alias("kind")))
+    both = p.select("page_id", "url", "html", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind")).unionByName(notes.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", "first", F.lit(0).alias("kind")))
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = both.withColumn("shard", shard_of(F.col("page_id"), bounds).cast("long")).repartition(max(n_parts, len(bounds) + 1), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "html").select("shard", "page_id", "url", "html", "first", "kind")
+    rows = both.withColumn("shard", shard_of(F.col("page_id"), bounds).cast("long")).repartition(max(n_parts, len(bounds) + 1), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "html").select("shard", "page_id", "url", "html", "sha", "first", "kind")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, shard, roll, done, note = None, None, 0, [], (None, None)
+        out, shard, roll, done, noted, notes = None, None, 0, [], None, {}
         for b in batches:
-            for s, page_id, url, html, first_, kind in zip(*(b.column(k) for k in range(6)), strict=True):
+            for s, page_id, url, html, sha, first_, kind in zip(*(b.column(k) for k in range(7)), strict=True):
                 s, page_id = s.as_py(), page_id.as_py()
                 if kind.as_py() == 0:
-                    note = (page_id, first_.as_py())
+                    if page_id != noted:
+                        noted, notes = page_id, {}
+                    notes[sha.as_py()] = first_.as_py()
                     continue
                 if s != shard or out is not None and out.row["n_bytes"] >= roll_bytes:
                     if out is not None:
@@ -132,8 +134,9 @@ def write_warc(pages: DataFrame, out_dir: str, shard_bytes: int = 64 << 20, roll
                     out = AttemptFile(out_dir, shard, roll, name)
                     out.write(_member(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")), 0)
                 payload = html.as_py().encode("utf-8", "surrogatepass")
-                refers_to = note[1] if page_id is not None and note[0] == page_id else None
-                out.write(_member(_page(page_id, url.as_py(), b"" if refers_to is not None else payload, _b32(hashlib.sha1(payload).digest()), len(payload), refers_to)), 1, len(payload))
+                digest = hashlib.sha1(payload)
+                refers_to = notes.get(digest.hexdigest()) if page_id is not None and noted == page_id else None
+                out.write(_member(_page(page_id, url.as_py(), b"" if refers_to is not None else payload, _b32(digest.digest()), len(payload), refers_to)), 1, len(payload))
         if out is not None:
             done.append(out.close())
         if done:

@@ -79,6 +79,15 @@ def test_warc_round_trip(spark):
     assert m.agg(F.sum("n_records")).first()[0] == len(rows) and m.count() > 2
 
 
+def test_warc_repeated_id(spark):
+    """Of the rows of an id only those whose payload stood before are revisits; each refers to its own payload's page."""
+    rows = [(1, "a", "one"), (2, "b", "two"), (5, "c", "one"), (5, "d", "unique"), (5, "e", "two"), (6, "f", "alone")]
+    out = fresh_dir(spark, "w")
+    got = warc.read_warc(warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), out), out).collect()
+    want = {("a", "response", None, "one"), ("b", "response", None, "two"), ("c", "revisit", 1, None), ("d", "response", None, "unique"), ("e", "revisit", 2, None), ("f", "response", None, "alone")}
+    assert {(x.url, x.record_type, x.refers_to, x.html) for x in got} == want and len(got) == len(rows)
+
+
 def test_warc_is_deterministic(spark):
     rows = [(k, f"u{k}", sentence(k % 7, 60)) for k in range(80)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
