@@ -274,8 +274,10 @@ def covered_spans(docs: DataFrame, width: int = 100, bucket_bytes: int = 2 << 20
             # of equal strings of this chunk the earliest alone is sent; the others are known to repeat it
             blobs, keys = [], []
             if len(again):
-                blobs.append(zlib.compress(np.concatenate(([-len(again)], doc[which[again]], start[again], size[again])).astype("<i8").tobytes(), 1))
-                keys.append(int(bucket[again[0]]))
+                known = _merged(doc[which[again]], start[again], size[again])
+                blobs.append(zlib.compress(np.concatenate(([-len(known[0])], *known)).astype("<i8").tobytes(), 1))
+                # any bucket may pass them on; the chunk's first text picks one, so that chunks which hold the same hot text part
+                keys.append(zlib.crc32(doc[:1].tobytes()) % n_buckets)
             by = np.argsort(bucket, kind="stable")
             by = by[~np.isin(by, again)]
             cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))

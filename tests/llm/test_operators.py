@@ -387,6 +387,25 @@ def test_repeats_edge(spark):
         suffix_dedup.dedup_repeats(docs(spark, [(1, "a"), (1, "b")]))
 
 
+def test_repeats_of_a_hot_text(spark):
+    """A text that stands in every chunk: the spans known within the chunks don't meet in one task."""
+    hot = sentence(7, 500)
+    rows = [(k, hot) for k in range(320)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 16), "doc_id long, text string")
+        got = suffix_dedup.covered_spans(df, bucket_bytes=1 << 10).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    whole = [x.task for x in got if (x.start, x.length) == (0, len(hot))]
+    assert len(whole) >= 16 * 19 and max(map(whole.count, set(whole))) < 0.6 * len(whole)
+    covered = {k: np.zeros(len(hot), bool) for k, _ in rows}
+    for x in got:
+        covered[x.doc_id][x.start : x.start + x.length] = True
+    assert not covered[0].any() and all(covered[k].all() for k in range(1, 320))
+
+
 def test_repeat_groups(spark):
     p = sentence(3, 60)
     rows = [(1, sentence(1, 5) + p), (2, p + sentence(2, 5)), (3, "x" + p + "y")]
