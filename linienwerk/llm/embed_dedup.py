@@ -8,6 +8,7 @@ vectors that share a key in any table are compared by their originals.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +18,19 @@ from linienwerk.operators.graph import connected_components
 from linienwerk.shared import Stash
 
 
-def learn_rotations(sample: np.ndarray, n: int, rounds: int = 30, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and ``n`` rotations of unit vectors: principal axes, then turned until signs lose least."""
+def learn_rotations(sample: np.ndarray, rounds: int = 30, seed: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Mean and one rotation after another of unit vectors: principal axes, then turned until signs lose least."""
     mean = sample.mean(0)
     x = sample - mean
     _, axes = np.linalg.eigh(x.T @ x)
     v = x @ axes
     rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(n):
+    while True:
         r, _ = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
-        out.append(axes @ r)
-    return mean, np.stack(out)
+        yield mean, axes @ r
 
 
 def n_tables(bits: int, cosine: float, recall: float) -> int:
@@ -40,6 +39,55 @@ def n_tables(bits: int, cosine: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
+def pairs_at(sample: np.ndarray, cosine: float, n: int = 2000, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at the least cosine by kind: vectors turned any way, turned towards others, and neighbours within the sample where it has 200."""
+    rng = np.random.default_rng(seed)
+    x = sample[rng.integers(len(sample), size=n)]
+    out = []
+    for to in (rng.standard_normal(x.shape), sample[rng.integers(len(sample), size=n)]):
+        side = to - (to * x).sum(1, keepdims=True) * x
+        size = np.linalg.norm(side, axis=1)
+        ok = size > 1e-6
+        if ok.any():
+            out.append((x[ok], cosine * x[ok] + math.sqrt(1 - cosine**2) * side[ok] / size[ok, None]))
+    near: list[tuple[np.ndarray, np.ndarray]] = []
+    for a in range(0, len(sample), 1024):
+        c = sample[a : a + 1024] @ sample.T
+        i, j = np.nonzero((c >= cosine) & (c < cosine + (1 - cosine) / 5))
+        i, j = i[j > i + a], j[j > i + a]
+        some = rng.permutation(len(i))[:n]
+        near.append((i[some] + a, j[some]))
+    i, j = (np.concatenate(z) for z in zip(*near, strict=True))
+    if len(i) >= 200:
+        some = rng.permutation(len(i))[:n]
+        out.append((sample[i[some]], sample[j[some]]))
+    return out
+
+
+def learn_tables(sample: np.ndarray, bits: int, cosine: float, recall: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Rotations with what is taken off before each, and the number of tables in them.
+
+    Taking off the mean widens the angle of a pair, so tables are added until
+    the wanted share of every kind of ``pairs_at`` meets. Where the learned
+    ones don't bring that about, rotations at random follow that leave the mean
+    on, under which the angle is the pair's own.
+    """
+    dim, least = sample.shape[1], n_tables(bits, cosine, recall)
+    kinds = pairs_at(sample, cosine)
+    met = [np.zeros(len(x), bool) for x, _ in kinds]
+    learned, rng, out, tables = learn_rotations(sample), np.random.default_rng(11), [], 0
+    while True:
+        mean, r = next(learned) if tables < 8 * least else (np.zeros(dim), np.linalg.qr(rng.standard_normal((dim, dim)))[0])
+        out.append((mean, r))
+        same = [((x - mean) @ r >= 0) == ((y - mean) @ r >= 0) for x, y in kinds]
+        for k in range(dim // bits):
+            for m, z in zip(met, same, strict=True):
+                m |= z[:, k * bits : k * bits + bits].all(1)
+            tables += 1
+            if tables >= least and all(m.mean() >= recall for m in met):
+                return out, tables
+
+
 def _links(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest id that each of the given links' ends reaches through them, for all places."""
     label = ids.copy()
@@ -57,7 +105,8 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: flo
 
     Links are pairs with cosine >= ``threshold`` in double precision that share
     a key in one of the tables; a pair right at the threshold does with chance
-    ``recall``, closer ones more often. Tables have log2(rows / 8) bits, so
+    ``recall``, as measured on pairs made from the sample (see ``learn_tables``),
+    closer ones more often. Tables have log2(rows / 8) bits, so
     buckets of unrelated vectors stay small at any size; larger buckets are
     cut into blocks, each two of which are compared in a task of their own.
     A pair counts in the first table in which it meets. Blocks return sums and
@@ -82,21 +131,20 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: flo
     dim, count = common
     good = good.where(F.size("e") == dim)
     bits = min(dim, max(4, math.ceil(math.log2(max(count, 16) / 8))))
-    tables = n_tables(bits, threshold, recall)
     sample = np.array([r[0] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("e").collect()])
 
     def unit(x: np.ndarray) -> np.ndarray:
         x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    mean, rotations = learn_rotations(unit(sample), -(-tables // (dim // bits)))
+    rotations, tables = learn_tables(unit(sample), bits, threshold, recall)
 
     def encode(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             x = unit(b.column("e").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            code = np.concatenate([(x - mean) @ r >= 0 for r in rotations], 1).reshape(len(x), len(rotations), dim)
+            code = np.concatenate([(x - mean) @ r >= 0 for mean, r in rotations], 1).reshape(len(x), len(rotations), dim)
             keys = np.zeros((len(x), tables), np.int64)
             for t in range(tables):
                 r, k = divmod(t, dim // bits)

@@ -52,6 +52,38 @@ def test_embeddings(spark):
     assert all(got[i].component_id <= i and (got[i].kept == (got[i].component_id == i)) for i in got)
 
 
+def around_mean(n, dim, norm, seed=3):
+    """n unit vectors with a mean of the given norm, and a partner at cosine 0.9 of each with the same share of the mean."""
+    r = np.random.default_rng(seed)
+    g, h = r.standard_normal((2, n, dim - 1))
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    h -= (h * g).sum(1, keepdims=True) * g
+    h /= np.linalg.norm(h, axis=1, keepdims=True)
+    rest = 1 - norm**2
+    c = (0.9001 - norm**2) / rest
+    with_mean = lambda v: np.concatenate((np.full((n, 1), norm), v * rest**0.5), 1)
+    return with_mean(g), with_mean(c * g + (1 - c * c) ** 0.5 * h)
+
+
+def test_embeddings_with_a_strong_mean(spark):
+    x, y = around_mean(1500, 64, 0.85)
+    v = np.concatenate((x, y))
+    df = spark.createDataFrame([(k, e) for k, e in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    found = embed_dedup.embedding_duplicates(df).agg(F.sum("n_links")).first()[0]
+    want = int((v @ v.T >= 0.9).sum()) - len(v)
+    assert want >= 3000 and 0.9 * want <= found <= want
+
+
+def test_tables_of_a_million_vectors():
+    """17 bits, as for 1M rows, and a mean of norm 0.7: pairs that the tables weren't set by."""
+    x, y = around_mean(3000, 64, 0.7)
+    rotations, tables = embed_dedup.learn_tables(x, 17, 0.9, 0.97)
+    u, v = around_mean(2000, 64, 0.7, seed=4)
+    code = lambda z: np.concatenate([((z - mean) @ r >= 0)[:, : 64 // 17 * 17] for mean, r in rotations], 1)
+    same = (code(u) == code(v)).reshape(len(u), -1, 17).all(2)[:, :tables]
+    assert same.any(1).mean() >= 0.9 > same[:, : embed_dedup.n_tables(17, 0.9, 0.97)].any(1).mean()
+
+
 def test_embeddings_repeats_and_empty(spark):
     schema = "vec_id long, embedding array<float>"
     assert embed_dedup.embedding_duplicates(spark.createDataFrame([], schema)).count() == 0
