@@ -28,14 +28,16 @@ class PieceEncoder:
 
     ``cut='byte'``: a byte-level vocabulary whose words take their leading
     space; ``cut='word'``: one that drops white space; ``cut='none'``: every
-    text is encoded whole. The strings of special tokens count as plain text.
+    text is encoded whole, as is one that holds an added token's string, which
+    the library makes one id.
     """
 
     def __init__(self, path: str, cut: str, max_pieces: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cut, self.max_pieces, self.cache = cut, max_pieces, {}
         vocab = self.tokenizer.get_vocab()
@@ -87,6 +89,8 @@ class PieceEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """Parts that the pre-tokenizer certainly cuts apart; in a byte-level vocabulary each but the first had a space before it."""
+        if self.added and self.added.search(text):
+            return None
         if self.cut == "byte" and not _UNSURE_BYTE.search(text) and "\x00" not in text:
             pieces = text.split(" ")
             pieces[0] = "\x00" + pieces[0]

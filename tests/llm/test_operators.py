@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from linienwerk.llm import chat, embed_dedup, minhash, mixing, packing, quality_rules, rule_ensemble, suffix_dedup, token_records, warc
 from linienwerk.llm.tokens import PieceEncoder
@@ -194,6 +195,17 @@ def test_pieces_equal_whole_texts(path, cut):
             assert np.frombuffer(g, e.dtype).tolist() == (e.tokenizer.encode(t or "", add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize(("path", "cut"), [(BYTE, "byte"), (WORD, "word"), (WORD, "none")])
+def test_pieces_equal_the_library(path, cut):
+    """Against a tokenizer as the library loads it, also where a text holds an added token's string."""
+    fresh = Tokenizer.from_file(path)
+    texts = [*TEXTS, "<|endoftext|>", "a<|endoftext|>b", "a <|EndOfText|> b", "x <|startoftext|> y <|endoftext|>"]
+    e = PieceEncoder(path, cut)
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for got in (e.many(texts), e.many(texts)):
+        assert [np.frombuffer(g, e.dtype).tolist() for g in got] == want
+
+
 def whole_ids(path, text, end):
     t = PieceEncoder(path, "none").tokenizer
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
