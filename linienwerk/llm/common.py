@@ -29,3 +29,11 @@ def n_words(text: Column) -> Column:
 def total_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column, summed on the executors."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes to be none of the table's, told without case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,13 +1,21 @@
-"""Exact repeats of at least ``width`` bytes, by enhanced suffix arrays over buckets.
-
-The text is cut into overlapping strings by minimizers: every window of
-``width`` bytes has one, its smallest hashed k-gram, and the windows in a row
-that share it make one string. Equal windows have equal minimizers, so all
-copies of a window meet in one bucket, and a bucket is a part of the whole
-suffix array that can be built for itself. There, windows whose fingerprint
-occurs once are dropped, left-extension diversity picks the starts of repeats,
-their suffixes are sorted, and one stack scan over the common-prefix lengths
-visits every interval of the tree with all its occurrences.
+"""Exact repeats of at least ``width`` bytes: maximal repeat groups from enhanced suffix arrays over buckets.
+
+Every window of ``width`` bytes has a minimizer, its smallest hashed k-gram,
+and the windows in a row that share it make one piece. Equal windows have equal
+minimizers, so a repeat shows only among pieces of one key, the minimizer's
+hash. It is found in three steps.
+
+1. Of each piece its key and a fingerprint are sent, no text. Equal pieces are
+   a repeat group as they stand: all but the earliest are repeats. Keys with
+   one kind of piece need no more.
+2. The other keys' pieces, one of each kind, are sent with their bytes. Keys
+   with very many kinds are dealt out by window instead, so that no task holds
+   all surroundings of a hot passage.
+3. A bucket of keys is a part of the whole suffix array that can be built for
+   itself: windows that occur once are dropped, the suffixes are sorted, and a
+   stack scan over the common-prefix lengths builds the tree of intervals.
+   Those whose occurrences differ in the byte before are the maximal repeat
+   groups, with all their occurrences; what they cover follows from them.
 """
 
 from __future__ import annotations
@@ -17,142 +25,369 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from linienwerk.llm.common import total_bytes
+from linienwerk.llm.common import total_bytes, unused
 from linienwerk.shared import Stash
 
-GRAM = 16
-#: Bytes fingerprinted at once, and bytes of text cut at once.
-_SEGMENT, _CHUNK = 1 << 18, 4 << 20
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64."""
-    inv = pow(_BASE, -1, 1 << 64)
-    out = []
-    for b in (_BASE, inv):
-        p = np.full(n, np.uint64(b))
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-class _Powers:
-    held: tuple[np.ndarray, np.ndarray] = _powers(1 << 12)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.held[0]) < n:
-            cls.held = _powers(max(n, 2 * len(cls.held[0])))
-        return cls.held
-
-
-def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A fingerprint of each window; equal windows have equal ones, others may."""
-    out = [np.empty(0, np.uint64)]
-    for a in range(0, len(data) - width + 1, _SEGMENT):
-        part = data[a : a + _SEGMENT + width - 1]
-        up, down = _Powers.upto(_SEGMENT + width)
-        n = len(part)
-        total = np.zeros(n + 1, np.uint64)
-        # bytes go through a mixing table, as a polynomial modulo 2**64 alone is weak on structured text
-        np.cumsum(_MIX[part] * up[:n], out=total[1:])
-        h = (total[width:] - total[: n - width + 1]) * down[: n - width + 1]
-        out.append(h ^ h >> np.uint64(31))
-    return np.concatenate(out)
-
-
-_MIX = np.array([(x * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) * (2 * x + 1) % (1 << 64) | 1 for x in range(256)], np.uint64)
-
-
-def minimizers(data: np.ndarray, width: int) -> np.ndarray:
-    """For each window the place of its smallest hashed k-gram, the leftmost of equal ones."""
-    n = len(data) - GRAM + 1
-    w8 = np.lib.stride_tricks.sliding_window_view(data, 8)
-    x = np.ascontiguousarray(w8[: n + 8]).view(np.uint64).ravel()
-    h = x[:n] * _M1 ^ x[8 : n + 8] * _M2
-    h = (h ^ h >> np.uint64(29)) * _M3
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-    span, step = width - GRAM + 1, 1
+#: Bytes of text that are cut at once; longer texts are cut in slices.
+_CHUNK = 2 << 20
+#: What is said of a piece: an equal one is earlier, or it must be sent as bytes or as windows.
+_COVERED, _BYTES, _WINDOWS = 0, 1, 2
+_M1, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x165667B19E3779F9))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * _M3
+    return h ^ h >> np.uint64(29)
+
+
+class _Rolling:
+    """Fingerprints of slices from prefix sums of mixed bytes times powers of an odd base, modulo 2**64."""
+
+    def __init__(self, seed: int):
+        self.base = (0x9E3779B97F4A7C15 * (2 * seed + 1) | 1) % (1 << 64)
+        # a polynomial modulo 2**64 alone is weak on structured text
+        self.table = np.array([(x * 0xD6E8FEB86659FD93 + seed) * (2 * x + 1) % (1 << 64) | 1 for x in range(256)], np.uint64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        if len(self.up) <= len(data):
+            self.up, self.down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(len(data), 1 << 12), np.uint64(b))))) for b in (self.base, pow(self.base, -1, 1 << 64)))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.table[data] * self.up[: len(data)], out=total[1:])
+        return total
+
+    def of(self, total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((total[end] - total[begin]) * self.down[begin])
+
+    def windows(self, total: np.ndarray, width: int) -> np.ndarray:
+        n = max(0, len(total) - width)
+        return _mix((total[width:] - total[:n]) * self.down[:n])
+
+
+_ONE, _TWO = _Rolling(0x2545F4914F6CDD1D), _Rolling(0x3C6EF372FE94F82B)
+
+
+def gram_of(width: int) -> int:
+    """Longer grams mean fewer chance meetings, shorter ones fewer pieces."""
+    return max(4, width * 8 // 25)
+
+
+def minimizers(h: np.ndarray, span: int) -> np.ndarray:
+    """For each window of ``span`` hashes the place of the smallest, the leftmost of equal ones."""
+    key, step = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
     while 2 * step <= span:  # smallest over a power of two, then two of these overlap
         key = np.minimum(key[:-step], key[step:])
         step *= 2
     if span > step:
         key = np.minimum(key[: len(key) - (span - step)], key[span - step :])
-    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64), h
-
-
-def _cut(docs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The strings of some texts: text number, start in it, bytes, hash of the minimizer; and all bytes."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    data = np.frombuffer(b"".join(docs), np.uint8)
-    if len(data) < width:
-        z = np.empty(0, np.int64)
-        return z, z, z, z.astype(np.uint64), data
-    at, h = minimizers(data, width)
-    which = np.repeat(np.arange(len(docs)), sizes)
-    ok = np.flatnonzero(which[: len(at)] == which[width - 1 :])  # windows that lie within one text
-    if not len(ok):
-        z = np.empty(0, np.int64)
-        return z, z, z, z.astype(np.uint64), data
-    new = np.empty(len(ok), bool)
-    new[0] = True
-    new[1:] = (at[ok[1:]] != at[ok[:-1]]) | (ok[1:] != ok[:-1] + 1)
-    begin = ok[new]
-    end = ok[np.append(np.flatnonzero(new)[1:], len(ok)) - 1] + width
-    return which[begin], begin - first[which[begin]], end - begin, h[at[begin]], data
-
-
-def repeats(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, order: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(string, start, cover)``: suffixes of the strings that repeat an earlier one, and over how many bytes.
-
-    ``order`` ranks the strings by (text, start), ``left`` is the byte before
-    each (256 at a text's start). A suffix's cover is the depth of the deepest
-    interval of at least ``width`` in which it is not the earliest.
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+class _Chunk:
+    """The pieces of some slices of texts: ``doc``, ``start`` in it, ``size``, ``begin`` in ``data``, ``key`` and fingerprint ``fp``."""
+
+    def __init__(self, slices: list[tuple[int, int, bytes]], width: int):
+        """A slice: doc_id, where it starts in its text, its bytes."""
+        sizes = np.array([len(s[2]) for s in slices], np.int64)
+        first = np.cumsum(sizes) - sizes
+        self.data = np.frombuffer(b"".join(s[2] for s in slices), np.uint8)
+        self.total, gram = _ONE.sums(self.data), gram_of(width)
+        h = _ONE.windows(self.total, gram)
+        at = minimizers(h, width - gram + 1)
+        which = np.repeat(np.arange(len(slices), dtype=np.int32), sizes)
+        ok = np.flatnonzero(which[: len(at)] == which[width - 1 :])  # windows that lie within one slice
+        new = np.ones(len(ok), bool)
+        new[1:] = (at[ok[1:]] != at[ok[:-1]]) | (which[ok[1:]] != which[ok[:-1]])
+        self.begin = ok[new]
+        end = ok[np.append(np.flatnonzero(new)[1:], len(ok)) - 1] + width if len(ok) else ok
+        self.size = end - self.begin
+        of = which[self.begin]
+        self.doc = np.array([s[0] for s in slices], np.int64)[of]
+        self.start = self.begin - first[of] + np.array([s[1] for s in slices], np.int64)[of]
+        self.key = h[at[self.begin]]
+        self.end = end
+
+    def any_bucket(self, n: int) -> int:
+        """Where to send what any bucket may pass on: the first piece picks one, so that chunks which hold the same hot text part."""
+        return zlib.crc32(np.array([self.doc[0], self.start[0]]).tobytes()) % n
+
+    def prints_of(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two fingerprints of slices of ``data``."""
+        return _ONE.of(self.total, begin, end), _TWO.of(_TWO.sums(self.data), begin, end)
+
+    def prints(self) -> np.ndarray:
+        return _TWO.of(_TWO.sums(self.data), self.begin, self.end) ^ self.size.astype(np.uint64)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[tuple[int, int, bytes]], list]]:
+    """Slices of about a chunk, and the rows they come from. Slices overlap so that each window lies in one of them."""
+    slices, rows, room = [], [], 0
+    for b in batches:
+        for r in range(b.num_rows):
+            doc, text = b.column(0)[r].as_py(), b.column(1)[r]
+            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            for a in range(0, len(raw) - width + 1, _CHUNK):
+                part = raw[a : a + _CHUNK + width - 1] if len(raw) > _CHUNK else raw
+                if room + len(part) > _CHUNK and slices:
+                    yield slices, rows
+                    slices, rows, room = [], [], 0
+                slices.append((doc, a, part))
+                rows.append((b, r))
+                room += len(part)
+    if slices:
+        yield slices, rows
+
+
+def _pack(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Columns of 64-bit numbers, byte plane by byte plane, and bytes after them."""
+    planes = np.ascontiguousarray(np.stack([c.astype(np.int64, copy=False) if c.dtype != np.uint64 else c.view(np.int64) for c in columns])).view(np.uint8)
+    return zstandard.compress(np.array([len(columns[0])], "<i8").tobytes() + planes.reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes() + tail, 1)
+
+
+def _unpack(blob: bytes, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    cols = np.ascontiguousarray(np.frombuffer(raw, np.uint8, columns * 8 * n, 8).reshape(columns, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(columns, n)
+    return cols, np.frombuffer(raw, np.uint8, offset=8 + 8 * columns * n)
+
+
+def _joined(t: pa.Table, kind: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and tails of all blobs of a kind."""
+    got = [_unpack(b.as_py(), columns) for k, b in zip(t.column("kind").to_pylist(), t.column("blob"), strict=True) if k == kind]
+    if not got:
+        return np.empty((columns, 0), np.int64), np.empty(0, np.uint8)
+    return np.concatenate([g[0] for g in got], axis=1), np.concatenate([g[1] for g in got])
+
+
+_BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+
+
+def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOB, strict=True)], schema=_BLOB)
+
+
+def _buckets(key: np.ndarray, n: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _parts(bucket: np.ndarray, some: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The chosen places by their bucket."""
+    by = some[np.argsort(bucket[some], kind="stable")]
+    cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+    for a, b in zip(cuts, np.append(cuts, len(by))[1:], strict=True):
+        yield int(bucket[by[a]]), by[a:b]
+
+
+def _first(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys, the first of them last in weight but two, and which places of it begin a new value of all but the last two keys' (doc, start)."""
+    by = np.lexsort(keys[::-1])
+    new = np.ones(len(by), bool)
+    new[1:] = np.logical_or.reduce([k[by[1:]] != k[by[:-1]] for k in keys[:-2]])
+    return by, new
+
+
+def _runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
+    """The bytes of many slices, one after another."""
+    return data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
+
+
+_ANSWER = "doc_id long, start long, length long, mode int, of_doc long, of_start long"
+
+
+def _asked(rows: DataFrame, width: int, n_buckets: int, hot_kinds: int, named: bool) -> DataFrame:
+    """``(doc_id, text) → _ANSWER``: what is known of the pieces that others equal, or may overlap.
+
+    A covered piece names the earliest one that it equals. If they needn't be
+    ``named``, covered pieces of a text and chunk are merged where they touch.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slices, _ in _chunks(batches, width):
+            c = _Chunk(slices, width)
+            fp = c.prints()
+            by, new = _first(c.key, fp, c.doc, c.start)
+            out, again = [], by[~new]
+            if len(again):
+                # of equal pieces the earliest is asked for; the others' answer is known, and passes through any bucket
+                of = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))][~new]
+                spans = c.doc[again], c.start[again], c.size[again]
+                spans = (*spans, c.doc[of], c.start[of]) if named else (*(m := _merged(*spans)), *(np.full(len(m[0]), -1),) * 2)
+                out.append((c.any_bucket(n_buckets), 1, _pack(*spans)))
+            bucket = _buckets(c.key, n_buckets)
+            out += [(k, 0, _pack(c.key[p], fp[p], c.doc[p], c.start[p], c.size[p])) for k, p in _parts(bucket, by[new])]
+            yield _blobs(out)
+
+    def answer(_: tuple, t: pa.Table) -> pa.Table:
+        (key, fp, doc, start, size), _ = _joined(t, 0, 5)
+        told, _ = _joined(t, 1, 5)
+        by, new = _first(key, fp, doc, start)
+        key, doc, start, size = key[by], doc[by], start[by], size[by]
+        of = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0)) if len(by) else by
+        cut = np.flatnonzero(np.diff(key, prepend=key[:1] ^ 1))
+        kinds = np.repeat(np.add.reduceat(new.astype(np.int64), cut), np.diff(np.append(cut, len(key)))) if len(by) else by
+        say = np.flatnonzero(~new | (kinds > 1))
+        mode = np.where(new[say], np.where(kinds[say] > hot_kinds, _WINDOWS, _BYTES), _COVERED)
+        rows = np.concatenate((told, (doc[say], start[say], size[say], doc[of[say]], start[of[say]])), axis=1)
+        mode = np.append(np.full(told.shape[1], _COVERED), mode)
+        return pa.table([*(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(mode, pa.int32()), *(pa.array(x, pa.int64()) for x in rows[3:])], names=["doc_id", "start", "length", "mode", "of_doc", "of_start"])
+
+    return rows.mapInArrow(ask, "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(answer, _ANSWER)
+
+
+def _sent(rows: DataFrame, answers: DataFrame, width: int, n_buckets: int) -> DataFrame:
+    """Texts and answers → blobs of spans that are known (kind 0), pieces (1) and windows (2) by bucket."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slices, rows in _chunks(batches, width):
+            c = _Chunk(slices, width)
+            docs, of = np.unique(c.doc, return_inverse=True)
+            asked = {s[0]: b.column(2)[r].values.to_numpy(zero_copy_only=False) for s, (b, r) in zip(slices, rows, strict=True)}
+            asked = np.sort(np.concatenate([(k << 44) + asked[d] for k, d in enumerate(docs.tolist())]))
+            place = (of << 43) + c.start
+            at = np.minimum(np.searchsorted(asked >> 1, place), len(asked) - 1)
+            mode = np.where(asked[at] >> 1 == place, asked[at] & 1, -1)
+            out, hot = [], np.flatnonzero(mode == 1)
+            if len(hot):
+                n = c.size[hot] - width + 1
+                which = np.repeat(hot, n)
+                inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                begin, doc, start = c.begin[which] + inner, c.doc[which], c.start[which] + inner
+                one, two = c.prints_of(begin, begin + width)
+                by, new = _first(one, two, doc, start)
+                late = by[~new]
+                if len(late):
+                    out.append((c.any_bucket(n_buckets), 0, _pack(*_merged(doc[late], start[late], np.full(len(late), width)))))
+                out += [(k, 2, _pack(one[p], two[p], doc[p], start[p])) for k, p in _parts(_buckets(one, n_buckets), by[new])]
+            for k, p in _parts(_buckets(c.key, n_buckets), np.flatnonzero(mode == 0)):
+                out.append((k, 1, _pack(c.doc[p], c.start[p], c.size[p], tail=_runs(c.data, c.begin[p], c.size[p]))))
+            if out:
+                yield _blobs(out)
+
+    # a piece's start, and whether it is sent as windows
+    asked = answers.where(F.col("mode") != _COVERED).groupBy("doc_id").agg(F.collect_list(F.col("start") * 2 + (F.col("mode") == _WINDOWS).cast("long")).alias("asked"))
+    return rows.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(send, "bucket int, kind int, blob binary")
+
+
+class RepeatTree:
+    """Maximal repeat groups of some pieces: intervals of the common-prefix tree of their suffixes.
+
+    ``string`` and ``start`` are suffixes, ``group`` the smallest group that
+    each belongs to; ``depth`` is a group's length and ``parent`` the group
+    that holds all its occurrences and more, or -1. ``rank`` orders the pieces
+    by (text, start).
     """
-    none = np.empty(0, np.int64)
-    n_win = np.maximum(length - width + 1, 0)
-    which = np.repeat(np.arange(len(length)), n_win)
-    if not len(which):
-        return none, none, none
-    inner = np.arange(len(which)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-    at = offset[which] + inner
-    h = window_hashes(buffer, width)[at]
-    # drop windows that surely occur once: their slot of a table counts one
-    live = None
-    bits = max(10, int(2 * len(h)).bit_length())
-    for shift in (0, 64 - bits):
-        slot = (h >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        keep = np.bincount(slot, minlength=1 << bits)[slot] > 1
-        live = np.flatnonzero(keep) if live is None else live[keep]
-        h = h[keep]
-        if not len(h):
-            return none, none, none
-    by = np.argsort(h, kind="stable")
-    live, h = live[by], h[by]
-    cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    count = np.diff(np.append(cut, len(h)))
-    inn, str_ = inner[live], which[live]
-    before = np.where(inn > 0, buffer[np.maximum(at[live] - 1, 0)].astype(np.int64), left[str_])
-    diverse = (np.minimum.reduceat(before, cut) != np.maximum.reduceat(before, cut)) | (np.minimum.reduceat(inn, cut) == 0) | (np.maximum.reduceat(before, cut) == 256)
-    pick = live[np.repeat(diverse & (count > 1), count)]
-    if not len(pick):
-        return none, none, none
-    return _scan(buffer, offset, length, order, which[pick], inner[pick], width)
-
-
-def suffix_array(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, str_: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+    def __init__(self, buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, rank: np.ndarray, width: int):
+        self.rank = rank
+        self.string = self.start = self.group = self.depth = self.parent = np.empty(0, np.int64)
+        picked = self._picked(buffer, offset, length, width)
+        if picked is not None:
+            self._build(buffer, offset, length, *picked, width)
+
+    @staticmethod
+    def _picked(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Suffixes that may begin a maximal repeat: their window occurs again, after another byte. A byte of -1 marks a piece's start."""
+        n = length - width + 1
+        which = np.repeat(np.arange(len(length)), n)
+        if not len(which):
+            return None
+        inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        at = offset[which] + inner
+        h = _ONE.windows(_ONE.sums(buffer), width)[at]
+        by = np.argsort(h, kind="stable")
+        new = np.ones(len(by), bool)
+        new[1:] = h[by[1:]] != h[by[:-1]]
+        cut = np.flatnonzero(new)
+        count = np.diff(np.append(cut, len(by)))
+        before = np.where(inner > 0, buffer[np.maximum(at - 1, 0)].astype(np.int64), -1)[by]
+        diverse = (np.minimum.reduceat(before, cut) != np.maximum.reduceat(before, cut)) | (np.minimum.reduceat(before, cut) < 0)
+        keep = np.repeat(diverse & (count > 1), count)
+        pick = by[keep]
+        return (which[pick], inner[pick], before[keep]) if len(pick) else None
+
+    def _build(self, buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, string: np.ndarray, start: np.ndarray, before: np.ndarray, width: int) -> None:
+        sa, lcp = suffix_array(buffer, offset, length, string, start)
+        self.string, self.start = string[sa], start[sa]
+        before, m = before[sa].tolist(), len(sa)
+        lcps = [*lcp.tolist(), 0]
+        own = [-1] * m
+        depth, parent, low, high, stack = [], [], [], [], []
+
+        def widen(v: int, a: int, b: int) -> None:
+            low[v], high[v] = min(low[v], a), max(high[v], b)
+
+        for i in range(m + 1):
+            d, inside = lcps[i], -1
+            while stack and depth[stack[-1]] > d:
+                v = stack.pop()
+                if stack and depth[stack[-1]] >= d:
+                    parent[v] = stack[-1]
+                    widen(stack[-1], low[v], high[v])
+                else:
+                    inside = v
+            if d >= width and (not stack or depth[stack[-1]] < d):
+                v = len(depth)
+                depth.append(d)
+                parent.append(-1)
+                low.append(1 << 30)
+                high.append(-2)
+                if inside >= 0:
+                    parent[inside] = v
+                    widen(v, low[inside], high[inside])
+                else:
+                    own[i - 1] = v
+                    widen(v, before[i - 1], before[i - 1])
+                stack.append(v)
+            if i < m and stack and lcps[i + 1] <= d:
+                own[i] = stack[-1]
+                widen(stack[-1], before[i], before[i])
+        # intervals that go on to the left alike are no groups; what they hold belongs to the next one above
+        up = list(range(len(depth)))
+        for v in sorted(range(len(depth)), key=depth.__getitem__):
+            if low[v] == high[v] and low[v] >= 0:
+                up[v] = up[parent[v]] if parent[v] >= 0 else -1
+        self.depth = np.array(depth, np.int64)
+        self.parent = np.array([up[p] if p >= 0 else -1 for p in parent], np.int64)
+        self.group = np.array([up[v] if v >= 0 else -1 for v in own], np.int64)
+        some = self.group >= 0
+        self.string, self.start, self.group = self.string[some], self.start[some], self.group[some]
+
+    def covers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(string, start, length)`` of every occurrence but the earliest, in the longest group where it isn't."""
+        by = np.lexsort((self.start, self.rank[self.string], self.group))
+        g = self.group[by]
+        new = np.ones(len(by), bool)
+        new[1:] = g[1:] != g[:-1]
+        late, length = [by[~new]], [self.depth[g[~new]]]
+        earliest = dict(zip(g[new].tolist(), by[new].tolist(), strict=True))
+        order = lambda k: (self.rank[self.string[k]], self.start[k])
+        up_late, up_length = [], []
+        used = np.unique(np.concatenate((g, self.parent[self.parent >= 0]))) if len(g) else g
+        for v in used[np.argsort(-self.depth[used], kind="stable")].tolist():
+            k, p = earliest.get(v), int(self.parent[v])
+            if k is None or p < 0:
+                continue
+            other = earliest.get(p)
+            if other is not None:
+                k, out = (k, other) if order(k) < order(other) else (other, k)
+                up_late.append(out)
+                up_length.append(int(self.depth[p]))
+            earliest[p] = k
+        late = np.concatenate((*late, np.array(up_late, np.int64)))
+        return self.string[late], self.start[late], np.concatenate((*length, np.array(up_length, np.int64)))
+
+
+def suffix_array(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, string: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of suffixes by their bytes up to their string's end, and the bytes that each shares with the one before."""
-    size = length[str_] - start
+    size = length[string] - start
     n_words = int(-(-size.max() // 8))
     padded = np.concatenate((buffer, np.zeros(8 * n_words + 8, np.uint8)))
     # 8 bytes a column, read where the suffix still has them
-    cols = np.empty((n_words, len(str_)), np.uint64)
-    at = offset[str_] + start
+    cols = np.empty((n_words, len(string)), np.uint64)
+    at = offset[string] + start
     view = np.lib.stride_tricks.sliding_window_view(padded, 8)
     for k in range(n_words):
         word = view[at + 8 * k].copy().view(">u8").ravel().astype(np.uint64)
@@ -174,164 +409,6 @@ def suffix_array(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, str
     return sa, lcp
 
 
-def intervals(lcp: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """``(depth, first, last)`` of every interval of the common-prefix tree of at least ``width``, by one scan with a stack."""
-    out, stack = [], []
-    for i, d in enumerate([*lcp.tolist()[1:], 0], 1):
-        left = i - 1
-        while stack and stack[-1][0] > d:
-            depth, left = stack.pop()
-            out.append((depth, left, i - 1))
-        if d >= width and (not stack or stack[-1][0] < d):
-            stack.append((d, left))
-    return out
-
-
-def _scan(buffer: np.ndarray, offset: np.ndarray, length: np.ndarray, order: np.ndarray, str_: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Covers from one scan of the tree: each interval passes its earliest suffix on, the others repeat it."""
-    sa, lcp = suffix_array(buffer, offset, length, str_, start)
-    str_, start, m = str_[sa], start[sa], len(sa)
-    out = [[], []]
-    # the stack holds open intervals: depth and the earliest suffix seen in each
-    rank = order[str_] * (1 << 20) + start
-    depths, firsts = [], []
-    ranks, lcps = rank.tolist(), lcp.tolist()
-    for i in range(m):
-        d, cur = lcps[i], i - 1
-        if i:
-            while depths and depths[-1] > d:
-                depth, other = depths.pop(), firsts.pop()
-                late, cur = (cur, other) if ranks[other] < ranks[cur] else (other, cur)
-                out[0].append(late)
-                out[1].append(depth)
-            if d >= width:
-                depths.append(d)
-                firsts.append(cur)
-    cur = m - 1
-    while depths:
-        depth, other = depths.pop(), firsts.pop()
-        late, cur = (cur, other) if ranks[other] < ranks[cur] else (other, cur)
-        out[0].append(late)
-        out[1].append(depth)
-    late = np.array(out[0], np.int64)
-    return str_[late], start[late], np.array(out[1], np.int64)
-
-
-_BLOB = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
-_COVER = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
-
-
-def _runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
-    """The bytes of many slices, one after another."""
-    total = int(size.sum())
-    return data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(total)].tobytes()
-
-
-def _again(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Strings equal to one that is earlier by (doc, start), told by a fingerprint and then by their bytes."""
-    head = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
-    f = size.astype(np.uint64)
-    for at in (*(begin + np.minimum(k, size - 8) for k in (0, 24, 48, 72, 96)), begin + size - 16, begin + size - 8):
-        f = (f ^ head[at].view(np.uint64).ravel()) * _M1
-        f ^= f >> np.uint64(29)
-    by = np.lexsort((start, doc, f))
-    same = np.flatnonzero(f[by[1:]] == f[by[:-1]]) + 1
-    if not len(same):
-        return same
-    first = np.arange(len(by))
-    first[same] = 0
-    first = by[np.maximum.accumulate(first)][same]
-    late = by[same]
-    ok = size[first] == size[late]
-    first, late = first[ok], late[ok]
-    n = size[late]
-    diff = np.frombuffer(_runs(data, begin[first], n), np.uint8) != np.frombuffer(_runs(data, begin[late], n), np.uint8)
-    return late[np.add.reduceat(diff, np.cumsum(n) - n) == 0] if len(late) else late
-
-
-def covered_spans(docs: DataFrame, width: int = 100, bucket_bytes: int = 2 << 20) -> DataFrame:
-    """``(doc_id, text) → (doc_id, start, length)``: byte spans that repeat an earlier string of at least ``width`` bytes.
-
-    Spans may overlap. Rows with a null doc_id or text are left out. Texts are
-    taken as distinct rows; see ``dedup_repeats`` for equal ones.
-    """
-    n_buckets = max(1, -(-total_bytes(docs, "text") // bucket_bytes))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        texts: list[bytes] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            which, start, size, h, data = _cut(texts, width)
-            if not len(which):
-                return
-            doc = np.array(ids, np.int64)
-            first = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))
-            begin = first[which] + start
-            left = np.where(start > 0, data[np.maximum(begin - 1, 0)].astype(np.int64), 256)
-            bucket = (h % np.uint64(n_buckets)).astype(np.int64)
-            again = _again(data, begin, size, doc[which], start)
-            # of equal strings of this chunk the earliest alone is sent; the others are known to repeat it
-            blobs, keys = [], []
-            if len(again):
-                known = _merged(doc[which[again]], start[again], size[again])
-                blobs.append(zlib.compress(np.concatenate(([-len(known[0])], *known)).astype("<i8").tobytes(), 1))
-                # any bucket may pass them on; the chunk's first text picks one, so that chunks which hold the same hot text part
-                keys.append(zlib.crc32(doc[:1].tobytes()) % n_buckets)
-            by = np.argsort(bucket, kind="stable")
-            by = by[~np.isin(by, again)]
-            cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
-                k = by[a:b]
-                head = np.concatenate(([len(k)], doc[which[k]], start[k], size[k], left[k])).astype("<i8").tobytes()
-                blobs.append(zlib.compress(head + _runs(data, begin[k], size[k]), 1))
-                keys.append(int(bucket[k[0]]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], schema=_BLOB)
-
-        room = 0
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = text.as_buffer().to_pybytes() if hasattr(text, "as_buffer") else text.as_py().encode("utf-8", "surrogatepass")
-                if len(raw) < width:
-                    continue
-                if room + len(raw) > _CHUNK and texts:
-                    yield from flush()
-                    ids.clear()
-                    texts.clear()
-                    room = 0
-                ids.append(doc)
-                texts.append(raw)
-                room += len(raw)
-        if texts:
-            yield from flush()
-
-    def scan(key: tuple, t: pa.Table) -> pa.Table:
-        parts: list[list] = [[], [], [], [], []]
-        known = [np.empty((3, 0), np.int64)]
-        for blob in t.column("blob"):
-            raw = zlib.decompress(blob.as_py())
-            n = int(np.frombuffer(raw, "<i8", 1)[0])
-            if n < 0:
-                known.append(np.frombuffer(raw, "<i8", -3 * n, 8).reshape(3, -n))
-                continue
-            cols = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(4, n)
-            for p, c in zip(parts, cols, strict=False):
-                p.append(c)
-            parts[4].append(np.frombuffer(raw, np.uint8, offset=8 + 32 * n))
-        kd, ka, kn = np.concatenate(known, axis=1)
-        d, a, n = kd, ka, kn
-        if parts[0]:
-            doc, start, size, left, data = (np.concatenate(p) for p in parts)
-            order = np.empty(len(doc), np.int64)
-            order[np.lexsort((start, doc))] = np.arange(len(doc))
-            s, inner, cover = repeats(data, np.cumsum(size) - size, size, order, left, width)
-            d, a, n = np.append(kd, doc[s]), np.append(ka, start[s] + inner), np.append(kn, cover)
-        return pa.Table.from_arrays([pa.array(*x) for x in zip(_merged(d, a, n), (pa.int64(),) * 3, strict=True)], schema=_COVER)
-
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "bucket int, blob binary").groupBy("bucket").applyInArrow(scan, "doc_id long, start long, length long")
-
-
 def _merged(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each text, those that touch made one."""
     if not len(doc):
@@ -348,6 +425,85 @@ def _merged(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.
     return doc[first], start[first], reach[last] - text[first] * step - start[first]
 
 
+def _tree(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, RepeatTree]:
+    """The tree of a bucket's pieces, with their doc_ids and starts."""
+    (doc, start, size), data = _joined(t, 1, 3)
+    rank = np.empty(len(doc), np.int64)
+    rank[np.lexsort((start, doc))] = np.arange(len(doc))
+    return doc, start, RepeatTree(data, np.cumsum(size) - size, size, rank, width)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _stages(docs: DataFrame, stash: Stash, width: int, bucket_bytes: int, hot_kinds: int, named: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The answers about pieces, and the blobs that go to buckets."""
+    rows, conf = _texts(docs), docs.sparkSession.conf
+    least = int(conf.get("spark.sql.shuffle.partitions"))
+    # a piece's key, fingerprint and place are about a fifth of its text
+    answers = stash.put(_asked(rows, width, max(least, total_bytes(rows, "text") // (16 * bucket_bytes)), hot_kinds, named))
+    modes = {r.mode: r.n for r in answers.groupBy("mode").agg(F.count("*").alias("n")).collect()}
+    sent = modes.get(_BYTES, 0) * 3 * width // 2 + modes.get(_WINDOWS, 0) * 12 * width
+    return answers, _sent(rows, answers, width, max(least, sent // bucket_bytes))
+
+
+def covered_spans(docs: DataFrame, width: int = 100, bucket_bytes: int = 4 << 20, hot_kinds: int = 1 << 14) -> DataFrame:
+    """``(doc_id, text) → (doc_id, start, length)``: byte spans that repeat an earlier string of at least ``width`` bytes.
+
+    Spans may overlap. Rows with a null doc_id or text are left out. Doc_ids
+    must be distinct; see ``dedup_repeats`` for equal rows. Pieces of a key
+    with over ``hot_kinds`` kinds are dealt out by window. Pieces are taken as
+    equal if their lengths and 128 bits of fingerprints are.
+    """
+    stash = Stash(docs.sparkSession, "repeats")
+    answers, sent = _stages(docs, stash, width, bucket_bytes, hot_kinds)
+
+    def scan(_: tuple, t: pa.Table) -> pa.Table:
+        known, _ = _joined(t, 0, 3)
+        doc, start, tree = _tree(t, width)
+        string, inner, cover = tree.covers()
+        (one, two, w_doc, w_start), _ = _joined(t, 2, 4)
+        by, new = _first(one, two, w_doc, w_start)
+        late = by[~new]
+        spans = [np.concatenate(x) for x in ((known[0], doc[string], w_doc[late]), (known[1], start[string] + inner, w_start[late]), (known[2], cover, np.full(len(late), width)))]
+        return pa.table([pa.array(x, pa.int64()) for x in _merged(*spans)], names=["doc_id", "start", "length"])
+
+    spans = stash.put(sent.groupBy("bucket").applyInArrow(scan, "doc_id long, start long, length long"))
+    return answers.where(F.col("mode") == _COVERED).select("doc_id", "start", "length").unionByName(spans)
+
+
+def repeat_groups(docs: DataFrame, width: int = 100, bucket_bytes: int = 4 << 20) -> DataFrame:
+    """``(doc_id, text) → (group_id, parent_id, length, doc_id, start)``: maximal repeats with all their occurrences.
+
+    An occurrence is a row of its longest group; it also belongs to the groups
+    above, as a parent holds all occurrences of its children and more. Repeats
+    longer than a piece come as groups of overlapping parts, and a piece that
+    has copies is a group of its own. Rows that repeat a doc_id count once;
+    null doc_ids and texts have no occurrences.
+    """
+    stash = Stash(docs.sparkSession, "groups")
+    answers, sent = _stages(_texts(docs).dropDuplicates(["doc_id"]), stash, width, bucket_bytes, 1 << 62, named=True)
+
+    def scan(key: tuple, t: pa.Table) -> pa.Table:
+        doc, start, tree = _tree(t, width)
+        name = lambda g: [f"{key[0].as_py()}:{x}" if x >= 0 else None for x in g.tolist()]
+        cols = [pa.array(name(tree.group), pa.string()), pa.array(name(tree.parent[tree.group]), pa.string())]
+        cols += [pa.array(x, pa.int64()) for x in (tree.depth[tree.group], doc[tree.string], start[tree.string], tree.start)]
+        return pa.table(cols, names=["group_id", "parent_id", "length", "of_doc", "of_start", "inner"])
+
+    tree = stash.put(sent.groupBy("bucket").applyInArrow(scan, "group_id string, parent_id string, length long, of_doc long, of_start long, inner long"))
+    # the first of a chunk, which its copies there name, may be a copy itself
+    named = answers.where(F.col("mode") == _COVERED)
+    root = named.select(F.col("doc_id").alias("of_doc"), F.col("start").alias("of_start"), F.col("of_doc").alias("root_doc"), F.col("of_start").alias("root_start"))
+    copies = named.join(root, ["of_doc", "of_start"], "left").select("doc_id", "start", "length", F.coalesce("root_doc", "of_doc").alias("of_doc"), F.coalesce("root_start", "of_start").alias("of_start"))
+    copies = stash.put(copies.unionByName(copies.select(F.col("of_doc").alias("doc_id"), F.col("of_start").alias("start"), "length", "of_doc", "of_start").distinct()))
+    first = tree.join(copies.select("of_doc", "of_start").distinct(), ["of_doc", "of_start"], "left_anti").select("group_id", "parent_id", "length", F.col("of_doc").alias("doc_id"), (F.col("of_start") + F.col("inner")).alias("start"))
+    more = tree.join(copies.drop("length"), ["of_doc", "of_start"]).select("group_id", "parent_id", "length", "doc_id", (F.col("start") + F.col("inner")).alias("start"))
+    whole = copies.select(F.concat_ws("-", "of_doc", "of_start").alias("group_id"), F.lit(None).cast("string").alias("parent_id"), "length", "doc_id", "start")
+    return first.unionByName(more).unionByName(whole)
+
+
 def dedup_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     """``docs → docs' columns + (bytes, spans, kept)``: texts without their later repeats.
 
@@ -369,14 +525,17 @@ def dedup_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     if clash:
         raise ValueError("a doc_id stands for two texts")
     texts = docs.select("doc_id", "text")
-    spans = stash.put(covered_spans(texts.dropDuplicates(["doc_id"]) if any_twice else texts, width))
+    spans = covered_spans(texts.dropDuplicates(["doc_id"]) if any_twice else texts, width)
     by = Window.partitionBy("doc_id").orderBy("start", "length")
     reach = F.max(F.col("start") + F.col("length")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     isle = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(by)
     merged = spans.withColumn("reach", reach).withColumn("isle", isle).groupBy("doc_id", "isle").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"))
-    merged = merged.groupBy(F.col("doc_id").alias("s_id")).agg(F.sort_array(F.collect_list(F.struct("start", (F.col("end") - F.col("start")).alias("length")))).alias("spans"))
+    key = unused(docs, "of_doc")
+    merged = merged.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", (F.col("end") - F.col("start")).alias("length")))).alias("spans"))
+    merged = stash.put(merged)
+    stash.drop(spans)
     d = docs.select(*own, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"))
-    out = d.join(merged, F.col("doc_id") == F.col("s_id"), "left").drop("s_id")
+    out = d.join(merged, d["doc_id"] == merged[key], "left").drop(key)
     out = out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,length:bigint>>")))
     return out.withColumn("kept", kept_bytes(F.col("bytes"), F.col("spans")))
 
@@ -392,45 +551,3 @@ def kept_bytes(data: Column, spans: Column) -> Column:
 
     bound = F.transform(F.array(F.struct(data.alias("d"), spans.alias("s"))), cut)
     return F.when(F.size(spans) == 0, data).otherwise(bound[0])
-
-
-def repeat_groups(docs: DataFrame, width: int = 100, bucket_bytes: int = 2 << 20) -> DataFrame:
-    """``(doc_id, text) → (bucket, group_id, length, doc_id, start)``: maximal repeats with all their occurrences.
-
-    A group is an interval of the common-prefix tree whose occurrences differ
-    in the byte before (or have none, or begin a bucket's string). Repeats
-    longer than a bucket's strings come as groups of their overlapping parts.
-    """
-    n_buckets = max(1, -(-total_bytes(docs, "text") // bucket_bytes))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                which, start, size, h, data = _cut([text.encode("utf-8", "surrogatepass")], width)
-                if len(which):
-                    rows = [{"bucket": int(k % n_buckets), "doc_id": doc, "start": int(s), "before": int(data[s - 1]) if s else 256, "string": data[s : s + n].tobytes()} for s, n, k in zip(start, size, h.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_pylist(rows, schema=_STRING)
-
-    def scan(key: tuple, t: pa.Table) -> pa.Table:
-        strings = t.column("string").to_pylist()
-        length = np.array([len(x) for x in strings], np.int64)
-        offset, buffer = np.cumsum(length) - length, np.frombuffer(b"".join(strings), np.uint8)
-        doc, begin, before = (t.column(c).to_numpy() for c in ("doc_id", "start", "before"))
-        n = length - width + 1
-        which = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        left = np.where(inner > 0, buffer[np.maximum(offset[which] + inner - 1, 0)].astype(np.int64), before[which])
-        sa, lcp = suffix_array(buffer, offset, length, which, inner)
-        out = [[], [], [], []]
-        for g, (depth, a, b) in enumerate(intervals(lcp, width)):
-            some = sa[a : b + 1]
-            if len(set(left[some].tolist())) > 1 or (inner[some] == 0).any():
-                for c, v in zip(out, ([g] * len(some), [depth] * len(some), doc[which[some]].tolist(), (begin[which[some]] + inner[some]).tolist()), strict=True):
-                    c.extend(v)
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(out[0]), pa.int32()), *[pa.array(c, pa.int64()) for c in out]], names=["bucket", "group_id", "length", "doc_id", "start"])
-
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["doc_id"])
-    return rows.mapInArrow(cut, "bucket int, doc_id long, start long, before int, string binary").groupBy("bucket").applyInArrow(scan, "bucket int, group_id long, length long, doc_id long, start long")
-
-
-_STRING = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("before", pa.int32()), ("string", pa.binary())])

@@ -3,10 +3,14 @@
 import gzip
 import json
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -431,39 +435,82 @@ def test_repeats_edge(spark):
         suffix_dedup.dedup_repeats(docs(spark, [(1, "a"), (1, "b")]))
 
 
-def test_repeats_of_a_hot_text(spark):
-    """A text that stands in every chunk: the spans known within the chunks don't meet in one task."""
-    hot = sentence(7, 500)
-    rows = [(k, hot) for k in range(320)]
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 16), "doc_id long, text string")
-        got = suffix_dedup.covered_spans(df, bucket_bytes=1 << 10).withColumn("task", F.spark_partition_id()).collect()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    whole = [x.task for x in got if (x.start, x.length) == (0, len(hot))]
-    assert len(whole) >= 16 * 19 and max(map(whole.count, set(whole))) < 0.6 * len(whole)
-    covered = {k: np.zeros(len(hot), bool) for k, _ in rows}
-    for x in got:
+@pytest.mark.parametrize("hot_kinds", [2, 1 << 14])
+def test_repeats_of_hot_passages(spark, hot_kinds):
+    """A passage in surroundings that all differ, and a text with many copies: the same spans whether the pieces are dealt out by window or not."""
+    hot, whole = sentence(7, 30), sentence(8, 60)
+    rows = [(k, f"{sentence(100 + k, 9)} {hot} {sentence(300 + k, 9)}") for k in range(60)] + [(100 + k, whole) for k in range(60)]
+    df = docs(spark, rows).repartition(8)
+    covered = {k: np.zeros(len(t.encode()), bool) for k, t in rows}
+    for x in suffix_dedup.covered_spans(df, bucket_bytes=1 << 10, hot_kinds=hot_kinds).collect():
         covered[x.doc_id][x.start : x.start + x.length] = True
-    assert not covered[0].any() and all(covered[k].all() for k in range(1, 320))
+    for k, cov in brute_repeats(rows, 100).items():
+        assert (cov == covered[k]).all(), k
+
+
+def test_repeats_in_slices(spark, monkeypatch):
+    """Texts longer than a chunk are cut in slices, and no window is lost between them."""
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 300)
+    p = sentence(1, 200)
+    rows = [(1, p), (2, sentence(2, 100) + p + p[:500]), (3, "ab" * 700)]
+    slices = [x for b in [pa.RecordBatch.from_pylist([{"doc": k, "text": t} for k, t in rows])] for s, _ in suffix_dedup._chunks(iter([b]), 100) for x in s]
+    assert max(len(x[2]) for x in slices) == 399 and sum(len(x[2]) - 99 for x in slices) == sum(len(t) - 99 for _, t in rows)
+    got = {x.doc_id: sum(s.length for s in x.spans) for x in suffix_dedup.dedup_repeats(docs(spark, rows)).collect()}
+    assert got == {k: int(c.sum()) for k, c in brute_repeats(rows, 100).items()}
+
+
+def test_repetitive_text_in_little_memory():
+    """8 MB of one letter: the peak of a worker that asks and answers is below 1 GB."""
+    code = """
+import resource, pyarrow as pa
+from linienwerk.llm import suffix_dedup as s
+class Frame:
+    def mapInArrow(self, f, schema):
+        b = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": "a" * (8 << 20)}])
+        self.rows = [r for out in f(iter([b])) for r in out.to_pylist()]
+        return self
+    def groupBy(self, c):
+        return self
+    def applyInArrow(self, f, schema):
+        return f((0,), pa.Table.from_pylist(self.rows, schema=s._BLOB)).to_pylist()
+got = s._asked(Frame(), 100, 1, 1 << 14, False)
+print(len(got), max(x["start"] + x["length"] for x in got), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+    rows, end, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split())
+    assert end == 8 << 20 and rows < 20 and mb < 1000, (rows, mb)
+
+
+def test_repeats_clashing_columns(spark):
+    df = docs(spark, [(1, sentence(1, 50)), (2, sentence(1, 50))]).withColumns({"of_doc": F.lit(5), "S_ID": F.lit("x"), "isle": F.lit(1), "start": F.lit(2), "spans": F.lit(0)})
+    got = {r.doc_id: r for r in suffix_dedup.dedup_repeats(df).collect()}
+    assert not got[1].spans and got[2].kept == b"" and got[1].of_doc == 5 and got[2].S_ID == "x" and got[1].start == 2
 
 
 def test_repeat_groups(spark):
     p = sentence(3, 60)
-    rows = [(1, sentence(1, 5) + p), (2, p + sentence(2, 5)), (3, "x" + p + "y")]
+    whole = sentence(9, 40)
+    rows = [(1, sentence(1, 5) + p), (2, p + sentence(2, 5)), (3, "x" + p + "y"), *((10 + k, whole) for k in range(4))]
+    found = suffix_dedup.repeat_groups(docs(spark, rows)).collect()
+    up = {g.group_id: g.parent_id for g in found}
     groups = {}
-    for g in suffix_dedup.repeat_groups(docs(spark, rows)).collect():
-        groups.setdefault((g.bucket, g.group_id), []).append((g.doc_id, g.start, g.length))
-    assert groups and all(len({d for d, _, _ in g}) == 3 for g in groups.values())
-    for g in groups.values():
-        assert len({dict(rows)[d].encode()[s : s + n] for d, s, n in g}) == 1
+    for g in found:
+        name = g.group_id
+        groups.setdefault(name, (g.length, []))[1].append((g.doc_id, g.start))
+        while up.get(name) is not None:  # an occurrence counts for the groups above, too
+            name = up[name]
+            if name in up:
+                groups.setdefault(name, (next(x.length for x in found if x.group_id == name), []))[1].append((g.doc_id, g.start))
+    text = {d: t.encode() for d, t in rows}
+    for n, places in groups.values():
+        assert len(places) == len(set(places)) > 1 and len({text[d][s : s + n] for d, s in places}) == 1
+        # with all occurrences
+        want = {(d, s) for d, t in text.items() for s in range(len(t) - n + 1) if t[s : s + n] == text[places[0][0]][places[0][1] : places[0][1] + n]}
+        assert set(places) == want
     covered = {d: set() for d, _ in rows}
-    for g in groups.values():
-        for d, s, n in g:
+    for n, places in groups.values():
+        for d, s in places:
             covered[d].update(range(s, s + n))
-    assert all(len(c) == len(p.encode()) for c in covered.values())
+    assert all(len(c) == (len(whole.encode()) if d >= 10 else len(p.encode())) for d, c in covered.items())
 
 
 # --- pipeline
