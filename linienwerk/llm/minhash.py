@@ -4,18 +4,17 @@ A document is the weighted set of its word shingles, a shingle's weight being
 how often it occurs. Darts are thrown at the plane of weight and time above
 each element, by hashes of the element alone: about one to each unit cell. A
 dart belongs to one coordinate; those within the element's weight count, and
-the earliest of each coordinate makes the signature. Only about k ln k darts
-are looked at for a document, however many shingles it has.
+the earliest of each coordinate makes the signature. For each unit of weight
+one cell is looked at, or as many as it takes to throw k ln k darts altogether.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from linienwerk.operators.graph import connected_components
 from linienwerk.shared import Stash
@@ -90,18 +89,22 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndar
         limit *= 2
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("size", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+
+def _sha(text) -> Column:
+    return F.unhex(F.sha1(text.cast("string")))
 
 
 def sign(docs: DataFrame, k: int = 512, bands: int = 32, rows: int = 6, shingle: int = 5) -> DataFrame:
-    """``(doc_id, text) → (doc_id, sha, sig, keys)``: hash of the text, a byte of each coordinate, the bands' keys; none for texts without words."""
+    """``(doc_id, text) → (doc_id, sha, size, sig, keys)``: SHA-1 and bytes of the text, a byte of each coordinate, the bands' keys; none for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(1, bands + 1, dtype=np.uint64) * _C
         for b in batches:
             for at in range(0, b.num_rows, 2000):
-                part, out = b.slice(at, 2000), [[], [], [], []]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                part, out = b.slice(at, 2000), [[], [], [], [], []]
+                for doc, sha, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     raw = text.as_buffer().to_pybytes()
                     e, w = shingles(raw, shingle)
                     if not len(e):
@@ -110,22 +113,22 @@ def sign(docs: DataFrame, k: int = 512, bands: int = 32, rows: int = 6, shingle:
                     key = number.copy()
                     for r in range(rows):
                         key = _mix(key * _A + s[r : bands * rows : rows])
-                    for c, v in zip(out, (doc, hashlib.blake2b(raw, digest_size=16).digest(), s.astype(np.uint8).tobytes(), key.view(np.int64)), strict=True):
+                    for c, v in zip(out, (doc, sha, len(raw), s.astype(np.uint8).tobytes(), key.view(np.int64)), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _SIGNED, strict=True)], schema=_SIGNED)
 
-    rows_ = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows_.mapInArrow(run, "doc_id long, sha binary, sig binary, keys array<long>")
+    rows_ = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _sha(F.col("text")).alias("sha"), F.col("text").cast("string").alias("text"))
+    return rows_.mapInArrow(run, "doc_id long, sha binary, size long, sig binary, keys array<long>")
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """``(doc_id, keys) → (key, doc_id, c)``: members of the bands' buckets of two or more, with the bucket's size."""
-    keys = reps.select("doc_id", F.explode("keys").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    return keys.join(sizes, "key")
+    """``(id, size, keys) → (key, id, c, bytes)``: members of the bands' buckets of two or more, with the bucket's members and bytes."""
+    keys = reps.select("id", "size", F.explode("keys").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("c"), F.sum("size").alias("bytes")).where("c > 1")
+    return keys.join(sizes, "key").select("key", "id", "c", "bytes")
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
@@ -138,77 +141,136 @@ def agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
                 keep = pa.array((x == y).sum(1) >= least)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], schema=_PAIR)
 
-    sig = reps.select("doc_id", "sig")
-    j = pairs.join(sig.withColumnRenamed("doc_id", "a"), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    sig = reps.select("id", "sig")
+    j = pairs.join(sig.withColumnRenamed("id", "a"), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     return j.select("a", "b", "sig", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
-    """``(key, doc_id, c) → distinct pairs (a < b)``: each bucket's members with its hub, the one that stands in the fullest buckets altogether.
+    """``(key, id, c) → distinct pairs (a < b)``: each bucket's members with its hub, the one that stands in the fullest buckets altogether.
 
     The original of many copies is the hub of most of their buckets, so one
     link for each copy tells the class, and the copies' own pairs aren't made.
     """
-    score = members.groupBy("doc_id").agg(F.sum("c").alias("score"))
-    hubs = members.join(score, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("hub"))
-    j = members.join(hubs, "key").where("doc_id <> hub")
-    return j.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    score = members.groupBy("id").agg(F.sum("c").alias("score"))
+    hubs = members.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
+    j = members.join(hubs, "key").where("id <> hub")
+    return j.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key, of batches that are sorted by it; a key may go on in the next batch."""
+    held = None
+    for b in _with_end(batches):
+        t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        if t is None or not len(t):
+            continue
+        k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in keys])
+        cuts = np.append(0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1)
+        for a, e in zip(cuts, np.append(cuts[1:], len(t)) if b is None else cuts[1:], strict=b is None):
+            yield t.slice(a, e - a)
+        held = t.slice(int(cuts[-1]))
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _sides(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of two blocks, one against the other: a member, and those of the other side and another label. Pairs that are seen from one end are enough, so members of the commonest label aren't taken."""
+    own, label = t.column("own").to_numpy(), t.column("label").to_numpy()
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    names, count = np.unique(label, return_counts=True)
+    common = names[count.argmax()]
+    for side, other in ((i, j), (j, i))[: 1 if i == j else 2]:
+        right = np.flatnonzero(own == other)
+        for at in np.flatnonzero((own == side) & (label != common)):
+            some = right[label[right] != label[at]]
+            if len(some):
+                yield int(at), some
+
+
+def _by_blocks(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """Runs a function over the rows, those of two blocks of a bucket together."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
 
+_MARKED = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("id", pa.int64()), ("label", pa.int64())])
 
-def crossing_pairs(members: DataFrame, least: int, best: bool, block: int = 1024) -> DataFrame:
-    """``(key, doc_id, c, sig, label) → distinct pairs (a < b)`` of a bucket with different labels that agree in ``least`` coordinates.
+
+def crossing_members(members: DataFrame, reps: DataFrame, least: int, block: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
+    """``(key, id, c, bytes, label) → (key, i, j, own, id, label)``: members of a bucket that agree in ``least`` coordinates with one of another label.
 
     Buckets of one label alone have nothing to tell. A bucket of more than
-    ``block`` members is cut into blocks, and each two blocks are compared for
-    themselves. With ``best`` a member is paired only with the one of another
-    label that it agrees with most.
+    ``block`` members or ``block_bytes`` bytes of text is cut into blocks, and
+    each two blocks ``i <= j`` are compared for themselves. Members come once
+    for each two blocks, pairs aren't made.
     """
     mixed = members.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-    n = F.ceil(F.col("c") / block).cast("int")
-    placed = members.join(mixed, "key", "left_semi").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "sig")
-
-    def compare(t: pa.Table, i: int, j: int) -> list[tuple[int, int]]:
-        own, ids, label = (t.column(c).to_numpy() for c in ("own", "doc_id", "label"))
-        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        out = []
-        for side, other in ((i, j), (j, i))[: 1 if i == j else 2]:
-            right = np.flatnonzero(own == other)
-            for at in np.flatnonzero(own == side):
-                some = right[label[right] != label[at]]
-                if not best:
-                    some = some[ids[some] > ids[at]]
-                if not len(some):
-                    continue
-                agree = (sigs[some] == sigs[at]).sum(1)
-                near = some[agree >= (max(least, agree.max()) if best else least)][: 1 if best else None]
-                out += [(min(ids[at], x), max(ids[at], x)) for x in ids[near].tolist()]
-        return out
+    n = F.ceil(F.greatest(F.col("c") / block, F.col("bytes") / block_bytes)).cast("int")
+    placed = members.join(mixed, "key", "left_semi").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    spread = placed.join(reps.select("id", "sig"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in _with_end(batches):
-            t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            if t is None or not len(t):
-                continue
-            k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-            cuts = np.append(0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1)
-            ends = np.append(cuts[1:], len(t))
-            out = []
-            # the last group may go on in the next batch
-            for a, e in zip(cuts, ends, strict=True) if b is None else zip(cuts[:-1], ends[:-1], strict=True):
-                out += compare(t.slice(a, e - a), int(k[1, a]), int(k[2, a]))
-            held = t.slice(int(cuts[-1]))
-            p = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=_PAIR)
+        for t in _groups(batches, ("key", "i", "j")):
+            sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(t), -1)
+            near = np.zeros(len(t), bool)
+            for at, some in _sides(t):
+                hit = some[(sigs[some] == sigs[at]).sum(1) >= least]
+                near[hit] = True
+                near[at] |= len(hit) > 0
+            if near.any():
+                yield from t.filter(pa.array(near)).select(_MARKED.names).combine_chunks().cast(_MARKED).to_batches()
 
-    n_parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return _by_blocks(spread, run, "key long, i int, j int, own int, id long, label long")
 
 
-def _with_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+def crossing_links(marked: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """``crossing_members`` and texts ``(id, text) → links (a < b)`` that join their labels as far as similar texts do.
+
+    The similarity of a member with all others of two blocks is worked out at
+    once, from an index of their shingles. Of the links found only those are
+    given that join labels which earlier ones didn't: fewer than members.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ("key", "i", "j")):
+            sets = [shingles(x.as_buffer().to_pybytes(), shingle) for x in t.column("text")]
+            which = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+            element = np.concatenate([e for e, _ in sets])
+            weight = np.concatenate([w for _, w in sets])
+            total = np.bincount(which, weight, len(sets))
+            names, element = np.unique(element, return_inverse=True)
+            by = np.argsort(element, kind="stable")
+            holders, held = which[by], weight[by]
+            first = np.searchsorted(element[by], np.arange(len(names) + 1))
+            start = np.cumsum([0, *(len(e) for e, _ in sets)])
+            ids, up = t.column("id").to_numpy(), {x: x for x in t.column("label").to_pylist()}
+            label = t.column("label").to_pylist()
+
+            def root(x: int) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            out = []
+            for at, some in _sides(t):
+                mine = slice(start[at], start[at + 1])
+                n = first[element[mine] + 1] - first[element[mine]]
+                place = np.repeat(first[element[mine]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                shared = np.bincount(holders[place], np.minimum(held[place], np.repeat(weight[mine], n)), len(sets))[some]
+                for x in some[shared / (total[some] + total[at] - shared) >= threshold].tolist():
+                    a, b = root(label[at]), root(label[x])
+                    if a != b:
+                        up[a] = b
+                        out.append(sorted((int(ids[at]), int(ids[x]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_PAIR)
+
+    return _by_blocks(marked.join(texts.select("id", "text"), "id"), run, "a long, b long").distinct()
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -220,7 +282,7 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """The pairs whose texts ``(i, text)`` have the least similarity."""
+    """The pairs whose texts ``(id, text)`` have the least similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, None
@@ -234,7 +296,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
             a = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], schema=_PAIR)
 
-    both = pairs.join(texts.select(F.col("i").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("i").alias("a"), F.col("text").alias("ta")), "a")
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -242,8 +304,8 @@ def _components(links: DataFrame) -> DataFrame:
     return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, k: int = 512, bands: int = 32, rows: int = 6, slack: float = 0.055, rounds: int = 1) -> DataFrame:
-    """``docs → (doc_id, class_id)``: class ids are the smallest doc_id of the class.
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, k: int = 512, bands: int = 32, rows: int = 6, slack: float = 0.055) -> DataFrame:
+    """``docs → (doc_id, sha, class_id)``: SHA-1 of the text; the smallest doc_id of its class.
 
     Documents are linked whose weighted Jaccard similarity of word shingles
     (5 words, weighed by count) is ``threshold`` or more; classes are the
@@ -252,38 +314,48 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, k
     in 100,000; pairs whose 512 coordinates agree in less than ``threshold -
     slack`` (three standard deviations) aren't verified.
 
-    Buckets are linked by their hubs first, then for ``rounds`` times each
-    member with the one of another class that it agrees with most, and at last
-    all members that this left in different classes. So a large group of near
-    copies costs a few pairs for each copy, and no pair that could join two
-    classes is left out.
+    Buckets are linked by their hubs first. Members that this leaves in
+    different classes, though they agree enough, are then compared in blocks,
+    which give no more links than members. So no pass makes the pairs of a
+    group, and no link that could join two classes is left out.
 
     Equal texts are one while signatures are compared. A null text, and one
     without words, is a class of its own; so is a null doc_id, whose class_id
-    is null. Repeated rows come back as often as they occur. Other columns are
-    ignored; an empty table gives no rows.
+    is null. Repeated rows come back as often as they occur; rows of one doc_id
+    with different texts are told apart by them, and each has the class of its
+    own text. Other columns are ignored; an empty table gives no rows.
     """
     stash = Stash(docs.sparkSession, "near")
     least = int(np.ceil((threshold - slack) * k))
     signed = stash.put(sign(docs, k, bands, rows, shingle))
-    reps = stash.put(signed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig"), F.min_by("keys", "doc_id").alias("keys")))
-    members = stash.put(buckets(reps).join(reps.select("doc_id", "sig"), "doc_id"))
+    reps = signed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    split = signed.groupBy("doc_id").agg((F.min("sha") != F.max("sha")).alias("x")).where("x").limit(1).count()
+    if split:  # a doc_id with several texts: the first keeps the id while links are found, the others take a hash
+        first = signed.groupBy("doc_id").agg(F.min("sha").alias("first"))
+        reps = reps.join(first, "doc_id").withColumn("id", F.when(F.col("sha") == F.col("first"), F.col("doc_id")).otherwise(F.xxhash64("sha"))).drop("first")
+    else:
+        reps = reps.withColumn("id", F.col("doc_id"))
+    reps = stash.put(reps)
+    stash.drop(signed)
+    members = stash.put(buckets(reps))
     # the texts of documents that share a bucket; a merge at any size, as their number follows the corpus
-    ids = members.select(F.col("doc_id").alias("i")).distinct().hint("merge")
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("text"))
-    texts = stash.put(texts.join(ids, "i", "left_semi").dropDuplicates(["i"]))
-    tested = stash.put(agreeing(hub_pairs(members.drop("sig")), reps, least))
-    links = stash.put(verified(tested, texts, threshold, shingle))
+    shas = members.select("id").distinct().join(reps.select("id", "sha", "doc_id"), "id").hint("merge")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _sha(F.col("text")).alias("sha"), F.col("text").cast("string").alias("text"))
+    texts = stash.put(texts.join(shas, ["doc_id", "sha"]).select("id", "text").dropDuplicates(["id"]))
+    links = stash.put(verified(agreeing(hub_pairs(members), reps, least), texts, threshold, shingle))
     comp = _components(links)
-    for k in range(rounds + 1):
-        labelled = members.join(comp.select(F.col("id").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        new = stash.put(crossing_pairs(labelled, least, best=k < rounds).join(tested, ["a", "b"], "left_anti"))
-        found = stash.put(verified(new, texts, threshold, shingle))
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            comp = _components(links)
-        tested = tested.unionByName(new)
-    rep = reps.select("sha", F.col("doc_id").alias("id")).join(comp, "id", "left").select("sha", F.coalesce("component", "id").alias("class_id"))
-    moved = signed.select(F.col("doc_id").alias("m_id"), "sha").join(rep, "sha").select("m_id", "class_id").distinct()
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(moved, F.col("doc_id") == F.col("m_id"), "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    labelled = members.join(comp.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    marked = stash.put(crossing_members(labelled, reps, least))
+    found = stash.put(crossing_links(marked, texts, threshold, shingle))
+    if found.limit(1).count():
+        stash.drop(comp)
+        comp = _components(links.unionByName(found))
+    rep = reps.select("sha", "doc_id", "id").join(comp, "id", "left").select("sha", "doc_id", F.coalesce("component", "id").alias("class_id"))
+    if split:
+        named = rep.groupBy("class_id").agg(F.min("doc_id").alias("least"))
+        rep = rep.join(named, "class_id").select("sha", F.col("least").alias("class_id"))
+    rep = stash.put(rep.select("sha", "class_id"))
+    for t in (reps, members, texts, links, marked, found, comp):
+        stash.drop(t)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _sha(F.col("text")).alias("sha")).join(rep, "sha", "left")
+    return out.select("doc_id", "sha", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))

@@ -32,7 +32,7 @@ from linienwerk.llm.common import total_bytes, unused
 from linienwerk.shared import Stash
 
 #: Bytes of text that are cut at once; longer texts are cut in slices.
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 #: What is said of a piece: an equal one is earlier, or it must be sent as bytes or as windows.
 _COVERED, _BYTES, _WINDOWS = 0, 1, 2
 _M1, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x165667B19E3779F9))
@@ -442,7 +442,7 @@ def _stages(docs: DataFrame, stash: Stash, width: int, bucket_bytes: int, hot_ki
     rows, conf = _texts(docs), docs.sparkSession.conf
     least = int(conf.get("spark.sql.shuffle.partitions"))
     # a piece's key, fingerprint and place are about a fifth of its text
-    answers = stash.put(_asked(rows, width, max(least, total_bytes(rows, "text") // (16 * bucket_bytes)), hot_kinds, named))
+    answers = stash.put(_asked(rows, width, max(least, total_bytes(rows, "text") // (8 * bucket_bytes)), hot_kinds, named))
     modes = {r.mode: r.n for r in answers.groupBy("mode").agg(F.count("*").alias("n")).collect()}
     sent = modes.get(_BYTES, 0) * 3 * width // 2 + modes.get(_WINDOWS, 0) * 12 * width
     return answers, _sent(rows, answers, width, max(least, sent // bucket_bytes))

@@ -313,6 +313,43 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    one, two = sentence(1, 60), sentence(2, 60)
+    got = minhash.near_duplicates(docs(spark, [(1, one), (1, two), (0, two), (7, one + " x"), (8, two + " y")])).select("doc_id", "class_id").collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (1, 0), (1, 1), (7, 1), (8, 0)]
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_crossing_links_join_what_brute_force_joins(spark, block):
+    """A group around the threshold: classes are those of all pairs, and no more links come than members of two blocks."""
+    r = random.Random(3)
+    base = sentence(5, 200).split()
+    rows = []
+    for k in range(50):
+        w = list(base)
+        for i in r.sample(range(200), r.randint(1, 7)):
+            w[i] = f"q{k}x{i}"
+        rows.append((k, " ".join(w)))
+    signed = minhash.sign(docs(spark, rows))
+    reps = signed.withColumn("id", F.col("doc_id")).cache()
+    members = minhash.buckets(reps).withColumn("label", F.col("id"))
+    texts = docs(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    marked = minhash.crossing_members(members, reps, 370, block=block).cache()
+    links = [tuple(x) for x in minhash.crossing_links(marked, texts, 0.8, 5).collect()]
+    sets = {k: minhash.shingles(t.encode(), 5) for k, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and minhash.similarity(sets[a], sets[b]) >= 0.8]
+
+    def classes(edges):
+        up = {k: k for k in sets}
+        for _ in sets:
+            for a, b in edges:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    assert set(links) <= set(pairs) and classes(links) == classes(pairs) and len(set(classes(pairs).values())) > 1
+    assert len(links) <= marked.count()
+
+
 # --- 6: quality rules
 
 
