@@ -31,6 +31,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
         stash.drop(labels)
         labels = new.select("id", "component")
         if not changed:
+            stash.drop(both)
             break
     else:
         raise RuntimeError("components did not settle")
