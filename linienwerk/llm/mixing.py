@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from linienwerk.llm.common import n_words
+from linienwerk.llm.common import n_words, unused
 from linienwerk.shared import Stash
 
 
@@ -53,6 +53,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     spark = docs.sparkSession
     stash = Stash(spark, "mix")
     key = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    key = stash.put(key)  # a range partitioning reads its input twice, and words are counted once
     placed = key.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.col("source").asc_nulls_last(), "size", "doc_id", "h").sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "doc_id", "h")
     placed = stash.put(placed.select("doc_id", "source", "size", "h", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("row")))
     targets = mix_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -68,14 +69,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
 
 def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; equal rows share their copies evenly."""
-    m = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h")).agg(F.sum("copies").alias("m_copies"))
-    rows = mixed.groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h")).agg(F.count("*").alias("m_rows"))
-    m = m.join(rows, m["m_id"].eqNullSafe(rows["m_id"]) & (m["m_h"] == rows["m_h"])).select(m["m_id"], m["m_h"], "m_copies", "m_rows")
-    d = docs.withColumn("m_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    j = d.join(m, d["doc_id"].eqNullSafe(m["m_id"]) & (d["m_key"] == m["m_h"]))
-    k = F.row_number().over(Window.partitionBy("doc_id", "m_key").orderBy(*docs.columns))
-    part = lambda i: F.floor(F.col("m_copies") * i / F.col("m_rows"))
-    one = j.where("m_rows = 1").select(*docs.columns, F.col("m_copies").alias("m_n"))
-    more = j.where("m_rows > 1").withColumn("m_k", k).select(*docs.columns, (part(F.col("m_k")) - part(F.col("m_k") - 1)).alias("m_n"))
-    return one.unionByName(more).where("m_n > 0").withColumn("m_n", F.explode(F.sequence(F.lit(1), F.col("m_n").cast("int")))).select(*docs.columns)
+    """The documents themselves, each as often as the mix takes it; equal rows share their copies evenly. Other columns may have any name."""
+    m_id, m_h, m_copies, m_rows, m_key, m_n, m_k = (unused(docs, f"m_{c}") for c in ("id", "h", "copies", "rows", "key", "n", "k"))
+    m = mixed.groupBy(F.col("doc_id").alias(m_id), F.col("h").alias(m_h)).agg(F.sum("copies").alias(m_copies), F.count("*").alias(m_rows)).where(F.col(m_copies) > 0)
+    d = docs.withColumn(m_key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    j = d.join(m, d["doc_id"].eqNullSafe(m[m_id]) & (d[m_key] == m[m_h]))
+    k = F.row_number().over(Window.partitionBy("doc_id", m_key).orderBy(*docs.columns))
+    part = lambda i: F.floor(F.col(m_copies) * i / F.col(m_rows))
+    one = j.where(F.col(m_rows) == 1).select(*docs.columns, F.col(m_copies).alias(m_n))
+    more = j.where(F.col(m_rows) > 1).withColumn(m_k, k).select(*docs.columns, (part(F.col(m_k)) - part(F.col(m_k) - 1)).alias(m_n))
+    return one.unionByName(more).where(F.col(m_n) > 0).withColumn(m_n, F.explode(F.sequence(F.lit(1), F.col(m_n).cast("int")))).select(*docs.columns)

@@ -183,6 +183,8 @@ def test_mix_sources(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
     taken = mixing.take_copies(df, m)
     assert taken.columns == df.columns and taken.count() == sum(r.copies for r in got)
+    clash = df.withColumns({c: F.lit(1) for c in ("m_id", "M_H", "m_n", "m_k", "m_key", "m_rows", "m_copies")})
+    assert mixing.take_copies(clash, mixing.mix_sources(clash)).count() == sum(r.copies for r in got)
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
@@ -575,3 +577,17 @@ def test_pipeline(spark, tmp_path):
     out = c.run(spark, str(tmp_path))
     assert out.count() > 0
     json.dumps(out.schema.jsonValue())
+
+
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline as c
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, of_doc int, m_id string"
+    for name, rows in (("none", []), ("odd", [(None, "a", None, None, None, 1, "x"), (1, None, None, None, None, 1, "x"), (2, "", "en", None, 0, 1, "x"), (2, "", "en", None, 0, 1, "x"), (3, "a " * 40000, "en", "s", 1, 1, "x")])):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        assert c.run(spark, str(tmp_path / name)).count() == 0
+    # one id with two texts, the second of them a copy of an earlier document
+    one, two = sentence(1, 60), sentence(2, 60)
+    rows = [(1, one, "en", "s", 1), (1, two, "en", "s", 1), (0, two, "en", "s", 1), (1, one, "de", "s", 1)]
+    got = c.minhash(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(0, two, "en"), (1, one, "de")]
