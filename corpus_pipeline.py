@@ -26,9 +26,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that with the smallest doc_id; rows of one id count once, and rows without one go."""
-    kept = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each class of near-duplicates: that with the smallest doc_id; rows without an id go.
+
+    An id comes back once: of several texts that lead a class, that with the
+    smallest SHA-1, and of its rows the smallest by their other columns.
+    """
+    lead = near_duplicates(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.min("sha").alias("lead_sha"))
+    own = docs.select(*COLUMNS).join(lead, "doc_id").where(F.unhex(F.sha1("text")).eqNullSafe(F.col("lead_sha")))
+    rest = F.struct(*COLUMNS[1:])
+    return own.groupBy("doc_id").agg(F.min(rest).alias("row")).select("doc_id", "row.*").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
