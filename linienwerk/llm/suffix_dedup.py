@@ -170,7 +170,8 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _buckets(key: np.ndarray, n: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """By the lower bits, as the upper ones of a smallest hash are small."""
+    return ((key & np.uint64(0xFFFFFFFF)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _parts(bucket: np.ndarray, some: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
