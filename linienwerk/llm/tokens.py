@@ -16,7 +16,9 @@ import numpy as np
 #: Where two runs of white space meet at a space, a pre-token may span them.
 _UNSURE_BYTE = re.compile(r"\s \s|  |[\x1c-\x1f] | [\x1c-\x1f]")
 #: White space to Python but not to the vocabulary's patterns.
-_UNSURE_WORD = re.compile(r"[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: White space but for the space and the line feed.
+_RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Runs that are words of their own where white space is dropped: Latin letters, and signs.
 _RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,!?;:|*$%&#<>()/=+-]+")
 
@@ -32,14 +34,17 @@ class PieceEncoder:
     the library makes one id.
     """
 
-    def __init__(self, path: str, cut: str, max_pieces: int = 700_000):
+    def __init__(self, path: str, cut: str, max_pieces: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
+        #: The longest part of each added token that has no case; searching for it is fast.
+        self.hints = {max(re.split(r"[^\W\d_]+", t.content), key=len) for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cut, self.max_pieces, self.cache = cut, max_pieces, {}
+        #: Ids of pieces, and those of the time before: what is met again stays.
+        self.cut, self.max_pieces, self.cache, self.old = cut, max_pieces, {}, {}
         vocab = self.tokenizer.get_vocab()
         #: Of each id the bytes of its token, and whether it ends a word.
         self.sizes, self.ends = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), bool)
@@ -66,7 +71,7 @@ class PieceEncoder:
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; what none of them has met is encoded together."""
         if len(self.cache) > self.max_pieces:
-            self.cache.clear()
+            self.cache, self.old = {}, self.cache
         get, new, out = self.cache.get, set(), []
         for text in texts:
             pieces = self._pieces(text or "")
@@ -75,9 +80,9 @@ class PieceEncoder:
                 continue
             found = list(map(get, pieces))
             holes = [k for k, x in enumerate(found) if x is None] if None in found else ()
-            new.update(pieces[k] for k in holes)
+            new.update([pieces[k] for k in holes])
             out.append((pieces, found, holes))
-        if new:
+        if new := self._unknown(new):
             self._learn(new)
         for n, x in enumerate(out):
             if type(x) is tuple:
@@ -89,16 +94,29 @@ class PieceEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """Parts that the pre-tokenizer certainly cuts apart; in a byte-level vocabulary each but the first had a space before it."""
-        if self.added and self.added.search(text):
+        if self.added and any(h in text for h in self.hints) and self.added.search(text):
             return None
-        if self.cut == "byte" and not _UNSURE_BYTE.search(text) and "\x00" not in text:
+        if self.cut == "byte" and "\x00" not in text and not self._unsure(text):
             pieces = text.split(" ")
             pieces[0] = "\x00" + pieces[0]
             return pieces
-        if self.cut == "word" and not _UNSURE_WORD.search(text):
+        if self.cut == "word" and not any(c in text for c in _SEPARATORS):
             return text.split()
         return None
 
+    @staticmethod
+    def _unsure(text: str) -> bool:
+        """Whether the pattern of unsure bytes is found; most texts have nothing that it could start with."""
+        return ("  " in text or "\n " in text or any(c in text for c in _RARE)) and _UNSURE_BYTE.search(text) is not None
+
+    def _unknown(self, pieces: set[str]) -> set[str]:
+        """Those of the pieces that weren't met before; the others are taken over from the time before."""
+        if self.old:
+            again = {p for p in pieces if p in self.old}
+            self.cache.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            return pieces.difference(again)
+        return pieces
+
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -115,10 +133,8 @@ class PieceEncoder:
         for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             some = pieces[k * 256 : k * 256 + 256]
             ids = np.asarray(e.ids, self.dtype)
-            ends, raw, at = (ends_of(some, ids) * self.dtype.itemsize).tolist(), ids.tobytes(), 0
-            for p, end in zip(some, ends, strict=True):
-                self.cache[p] = raw[at:end]
-                at = end
+            ends = (ends_of(some, ids) * self.dtype.itemsize).tolist()
+            self.cache.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
     def _learn_bytes(self, new: set[str]) -> list[str]:
         """Pieces between spaces, one after another; their bytes tell which ids are whose. Returns those that white space makes unsure."""
@@ -137,7 +153,7 @@ class PieceEncoder:
                 runs.update(found)
             else:
                 rest.append(p)
-        words = [x for x in runs if x not in cache]
+        words = list(self._unknown({x for x in runs if x not in cache}))
         self._enter(words, [" ".join(words[k : k + 256]) for k in range(0, len(words), 256)], lambda some, ids: np.flatnonzero(self.ends[ids]) + 1)
         for p, found in parts.items():
             if len(found) > 1:
