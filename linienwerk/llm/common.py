@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -37,3 +41,24 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches that are sorted by integer keys → tables in which no key is cut in two, and where each key begins."""
+    held = None
+    for b in _with_end(batches):
+        t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        if t is None or not len(t):
+            continue
+        k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in keys])
+        cuts = np.append(0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1)
+        if b is None:
+            yield t, cuts
+        elif len(cuts) > 1:
+            yield t.slice(0, int(cuts[-1])), cuts[:-1]
+        held = t.slice(int(cuts[-1]))
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from linienwerk.llm.common import whole_groups
 from linienwerk.operators.graph import connected_components
 from linienwerk.shared import Stash
 
@@ -158,23 +159,11 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return j.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The rows of each key, of batches that are sorted by it; a key may go on in the next batch."""
-    held = None
-    for b in _with_end(batches):
-        t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        if t is None or not len(t):
-            continue
-        k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in keys])
-        cuts = np.append(0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1)
-        for a, e in zip(cuts, np.append(cuts[1:], len(t)) if b is None else cuts[1:], strict=b is None):
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The members of each two blocks."""
+    for t, cuts in whole_groups(batches, ("key", "i", "j")):
+        for a, e in zip(cuts, np.append(cuts[1:], len(t)), strict=True):
             yield t.slice(a, e - a)
-        held = t.slice(int(cuts[-1]))
-
-
-def _with_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
 
 
 def _sides(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
@@ -215,7 +204,7 @@ def crossing_members(members: DataFrame, reps: DataFrame, least: int, block: int
     spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ("key", "i", "j")):
+        for t in _groups(batches):
             sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(t), -1)
             near = np.zeros(len(t), bool)
             for at, some in _sides(t):
@@ -237,7 +226,7 @@ def crossing_links(marked: DataFrame, texts: DataFrame, threshold: float, shingl
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ("key", "i", "j")):
+        for t in _groups(batches):
             sets = [shingles(x.as_buffer().to_pybytes(), shingle) for x in t.column("text")]
             which = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
             element = np.concatenate([e for e, _ in sets])

@@ -5,6 +5,7 @@ import json
 import random
 import subprocess
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -97,6 +98,39 @@ def test_embeddings_repeats_and_empty(spark):
     assert got == sorted([(1, 1, 1), (2, 1, 1), (7, 0, 7), (None, 0, None)], key=str)
 
 
+def test_embeddings_of_all_lengths_and_copies(spark):
+    """Vectors of each length are compared, copies count as many, and scaled copies are found."""
+    r = np.random.default_rng(4)
+    vs = [(k, r.standard_normal(8).tolist()) for k in range(60)] + [(100 + k, r.standard_normal(3).tolist()) for k in range(40)] + [(200 + k, [1.0, 0.0]) for k in range(30)]
+    vs += [(300, [2.0, 0.0]), (301, [1.0, 0.01]), (302, [5.0]), (303, [3.0]), (304, [-3.0])] + [(400 + k, vs[0][1]) for k in range(50)]
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>").repartition(5)
+    want = brute_links(vs)
+    for block in (7, 20, 1024):
+        got = {x.vec_id: x for x in embed_dedup.embedding_duplicates(df, block=block).collect()}
+        if block == 1024:  # then all of a length are compared
+            assert {i: x.n_links for i, x in got.items()} == {i: len(w) for i, w in want.items()}
+        assert all(got[i].component_id == 200 and got[i].n_links == 31 for i in (200, 229, 300, 301)) and got[303].component_id == 302 and got[304].n_links == 0
+        assert all(got[400 + k].component_id == 0 and got[400 + k].n_links >= 50 for k in range(50))
+
+
+def test_embeddings_recall(spark):
+    """Pairs planted at cosines from 0.90 to 0.93 among unrelated vectors, by brute force."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.standard_normal((2000, 64))
+    side -= (side * x[:2000]).sum(1, keepdims=True) * x[:2000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = r.uniform(0.9001, 0.93, (2000, 1))
+    v = np.concatenate((x, c * x[:2000] + np.sqrt(1 - c * c) * side))
+    df = spark.createDataFrame([(k, e) for k, e in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    began = time.time()
+    found = embed_dedup.embedding_duplicates(df).agg(F.sum("n_links")).first()[0]
+    want = int((v @ v.T >= 0.9).sum()) - len(v)
+    print("recall", found / want, "seconds", time.time() - began)
+    assert want >= 4000 and 0.95 * want <= found <= want
+
+
 # --- 2: WARC
 
 PAGES = "page_id long, url string, html string, first long, kind int"
