@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from linienwerk.shared import open_fs
+from linienwerk.shared import drop_dir, open_fs
 
 #: What a task reports of each file that it has closed.
 MANIFEST = "shard long, roll long, tmp string, name string, n_records long, n_bytes long, n_items long, extra string"
@@ -62,6 +62,7 @@ def commit(reports: DataFrame, out_dir: str) -> DataFrame:
             yield pdf
 
     kept.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(rename, kept.schema).drop("tmp").write.parquet(f"{out_dir}/_manifest")
+    drop_dir(f"{out_dir}/_tmp")  # what lost attempts left
     return spark.read.parquet(f"{out_dir}/_manifest").orderBy("shard", "roll")
 
 

@@ -15,6 +15,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,35 +27,38 @@ _SCHEMA = pa.schema([("shard", pa.int64()), ("roll", pa.int64()), ("tmp", pa.str
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("html", pa.string()), ("name", pa.string())])
 
 
-def shard_bounds(sizes: DataFrame, shard_bytes: int, max_shards: int = 4096) -> list[int]:
+def shard_bounds(sizes: DataFrame, shard_bytes: int, max_shards: int = 1 << 16) -> list[int]:
     """First page_id of each shard but the first: a shard is closed once it holds ``shard_bytes``.
 
     Sorted by page_id over all partitions; the bytes before a row are its
     partition's offset and a sum within it, so the bounds are the same however
-    the rows are dealt out. At most ``max_shards`` are made: beyond that
-    they grow with the data.
+    the rows are dealt out. The list is bounded: beyond 4 TB its ``max_shards``
+    shards are larger, and their tasks still stream and spill.
     """
-    total = int(sizes.agg(F.sum("n")).first()[0] or 0)
+    stash = Stash(sizes.sparkSession, "warc-bounds")
+    ids = stash.put(sizes.where("page_id is not null").groupBy("page_id").agg(F.sum("n").alias("n")))
+    total = int(ids.agg(F.sum("n")).first()[0] or 0)
     step = max(shard_bytes, -(-total // max_shards))
     n = max(1, min(max_shards, total // step))
-    stash = Stash(sizes.sparkSession, "warc-bounds")
-    placed = stash.put(sizes.where("page_id is not null").groupBy("page_id").agg(F.sum("n").alias("n")).repartitionByRange(n, "page_id").withColumn("part", F.spark_partition_id()))
+    placed = stash.put(ids.repartitionByRange(n, "page_id").withColumn("part", F.spark_partition_id()))
     before = placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("base"))
     run = F.sum("n").over(Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     at = placed.withColumn("run", run).join(F.broadcast(before), "part").select("page_id", ((F.col("base") + F.col("run")) / step).cast("long").alias("shard"))
     bounds = sorted(r[0] for r in at.groupBy("shard").agg(F.min("page_id")).select("min(page_id)").collect())
+    for t in (ids, placed):
+        stash.drop(t)
     return bounds[1:]
 
 
 def shard_of(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds up to a key, by binary search in a constant array; 0 for null."""
-    if not bounds:
-        return F.lit(0)
-    table, steps = F.lit(bounds), range(len(bounds).bit_length() - 1, -1, -1)
-    found = F.lit(0)
-    for k in steps:
-        found = found + F.when(F.get(table, found + (1 << k) - 1) <= key, 1 << k).otherwise(0)
-    return found
+    """The number of bounds up to a key, by binary search; 0 for null. Only keys go through Python."""
+    table = np.array(bounds, np.int64)
+
+    @F.pandas_udf("long")
+    def place(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(table, keys.to_numpy(), side="right"))
+
+    return place(F.coalesce(key, F.lit(-(1 << 63)))) if bounds else F.lit(0).cast("long")
 
 
 def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -105,7 +110,6 @@ def write_warc(pages: DataFrame, out_dir: str, shard_bytes: int = 64 << 20, roll
     files, however it is partitioned.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    spark = pages.sparkSession
     narrow = p.select("page_id", F.octet_length("html").cast("long").alias("n"), F.sha1(F.col("html").cast("binary")).alias("sha"))
     bounds = shard_bounds(narrow.select("page_id", "n"), shard_bytes)
     able = narrow.where(F.col("page_id").isNotNull() & (F.col("n") >= min_revisit_bytes))
@@ -113,8 +117,8 @@ def write_warc(pages: DataFrame, out_dir: str, shard_bytes: int = 64 << 20, roll
     notes = able.join(first, "sha").where("page_id > first").select("page_id", "sha", "first").distinct()
     # a page and its note meet in its shard: the payloads are shuffled once
     both = p.select("page_id", "url", "html", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind")).unionByName(notes.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", "first", F.lit(0).alias("kind")))
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = both.withColumn("shard", shard_of(F.col("page_id"), bounds).cast("long")).repartition(max(n_parts, len(bounds) + 1), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "html").select("shard", "page_id", "url", "html", "sha", "first", "kind")
+    # a task for each shard
+    rows = both.withColumn("shard", shard_of(F.col("page_id"), bounds)).repartitionById(len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "html").select("shard", "page_id", "url", "html", "sha", "first", "kind")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, shard, roll, done, noted, notes = None, None, 0, [], None, {}
