@@ -443,13 +443,13 @@ def _stages(docs: DataFrame, stash: Stash, width: int, bucket_bytes: int, hot_ki
     rows, conf = _texts(docs), docs.sparkSession.conf
     least = int(conf.get("spark.sql.shuffle.partitions"))
     # a piece's key, fingerprint and place are about a fifth of its text
-    answers = stash.put(_asked(rows, width, max(least, total_bytes(rows, "text") // (8 * bucket_bytes)), hot_kinds, named))
+    answers = stash.put(_asked(rows, width, max(least, total_bytes(rows, "text") // (32 * bucket_bytes)), hot_kinds, named))
     modes = {r.mode: r.n for r in answers.groupBy("mode").agg(F.count("*").alias("n")).collect()}
     sent = modes.get(_BYTES, 0) * 3 * width // 2 + modes.get(_WINDOWS, 0) * 12 * width
     return answers, _sent(rows, answers, width, max(least, sent // bucket_bytes))
 
 
-def covered_spans(docs: DataFrame, width: int = 100, bucket_bytes: int = 4 << 20, hot_kinds: int = 1 << 14) -> DataFrame:
+def covered_spans(docs: DataFrame, width: int = 100, bucket_bytes: int = 1 << 20, hot_kinds: int = 1 << 14) -> DataFrame:
     """``(doc_id, text) → (doc_id, start, length)``: byte spans that repeat an earlier string of at least ``width`` bytes.
 
     Spans may overlap. Rows with a null doc_id or text are left out. Doc_ids
@@ -474,7 +474,7 @@ def covered_spans(docs: DataFrame, width: int = 100, bucket_bytes: int = 4 << 20
     return answers.where(F.col("mode") == _COVERED).select("doc_id", "start", "length").unionByName(spans)
 
 
-def repeat_groups(docs: DataFrame, width: int = 100, bucket_bytes: int = 4 << 20) -> DataFrame:
+def repeat_groups(docs: DataFrame, width: int = 100, bucket_bytes: int = 1 << 20) -> DataFrame:
     """``(doc_id, text) → (group_id, parent_id, length, doc_id, start)``: maximal repeats with all their occurrences.
 
     An occurrence is a row of its longest group; it also belongs to the groups
