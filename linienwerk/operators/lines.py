@@ -19,12 +19,18 @@ def sharing_components(members: DataFrame, part: str, least: int) -> DataFrame:
 
     With one station enough, members of a station are linked to its first, so
     a station that everything serves adds a link for each member and no pairs.
-    Two or more need the pairs; they are counted between distinct patterns of
-    the same part alone.
+    With two, members of each pair of stations are linked to the pair's first:
+    links follow the length of patterns, not their number. More than two need
+    the pairs of patterns; they are counted within a part alone.
     """
     m = members.select(part, "pattern_id", "station").distinct()
     nodes = m.select(F.col("pattern_id").alias("id"))
-    if least == 1:
+    if least == 2:
+        own = m.groupBy(part, "pattern_id").agg(F.array_sort(F.collect_list("station")).alias("l"))
+        two = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+        both = own.select(part, "pattern_id", F.explode(two).alias("station"))
+        edges = both.withColumn("dst", F.min("pattern_id").over(Window.partitionBy(part, "station"))).select(F.col("pattern_id").alias("src"), "dst").distinct()
+    elif least == 1:
         edges = m.withColumn("dst", F.min("pattern_id").over(Window.partitionBy(part, "station"))).select(F.col("pattern_id").alias("src"), "dst")
     else:
         o = m.select(part, F.col("pattern_id").alias("dst"), "station")
@@ -129,11 +135,11 @@ def salience_top_share(lines: DataFrame, share: float) -> DataFrame:
     return lines.withColumn("_k", k).withColumn("_n", n).where("_k <= _n").drop("_k", "_n")
 
 
-def line_index(lines: DataFrame, ends: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``lines (line_id, ref, mode), ends (line_id, ord, name), boxes (line_id, w, s, e, n) → + route``: termini in the order seen; two by an arrow, more by dots."""
+def line_index(lines: DataFrame, ends: DataFrame, boxes: DataFrame, service: DataFrame) -> DataFrame:
+    """``lines (line_id, ref, mode), ends (line_id, ord, name), boxes (line_id, w, s, e, n), service (line_id, …) → one row with all and the route``: termini in the order seen; two by an arrow, more by dots."""
     t = ends.groupBy("line_id", "name").agg(F.min("ord").alias("ord")).groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("t"))
     names = F.transform("t", lambda x: x["name"])
-    return lines.join(t, "line_id").join(boxes, "line_id").withColumn("route", F.when(F.size(names) == 2, F.array_join(names, " ↔ ")).otherwise(F.array_join(names, " · "))).drop("t")
+    return lines.join(t, "line_id").join(boxes, "line_id").join(service, "line_id").withColumn("route", F.when(F.size(names) == 2, F.array_join(names, " ↔ ")).otherwise(F.array_join(names, " · "))).drop("t")
 
 
 def stop_scores(line_stops: DataFrame, lines: DataFrame, weight: Column, terminal: float = 1.5) -> DataFrame:

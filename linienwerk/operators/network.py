@@ -141,14 +141,18 @@ def group_audit(groups: DataFrame, stages: list[tuple[str, DataFrame]]) -> DataF
 def match_ways(points: DataFrame, segments: DataFrame, radius_m: float, tolerance: float, lat0: float = 46.8) -> DataFrame:
     """``points (point_id, lon, lat, bearing), segments (way_id, x0, y0, x1, y1) → (point_id, way_id)``: the nearest way whose direction fits, modulo a half turn.
 
-    Segments are met by the cell of their middle; none is longer than twice the
-    radius, so a segment within reach has its middle within two radii.
+    Segments are cut into parts of at most twice the radius, and met by the cell
+    of a part's middle: a part within reach has its middle within two radii.
     """
     import math
 
     from linienwerk.operators.spatial import grid_join
 
-    mid = segments.select("way_id", "x0", "y0", "x1", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("lon"), ((F.col("y0") + F.col("y1")) / 2).alias("lat"))
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.pow((F.col("x1") - F.col("x0")) * math.cos(math.radians(lat0)), 2) + F.pow(F.col("y1") - F.col("y0"), 2)) * 111320.0 / (2 * radius_m)))
+    at = lambda a, b, f: F.col(a) + (F.col(b) - F.col(a)) * f / F.col("_n")
+    parts = segments.withColumn("_n", n.cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    parts = parts.select("way_id", *[F.when(F.col("_n") == 1, F.col(whole)).otherwise(at(a, b, F.col("_i") + k)).alias(whole) for whole, a, b, k in (("x0", "x0", "x1", 0), ("y0", "y0", "y1", 0), ("x1", "x0", "x1", 1), ("y1", "y0", "y1", 1))])
+    mid = parts.select("way_id", "x0", "y0", "x1", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("lon"), ((F.col("y0") + F.col("y1")) / 2).alias("lat"))
     j = grid_join(points, mid, 2 * radius_m, lat0)
     k = math.cos(math.radians(lat0))
     dx, dy = (F.col("x1") - F.col("x0")) * k, F.col("y1") - F.col("y0")

@@ -92,14 +92,14 @@ def min_active_days_gate(variants: DataFrame, least: int = 150, mountain: int =
     return variants.withColumn("verdict", F.when(F.col("exempt") | (F.col("n") >= limit), "kept").when((F.col("bucket") == "bus") & (F.col("n") >= rescue), "rescued").otherwise("dropped"))
 
 
-def share_filter(rows: DataFrame, weight: str, by: list[str]) -> DataFrame:
-    """``+ kept, pct``: rows with 10 % of their group's weight; where none has, 5 %; where none has that, all. Limits are 1 at least; a row alone stays."""
+def share_filter(rows: DataFrame, weight: str, by: list[str], exempt: Column | None = None) -> DataFrame:
+    """``+ kept, pct``: rows with 10 % of their group's weight; where none has, 5 %; where none has that, all. Limits are 1 at least; a row alone stays, and so do exempt ones."""
     w = Window.partitionBy(*by)
     total = F.sum(weight).over(w)
     r = rows.withColumn("_t", total).withColumn("_n", F.count("*").over(w))
     r = r.withColumn("_a", F.col(weight) >= F.greatest(F.lit(1.0), F.col("_t") * 0.10)).withColumn("_b", F.col(weight) >= F.greatest(F.lit(1.0), F.col("_t") * 0.05))
     r = r.withColumn("_any_a", F.bool_or("_a").over(w)).withColumn("_any_b", F.bool_or("_b").over(w))
-    kept = F.when(F.col("_n") == 1, True).when(F.col("_any_a"), F.col("_a")).when(F.col("_any_b"), F.col("_b")).otherwise(True)
+    kept = F.when((F.col("_n") == 1) | (F.lit(False) if exempt is None else exempt), True).when(F.col("_any_a"), F.col("_a")).when(F.col("_any_b"), F.col("_b")).otherwise(True)
     return r.withColumn("kept", kept).withColumn("pct", F.when(F.col("_t") > 0, F.col(weight) / F.col("_t")).otherwise(0.0)).drop("_t", "_n", "_a", "_b", "_any_a", "_any_b")
 
 

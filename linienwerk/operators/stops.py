@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from linienwerk.shared import Stash
 from linienwerk.functions.line import INTERCITY, MODE_RANK, mode_score, tier_score
 from linienwerk.functions.text import fold, match_tier, name_words
 
@@ -41,8 +42,13 @@ def score_percentiles(scores: DataFrame, ps: list[float]) -> DataFrame:
     number first, and only those are numbered.
     """
     c = scores.where("score > 0").groupBy("score").agg(F.count("*").alias("n"))
-    w = Window.orderBy("score")
-    c = c.withColumn("to", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("to") - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    stash = Stash(scores.sparkSession, "percentiles")
+    # in order over all partitions: a place is a partition's offset and a sum within it
+    c = stash.put(stash.put(c).repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    parts = c.groupBy("part").agg(F.sum("n").alias("m"))
+    parts = parts.select("part", (F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("base"), F.sum("m").over(Window.partitionBy()).alias("all"))
+    run = F.sum("n").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    c = c.withColumn("run", run).join(parts, "part").withColumn("to", F.col("base") + F.col("run")).withColumn("from", F.col("to") - F.col("n"))
     p = c.withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in ps]))).withColumn("k", F.least(F.floor(F.col("p") * F.col("all")), F.col("all") - 1))
     return p.where((F.col("k") >= F.col("from")) & (F.col("k") < F.col("to"))).select("p", F.col("score").alias("value"))
 
@@ -97,11 +103,28 @@ def search_stations(queries: DataFrame, stations: DataFrame, k: int = 8) -> Data
 
 
 def station_lines(line_stops: DataFrame, lines: DataFrame) -> DataFrame:
-    """``→ (uic, n, text)``: the names at a station in order of mode and name."""
+    """``lines (line_id, ref, mode, route, w, s, e, n) → (uic, lines)``: for each station its names, by mode and name, each with the keys of its lines, the box round them and the first one's route."""
     rank = F.create_map(*[F.lit(x) for i, m in enumerate(MODE_RANK) for x in (m, i)])[F.col("mode")]
-    s = line_stops.select("uic", "line_id").distinct().join(lines.select("line_id", "ref", "mode"), "line_id").select("uic", "ref", "mode").distinct()
-    g = s.groupBy("uic").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(rank, F.lit(99)).alias("r"), "ref", "mode"))).alias("l"))
-    return g.select("uic", F.size("l").cast("long").alias("n"), F.array_join(F.transform("l", lambda x: F.concat(x["mode"], F.lit(" "), x["ref"])), ", ").alias("text"))
+    j = line_stops.select("uic", "line_id").distinct().join(lines, "line_id")
+    g = j.groupBy("uic", "ref", "mode").agg(F.array_sort(F.collect_list("line_id")).alias("keys"), F.min_by("route", "line_id").alias("route"), F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"))
+    l = g.groupBy("uic").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(rank, F.lit(99)).alias("rank"), "ref", "mode", "keys", "route", "w", "s", "e", "n"))).alias("lines"))
+    return l.select("uic", F.transform("lines", lambda x: x.dropFields("rank")).alias("lines"))
+
+
+def terminus_pairing(ends: DataFrame, radius_m: float = 10.0) -> DataFrame:
+    """``ends (line_id, exempt, departure (stop_id, lon, lat), arrival (…)) → (line_id, skip_first)``.
+
+    A line's first stop isn't drawn where another line arrives at the same stop
+    within the radius; lines whose directions are drawn as one are exempt on
+    both sides.
+    """
+    from linienwerk.functions.geo import haversine_km
+
+    d = ends.where(~F.col("exempt") & F.col("departure.stop_id").isNotNull()).select("line_id", F.col("departure.stop_id").alias("stop_id"), F.col("departure.lon").alias("x"), F.col("departure.lat").alias("y"))
+    a = ends.where(~F.col("exempt")).select(F.col("line_id").alias("other"), F.col("arrival.stop_id").alias("stop_id"), F.col("arrival.lon").alias("ax"), F.col("arrival.lat").alias("ay"))
+    near = (F.col("other") != F.col("line_id")) & (haversine_km(F.col("x"), F.col("y"), F.col("ax"), F.col("ay")) * 1000 <= radius_m)
+    hit = d.join(a, "stop_id").where(near).select("line_id").distinct().withColumn("hit", F.lit(True))
+    return ends.select("line_id").join(hit, "line_id", "left").select("line_id", F.coalesce("hit", F.lit(False)).alias("skip_first"))
 
 
 def dominant_line(members: DataFrame) -> DataFrame:

@@ -39,11 +39,11 @@ def trip_groups(spark, d):
     return ops.trip_groups(t, s, "part")
 
 
-@query("fx_stop_times fx_trips", """with recursive m as (select distinct t.route_id * 100 + t.dep0 % 60 tg, t.route_id % 24 part, x.stop_id from fx_stop_times x join fx_trips t using (trip_id) where cast(x.stop_id as int) < 9),
+@query("fx_stop_times fx_trips", """with recursive m as (select distinct t.route_id * 100 + t.dep0 % 60 tg, t.route_id part, x.stop_id from fx_stop_times x join fx_trips t using (trip_id)),
 e as (select distinct a.tg a, b.tg b from m a join m b on a.part = b.part and a.stop_id = b.stop_id and a.tg <> b.tg), n as (select distinct tg id from m), r(id, o) as (select id, id from n union select r.id, e.b from r join e on e.a = r.o) select id, min(o) component from r group by 1""")
 def supergroups(spark, d):
-    t = view(spark, d, "fx_trips").select("trip_id", (C("route_id") * 100 + C("dep0") % 60).alias("pattern_id"), (C("route_id") % 24).alias("part"))
-    m = view(spark, d, "fx_stop_times").where(C("stop_id").cast("int") < 9).join(t, "trip_id").select("part", "pattern_id", C("stop_id").alias("station"))
+    t = view(spark, d, "fx_trips").select("trip_id", (C("route_id") * 100 + C("dep0") % 60).alias("pattern_id"), C("route_id").alias("part"))
+    m = view(spark, d, "fx_stop_times").join(t, "trip_id").select("part", "pattern_id", C("stop_id").alias("station"))
     return ops.sharing_components(m, "part", 1)
 
 
@@ -55,10 +55,10 @@ def components(spark, d):
     return ops.sharing_components(m, "part", 2)
 
 
-@query("fx_stop_times fx_trips", f"with {STOPSETS}, a as (select * from m where trip_id % 5 = 0) select a.trip_id a, b.trip_id b, count(*) n from a join a b on a.part = b.part and a.stop_id = b.stop_id and a.trip_id < b.trip_id group by 1, 2")
+@query("fx_stop_times fx_trips", f"with {STOPSETS} select a.trip_id a, b.trip_id b, count(*) n from m a join m b on a.part = b.part and a.stop_id = b.stop_id and a.trip_id < b.trip_id group by 1, 2")
 def shared_stations(spark, d):
     t, s = _parts(spark, d)
-    m = s.join(t.where("trip_id % 5 = 0"), "trip_id").distinct()
+    m = s.join(t, "trip_id").distinct()
     o = m.select(C("trip_id").alias("b"), "uic", "part")
     return m.join(o, ["uic", "part"]).where("trip_id < b").groupBy(C("trip_id").alias("a"), "b").agg(F.count("*").alias("n"))
 
@@ -136,13 +136,27 @@ def salience_top_share(spark, d):
     return ops.salience_top_share(view(spark, d, "fx_lines").withColumn("salience", (C("line_id") * 53 % 89).cast("double")), 0.3).select("line_id")
 
 
-@query("fx_line_stops fx_lines", """with e as (select line_id, seq ord, stop_name n from fx_line_stops where seq in (1, 3, 5)), t as (select line_id, n, min(ord) o from e group by 1, 2), r as (select line_id, list(n order by o) x from t group by 1)
-select line_id, ref, mode, case when len(x) = 2 then array_to_string(x, ' ↔ ') else array_to_string(x, ' · ') end route from fx_lines join r using (line_id)""")
+SPAN = "v as (select t.route_id line_id, t.trip_id, min(x.seq) a, max(x.seq) b from fx_stop_times x join fx_trips t using (trip_id) group by 1, 2)"
+
+
+def _ends(spark, d):
+    """Both ends of each trip, with the trip's place in the order of departures."""
+    t = view(spark, d, "fx_trips").select("trip_id", C("route_id").alias("line_id"), "dep0")
+    s = view(spark, d, "fx_stop_times").groupBy("trip_id").agg(F.min_by("stop_id", "seq").alias("a"), F.max_by("stop_id", "seq").alias("b"))
+    name = view(spark, d, "fx_stops").select(C("stop_id").alias("end"), C("uic").alias("name"))
+    e = s.join(t, "trip_id").select("line_id", F.explode(F.array(F.struct((C("dep0") * 1000000 + C("trip_id")).alias("o"), F.lit(0).alias("k"), C("a").alias("end")), F.struct((C("dep0") * 1000000 + C("trip_id")).alias("o"), F.lit(1).alias("k"), C("b").alias("end")))).alias("x"))
+    return e.select("line_id", (C("x.o") * 2 + C("x.k")).alias("ord"), "x.end").join(name, "end").select("line_id", "ord", "name")
+
+
+@query("fx_line_stops fx_lines fx_trips fx_stop_times fx_stops", f"""with {SPAN}, e as (select v.line_id, (t.dep0 * 1000000 + v.trip_id) * 2 + k o, s.uic n from v join fx_trips t using (trip_id), (values (0), (1)) z(k) join fx_stop_times x on x.trip_id = v.trip_id and x.seq = case k when 0 then v.a else v.b end join fx_stops s using (stop_id)),
+r as (select line_id, list(n order by o) x from (select line_id, n, min(o) o from e group by 1, 2) group by 1), b as (select line_id, min(lon) w, min(lat) s, max(lon) e, max(lat) n from fx_line_stops group by 1),
+c as (select route_id line_id, count(distinct service_id) service from fx_trips group by 1)
+select line_id, ref, mode, case when len(x) = 2 then array_to_string(x, ' ↔ ') else array_to_string(x, ' · ') end route, w, s, e, n, service from fx_lines join r using (line_id) join b using (line_id) join c using (line_id)""")
 def line_index(spark, d):
     s = view(spark, d, "fx_line_stops")
-    ends = s.where("seq in (1, 3, 5)").select("line_id", C("seq").alias("ord"), C("stop_name").alias("name"))
     box = s.groupBy("line_id").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
-    return ops.line_index(view(spark, d, "fx_lines").select("line_id", "ref", "mode"), ends, box).select("line_id", "ref", "mode", "route")
+    service = view(spark, d, "fx_trips").groupBy(C("route_id").alias("line_id")).agg(F.count_distinct("service_id").alias("service"))
+    return ops.line_index(view(spark, d, "fx_lines").select("line_id", "ref", "mode"), _ends(spark, d), box, service)
 
 
 @query("fx_lines fx_trips", "select route_id % 50 key, min_by(colour, route_id) colour from fx_lines join (select distinct route_id from fx_trips) on route_id = line_id group by 1")

@@ -39,17 +39,12 @@ def line_midpoint(spark, d):
     return p.select("line_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query("fx_line_stops", f"""with {SEG}, q as (select line_id, any_value(l) l from g group by 1), p as (select line_id, 0 e, l * 0.4 t from q union all select line_id, 1, l * 0.6 from q), x as (select g.line_id, e, {PX} lon, {PY} lat from p join g on g.line_id = p.line_id and m1 > m and t >= m and t < m1)
+@query("fx_line_stops", f"""with {SEG}, q as (select line_id, any_value(l) l from g group by 1), p as (select line_id, 0 e, least(l, 25000.0) t from q union all select line_id, 1, least(l, 55000.0) from q), x as (select g.line_id, e, {PX} lon, {PY} lat from p join g on g.line_id = p.line_id and m1 > m and t >= m and (t < m1 or (t = l and m1 = l)))
 select a.line_id, round(atan2(b.lat - a.lat, (b.lon - a.lon) * cos(radians(a.lat))), 5) bearing from x a join x b on a.line_id = b.line_id and a.e = 0 and b.e = 1""")
 def bearing_at(spark, d):
-    from linienwerk.operators.lines import polyline_length
-
     v = view(spark, d, "fx_line_stops")
-    km = polyline_length(v, "line_id")
-    ends = km.select("line_id", F.explode(F.array(F.struct(F.lit(0).alias("e"), (C("km") * 400).alias("t")), F.struct(F.lit(1).alias("e"), (C("km") * 600).alias("t")))).alias("p"))
-    pts = ops.point_at(v, ends.select("line_id", C("p.e").alias("k"), C("p.t").alias("t_m")), "line_id")
-    g = pts.groupBy("line_id").agg(F.min_by(F.struct("lon", "lat"), "k").alias("a"), F.max_by(F.struct("lon", "lat"), "k").alias("b"))
-    return g.select("line_id", F.round(F.atan2(C("b.lat") - C("a.lat"), (C("b.lon") - C("a.lon")) * F.cos(F.radians(C("a.lat")))), 5).alias("bearing"))
+    middle = v.select("line_id").distinct().select("line_id", F.lit(0).alias("k"), F.lit(40000.0).alias("t_m"))
+    return ops.bearing_at(v, middle, "line_id", 15000.0).select("line_id", F.round("bearing", 5).alias("bearing"))
 
 
 @query("fx_line_stops", f"""with {SEG}, q as (select line_id, any_value(l) l from g group by 1), p as (select line_id, l * 0.25 t from q union all select line_id, l * 0.75 from q), e as (select g.line_id, t m, {PX} lon, {PY} lat from p join g on g.line_id = p.line_id and m1 > m and t >= m and t < m1),
@@ -106,31 +101,28 @@ def line_min_zoom(spark, d):
     return ops.line_min_zoom(x)
 
 
-VARIANTS = """vs as (select distinct t.route_id tg, t.trip_id % 6 variant, x.stop_id uic from fx_stop_times x join fx_trips t using (trip_id) where cast(x.stop_id as bigint) > t.trip_id % 6 * 12 and cast(x.stop_id as bigint) % 7 = t.route_id % 7),
-v as (select distinct tg, variant, variant < 2 kept, tg % 2 = 0 rescued, (variant * 13 + tg) % 10 / 100.0 share from vs)"""
+VARIANTS = """vs as (select distinct t.route_id tg, t.trip_id variant, x.stop_id uic from fx_stop_times x join fx_trips t using (trip_id)),
+v as (select distinct tg, variant, variant * 7919 % 1499 = 0 kept, tg % 2 = 0 rescued, (variant * 13 + tg) % 10 / 100.0 share from vs)"""
 
 
 def _variants(spark, d):
-    s = view(spark, d, "fx_stop_times").join(view(spark, d, "fx_trips").select("trip_id", C("route_id").alias("tg")), "trip_id").withColumn("variant", C("trip_id") % 6)
-    k = C("stop_id").cast("long")
-    s = s.where((k > C("variant") * 12) & (k % 7 == C("tg") % 7)).select("tg", "variant", C("stop_id").alias("uic")).distinct()
-    v = s.select("tg", "variant").distinct().withColumns({"kept": C("variant") < 2, "rescued": C("tg") % 2 == 0, "share": (C("variant") * 13 + C("tg")) % 10 / 100})
+    s = view(spark, d, "fx_stop_times").join(view(spark, d, "fx_trips").select("trip_id", C("route_id").alias("tg")), "trip_id").select("tg", C("trip_id").alias("variant"), C("stop_id").alias("uic")).distinct()
+    v = s.select("tg", "variant").distinct().withColumns({"kept": C("variant") * 7919 % 1499 == 0, "rescued": C("tg") % 2 == 0, "share": (C("variant") * 13 + C("tg")) % 10 / 100})
     return v, s
 
 
-@query("fx_stop_times fx_trips fx_stops", f"with {VARIANTS}, k as (select distinct uic from vs join v using (tg, variant) where kept and tg % 3 = 0) select distinct tg, variant, uic from vs join v using (tg, variant) where not kept and uic not in (select uic from k)")
+@query("fx_stop_times fx_trips fx_stops", f"with {VARIANTS}, k as (select distinct uic from vs join v using (tg, variant) where kept) select distinct tg, variant, uic from vs join v using (tg, variant) where not kept and uic not in (select uic from k)")
 def new_stations(spark, d):
     v, s = _variants(spark, d)
     j = s.join(v, ["tg", "variant"])
-    return j.where("not kept").join(j.where("kept and tg % 3 = 0").select("uic").distinct(), "uic", "left_anti").select("tg", "variant", "uic")
+    return j.where("not kept").join(j.where("kept").select("uic").distinct(), "uic", "left_anti").select("tg", "variant", "uic")
 
 
-@query("fx_stop_times fx_trips fx_stops", f"""with {VARIANTS}, w as (select * from vs where tg < 60), j as (select * from w join v using (tg, variant)), k as (select distinct tg, uic from j where kept and tg % 4 = 0), kk as (select distinct uic from k),
-n as (select * from j where not (kept and tg % 4 = 0) and rescued and share >= 0.02 and uic not in (select uic from kk))
+@query("fx_stop_times fx_trips fx_stops", f"""with {VARIANTS}, j as (select * from vs join v using (tg, variant)), k as (select distinct tg, uic from j where kept), kk as (select distinct uic from k),
+n as (select * from j where not kept and rescued and share >= 0.02 and uic not in (select uic from kk))
 select distinct n.tg, n.variant from n join fx_stops s on s.stop_id = n.uic where not exists (select 1 from k join fx_stops z on z.stop_id = k.uic where k.tg = n.tg and {hav('s.lon', 's.lat', 'z.lon', 'z.lat')} * 1000 < 30011)""")
 def unique_stop_rescue(spark, d):
     v, s = _variants(spark, d)
-    v = v.where("tg < 60").withColumn("kept", C("kept") & (C("tg") % 4 == 0))
     return ops.unique_stop_rescue(v, s, view(spark, d, "fx_stops").select(C("stop_id").alias("uic"), "lon", "lat"), 30011.0)
 
 
@@ -178,20 +170,25 @@ def arrival_skip(spark, d):
     return ops.arrival_skip(e, s)
 
 
-@query("fx_stop_times fx_trips", """with recursive m as (select distinct t.route_id tg, t.route_id * 100 + t.trip_id % 25 v, x.stop_id from fx_stop_times x join fx_trips t using (trip_id) where cast(x.stop_id as int) % 4 = 0 and t.route_id < 50),
+@query("fx_stop_times fx_trips", """with recursive m as (select distinct t.route_id tg, t.route_id * 100 + t.trip_id % 25 v, x.stop_id from fx_stop_times x join fx_trips t using (trip_id)),
 e as (select a.v a, b.v b from m a join m b on a.tg = b.tg and a.stop_id = b.stop_id and a.v <> b.v group by 1, 2 having count(*) >= 5), r(id, o) as (select distinct v, v from m union select r.id, e.b from r join e on e.a = r.o), c as (select id, min(o) g from r group by 1)
 select g as "group", season, sum(id % 7 + season) f from c, (select unnest(range(3)) season) s group by 1, 2""")
 def resplit_groups(spark, d):
-    t = view(spark, d, "fx_trips").where("route_id < 50").select("trip_id", C("route_id").alias("tg"), (C("route_id") * 100 + C("trip_id") % 25).alias("variant_id"))
-    v = view(spark, d, "fx_stop_times").where(C("stop_id").cast("int") % 4 == 0).join(t, "trip_id").select("tg", "variant_id", C("stop_id").alias("station")).distinct()
+    t = view(spark, d, "fx_trips").select("trip_id", C("route_id").alias("tg"), (C("route_id") * 100 + C("trip_id") % 25).alias("variant_id"))
+    v = view(spark, d, "fx_stop_times").join(t, "trip_id").select("tg", "variant_id", C("stop_id").alias("station")).distinct()
     f = v.select("variant_id").distinct().withColumn("season", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("season", C("season").cast("long")).withColumn("f", C("variant_id") % 7 + C("season"))
     return ops.resplit_groups(v, f, 5)[1]
 
 
-@query("fx_stations", "select uic point_id, coalesce(case when cast(uic as int) % 3 < 2 then cast(uic as int) % 5 * 0.7 end <= 2.0 and (cast(uic as int) % 4 = 0 or cast(uic as int) % 5 * 0.7 < cast(uic as int) % 7 * 0.5), false) hybrid from fx_stations")
+NEAR = """{n} as (select point_id, min(sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) * 111320) dd from (select *, greatest(0.0, least(1.0, (px * dx + py * dy) / (dx * dx + dy * dy))) t from
+ (select point_id, (x1 - x0) * k dx, y1 - y0 dy, (lon - x0) * k px, lat - y0 py from (select p.*, w.*, cos(radians(46.8)) k from p join w on w.kind = {kind}))) group by 1 having dd <= 6007)"""
+
+
+@query("fx_stations fx_buildings", f"""with w as (select id % 2 kind, lon - 0.01 x0, lat - 0.004 y0, lon + 0.01 x1, lat + 0.004 * (id % 3 - 1) y1 from fx_buildings), p as (select uic point_id, lon, lat from fx_stations),
+{NEAR.format(n="narrow", kind=0)}, {NEAR.format(n="tram", kind=1)}
+select point_id, coalesce(round(a.dd, 3) <= 1500 and (b.dd is null or round(a.dd, 3) < round(b.dd, 3)), false) hybrid from p left join narrow a using (point_id) left join tram b using (point_id)""")
 def hybrid_stop(spark, d):
-    u = C("uic").cast("int")
-    s = view(spark, d, "fx_stations")
-    narrow = s.where(u % 3 < 2).select(C("uic").alias("point_id"), (u % 5 * 0.7).alias("dist_m"))
-    tram = s.where(u % 4 != 0).select(C("uic").alias("point_id"), (u % 7 * 0.5).alias("dist_m"))
-    return ops.hybrid_stop(narrow, tram, s.select(C("uic").alias("point_id")))
+    ways = view(spark, d, "fx_buildings").select(C("id").alias("way_id"), (C("id") % 2).alias("kind"), (C("lon") - 0.01).alias("x0"), (C("lat") - 0.004).alias("y0"), (C("lon") + 0.01).alias("x1"), (C("lat") + 0.004 * (C("id") % 3 - 1)).alias("y1"))
+    p = view(spark, d, "fx_stations").select(C("uic").alias("point_id"), "lon", "lat", F.lit(0.0).alias("bearing"))
+    narrow, tram = (ops.match_ways(p, ways.where(C("kind") == k), 6007.0, 4.0) for k in (0, 1))
+    return ops.hybrid_stop(narrow, tram, p, 1500.0)

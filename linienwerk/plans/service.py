@@ -114,27 +114,29 @@ def _weights(spark, d):
     return t.join(n, "service_id").groupBy("tg", "variant").agg(F.sum("k").alias("annual"), F.sum("w").alias("winter"), F.sum("s").alias("summer"))
 
 
-@query(ALL, f"""with {FULL}, n as (select route_id, count(distinct d) n from (select distinct route_id, service_id from fx_trips where service_id % 40 < 9) join full_cal using (service_id) group by 1), b as (select *, {BUCKET} bucket from n join fx_routes using (route_id))
-select route_id tg, n, case when bucket = 'ferry' or bucket = 'mountain' or n >= 260 then 'kept' when bucket = 'bus' and n >= 90 then 'rescued' else 'dropped' end verdict from b""")
+@query(ALL, f"""with {FULL}, n as (select tg, route_id, count(distinct d) n from (select distinct route_id * 50 + service_id % 50 tg, route_id, service_id from fx_trips) join full_cal using (service_id) group by 1, 2), b as (select *, {BUCKET} bucket from n join fx_routes using (route_id))
+select tg, n, case when bucket = 'ferry' or bucket = 'mountain' or n >= 260 then 'kept' when bucket = 'bus' and n >= 90 then 'rescued' else 'dropped' end verdict from b""")
 def min_active_days_gate(spark, d):
-    t = view(spark, d, "fx_trips").where("service_id % 40 < 9").withColumn("tg", C("route_id"))
-    n = ops.active_days(t, _full(spark, d), ["tg"])
+    t = view(spark, d, "fx_trips").withColumn("tg", C("route_id") * 50 + C("service_id") % 50)
+    n = ops.active_days(t, _full(spark, d), ["tg", "route_id"])
     b = line.route_bucket(C("route_type"))
-    r = F.broadcast(view(spark, d, "fx_routes").select(C("route_id").alias("tg"), b.alias("bucket"), line.gate_exempt(b, line.mountain_origin(b, C("route_type"))).alias("exempt")))
-    return ops.min_active_days_gate(n.join(r, "tg"), 260, 90, 90).select("tg", "n", "verdict")
+    r = view(spark, d, "fx_routes").select("route_id", b.alias("bucket"), line.gate_exempt(b, line.mountain_origin(b, C("route_type"))).alias("exempt"))
+    return ops.min_active_days_gate(n.join(r, "route_id"), 260, 90, 90).select("tg", "n", "verdict")
 
 
-SHARE = """select {k}, {v}, round({w} / t, 6) pct, case when c = 1 then true when bool_or({w} >= greatest(1, t * 0.10)) over (partition by {k}) then {w} >= greatest(1, t * 0.10)
+SHARE = """select {k}, {v}, round({w} / t, 6) pct, case when c = 1 then true when exempt then true
+ when bool_or({w} >= greatest(1, t * 0.10)) over (partition by {k}) then {w} >= greatest(1, t * 0.10)
  when bool_or({w} >= greatest(1, t * 0.05)) over (partition by {k}) then {w} >= greatest(1, t * 0.05) else true end kept from (select *, sum({w}) over (partition by {k})::double t, count(*) over (partition by {k}) c from x)"""
 
 
-@query("fx_trips", "with x as (select route_id % 9 sg, route_id tg, count(*)::double w from fx_trips group by 1, 2)" + SHARE.format(k="sg", v="tg", w="w"))
+@query("fx_trips fx_routes", "with x as (select route_id % 9 sg, route_id tg, count(*)::double w, bool_or(route_type in ('1300', '1400')) exempt from fx_trips join fx_routes using (route_id) group by 1, 2)" + SHARE.format(k="sg", v="tg", w="w"))
 def rare_group_filter(spark, d):
-    g = view(spark, d, "fx_trips").groupBy((C("route_id") % 9).alias("sg"), C("route_id").alias("tg")).agg(F.count("*").alias("w"))
-    return ops.share_filter(g, "w", ["sg"]).select("sg", "tg", F.round("pct", 6).alias("pct"), "kept")
+    r = view(spark, d, "fx_routes").select("route_id", (line.route_bucket(C("route_type")) == "mountain").alias("mountain"))
+    g = view(spark, d, "fx_trips").join(r, "route_id").groupBy((C("route_id") % 9).alias("sg"), C("route_id").alias("tg")).agg(F.count("*").alias("w"), F.bool_or("mountain").alias("mountain"))
+    return ops.share_filter(g, "w", ["sg"], C("mountain")).select("sg", "tg", F.round("pct", 6).alias("pct"), "kept")
 
 
-@query("fx_trips", "with x as (select route_id tg, dep0 % 14 variant, count(*)::double w from fx_trips group by 1, 2)" + SHARE.format(k="tg", v="variant", w="w"))
+@query("fx_trips", "with x as (select route_id tg, dep0 % 14 variant, count(*)::double w, false exempt from fx_trips group by 1, 2)" + SHARE.format(k="tg", v="variant", w="w"))
 def rare_variant_filter(spark, d):
     g = view(spark, d, "fx_trips").groupBy(C("route_id").alias("tg"), (C("dep0") % 14).alias("variant")).agg(F.count("*").alias("w"))
     return ops.share_filter(g, "w", ["tg"]).select("tg", "variant", F.round("pct", 6).alias("pct"), "kept")
@@ -182,10 +184,10 @@ def departure_gaps(spark, d):
     return gaps(view(spark, d, "fx_trips"), "route_id", "dep0").where("gap is not null")
 
 
-@query("fx_trips", """with t as (select distinct route_id * 4 + trip_id % 40 v, dep0 from fx_trips where route_id < 40), g as (select v, dep0, dep0 - lag(dep0) over (partition by v order by dep0) gap from t), r as (select v, gap, row_number() over (partition by v order by gap) k, count(gap) over (partition by v) n from g where gap is not null)
+@query("fx_trips", """with t as (select distinct route_id * 4 + trip_id % 40 v, dep0 from fx_trips), g as (select v, dep0, dep0 - lag(dep0) over (partition by v order by dep0) gap from t), r as (select v, gap, row_number() over (partition by v order by gap) k, count(gap) over (partition by v) n from g where gap is not null)
 select v, max(gap) > greatest(3 * max(case when k = n // 2 + 1 then gap end), 5400) irregular from r where n >= 3 group by v""")
 def irregular_service(spark, d):
     from linienwerk.operators.lines import irregular_service as irregular
 
-    t = view(spark, d, "fx_trips").where("route_id < 40").select((C("route_id") * 4 + C("trip_id") % 40).alias("v"), "dep0")
+    t = view(spark, d, "fx_trips").select((C("route_id") * 4 + C("trip_id") % 40).alias("v"), "dep0")
     return irregular(t, "v", "dep0")

@@ -80,14 +80,14 @@ def score_percentiles(spark, d):
     return ops.score_percentiles(view(spark, d, "part").select((C("p_partkey") * 37 % 1009).cast("double").alias("score")), [0.2, 0.5, 0.8, 0.9, 0.99, 1.0])
 
 
-@query(V, "select uic, min_by(mode, case mode when 'regional_bus' then 0 when 'bus' then 1 when 'tram' then 2 when 'metro' then 3 when 'train' then 4 when 'ferry' then 5 else 6 end) mode from fx_line_stops join fx_lines using (line_id) where cast(uic as int) % 4 = line_id % 4 group by 1")
+@query(V, "select uic, min_by(mode, case mode when 'regional_bus' then 0 when 'bus' then 1 when 'tram' then 2 when 'metro' then 3 when 'train' then 4 when 'ferry' then 5 else 6 end) mode from fx_line_stops join fx_lines using (line_id) group by 1")
 def highest_mode(spark, d):
-    m = view(spark, d, "fx_line_stops").join(view(spark, d, "fx_lines").select("line_id", "mode"), "line_id").where(C("uic").cast("int") % 4 == C("line_id") % 4)
+    m = view(spark, d, "fx_line_stops").join(view(spark, d, "fx_lines").select("line_id", "mode"), "line_id")
     return ops.highest_mode(m.select("uic", "mode"))
 
 
 @query("fx_line_stops fx_lines fx_stations fx_stop_times fx_stops", """with d as (select uic, avg(greatest(0, dep - arr)) s from fx_stop_times join fx_stops using (stop_id) group by 1), b as (select uic, case cast(uic as int) % 4 when 0 then 3 when 1 then 2 when 2 then 1 else 0 end p from fx_stations), n as (select uic, cast(uic as int) % 6 n from fx_stations where cast(uic as int) % 6 > 0),
-k as (select uic, count(distinct line_id) k, bool_or(mode = 'train') t from fx_line_stops join fx_lines using (line_id) where line_id % 4 = cast(uic as int) % 4 group by 1)
+k as (select uic, count(distinct line_id) k, bool_or(mode = 'train') t from fx_line_stops join fx_lines using (line_id) group by 1)
 select s.uic, (case when coalesce(d.s, 0) > 180 then 3 when coalesce(d.s, 0) > 0 then 2 else 0 end + b.p + case when not coalesce(t, false) then 0 when coalesce(n, 0) > 3 then 3 when coalesce(n, 0) > 0 then 2 else 0 end + case when coalesce(k, 0) >= 2 then case when t then 3 else 2 end else 0 end)::int points from fx_stations s left join d using (uic) left join b using (uic) left join n using (uic) left join k using (uic)""")
 def stop_importance(spark, d):
     u = C("uic").cast("int")
@@ -95,7 +95,7 @@ def stop_importance(spark, d):
     dwell = view(spark, d, "fx_stop_times").join(view(spark, d, "fx_stops").select("stop_id", "uic"), "stop_id").groupBy("uic").agg(F.avg(F.greatest(F.lit(0), C("dep") - C("arr"))).alias("avg_s"))
     bracket = st.select("uic", F.when(u % 4 == 0, "city").when(u % 4 == 1, "town").when(u % 4 == 2, "village").otherwise("rural").alias("bracket"))
     nearby = st.where(u % 6 > 0).select("uic", (u % 6).alias("n"))
-    lines = view(spark, d, "fx_line_stops").join(view(spark, d, "fx_lines").select("line_id", "mode"), "line_id").where(C("line_id") % 4 == u % 4)
+    lines = view(spark, d, "fx_line_stops").join(view(spark, d, "fx_lines").select("line_id", "mode"), "line_id")
     return ops.stop_importance(st, dwell, bracket, nearby, lines.select("uic", "line_id", "mode"))
 
 
@@ -106,7 +106,7 @@ def station_search_index(spark, d):
     return ops.station_search_index(p).select("uic", "name")
 
 
-@query("fx_places", """with s as (select place_id uic, name || case when place_id % 3 = 0 then ' nord' else '' end as name, ['bus','tram','train'][place_id % 3 + 1] mode from fx_places where place_id % 5 = 0), q as (select place_id q_id, lower(substr(name, 1, 3 + (place_id % 6)::int)) txt from fx_places where place_id % 40 = 1),
+@query("fx_places", """with s as (select place_id uic, name || case when place_id % 3 = 0 then ' nord' else '' end as name, ['bus','tram','train'][place_id % 3 + 1] mode from fx_places), q as (select place_id q_id, lower(substr(name, 1, 3 + (place_id % 6)::int)) txt from fx_places where place_id % 20 = 0),
 t as (select q_id, string_split(trim(txt), ' ') tk from q), w as (select *, string_split(name, ' ') ws from s),
 m as (select q_id, uic, mode, case when len(list_filter(tk, lambda t: not contains(name, t))) > 0 then 0
  when len(list_filter(tk, lambda t: not list_contains(ws, t))) = 0 and len(list_distinct(list_transform(tk, lambda t: list_position(ws, t)))) = len(ws) then 100
@@ -117,14 +117,20 @@ r as (select q_id, uic, round(5.0 * mt + case mode when 'train' then 100 when 't
 def search_stations(spark, d):
     p = view(spark, d, "fx_places")
     mode = F.get(F.array(F.lit("bus"), F.lit("tram"), F.lit("train")), (C("place_id") % 3).cast("int"))
-    s = p.where("place_id % 5 = 0").select(C("place_id").alias("uic"), F.concat("name", F.when(C("place_id") % 3 == 0, " nord").otherwise("")).alias("name"), mode.alias("mode"), F.lit("normal_stop").alias("tier"))
-    q = p.where("place_id % 40 = 1").select(C("place_id").alias("q_id"), F.substr("name", F.lit(1), (3 + C("place_id") % 6).cast("int")).alias("text"))
+    s = p.select(C("place_id").alias("uic"), F.concat("name", F.when(C("place_id") % 3 == 0, " nord").otherwise("")).alias("name"), mode.alias("mode"), F.lit("normal_stop").alias("tier"))
+    q = p.where("place_id % 20 = 0").select(C("place_id").alias("q_id"), F.substr("name", F.lit(1), (3 + C("place_id") % 6).cast("int")).alias("text"))
     return ops.search_stations(q, s)
 
 
-@query(V, "select uic, count(*) n, string_agg(mode || ' ' || ref, ', ' order by list_position(['train','metro','tram','bus','mountain','ferry','regional_bus'], mode), ref) as text from (select distinct uic, ref, mode from fx_line_stops join fx_lines using (line_id)) group by 1")
+@query(V, """with b as (select line_id, min(lon) w, min(lat) s, max(lon) e, max(lat) n, min_by(stop_name, seq) || ' ↔ ' || max_by(stop_name, seq) t from fx_line_stops group by 1), m as (select distinct uic, line_id from fx_line_stops),
+x as (select uic, ref, mode, string_agg(line_id::varchar, ';' order by line_id) keys, min(w) w, min(s) s, max(e) e, max(n) n, min_by(t, line_id) route from m join fx_lines using (line_id) join b using (line_id) group by 1, 2, 3)
+select uic, (row_number() over (partition by uic order by list_position(['train','metro','tram','bus','mountain','ferry','regional_bus'], mode), ref))::bigint k, ref, mode, keys, route, round(w, 5) w, round(s, 5) s, round(e, 5) e, round(n, 5) n from x""")
 def station_lines(spark, d):
-    return ops.station_lines(view(spark, d, "fx_line_stops"), view(spark, d, "fx_lines"))
+    s = view(spark, d, "fx_line_stops")
+    box = s.groupBy("line_id").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"), F.concat(F.min_by("stop_name", "seq"), F.lit(" ↔ "), F.max_by("stop_name", "seq")).alias("route"))
+    l = ops.station_lines(s, view(spark, d, "fx_lines").select("line_id", "ref", "mode").join(box, "line_id"))
+    l = l.select("uic", F.posexplode("lines").alias("k", "l")).select("uic", (C("k") + 1).cast("long").alias("k"), "l.*")
+    return l.select("uic", "k", "ref", "mode", F.array_join("keys", ";").alias("keys"), "route", *[F.round(c, 5).alias(c) for c in "wsen"])
 
 
 @query(V, "select uic, ';' || string_agg(cast(line_id as varchar), ';' order by line_id) || ';' keys from (select distinct uic, line_id from fx_line_stops) group by 1")
@@ -172,11 +178,12 @@ def interchange_flag(spark, d):
     return p.select("uic").distinct().join(hit, "uic", "left").select("uic", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-@query("fx_line_stops fx_lines", """with f as (select line_id, min_by(stop_id, seq) first, max_by(stop_id, seq) as last from fx_line_stops group by 1) select a.line_id, count(*) filter (b.line_id is not null) > 0 paired from f a left join f b on b.last = a.first and b.line_id <> a.line_id group by 1""")
+@query("fx_line_stops fx_lines", f"""with f as (select line_id, min_by(stop_id, seq) a, max_by(stop_id, seq) b, min_by(lon, seq) ax, min_by(lat, seq) ay, max_by(lon, seq) + line_id % 4 * 0.00005 bx, max_by(lat, seq) y, mode in ('ferry', 'mountain') exempt from fx_line_stops join fx_lines using (line_id) group by line_id, mode),
+p as (select distinct d.line_id from f d join f r on r.b = d.a and r.line_id <> d.line_id and not r.exempt and not d.exempt and {hav('d.ax', 'd.ay', 'r.bx', 'r.y')} * 1000 <= 10) select f.line_id, p.line_id is not null skip_first from f left join p using (line_id)""")
 def terminus_pairing(spark, d):
-    e = view(spark, d, "fx_line_stops").groupBy("line_id").agg(F.min_by("stop_id", "seq").alias("first"), F.max_by("stop_id", "seq").alias("last"))
-    arrivals = e.select(C("last").alias("first"), C("line_id").alias("o"))
-    return e.join(arrivals, (e["first"] == arrivals["first"]) & (e["line_id"] != arrivals["o"]), "left").groupBy("line_id").agg((F.count("o") > 0).alias("paired"))
+    s = view(spark, d, "fx_line_stops").join(view(spark, d, "fx_lines").select("line_id", C("mode").isin("ferry", "mountain").alias("exempt")), "line_id")
+    e = s.groupBy("line_id", "exempt").agg(F.min_by(F.struct("stop_id", "lon", "lat"), "seq").alias("departure"), F.max_by(F.struct("stop_id", (C("lon") + C("line_id") % 4 * 0.00005).alias("lon"), "lat"), "seq").alias("arrival"))
+    return ops.terminus_pairing(e)
 
 
 @query("fx_line_stops", "select distinct a.line_id from fx_line_stops a join fx_line_stops b on a.line_id = b.line_id and b.seq > a.seq and cast(b.uic as int) % 5 = cast(a.uic as int) % 5 and cast(b.stop_id as int) % 2 = 0 join (select line_id, max(seq) m from fx_line_stops group by 1) l on l.line_id = a.line_id and b.seq < m where a.seq = 1 and cast(a.stop_id as int) % 2 = 1")
