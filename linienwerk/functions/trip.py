@@ -32,6 +32,10 @@ def content_id(members: Column) -> Column:
     return F.substring(F.sha2(F.array_join(F.array_sort(members), ",").cast("binary"), 256), 1, 8)
 
 
+def shard_of(route_id: Column, n: int) -> Column:
+    return F.pmod(F.crc32(route_id.cast("string").cast("binary")), F.lit(n)).cast("long")
+
+
 #: Digits of base 62 (fixed values).
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from linienwerk.functions.geo import in_bbox
+from linienwerk.functions.geo import in_bbox, planar_m
 from linienwerk.functions.text import track_from_code
+from linienwerk.sources.features import line_points
 
 
 def apply_stop_overrides(stops: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def insert_waypoint(stop_times: DataFrame, rules: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("trip_id").orderBy("seq")
     pairs = stop_times.withColumn("_next", F.lead("stop_id").over(w))
-    hits = pairs.join(F.broadcast(rules.withColumnRenamed("route_id", "_route")), (F.col("route_id") == F.col("_route")) & (F.col("stop_id") == F.col("after")) & (F.col("_next") == F.col("before")))
+    hits = pairs.join(rules.withColumnRenamed("route_id", "_route"), (F.col("route_id") == F.col("_route")) & (F.col("stop_id") == F.col("after")) & (F.col("_next") == F.col("before")))
     first = hits.withColumn("_k", F.row_number().over(Window.partitionBy("trip_id", "rule").orderBy("seq"))).where("_k = 1")
     new = first.select("trip_id", "route_id", (F.col("seq") * 2 + 1).alias("seq"), F.col("waypoint").alias("stop_id"), F.col("dep").alias("arr"), "dep", F.lit(True).alias("synthetic"))
     old = stop_times.select("trip_id", "route_id", (F.col("seq") * 2).alias("seq"), "stop_id", "arr", "dep", F.lit(False).alias("synthetic"))
@@ -78,7 +79,7 @@ def split_trip(stop_times: DataFrame, rules: DataFrame) -> tuple[DataFrame, Data
     A trip where that row is missing, the first or the last stays whole and is
     reported with the reason.
     """
-    s = stop_times.join(F.broadcast(rules.select(F.col("route_id").alias("_r"), "rule", "stop")), F.col("route_id") == F.col("_r"))
+    s = stop_times.join(rules.select(F.col("route_id").alias("_r"), "rule", "stop"), F.col("route_id") == F.col("_r"))
     t = s.groupBy("trip_id", "rule").agg(F.min(F.when(F.col("stop_id") == F.col("stop"), F.col("seq"))).alias("cut"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     reason = F.when(F.col("cut").isNull(), "missing").when((F.col("cut") == F.col("lo")) | (F.col("cut") == F.col("hi")), "endpoint")
     t = t.withColumn("reason", reason)
@@ -138,3 +139,57 @@ def match_platform_attributes(stops: DataFrame, attributes: DataFrame) -> DataFr
 def drop_reasons(trips: DataFrame) -> DataFrame:
     """``(route_id, reason) → (route_id, by_agency, by_ev_route, foreign)``."""
     return trips.groupBy("route_id").agg(F.count_if(F.col("reason") == "agency").alias("by_agency"), F.count_if(F.col("reason") == "ev_route").alias("by_ev_route"), F.count_if(F.col("reason") == "foreign").alias("foreign"))
+
+
+def track_code(track: Column) -> Column:
+    """The public code of a stop's track, empty where it has none."""
+    return F.coalesce(track, F.lit(""))
+
+
+def resume_matrix(done: DataFrame, out: DataFrame, todo: DataFrame, key: str = "from_id") -> tuple[DataFrame, DataFrame]:
+    """Rows of finished sources, which are kept, and the sources still to do; rows of unfinished ones go, as they may be partial."""
+    finished = done.select(key).distinct()
+    return out.join(finished, key, "left_semi"), todo.select(key).distinct().join(finished, key, "left_anti")
+
+
+def upsert_shares(existing: DataFrame, incoming: DataFrame, key: str, order: Column) -> DataFrame:
+    """What exists stays; of what comes in for other ids the first by ``order`` is added."""
+    rest = [c for c in incoming.columns if c != key]
+    first = incoming.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_first")).select(key, *[F.col("_first")[c].alias(c) for c in rest])
+    return existing.unionByName(first.join(existing.select(key), key, "left_anti"))
+
+
+def snap_platforms(stops: DataFrame, identity: DataFrame, platforms: DataFrame, anchors: DataFrame, radius_m: float = 250.0) -> DataFrame:
+    """``stops (stop_id, parent, lon, lat), identity (stop_id, uic, track, sector), platforms (uic, ref, lon, lat), anchors (parent, lon, lat) → (stop_id, lon, lat, snapped)``.
+
+    A stop moves to the nearest platform of its station and code within the
+    radius of its parent, or of itself without one; its sector is tried before
+    its track. Other stops stay.
+    """
+    a = anchors.select("parent", F.col("lon").alias("_x"), F.col("lat").alias("_y"))
+    s = stops.join(a, "parent", "left").select("stop_id", F.coalesce("_x", "lon").alias("_x"), F.coalesce("_y", "lat").alias("_y"))
+    codes = identity.where("uic <> ''").select("stop_id", "uic", F.posexplode(F.filter(F.array("sector", "track"), lambda c: c.isNotNull() & (c != ""))).alias("rank", "ref"))
+    p = platforms.select("uic", "ref", F.col("lon").alias("_px"), F.col("lat").alias("_py"))
+    j = s.join(codes, "stop_id").join(p, ["uic", "ref"]).withColumn("_m", planar_m(F.col("_px"), F.col("_py"), F.col("_x"), F.col("_y"), F.col("_y"))).where(F.col("_m") < radius_m)
+    best = j.groupBy("stop_id").agg(F.min_by(F.struct("_px", "_py"), F.struct("rank", "_m", "_px", "_py")).alias("_p"))
+    out = stops.join(best, "stop_id", "left")
+    return out.select("stop_id", F.coalesce("_p._px", "lon").alias("lon"), F.coalesce("_p._py", "lat").alias("lat"), F.col("_p").isNotNull().alias("snapped"))
+
+
+def line_geometry(variants: DataFrame, shapes: DataFrame, stops: DataFrame, straight: tuple[str, ...] = ("1300", "1303")) -> DataFrame:
+    """``variants (variant, route_type, shape_id), shapes (shape_id, seq, lon, lat), stops (variant, seq, lon, lat) → (variant, vertices, source, reason)``.
+
+    The shape of the variant's trip; without one, aerial lines run straight
+    through their located stops, equal neighbours made one, and others are
+    ``unrouted``. Under two points a line is ``too_short``.
+    """
+    line = lambda rows, by: rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("v")).select(by, F.transform("v", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("v"))
+    shaped = line(shapes, "shape_id").withColumnRenamed("v", "shape")
+    through = line(stops.where("lon is not null and lat is not null"), "variant").select("variant", line_points(F.col("v")).alias("through"))
+    aerial = F.col("route_type").isin(*straight)
+    j = variants.join(shaped, "shape_id", "left").join(through, "variant", "left")
+    none = F.array().cast("array<struct<lon:double,lat:double>>")
+    v = F.when(F.col("shape").isNotNull(), F.col("shape")).when(aerial, F.coalesce("through", none)).otherwise(none)
+    source = F.when(F.col("shape").isNotNull(), "shape").when(aerial, "straight_line")
+    j = j.select("variant", v.alias("vertices"), source.alias("source"))
+    return j.withColumn("reason", F.when(F.col("source").isNull(), "unrouted").when(F.size("vertices") < 2, "too_short"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from linienwerk.functions.line import lookup
 from linienwerk.functions.trip import comfort_factor, djb2, itinerary_score
 
 #: Modes that board nothing (fixed values).
@@ -165,3 +166,11 @@ def sparse_service_gap(anchors: DataFrame, limit_s: int = 14400, day0: int = 6,
     piece = F.least(F.col("t1"), F.col("d") * day + day1 * 3600) - F.greatest(F.col("t"), F.col("d") * day + day0 * 3600)
     hit = d.groupBy("query_id").agg(F.bool_or(piece >= limit_s).alias("sparse"))
     return anchors.select("query_id").distinct().join(hit, "query_id", "left").select("query_id", F.coalesce("sparse", F.lit(False)).alias("sparse"))
+
+
+def leg_colour(legs: DataFrame, colours: DataFrame, buckets: dict[str, str], neutral: str) -> DataFrame:
+    """``legs (itin, seq, mode, route_key), colours (route_key, colour) → (itin, seq, colour)``: the route's, found by its key or by its key without a data set's prefix, else the mode's, else neutral."""
+    exact = colours.select("route_key", F.col("colour").alias("_exact"))
+    bare = colours.select(F.col("route_key").alias("_bare_key"), F.col("colour").alias("_bare"))
+    j = legs.withColumn("_bare_key", F.regexp_replace("route_key", "^[a-z]+_", "")).join(exact, "route_key", "left").join(bare, "_bare_key", "left")
+    return j.select("itin", "seq", F.coalesce("_exact", "_bare", lookup(F.col("mode"), buckets), F.lit(neutral)).alias("colour"))

@@ -51,10 +51,12 @@ def filter_transfers(spark, d):
     return ops.filter_transfers(view(spark, d, "fx_transfers"), view(spark, d, "fx_routes").where("agency_id <> 2"), _foreign(spark, d))
 
 
-@query("fx_trips fx_routes", """with r as (select * from fx_routes where route_id in (select route_id from fx_trips where dep0 < 18300)) select 'route' kind, cast(route_id as bigint) id from r union all select distinct 'agency', cast(agency_id as bigint) from r""")
+@query("", "with r as (select * from customer where c_custkey in (select o_custkey from orders)) select 'route' kind, c_custkey id from r union all select 'agency', n_nationkey::bigint from nation where n_nationkey in (select c_nationkey from r)")
 def cascade_refs(spark, d):
-    agency = spark.range(9).select(C("id").alias("agency_id"))
-    r, a = ops.cascade_refs(view(spark, d, "fx_routes"), agency, view(spark, d, "fx_trips").where("dep0 < 18300"))
+    """Customers as routes: a third has no order, as a trip would be."""
+    routes = view(spark, d, "customer").select(C("c_custkey").alias("route_id"), C("c_nationkey").alias("agency_id"))
+    agency = view(spark, d, "nation").select(C("n_nationkey").alias("agency_id"))
+    r, a = ops.cascade_refs(routes, agency, view(spark, d, "orders").select(C("o_custkey").alias("route_id")))
     return r.select(F.lit("route").alias("kind"), C("route_id").cast("long").alias("id")).unionByName(a.select(F.lit("agency").alias("kind"), C("agency_id").cast("long").alias("id")))
 
 
@@ -115,7 +117,7 @@ def dropped_trips(spark, d):
 select route_id, count(*) filter (reason = 'agency') by_agency, count(*) filter (reason = 'ev_route') by_ev_route, count(*) filter (reason = 'foreign') as "foreign" from x where reason is not null group by 1""")
 def drop_reasons(spark, d):
     f = _foreign(spark, d).withColumn("f", F.lit(True))
-    t = view(spark, d, "fx_trips").join(F.broadcast(view(spark, d, "fx_routes")), "route_id").join(f, "trip_id", "left")
+    t = view(spark, d, "fx_trips").join(view(spark, d, "fx_routes"), "route_id").join(f, "trip_id", "left")
     reason = F.when(C("agency_id") == 2, "agency").when(F.startswith("short_name", F.lit("3")), "ev_route").when(C("f"), "foreign")
     return ops.drop_reasons(t.select("route_id", reason.alias("reason")).where("reason is not null"))
 
@@ -151,7 +153,7 @@ def join_trip_routes(spark, d):
     from linienwerk.functions.line import route_bucket
 
     r = view(spark, d, "fx_routes").withColumn("bucket", route_bucket(C("route_type"))).where("bucket <> 'ferry'")
-    return view(spark, d, "fx_trips").join(F.broadcast(r), "route_id").select("trip_id", "short_name", "agency_id", "service_id", "route_id")
+    return view(spark, d, "fx_trips").join(r, "route_id").select("trip_id", "short_name", "agency_id", "service_id", "route_id")
 
 
 @query("fx_stops", "select stop_id id, stop_name as name, uic, lon, lat from fx_stops union all select 'u' || uic, arg_min(stop_name, cast(stop_id as int)), uic, arg_min(lon, cast(stop_id as int)), arg_min(lat, cast(stop_id as int)) from fx_stops group by uic")
@@ -161,19 +163,21 @@ def stop_meta(spark, d):
     return s.unionByName(first)
 
 
-@query("fx_footpaths", "select from_id, count(*) n from fx_footpaths where from_id in (select cast(s_suppkey as varchar) from supplier where s_suppkey % 3 = 0) group by from_id")
+@query("fx_footpaths fx_stops", """with done as (select cast(s_suppkey as varchar) id from supplier where s_acctbal > 0) select 'kept' kind, from_id, count(*) n from fx_footpaths where from_id in (select id from done) group by from_id
+ union all select 'todo', stop_id, 0 from fx_stops where stop_id not in (select id from done)""")
 def resume_matrix(spark, d):
-    done = view(spark, d, "fx_stops").where(C("stop_id").cast("int") % 3 == 0).select(C("stop_id").alias("from_id"))
-    return view(spark, d, "fx_footpaths").join(done, "from_id", "left_semi").groupBy("from_id").agg(F.count("*").alias("n"))
+    done = view(spark, d, "supplier").where("s_acctbal > 0").select(C("s_suppkey").cast("string").alias("from_id"))
+    kept, todo = ops.resume_matrix(done, view(spark, d, "fx_footpaths"), view(spark, d, "fx_stops").select(C("stop_id").alias("from_id")))
+    kept = kept.groupBy("from_id").agg(F.count("*").alias("n")).select(F.lit("kept").alias("kind"), "from_id", "n")
+    return kept.unionByName(todo.select(F.lit("todo").alias("kind"), "from_id", F.lit(0).cast("long").alias("n")))
 
 
-@query("", "select o_custkey share_id, min(o_orderkey) first from orders group by 1")
+@query("", """with o as (select o_custkey share_id, o_orderkey v, o_orderstatus = 'F' old from orders), e as (select share_id, max(v) v from o where old group by 1), i as (select share_id, min(v) v from o where not old group by 1)
+select share_id, v from e union all select share_id, v from i where share_id not in (select share_id from e)""")
 def upsert_shares(spark, d):
-    o = view(spark, d, "orders").select(C("o_custkey").alias("share_id"), C("o_orderkey").alias("first"))
-    old = o.where("first % 2 = 0").groupBy("share_id").agg(F.min("first").alias("first"))
-    new = o.groupBy("share_id").agg(F.min("first").alias("first"))
-    kept = old.join(new, ["share_id", "first"], "left_semi")
-    return kept.unionByName(new.join(kept, "share_id", "left_anti"))
+    o = view(spark, d, "orders").select(C("o_custkey").alias("share_id"), C("o_orderkey").alias("v"), (C("o_orderstatus") == "F").alias("old"))
+    old = o.where("old").groupBy("share_id").agg(F.max("v").alias("v"))
+    return ops.upsert_shares(old, o.where("not old").select("share_id", "v"), "share_id", C("v"))
 
 
 @query("", "select o_orderkey id from orders where o_orderstatus <> 'F'")

@@ -45,8 +45,8 @@ VIEWS = {
  from (select *, cast(row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity,l_shipdate) as bigint) seq from {lineitem}) s join {orders} o on o.o_orderkey = s.l_orderkey""",
     "fx_itineraries": """select itin, query_id, case when query_id % 2 = 0 then 'leave' else 'arrive' end mode, min(t0) start_s, max(t1) end_s, max(t1) - min(t0) duration_s,
  sum(case when mode = 'WALK' then t1 - t0 else 0 end) walk_s, sum(case when mode <> 'WALK' then 1 else 0 end) boardings from {fx_legs} group by itin, query_id""",
-    "fx_footpaths": """select a.stop_id from_id, b.stop_id to_id, cast((cast(a.stop_id as bigint) * 31 + cast(b.stop_id as bigint) * 17) % 9000 as bigint) duration_s
- from {fx_stops} a join {fx_stops} b on a.stop_id <> b.stop_id and (cast(a.stop_id as bigint) + cast(b.stop_id as bigint)) % 4 = 0""",
+    "fx_footpaths": """select distinct from_id, to_id, cast((cast(from_id as bigint) * 31 + cast(to_id as bigint) * 17) % 9000 as bigint) duration_s
+ from (select stop_id from_id, lead(stop_id) over (partition by trip_id order by seq) to_id from {fx_stop_times}) x where to_id is not null and from_id <> to_id""",
     "fx_transfers": """select o_custkey % 97 from_route, o_custkey % 89 to_route, case when o_orderkey % 3 = 0 then o_orderkey end from_trip, case when o_orderkey % 5 = 0 then o_orderkey + 3 end to_trip from {orders} where o_orderkey % 7 = 0""",
     "fx_places": """select p_partkey place_id, p_name name, p_brand category, p_type kind, cast(5.5 as double) + cast(p_partkey*29 % 560 as double)/cast(100 as double) lon,
  cast(45.5 as double) + cast(p_partkey*41 % 260 as double)/cast(100 as double) lat from {part}""",

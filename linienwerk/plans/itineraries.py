@@ -98,9 +98,10 @@ def itinerary_fingerprint(spark, d):
     return ops.itinerary_fingerprint(view(spark, d, "fx_legs")).select("itin", "fp")
 
 
-@query("fx_legs", "select itin from (select distinct itin from fx_legs)")
+@query("fx_legs", """with p as (select itin, coalesce(string_agg(case when mode <> 'WALK' then concat_ws('|', mode, t0, t1, route_id, from_stop, to_stop) end, '||' order by seq), 'walk|' || round(sum(t1 - t0) / 60.0)::bigint) payload from fx_legs group by 1)
+select itin, lpad(printf('%x', list_reduce(list_prepend(5381::bigint, list_transform(string_split(payload, ''), lambda c: ascii(c)::bigint)), lambda a, c: (a * 33 + c) % 4294967296)), 8, '0') fp from p""")
 def share_fingerprint(spark, d):
-    return ops.share_fingerprint(view(spark, d, "fx_legs")).where("length(fp) = 8").select("itin")
+    return ops.share_fingerprint(view(spark, d, "fx_legs")).select("itin", "fp")
 
 
 @query("fx_legs fx_itineraries", f"""with {FP}, one as (select query_id, fp, min(itin) itin from fx_itineraries join fps using (itin) group by 1, 2), src as (select * from fx_itineraries where itin in (select itin from one)), {kept('src')}, {CAP.replace('{src}', 'kept')}, {TOTALS}, {WAIT}, {LEVELS.replace('{src}', 'capped')}
@@ -153,10 +154,15 @@ def dedup_places(spark, d):
     return p.groupBy("query", "name").agg(F.min("place_id").alias("place_id"))
 
 
-@query("fx_legs fx_lines", "select itin, seq, coalesce(a.colour, b.colour, '#888') colour from fx_legs l left join fx_lines a on a.line_id = l.route_id and l.route_id < 60 left join fx_lines b on b.line_id = l.route_id - 60")
+LEG_KEYS = "k as (select itin, seq, mode, case seq % 3 when 0 then 'ch_' || route_id when 1 then cast(route_id as varchar) else 'zz_x' || route_id end rid from fx_legs), c as (select case when line_id % 2 = 0 then 'ch_' || line_id else cast(line_id as varchar) end rid, colour from fx_lines)"
+
+
+@query("fx_legs fx_lines", f"""with {LEG_KEYS} select itin, seq, coalesce(a.colour, b.colour, case mode when 'RAIL' then '#eb0000' when 'TRAM' then '#00a0a0' when 'BUS' then '#f0b000' end, '#888888') colour
+from k left join c a on a.rid = k.rid left join c b on b.rid = regexp_replace(k.rid, '^[a-z]+_', '')""")
 def leg_colour(spark, d):
-    c = view(spark, d, "fx_lines")
-    exact = F.broadcast(c.where("line_id < 60").select(C("line_id").alias("a"), C("colour").alias("ca")))
-    bare = F.broadcast(c.select((C("line_id") + 60).alias("b"), C("colour").alias("cb")))
-    j = view(spark, d, "fx_legs").join(exact, C("route_id") == C("a"), "left").join(bare, C("route_id") == C("b"), "left")
-    return j.select("itin", "seq", F.coalesce("ca", "cb", F.lit("#888")).alias("colour"))
+    k = view(spark, d, "fx_legs")
+    r = C("route_id").cast("string")
+    legs = k.select("itin", "seq", "mode", F.when(C("seq") % 3 == 0, F.concat(F.lit("ch_"), r)).when(C("seq") % 3 == 1, r).otherwise(F.concat(F.lit("zz_x"), r)).alias("route_key"))
+    i = C("line_id").cast("string")
+    colours = view(spark, d, "fx_lines").select(F.when(C("line_id") % 2 == 0, F.concat(F.lit("ch_"), i)).otherwise(i).alias("route_key"), "colour")
+    return ops.leg_colour(legs, colours, {"RAIL": "#eb0000", "TRAM": "#00a0a0", "BUS": "#f0b000"}, "#888888")

@@ -100,11 +100,11 @@ def line_key(spark, d):
     return view(spark, d, "fx_lines").select(text.line_key(C("ref"), C("agency_id"), C("mode"), C("route_type")).alias("key"))
 
 
-@query("fx_access_log", "select event_id, regexp_matches(line, '(?i)bot|crawl|spider|curl') bot from fx_access_log")
+@query("fx_access_log", """select event_id, regexp_matches(regexp_extract(line, '"([^"]*)"$', 1), '(?i)bot|crawl|spider|slurp|preview|scan|monitor|probe|python|curl|wget|headless|go-http|okhttp|zgrab|censys') bot from fx_access_log""")
 def is_bot(spark, d):
     from linienwerk.operators.usage import is_bot as bot
 
-    return view(spark, d, "fx_access_log").select("event_id", bot(C("line")).alias("bot"))
+    return view(spark, d, "fx_access_log").select("event_id", bot(F.regexp_extract("line", '"([^"]*)"$', 1)).alias("bot"))
 
 
 @query("fx_places", "select place_id, name from fx_places where category not in ('Brand#3', 'Brand#5') and not (category = 'Brand#7' and kind = 'SMALL') and lon between 5.93 and 10.52 and lat between 45.8 and 47.83")
@@ -263,9 +263,11 @@ def distance_decay(spark, d):
     return view(spark, d, "fx_stations").select("uic", F.round(trip.distance_decay((C("lon") - 5) * 10), 6).alias("s"))
 
 
-@query("fx_lines", "select line_id, round(case mode when 'train' then 100 when 'metro' then 500 / 6.0 when 'tram' then 400 / 6.0 when 'bus' then 50 when 'mountain' then 200 / 6.0 when 'ferry' then 100 / 6.0 else 0 end, 6) m, 0.0::double t from fx_lines")
+@query("fx_lines", "select line_id, round(case mode when 'train' then 100 when 'metro' then 500 / 6.0 when 'tram' then 400 / 6.0 when 'bus' then 50 when 'mountain' then 200 / 6.0 when 'ferry' then 100 / 6.0 else 0 end, 6) m, round(case when line_id % 13 = 12 then 0 else 100 * (11 - line_id % 13) / 11.0 end, 6)::double t from fx_lines")
 def mode_score(spark, d):
-    return view(spark, d, "fx_lines").select("line_id", F.round(line.mode_score(C("mode")), 6).alias("m"), line.tier_score(C("ref")).alias("t"))
+    names = "major_train main_train important_train train_station small_train major_mountain ferry_stop mountain_stop major_hub big_station normal_stop small_bus other".split()
+    tier = F.get(F.array(*[F.lit(x) for x in names]), (C("line_id") % 13).cast("int"))
+    return view(spark, d, "fx_lines").select("line_id", F.round(line.mode_score(C("mode")), 6).alias("m"), F.round(line.tier_score(tier), 6).alias("t"))
 
 
 @query("fx_stop_times", "select trip_id, substr(sha256(string_agg(stop_id, ',' order by stop_id)), 1, 8) id from (select distinct trip_id, stop_id from fx_stop_times) group by trip_id")
@@ -273,17 +275,17 @@ def content_id(spark, d):
     return view(spark, d, "fx_stop_times").groupBy("trip_id").agg(F.collect_set("stop_id").alias("s")).select("trip_id", trip.content_id(C("s")).alias("id"))
 
 
-@query("", "select o_custkey % 97 route_id, count(*) n from orders group by 1")
+@query("", """with r as (select o_custkey route_id, count(*) n from orders group by 1)
+select route_id, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(route_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 8 shard from r""")
 def shard_of(spark, d):
-    o = view(spark, d, "orders").select((C("o_custkey") % 97).alias("route_id"))
-    shards = o.withColumn("shard", F.crc32(C("route_id").cast("string").cast("binary")) % 8).repartition(8, "shard")
-    return shards.groupBy("shard", "route_id").agg(F.count("*").alias("n")).select("route_id", "n")
+    r = view(spark, d, "orders").groupBy(C("o_custkey").alias("route_id")).agg(F.count("*").alias("n"))
+    return r.withColumn("shard", trip.shard_of(C("route_id"), 8))
 
 
-@query("fx_itineraries", "select itin from fx_itineraries")
+@query("fx_itineraries", """with h as (select itin, sha256(concat_ws('|', itin::varchar, query_id::varchar, 'x')) h from fx_itineraries)
+select itin, list_aggregate(list_transform(range(8), lambda k: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', ('0x' || substr(h, 2 * k + 1, 2))::int % 62 + 1, 1)), 'string_agg', '') id from h""")
 def share_id(spark, d):
-    i = view(spark, d, "fx_itineraries").withColumn("id", trip.share_id(C("itin").cast("string"), C("query_id").cast("string"), F.lit("x")))
-    return i.where(C("id").rlike("^[0-9A-Za-z]{8}$")).select("itin")
+    return view(spark, d, "fx_itineraries").select("itin", trip.share_id(C("itin").cast("string"), C("query_id").cast("string"), F.lit("x")).alias("id"))
 
 
 del query

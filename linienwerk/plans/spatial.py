@@ -97,7 +97,7 @@ def nearby_lines(spark, d):
     return near.join(s, ["uic", "line_id"], "left_anti").groupBy("uic").agg(F.count("*").alias("n"))
 
 
-FLAGS = f"f as (select a.line_id, a.seq, exists (select 1 from fx_stations b where cast(b.uic as int) % 3 = 0 and {D} <= 15007) flag from fx_line_stops a)"
+FLAGS = f"f as (select a.line_id, a.seq, exists (select 1 from fx_stations b where {D} <= 4007) flag from fx_line_stops a)"
 
 
 @query("fx_line_stops fx_stations", f"""with {FLAGS}, x as (select *, max(flag::int) over (partition by line_id order by seq rows between 1 preceding and 1 following) g from f),
@@ -105,14 +105,14 @@ y as (select *, case when g = 1 and coalesce(lag(g) over (partition by line_id o
 select line_id, run::bigint run, min(seq) "from", max(seq) "to" from z where g = 1 group by 1, 2 having min(seq) < max(seq)""")
 def clip_runs(spark, d):
     v = view(spark, d, "fx_line_stops").select("line_id", "seq", "lon", "lat")
-    near = ops.grid_join(v, view(spark, d, "fx_stations").where(C("uic").cast("int") % 3 == 0).select("lon", "lat"), 15007.0).select("line_id", "seq").distinct().withColumn("flag", F.lit(True))
+    near = ops.grid_join(v, view(spark, d, "fx_stations").select("lon", "lat"), 4007.0).select("line_id", "seq").distinct().withColumn("flag", F.lit(True))
     return ops.clip_runs(v.join(near, ["line_id", "seq"], "left").withColumn("flag", F.coalesce("flag", F.lit(False))), "line_id")
 
 
 @query("fx_line_stops fx_stations", f"with {FLAGS} select line_id, count(*) n from f where flag group by 1")
 def clip_to_buffers(spark, d):
     v = view(spark, d, "fx_line_stops").select("line_id", "seq", "lon", "lat")
-    near = ops.grid_join(v, view(spark, d, "fx_stations").where(C("uic").cast("int") % 3 == 0).select("lon", "lat"), 15007.0)
+    near = ops.grid_join(v, view(spark, d, "fx_stations").select("lon", "lat"), 4007.0)
     return near.select("line_id", "seq").distinct().groupBy("line_id").agg(F.count("*").alias("n"))
 
 
@@ -135,21 +135,20 @@ def sample_polyline(spark, d):
     return ops.sample_polyline(view(spark, d, "fx_line_stops"), "line_id", 20000.0).select("line_id", "i", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query("fx_line_stops fx_stations", f"""with {SEG}, p as (select uic, lon px, lat py from fx_stations), j as (select p.*, g.*, cos(radians(46.8)) k from p join g on m1 is not null),
+@query("fx_line_stops fx_stations", f"""with {SEG}, p as (select distinct x.line_id l_id, s.uic, s.lon px, s.lat py from fx_line_stops x join fx_stations s using (uic)), j as (select p.*, g.*, cos(radians(46.8)) k from p join g on g.line_id = l_id and m1 is not null),
 t as (select *, case when pow((x1 - lon) * k, 2) + pow(y1 - lat, 2) > 0 then greatest(0.0, least(1.0, ((px - lon) * k * (x1 - lon) * k + (py - lat) * (y1 - lat)) / (pow((x1 - lon) * k, 2) + pow(y1 - lat, 2)))) else 0 end t from j),
 e as (select *, {plan('px', 'py', '(lon + t * (x1 - lon))', '(lat + t * (y1 - lat))')} dd from t)
 select uic, line_id, round(min_by(m + t * (m1 - m), (round(dd, 6), seq)), 2) t_m, round(min_by(dd, (round(dd, 6), seq)), 2) dist_m from e group by 1, 2""")
 def project_on_line(spark, d):
-    lines = view(spark, d, "fx_line_stops").select("line_id").distinct()
-    pts = view(spark, d, "fx_stations").select("uic", "lon", "lat").join(F.broadcast(lines))
+    pts = view(spark, d, "fx_line_stops").select("line_id", "uic").distinct().join(view(spark, d, "fx_stations").select("uic", "lon", "lat"), "uic")
     p = ops.project_on_line(pts, view(spark, d, "fx_line_stops"), "uic", "line_id")
     return p.select("uic", "line_id", F.round("t_m", 2).alias("t_m"), F.round("dist_m", 2).alias("dist_m"))
 
 
-@query("", """with r as (select s_suppkey id, s_suppkey * 7.0 % 50 cx, s_suppkey * 3.0 % 40 cy, 2.2 + s_suppkey % 5 r from supplier where s_suppkey % 4 = 1),
+@query("", """with r as (select s_suppkey id, s_suppkey * 7.0 % 50 cx, s_suppkey * 3.0 % 40 cy, 2.2 + s_suppkey % 5 r from supplier),
 c as (select unnest(range(-10, 70)) x), g as (select a.x, b.x y from c a, c b) select distinct g.x cx, g.y cy from r join g on abs(g.x + 0.5 - r.cx) + abs(g.y + 0.5 - r.cy) < r.r""")
 def rasterise_polygons(spark, d):
-    s = view(spark, d, "supplier").where("s_suppkey % 4 = 1")
+    s = view(spark, d, "supplier")
     x, y, r = C("s_suppkey") * 7.0 % 50, C("s_suppkey") * 3.0 % 40, 2.2 + C("s_suppkey") % 5
     pts = F.array(F.struct((x - r).alias("x"), y.alias("y")), F.struct(x.alias("x"), (y - r).alias("y")), F.struct((x + r).alias("x"), y.alias("y")), F.struct(x.alias("x"), (y + r).alias("y")))
     rings = s.select(C("s_suppkey").alias("id"), F.posexplode(pts).alias("seq", "p")).select("id", "seq", "p.x", "p.y")
@@ -178,9 +177,24 @@ def geometry_centre(spark, d):
     return g.select("id", mid("lon"), mid("lat"))
 
 
-@query("fx_stops fx_stations", f"select stop_id, round({D} / 1000, 6) km from (select * from fx_stops) a join fx_stations b using (uic) where {D} > 20007")
-def snap_platforms(spark, d):
-    from linienwerk.functions.geo import planar_m
+PLATFORMS = """pl as (select cast(p_partkey % 25 as varchar) uic, case when p_partkey % 2 = 0 then cast(p_partkey % 7 as varchar) || 'AB' else cast(p_partkey % 5 as varchar) end ref, lon + (p_partkey % 11 - 5) * 0.0006 lon, lat + (p_partkey % 13 - 6) * 0.0004 lat from part join fx_stations on uic = cast(p_partkey % 25 as varchar)),
+idn as (select stop_id, uic, cast(cast(stop_id as bigint) % 5 as varchar) track, case when cast(stop_id as bigint) % 3 = 0 then cast(cast(stop_id as bigint) % 7 as varchar) || 'AB' end sector from fx_stops)"""
+
 
-    s = view(spark, d, "fx_stops").join(view(spark, d, "fx_stations").select("uic", C("lon").alias("x"), C("lat").alias("y")), "uic").withColumn("m", planar_m(C("lon"), C("lat"), C("x"), C("y"), 46.8))
-    return s.where("m > 20007").select("stop_id", F.round(C("m") / 1000, 6).alias("km"))
+@query("fx_stops fx_stations", f"""with {PLATFORMS}, c as (select stop_id, uic, sector ref, 0 r from idn where sector is not null union all select stop_id, uic, track, 1 from idn),
+s as (select x.stop_id, x.lon, x.lat, coalesce(a.lon, x.lon) ax, coalesce(a.lat, x.lat) ay from fx_stops x left join fx_stations a on a.uic = x.uic and cast(x.stop_id as bigint) % 8 <> 0),
+j as (select s.stop_id, pl.lon px, pl.lat py, r, sqrt(pow((ax - pl.lon) * 111320 * cos(radians(ay)), 2) + pow((ay - pl.lat) * 111320, 2)) m from s join c using (stop_id) join pl using (uic, ref)),
+b as (select stop_id, arg_min(px, (r, m, px, py)) px, arg_min(py, (r, m, px, py)) py from j where m < 250 group by 1)
+select stop_id, round(coalesce(px, lon), 6) lon, round(coalesce(py, lat), 6) lat, px is not null snapped from s left join b using (stop_id)""")
+def snap_platforms(spark, d):
+    from linienwerk.operators.feed import snap_platforms as snap
+
+    k = C("stop_id").cast("long")
+    st = view(spark, d, "fx_stations").select("uic", "lon", "lat")
+    stops = view(spark, d, "fx_stops").select("stop_id", F.when(k % 8 != 0, C("uic")).alias("parent"), "lon", "lat")
+    identity = view(spark, d, "fx_stops").select("stop_id", "uic", (k % 5).cast("string").alias("track"), F.when(k % 3 == 0, F.concat((k % 7).cast("string"), F.lit("AB"))).alias("sector"))
+    p = C("p_partkey")
+    ref = F.when(p % 2 == 0, F.concat((p % 7).cast("string"), F.lit("AB"))).otherwise((p % 5).cast("string"))
+    platforms = view(spark, d, "part").select((p % 25).cast("string").alias("uic"), ref.alias("ref"), p.alias("p")).join(st, "uic").select("uic", "ref", (C("lon") + (C("p") % 11 - 5) * 0.0006).alias("lon"), (C("lat") + (C("p") % 13 - 6) * 0.0004).alias("lat"))
+    out = snap(stops, identity, platforms, st.withColumnRenamed("uic", "parent"))
+    return out.select("stop_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "snapped")

@@ -69,4 +69,4 @@ def resolve_place_tokens(spark, d):
     n = (F.regexp_extract("request", r"fromPlace=ch_Parent(\d+)", 1).cast("long") % 40).cast("string")
     t = p.select(F.concat(F.lit("u:"), n).alias("token")).distinct()
     s = view(spark, d, "fx_stations").select(F.concat(F.lit("u:"), "uic").alias("token"), "name")
-    return t.join(F.broadcast(s), "token", "left").select("token", F.coalesce("name", F.substr("token", F.lit(3))).alias("name"))
+    return t.join(s, "token", "left").select("token", F.coalesce("name", F.substr("token", F.lit(3))).alias("name"))

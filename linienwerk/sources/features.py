@@ -83,6 +83,11 @@ def sink_lookup(df: DataFrame, key: str, path: str) -> None:
     df.repartitionByRange(max(1, df.sparkSession.sparkContext.defaultParallelism), key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
+def sink_lookup_json(df: DataFrame, key: str, path: str) -> None:
+    """A keyed lookup as JSON, a record a line, in the order of its keys over all files."""
+    df.repartitionByRange(max(1, df.sparkSession.sparkContext.defaultParallelism), key).sortWithinPartitions(key).write.mode("overwrite").json(path)
+
+
 SHARE = "struct<v:int, fingerprint:string, `from`:struct<type:string, uic:string, lat:double, lon:double>, `to`:struct<type:string, uic:string, lat:double, lon:double>, itinerary:struct<startTime:string, endTime:string, legs:array<struct<mode:string, startTime:string, endTime:string>>>, legColors:array<string>>"
 
 
@@ -102,6 +107,20 @@ def strip_legs(legs: Column) -> Column:
     return F.transform(legs, lambda leg: leg.dropFields("legGeometry", "intermediateStops"))
 
 
+def strip_itinerary(origin: Column, target: Column, legs: Column) -> tuple[Column, Column, Column]:
+    """What is shared of a journey: endpoints ``(type, uic, lat, lon)`` and bare legs ``(…, from (lat, lon), to (lat, lon))``.
+
+    An endpoint that was the place of the user then is that of the first leg's
+    start or the last one's end.
+    """
+
+    def fixed(e: Column, place: Column) -> Column:
+        here = F.struct(F.lit("point").alias("type"), F.lit(None).cast("string").alias("uic"), place["lat"].alias("lat"), place["lon"].alias("lon"))
+        return F.when(e["type"] == "current", here).otherwise(e)
+
+    return fixed(origin, F.get(legs, F.lit(0))["from"]), fixed(target, F.get(legs, F.size(legs) - 1)["to"]), strip_legs(legs)
+
+
 def merge_lines_json(a: Column, b: Column) -> Column:
     """The union of two JSON lists of lines by name and mode."""
     kind = "array<struct<ref:string,mode:string>>"
