@@ -1,8 +1,8 @@
 """The shared folder of a job: where intermediate tables and written files go.
 
 Everything that must outlive a lost executor is written below
-``spark.checkpoint.dir``. Only where that setting is unset (tests) a folder of
-the local machine is taken.
+``spark.checkpoint.dir``. Only where that setting is unset and the session runs
+in one process (tests) a folder of the local machine is taken.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="linienwerk-")
