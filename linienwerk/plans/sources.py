@@ -34,7 +34,7 @@ def hilbert_order(spark, d):
 @query("")
 def spatial_batches(spark, d):
     """Batches within each range of the curve; a batch's name has its range."""
-    p = hilbert(view(spark, d, "fx_buildings")).repartitionByRange(4, "key").sortWithinPartitions("key", "id").withColumn("part", F.spark_partition_id())
+    p = hilbert(view(spark, d, "fx_buildings")).repartitionByRange("key").sortWithinPartitions("key", "id").withColumn("part", F.spark_partition_id())
     return p.mapInArrow(greedy.spatial_batches_rows(50, 50000.0), "id long, lon double, lat double, key long, part int, batch long").select("id", F.concat_ws("-", "part", "batch").alias("batch"))
 
 
@@ -50,8 +50,8 @@ def cluster_stops_greedy(spark, d):
 @query("")
 def dedup_overlapping(spark, d):
     b = view(spark, d, "fx_line_stops").groupBy("line_id").agg(F.count("*").alias("n"), F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("nn"))
-    j = b.join(view(spark, d, "fx_lines").select("line_id", "mode"), "line_id")
-    return j.groupBy("mode").applyInArrow(greedy.kept_features(0.65), "line_id long")
+    j = b.join(view(spark, d, "fx_lines").select("line_id", "ref"), "line_id")
+    return j.groupBy("ref").applyInArrow(greedy.kept_features(0.65), "line_id long")
 
 
 @query("")
