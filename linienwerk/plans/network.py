@@ -126,7 +126,7 @@ def unique_stop_rescue(spark, d):
     return ops.unique_stop_rescue(v, s, view(spark, d, "fx_stops").select(C("stop_id").alias("uic"), "lon", "lat"), 30011.0)
 
 
-SERVICE = """t as (select route_id % 30 line_id, 'E' || trip_id % 3 a, 'E' || trip_id % 2 b, dep0 dep, 1 + service_id % 4 runs, service_id % 9 + 1 as days, service_id from fx_trips where service_id % 5 = 1), g as (select line_id, a, b, sum(runs) runs, max(days) as days, min(dep) f, max(dep) l from t group by 1, 2, 3),
+SERVICE = """t as (select route_id % 30 line_id, 'E' || trip_id % 3 a, 'E' || trip_id % 2 b, dep0 dep, 1 + service_id % 4 runs, service_id % 9 + 1 as days, service_id from fx_trips), g as (select line_id, a, b, sum(runs) runs, max(days) as days, min(dep) f, max(dep) l from t group by 1, 2, 3),
 gp as (select line_id, a, b, dep - lag(dep) over (partition by line_id, a, b order by dep) gap from (select distinct line_id, a, b, dep from t)), rk as (select *, row_number() over (partition by line_id, a, b order by gap) k, count(*) over (partition by line_id, a, b) n from gp where gap is not null),
 odd as (select line_id, a, b, max(gap) > greatest(3 * max(case when k = n // 2 + 1 then gap end), 5400) odd from rk where n >= 3 group by 1, 2, 3), j as (select g.*, odd, runs / days::double rpd from g left join odd using (line_id, a, b)),
 s as (select line_id, least(a, b) end_a, greatest(a, b) end_b, round(max(rpd), 1) rpd, coalesce(arg_max(odd, (round(rpd, 9), a)), false) irregular, round(avg(f))::bigint dep0, round(avg(l))::bigint dep1 from j group by 1, 2, 3),
@@ -135,7 +135,7 @@ wd as (select line_id, least(a, b) end_a, greatest(a, b) end_b, [max(case when s
 
 @query("fx_trips", f"with {SERVICE} select s.*, list_aggregate([case when c[i] > 0 and c[i] * 2 >= list_max(c) then '1' else '0' end for i in range(1, 8)], 'string_agg', '') as days from s join wd using (line_id, end_a, end_b)")
 def service_summary(spark, d):
-    t = view(spark, d, "fx_trips").where("service_id % 5 = 1").select((C("route_id") % 30).alias("line_id"), F.concat(F.lit("E"), (C("trip_id") % 3).cast("string")).alias("a"), F.concat(F.lit("E"), (C("trip_id") % 2).cast("string")).alias("b"), C("dep0").alias("dep"), (1 + C("service_id") % 4).alias("runs"), (C("service_id") % 9 + 1).alias("days"), *[F.when(C("service_id") % 7 == k, 1 + C("service_id") % 4).otherwise(0).alias(f"wd{k}") for k in range(7)])
+    t = view(spark, d, "fx_trips").select((C("route_id") % 30).alias("line_id"), F.concat(F.lit("E"), (C("trip_id") % 3).cast("string")).alias("a"), F.concat(F.lit("E"), (C("trip_id") % 2).cast("string")).alias("b"), C("dep0").alias("dep"), (1 + C("service_id") % 4).alias("runs"), (C("service_id") % 9 + 1).alias("days"), *[F.when(C("service_id") % 7 == k, 1 + C("service_id") % 4).otherwise(0).alias(f"wd{k}") for k in range(7)])
     return ops.service_summary(t, t)
 
 
