@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from linienwerk.operators import feed, lines, network, places, service, stops, trips
+from linienwerk.operators import feed, lines, network, piers, places, service, stops, trips
 
 
 def rows(df):
@@ -98,3 +98,14 @@ def test_directions(spark):
     # from b: to D (C lies on the way), to A, and to E; b is where the fourth begins
     assert got["b"] == "D ↔ A ↔ E ↔ B" and got["a"] == "D ↔ A" and got["c"] == "D ↔ A ↔ C" and "e" not in got
     assert places.directions_from_station(v.limit(0), n).count() == 0
+
+
+def test_pier_status(spark):
+    p = spark.createDataFrame([("a", 7.0, 47.0), ("a", 7.0, 47.0), ("n", None, 1.0), ("e", 8.0, 47.0), ("t", 9.0, 47.0)], "pier string, lon double, lat double")
+    # both lines of a end at one vertex; those of t are 76 m apart
+    v = [("a", 1, 1, 7.0005, 47.0), ("a", 1, 2, 7.1, 47.0), ("a", 2, 1, 7.1, 47.0), ("a", 2, 2, 7.0005, 47.0), ("a", 2, 3, None, None), ("t", 1, 1, 9.0005, 47.0), ("t", 2, 1, 8.9995, 47.0), ("t", 1, 1, 9.0005, 47.0)]
+    v = spark.createDataFrame(v, "pier string, line_id long, seq int, lon double, lat double")
+    for others, status in ([(7.01, 47.0)], "suppressed"), ([(6.99, 47.0)], "split"), ([(6.0, 47.0), (None, 1.0)], "split"), ([], "split"):
+        o = spark.createDataFrame(others, "lon double, lat double")
+        assert rows(piers.pier_status(p, v, o)) == [("a", status, 7.0005, 47.0), ("e", "collapsed", 8.0, 47.0), ("t", "diverged", 9.0005, 47.0)]
+    assert rows(piers.pier_status(p.limit(0), v.limit(0), o)) == []
