@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from linienwerk.llm.centroids import cluster_vectors
 from linienwerk.llm.chat import format_chat, masked_text, parse_chat
 from linienwerk.llm.common import table
 from linienwerk.llm.embed_dedup import embedding_duplicates
@@ -14,6 +15,7 @@ from linienwerk.llm.packing import pack_documents
 from linienwerk.llm.quality_rules import quality_rules
 from linienwerk.llm.rule_ensemble import classify_quality
 from linienwerk.llm.suffix_dedup import dedup_repeats
+from linienwerk.llm.token_counts import count_tokens
 from linienwerk.llm.token_records import read_token_records, write_token_records
 from linienwerk.llm.warc import read_warc, write_warc
 from linienwerk.shared import fresh_dir
@@ -73,13 +75,41 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_itq, op2_warc_writer, op3_source_mix, op4_token_records, op5_dart_minhash, op6_quality_divergence, op7_balanced_packing, op8_chat_format, op9_rule_ensemble, op10_suffix_repeats)}
+def op12_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op13_ns_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_itq, op2_warc_writer, op3_source_mix, op4_token_records, op5_dart_minhash, op6_quality_divergence, op7_balanced_packing, op8_chat_format, op9_rule_ensemble, op10_suffix_repeats, op12_whole_tokens, op13_ns_centroids)}
 
 #: The components of links as SQL, for a table ``links(a, b)`` of both directions and ``nodes(id)``.
 _COMPONENTS = """reach(id, other) as (select id, id from nodes union select r.id, l.b from reach r join links l on l.a = r.other),
 comp as (select id, min(other) component from reach group by id)"""
 
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's method as SQL, a search of all centroids in each round."""
+    parts = [
+        """raw as (select vec_id, list_transform(embedding, lambda v: v::double) e from embeddings where len(embedding) = 64),
+v as materialized (select row_number() over () r, vec_id, list_transform(e, lambda v: floor(256 * v)::bigint) x from raw where len(list_filter(e, lambda v: v is not null and isfinite(v))) = 64)""",
+        f"c0 as materialized (select (row_number() over (order by sha256('2:' || vec_id) nulls last, x) - 1)::int cluster, x from v qualify cluster < {k})",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"""a{t} as materialized (select r, min(row(d, cluster)) b from (select r, cluster, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::bigint d from v, c{t} c) group by r)""")
+        if t < rounds:
+            parts.append(f"""m{t} as (select cluster, list(y order by i) x from (select cluster, i, floor(sum(y)::double / count(*))::bigint y from (select b[2] cluster, unnest(v.x) y, unnest(range(1, 65)) i from a{t} join v using (r)) group by all) group by cluster),
+c{t + 1} as materialized (select cluster, coalesce(m.x, c.x) x from c{t} c left join m{t} m using (cluster))""")
+    last = f"""select vec_id, b[2]::int "cluster", b[1]::bigint distance, (sum(b[1]) over (partition by b[2]))::bigint cluster_inertia, (sum(b[1]) over ())::bigint inertia,
+sha256(list_aggregate(list_transform(c.x, lambda y: y::varchar), 'string_agg', ',')) centroid_sha256 from a{rounds} join v using (r) join c{rounds} c on c.cluster = b[2]"""
+    return "with " + ",\n".join(parts) + "\n" + last
+
+
 ORACLE_SQL = {
+    "op13_ns_centroids": _centroid_sql(),
     "op1_embedding_itq": f"""with recursive nodes as (select vec_id id, embedding::double[] e from embeddings),
 pairs as (select x.id a, y.id b from nodes x join nodes y on x.id < y.id and list_cosine_similarity(x.e, y.e) >= 0.9),
 links as (select a, b from pairs union all select b, a from pairs), {_COMPONENTS}
