@@ -39,7 +39,7 @@ def first_centroids(rows: DataFrame, k: int, seed: str) -> np.ndarray:
     """The vectors with the smallest sha256 of ``seed:vec_id``, at most ``k``; equal ids by components, null ids last."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     top = rows.withColumn("h", h).orderBy(F.col("h").asc_nulls_last(), "x").limit(k).collect()
-    return np.array([r["x"] for r in top], np.int64).reshape(len(top), -1)
+    return np.array([r["x"] for r in top], np.int64)
 
 
 def moved(history: list[np.ndarray]) -> np.ndarray:

@@ -16,6 +16,7 @@ from linienwerk.llm.quality_rules import quality_rules
 from linienwerk.llm.rule_ensemble import classify_quality
 from linienwerk.llm.suffix_dedup import dedup_repeats
 from linienwerk.llm.token_counts import count_tokens
+from linienwerk.llm.token_links import link_tokens
 from linienwerk.llm.token_records import read_token_records, write_token_records
 from linienwerk.llm.warc import read_warc, write_warc
 from linienwerk.shared import fresh_dir
@@ -75,6 +76,10 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -83,7 +88,7 @@ def op13_ns_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_itq, op2_warc_writer, op3_source_mix, op4_token_records, op5_dart_minhash, op6_quality_divergence, op7_balanced_packing, op8_chat_format, op9_rule_ensemble, op10_suffix_repeats, op12_whole_tokens, op13_ns_centroids)}
+QUERIES = {f.__name__: f for f in (op1_embedding_itq, op2_warc_writer, op3_source_mix, op4_token_records, op5_dart_minhash, op6_quality_divergence, op7_balanced_packing, op8_chat_format, op9_rule_ensemble, op10_suffix_repeats, op11_token_links, op12_whole_tokens, op13_ns_centroids)}
 
 #: The components of links as SQL, for a table ``links(a, b)`` of both directions and ``nodes(id)``.
 _COMPONENTS = """reach(id, other) as (select id, id from nodes union select r.id, l.b from reach r join links l on l.a = r.other),

@@ -32,7 +32,7 @@ class Shortcut:
     added: tuple[str, ...]
 
 
-def _letters() -> str:
+def byte_letters() -> str:
     """Byte-level vocabularies write printable bytes as themselves, and the others, in order, from code point 256 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     rest = iter(range(256, 512))
@@ -61,7 +61,7 @@ def prove(path: str) -> Shortcut:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation(), tokenizer.no_padding()
     added = tuple(t["content"] for t in spec["added_tokens"])
-    byte = {c: b for b, c in enumerate(_letters())}
+    byte = {c: b for b, c in enumerate(byte_letters())}
     texts = []
     for token in spec["model"]["vocab"]:
         try:

@@ -22,7 +22,7 @@ _RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 #: Runs that are words of their own where white space is dropped: Latin letters, and signs.
 _RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,!?;:|*$%&#<>()/=+-]+")
 
-_LOADED: dict[tuple[str, str], "PieceEncoder"] = {}
+_LOADED: dict[tuple[str, str, bool], "PieceEncoder"] = {}
 
 
 class PieceEncoder:
@@ -31,14 +31,16 @@ class PieceEncoder:
     ``cut='byte'``: a byte-level vocabulary whose words take their leading
     space; ``cut='word'``: one that drops white space; ``cut='none'``: every
     text is encoded whole, as is one that holds an added token's string, which
-    the library makes one id.
+    the library makes one id, unless ``special`` is false: such strings are then
+    plain text.
     """
 
-    def __init__(self, path: str, cut: str, max_pieces: int = 350_000):
+    def __init__(self, path: str, cut: str, max_pieces: int = 350_000, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = not special
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if special]
         self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         #: The longest part of each added token that has no case; searching for it is fast.
         self.hints = {max(re.split(r"[^\W\d_]+", t.content), key=len) for t in self.tokenizer.get_added_tokens_decoder().values()}
@@ -52,11 +54,11 @@ class PieceEncoder:
             self.sizes[k], self.ends[k] = len(token), token.endswith("</w>")
 
     @classmethod
-    def of(cls, path: str, cut: str) -> "PieceEncoder":
+    def of(cls, path: str, cut: str, special: bool = True) -> "PieceEncoder":
         """One encoder for a Python worker, kept between its tasks."""
-        if (path, cut) not in _LOADED:
-            _LOADED[path, cut] = cls(path, cut)
-        return _LOADED[path, cut]
+        if (path, cut, special) not in _LOADED:
+            _LOADED[path, cut, special] = cls(path, cut, special=special)
+        return _LOADED[path, cut, special]
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text as little-endian integers of ``self.dtype``."""
