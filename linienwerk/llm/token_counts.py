@@ -10,6 +10,7 @@ go through the merges, each of them once for a bounded cache.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,7 +80,9 @@ _READY: dict[str, "Counter"] = {}
 class Counter:
     """Counts tokens of texts with a proved shortcut; one for a Python worker and vocabulary."""
 
-    def __init__(self, path: str, shortcut: Shortcut, max_rest: int = 200_000, window: int = 1 << 18):
+    def __init__(self, path: str, shortcut: Shortcut, max_rest: int = 400_000, window: int = 1 << 18):
+        # Spark's tasks take all cores; threads of the library would only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cut, self.window, self.max_rest = Tokenizer.from_file(path), regex.compile(PATTERN), window, max_rest

@@ -8,6 +8,7 @@ Texts where a cut isn't certain are encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str, cut: str, max_pieces: int = 350_000, special: bool = True):
+        # Spark's tasks take all cores; threads of the library would only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
