@@ -70,12 +70,13 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     role, text = parse_turn(F.col("piece"))
     back = F.col("raw") | ((role == F.col("role")) & (text == F.col("text")))
     t = t.withColumn("piece", F.when(F.coalesce(back, F.lit(False)), F.col("piece")).otherwise(F.raise_error(F.lit("a turn isn't read back as it was"))))
-    turn = F.struct("turn", "role", "text", "piece", (F.length(F.lit(HEAD + COLON)) + F.length("r")).alias("lead"), F.length("x").alias("n"), F.length("piece").alias("all"))
+    # where a turn begins is a running sum, so that a conversation of many turns isn't copied turn by turn
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int"))
+    turn = F.struct("turn", "role", "text", "piece", "at", (F.length(F.lit(HEAD + COLON)) + F.length("r")).alias("lead"), F.length("x").alias("n"))
     c = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    c = c.withColumn("formatted", F.array_join(F.transform("t", lambda x: x["piece"]), ""))
-    # running lengths: one pass that carries the place and appends each span
-    ends = F.aggregate("t", F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<role:string,start:int,length:int,loss:boolean>>").alias("s")), lambda a, x: F.struct((a["at"] + x["all"]).alias("at"), F.concat(a["s"], F.array(F.struct(x["role"].alias("role"), (a["at"] + x["lead"]).alias("start"), x["n"].alias("length"), (x["role"] == loss_role).alias("loss")))).alias("s")))
-    return c.select("conv_id", F.size("t").cast("long").alias("n_turns"), "formatted", ends["s"].alias("spans"))
+    spans = F.transform("t", lambda x: F.struct(x["role"].alias("role"), (x["at"] + x["lead"] + 1).alias("start"), x["n"].alias("length"), (x["role"] == loss_role).alias("loss")))
+    return c.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"), spans.alias("spans"))
 
 
 def parse_chat(formatted: Column) -> Column:
@@ -90,5 +91,10 @@ def parse_chat(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: unescape(F.substr(formatted, s["start"], s["length"]))), "")
+    """The text under the loss mask, unescaped, in order. In code of four bytes each a place is found without reading what stands before it."""
+
+    def said(x: Column) -> Column:
+        part = lambda s: unescape(F.decode(F.substr(x["code"], s["start"] * 4 - 3, s["length"] * 4), "UTF-32"))
+        return F.array_join(F.transform(F.filter(x["spans"], lambda s: s["loss"]), part), "")
+
+    return F.transform(F.array(F.struct(F.encode(formatted, "UTF-32").alias("code"), spans.alias("spans"))), said)[0]

@@ -157,9 +157,8 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: flo
     smallest hash of vec_id.
 
     Vectors of one length are compared with each other, whatever lengths there
-    are; of a length with up to ``block`` different vectors all are. Vectors
-    that are null, empty, zero, or hold null or non-finite components link with
-    nothing. Of repeated rows of a vec_id the smallest vector counts. A null
+    are, each length with tables of its own. Vectors that are null, empty, zero,
+    or hold null or non-finite components link with nothing. Of repeated rows of a vec_id the smallest vector counts. A null
     vec_id comes back with 0 links and no component. Other columns are ignored;
     an empty table gives no rows.
     """
@@ -177,7 +176,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: flo
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     tables: dict[int, _Tables] = {}
-    for dim, count in equal.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") > block).collect():
+    for dim, count in equal.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").collect():
         bits = min(dim, max(4, math.ceil(math.log2(count / 8))))
         sample = np.array([r[0] for r in reps.where(F.col("d") == dim).orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("e").collect()])
         tables[dim] = _Tables(*learn_tables(unit(sample), bits, threshold, recall), bits)

@@ -160,48 +160,50 @@ def hub_pairs(members: DataFrame) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The members of each two blocks."""
-    for t, cuts in whole_groups(batches, ("key", "i", "j")):
+    """The members of each block, with those that visit it."""
+    for t, cuts in whole_groups(batches, ("key", "block")):
         for a, e in zip(cuts, np.append(cuts[1:], len(t)), strict=True):
             yield t.slice(a, e - a)
 
 
 def _sides(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """For members of two blocks, one against the other: a member, and those of the other side and another label. Pairs that are seen from one end are enough, so members of the commonest label aren't taken."""
-    own, label = t.column("own").to_numpy(), t.column("label").to_numpy()
-    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-    names, count = np.unique(label, return_counts=True)
-    common = names[count.argmax()]
-    for side, other in ((i, j), (j, i))[: 1 if i == j else 2]:
-        right = np.flatnonzero(own == other)
-        for at in np.flatnonzero((own == side) & (label != common)):
-            some = right[label[right] != label[at]]
-            if len(some):
-                yield int(at), some
+    """For a block: each visitor, and the residents of another label. Two that both visit blocks are seen once, by the one with the smaller id."""
+    role, label, ids = t.column("role").to_numpy(), t.column("label").to_numpy(), t.column("id").to_numpy()
+    here = np.flatnonzero(role != _VISITOR)
+    for at in np.flatnonzero(role != _RESIDENT):
+        some = here[(label[here] != label[at]) & ((role[here] == _RESIDENT) | (ids[here] > ids[at]))]
+        if len(some):
+            yield int(at), some
 
 
 def _by_blocks(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """Runs a function over the rows, those of two blocks of a bucket together."""
+    """Runs a function over the rows, those of a block of a bucket together."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+    return rows.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(run, schema)
 
 
-_MARKED = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("id", pa.int64()), ("label", pa.int64())])
+#: What a row stands for in a block: a member of the bucket's commonest label, which stays in its own block; another
+#: member in a foreign block; such a member in its own block, which also stays there for the others to meet.
+_RESIDENT, _VISITOR, _BOTH = 0, 1, 2
+_MARKED = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("role", pa.int32()), ("id", pa.int64()), ("label", pa.int64())])
 
 
 def crossing_members(members: DataFrame, reps: DataFrame, least: int, block: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
-    """``(key, id, c, bytes, label) → (key, i, j, own, id, label)``: members of a bucket that agree in ``least`` coordinates with one of another label.
+    """``(key, id, c, bytes, label) → (key, block, role, id, label)``: members of a bucket that agree in ``least`` coordinates with one of another label.
 
     Buckets of one label alone have nothing to tell. A bucket of more than
-    ``block`` members or ``block_bytes`` bytes of text is cut into blocks, and
-    each two blocks ``i <= j`` are compared for themselves. Members come once
-    for each two blocks, pairs aren't made.
+    ``block`` members or ``block_bytes`` bytes of text is cut into blocks.
+    Members of its commonest label stay in their own; only the others, as a
+    rule few, are sent to all blocks and meet who stays there. Pairs aren't made.
     """
-    mixed = members.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+    labels = members.groupBy("key", "label").agg(F.count("*").alias("of"))
+    mixed = labels.groupBy("key").agg(F.max_by("label", F.struct("of", -F.col("label"))).alias("common"), F.count("*").alias("labels")).where("labels > 1").select("key", "common")
     n = F.ceil(F.greatest(F.col("c") / block, F.col("bytes") / block_bytes)).cast("int")
-    placed = members.join(mixed, "key", "left_semi").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    spread = placed.join(reps.select("id", "sig"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "sig")
+    placed = members.join(mixed, "key").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    stays = F.col("label") == F.col("common")
+    blocks = F.when(stays, F.array("own")).otherwise(F.sequence(F.lit(0), F.col("n") - 1))
+    role = F.when(stays, _RESIDENT).when(F.col("block") == F.col("own"), _BOTH).otherwise(_VISITOR)
+    spread = placed.withColumn("block", F.explode(blocks)).select("key", "block", role.alias("role"), "id", "label").join(reps.select("id", "sig"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
@@ -214,13 +216,13 @@ def crossing_members(members: DataFrame, reps: DataFrame, least: int, block: int
             if near.any():
                 yield from t.filter(pa.array(near)).select(_MARKED.names).combine_chunks().cast(_MARKED).to_batches()
 
-    return _by_blocks(spread, run, "key long, i int, j int, own int, id long, label long")
+    return _by_blocks(spread, run, "key long, block int, role int, id long, label long")
 
 
 def crossing_links(marked: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """``crossing_members`` and texts ``(id, text) → links (a < b)`` that join their labels as far as similar texts do.
 
-    The similarity of a member with all others of two blocks is worked out at
+    The similarity of a visitor with all residents of a block is worked out at
     once, from an index of their shingles. Of the links found only those are
     given that join labels which earlier ones didn't: fewer than members.
     """

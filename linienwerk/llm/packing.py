@@ -7,10 +7,12 @@ Documents, dearest first, go to the cheapest sequence that still has room.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from linienwerk.llm.common import total_bytes
@@ -51,14 +53,24 @@ def assign(lengths: list[int], limit: int, linear: float, quadratic: float) -> l
     return out
 
 
+def _mixed(*numbers: int) -> int:
+    """A hash of whole numbers whose upper bits are well spread."""
+    h = 0
+    for n in numbers:
+        h = (h ^ n & 0xFFFFFFFFFFFFFFFF) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 29
+    return h >> 20
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, cut: str = "word", end_id: int = 2, limit: int = 4096, linear: float = 1.0, quadratic: float = 1 / 4096, group_bytes: int = 8 << 20) -> DataFrame:
     """``(doc_id, text) → pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids)``.
 
     ``ids`` are little-endian unsigned 32-bit integers. Each document is its ids
     and ``end_id``. What a document has beyond a multiple of ``limit`` is packed
     among others of its group; its full parts are sequences of their own. Parts
-    are dealt by hash to groups of about ``group_bytes`` of text, so that a
-    group fits in a task at any size of the table; groups are packed for
+    are dealt by a hash of id, place and ids to groups of about ``group_bytes``
+    of text, so that a group fits in a task at any size of the table, also where
+    many rows are equal or have no id; groups are packed for
     themselves and leave no padding, as their last tokens fill sequences whose
     length is a power of two. ``limit`` is a power of two.
 
@@ -66,13 +78,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, cut: str = "word", end_id: i
     rows are packed as often as they occur; other columns are ignored; an empty
     table gives no rows.
     """
-    n_groups = max(1, -(-total_bytes(docs, "text") // group_bytes))
+    # a row without a text still has its end id
+    n_groups = max(1, -(-(total_bytes(docs, "text") + 8 * docs.count()) // group_bytes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = PieceEncoder.of(tokenizer, cut)
         end, width = np.asarray([end_id], enc.dtype).tobytes(), enc.dtype.itemsize * limit
-        rows: list[tuple] = []
-        size = 0
+        # equal rows, and rows without an id, are told apart by where they stand
+        rows, size, seen = [], 0, TaskContext.get().partitionId() << 40
 
         def flush() -> pa.RecordBatch:
             c = list(zip(*rows, strict=True)) or [[]] * 5
@@ -84,7 +97,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, cut: str = "word", end_id: i
                 n = len(ids) // enc.dtype.itemsize
                 for at in range(0, len(ids), width):
                     start = at // enc.dtype.itemsize
-                    rows.append((doc, start, n, ((doc or 0) * 0x9E3779B97F4A7C15 + start * 0xC2B2AE3D27D4EB4F + n >> 20) % n_groups, ids[at : at + width]))
+                    rows.append((doc, start, n, _mixed(doc or 0, start, n, zlib.crc32(ids[at : at + width]), seen) % n_groups, ids[at : at + width]))
+                    seen += 1
                 size += len(ids)
                 if size > 4 << 20:
                     yield flush()

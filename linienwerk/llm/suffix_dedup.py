@@ -505,6 +505,16 @@ def repeat_groups(docs: DataFrame, width: int = 100, bucket_bytes: int = 1 << 20
     return first.unionByName(more).unionByName(whole)
 
 
+def _numbered(docs: DataFrame, name: str, stash: Stash) -> DataFrame:
+    """``docs + name``: whole numbers in the order of doc_id and the text's SHA-1, alike for equal rows; null for a null doc_id."""
+    sha = unused(docs, "sha")
+    rows = docs.withColumn(sha, F.sha1(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    # ranges, each sorted, and written: numbers that rise with the partition and the place in it follow the order
+    keys = rows.where("doc_id is not null").select("doc_id", sha).distinct().repartitionByRange("doc_id", sha).sortWithinPartitions("doc_id", sha)
+    keys = stash.put(keys.withColumn(name, F.monotonically_increasing_id()))
+    return rows.join(keys, ["doc_id", sha], "left").drop(sha)
+
+
 def dedup_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     """``docs → docs' columns + (bytes, spans, kept)``: texts without their later repeats.
 
@@ -515,17 +525,19 @@ def dedup_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
 
     A null text is empty; a text shorter than ``width`` is kept; null doc_ids
     take no part and are kept; rows that repeat a doc_id and its text count
-    once and come back alike, with another text they raise ValueError; an empty
-    table gives no rows. Columns named bytes, spans or kept are replaced.
+    once and come back alike; different texts of one doc_id are documents of
+    their own, in the order of their SHA-1; an empty table gives no rows.
+    Columns named bytes, spans or kept are replaced.
     """
     spark = docs.sparkSession
     stash = Stash(spark, "repeats")
     own = [c for c in docs.columns if c not in ("bytes", "spans", "kept")]
     twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("n > 1")
-    clash, any_twice = twice.agg(F.max(F.col("a") != F.col("b")), F.count("*")).first()
-    if clash:
-        raise ValueError("a doc_id stands for two texts")
-    texts = docs.select("doc_id", "text")
+    # texts that are null and others count as different
+    clash, any_twice = twice.agg(F.max(~F.col("a").eqNullSafe(F.col("b"))), F.count("*")).first()
+    num = unused(docs, "num")
+    rows = _numbered(docs, num, stash) if clash else docs.withColumn(num, F.col("doc_id"))
+    texts = rows.select(F.col(num).alias("doc_id"), "text")
     spans = covered_spans(texts.dropDuplicates(["doc_id"]) if any_twice else texts, width)
     by = Window.partitionBy("doc_id").orderBy("start", "length")
     reach = F.max(F.col("start") + F.col("length")).over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -535,8 +547,8 @@ def dedup_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     merged = merged.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", (F.col("end") - F.col("start")).alias("length")))).alias("spans"))
     merged = stash.put(merged)
     stash.drop(spans)
-    d = docs.select(*own, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"))
-    out = d.join(merged, d["doc_id"] == merged[key], "left").drop(key)
+    d = rows.select(*own, num, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"))
+    out = d.join(merged, d[num] == merged[key], "left").drop(key, num)
     out = out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,length:bigint>>")))
     return out.withColumn("kept", kept_bytes(F.col("bytes"), F.col("spans")))
 
