@@ -78,67 +78,6 @@ def hilbert_key(x, y, order: int = 16):
     return d
 
 
-def spatial_batches_rows(most: int, span_m: float) -> Callable:
-    """Reads points in order; a new batch begins after ``most`` rows or when the box of a batch would be wider than ``span_m``."""
-    import math
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, n, box = -1, most, None
-        for b in batches:
-            out = []
-            for lon, lat in zip(b.column("lon").to_pylist(), b.column("lat").to_pylist(), strict=True):
-                wide = (min(lon, box[0]), min(lat, box[1]), max(lon, box[2]), max(lat, box[3])) if box else (lon, lat, lon, lat)
-                if n >= most or math.hypot((wide[2] - wide[0]) * 111320 * math.cos(math.radians(46.8)), (wide[3] - wide[1]) * 111320) > span_m:
-                    k, n, wide = k + 1, 0, (lon, lat, lon, lat)
-                box, n = wide, n + 1
-                out.append(k)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "batch"])
-
-    return run
-
-
-def clusters_of_component(radius_m: float) -> Callable:
-    """Groups the stops of one component: each takes the first cluster whose seed is within the radius and that shares no line with it."""
-    import math
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("stop_id", "lon", "lat", "lines")), strict=True))
-        seeds: list[list] = []
-        out = []
-        for sid, lon, lat, lines in rows:
-            for s in seeds:
-                if math.hypot((lon - s[1]) * 111320 * math.cos(math.radians(46.8)), (lat - s[2]) * 111320) < radius_m and not s[3] & set(lines):
-                    s[3] |= set(lines)
-                    out.append((sid, s[0]))
-                    break
-            else:
-                seeds.append([sid, lon, lat, set(lines)])
-                out.append((sid, sid))
-        return pa.table({"stop_id": [x for x, _ in out], "cluster": [c for _, c in out]})
-
-    return run
-
-
-def kept_features(share: float) -> Callable:
-    """Of the lines of one name, those with most vertices first: a line goes if its box covers ``share`` of the smaller of it and a kept one."""
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("n", "line_id", "w", "s", "e", "nn")), strict=True), key=lambda r: (-r[0], r[1]))
-        kept: list[tuple] = []
-        for r in rows:
-            _, _, w, s, e, n = r
-            for _, _, w2, s2, e2, n2 in kept:
-                shared = max(0.0, min(e, e2) - max(w, w2)) * max(0.0, min(n, n2) - max(s, s2))
-                least = min((e - w) * (n - s), (e2 - w2) * (n2 - s2))
-                if least > 0 and shared / least >= share:
-                    break
-            else:
-                kept.append(r)
-        return pa.table({"line_id": [r[1] for r in kept]})
-
-    return run
-
-
 def accepted_stations(min_km: float) -> Callable:
     """Stations of one line by importance, each unless an accepted one is nearer than ``min_km``."""
     import math

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from linienwerk.plans.fixtures import sql_views
 
-MODULES = ("scalars", "usage", "feed", "service", "spatial", "lines", "itineraries", "stops", "sources", "network", "files", "places", "piers")
+MODULES = ("scalars", "usage", "feed", "service", "spatial", "lines", "itineraries", "stops", "sources", "network", "files", "places", "piers", "rounds")
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}

@@ -6,8 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from linienwerk.operators import greedy, spatial
-from linienwerk.operators.graph import connected_components
+from linienwerk.operators import greedy
 from linienwerk.plans.fixtures import view
 from linienwerk.plans.registry import query
 
@@ -31,29 +30,6 @@ def hilbert_order(spark, d):
     return hilbert(view(spark, d, "fx_buildings")).select("id", "key")
 
 
-@query("")
-def spatial_batches(spark, d):
-    """Batches within each range of the curve; a batch's name has its range."""
-    p = hilbert(view(spark, d, "fx_buildings")).repartitionByRange("key").sortWithinPartitions("key", "id").withColumn("part", F.spark_partition_id())
-    return p.mapInArrow(greedy.spatial_batches_rows(50, 50000.0), "id long, lon double, lat double, key long, part int, batch long").select("id", F.concat_ws("-", "part", "batch").alias("batch"))
-
-
-@query("")
-def cluster_stops_greedy(spark, d):
-    s = view(spark, d, "fx_stops").withColumn("id", C("stop_id").cast("long"))
-    lines = view(spark, d, "fx_line_stops").groupBy("stop_id").agg(F.collect_set("line_id").alias("lines"))
-    comp = connected_components(spatial.cluster_edges(s, "id", 9000.0).select(C("a").alias("src"), C("b").alias("dst")), s)
-    j = s.join(lines, "stop_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<bigint>"))).join(comp, "id").select("component", "stop_id", "lon", "lat", "lines")
-    return j.groupBy("component").applyInArrow(greedy.clusters_of_component(9000.0), "stop_id string, cluster string")
-
-
-@query("")
-def dedup_overlapping(spark, d):
-    b = view(spark, d, "fx_line_stops").groupBy("line_id").agg(F.count("*").alias("n"), F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("nn"))
-    j = b.join(view(spark, d, "fx_lines").select("line_id", "ref"), "line_id")
-    return j.groupBy("ref").applyInArrow(greedy.kept_features(0.65), "line_id long")
-
-
 @query("")
 def importance_greedy(spark, d):
     s = view(spark, d, "fx_line_stops").select("line_id", "uic", "lon", "lat", (C("uic").cast("int") * 7 % 11).alias("points")).dropDuplicates(["line_id", "uic"])
