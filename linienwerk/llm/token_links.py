@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,8 @@ class PieceModel:
         import sentencepiece
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.cache, self.max_words = {}, max_words
+        self.cache: dict[str, bytes] = {}
+        self.max_words = max_words
         pieces = [m.id_to_piece(k) for k in range(m.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces) or m.encode("a  b ", out_type=str) != ["▁a", "▁", "▁b", "▁"]:
             raise ValueError("pieces may go on over a space, or white space is changed")
@@ -74,15 +76,16 @@ class PieceModel:
         if len(self.cache) > self.max_words:
             self.cache = {}
         words = [t[1:].split(" ") if "  " not in t else [w[1:] for w in re.findall(" +[^ ]*", t)] for t in texts]
-        new = {w for ws in words for w in ws}.difference(self.cache)
+        new = set().union(*words).difference(self.cache)
         short = [w for w in new if 0 < len(w) <= 1 << 16]
-        found = dict(zip(short, (np.asarray(x, "<i4").tobytes() for x in self.model.encode(short, num_threads=1)), strict=True))
-        found |= {w: np.asarray(self._long(w), "<i4").tobytes() for w in new if len(w) > 1 << 16}
-        if "" in new:
-            found[""] = np.asarray([self.space], "<i4").tobytes()
-        self.cache |= {w: x for w, x in found.items() if len(w) <= 256}
-        get = lambda w: self.cache[w] if w in self.cache else found[w]
-        return [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in words]
+        self.cache.update(zip(short, [array("i", x).tobytes() for x in self.model.encode(short, num_threads=1)], strict=True))
+        long = [w for w in new if len(w) > 256]
+        self.cache |= {w: array("i", self._long(w)).tobytes() for w in long if len(w) > 1 << 16}
+        self.cache[""] = array("i", [self.space]).tobytes()
+        out = [np.frombuffer(b"".join(map(self.cache.__getitem__, ws)), np.intc) for ws in words]
+        for w in long:
+            del self.cache[w]
+        return out
 
     def _long(self, word: str) -> list[int]:
         """A very long word, cut between characters that no piece has side by side; a line feed, which is no piece, keeps the first off the word's start."""
@@ -123,26 +126,25 @@ class Aligner:
         return cls._loaded[path_a, path_b]
 
     def side(self, ids: list[np.ndarray], size: pa.Array, place: str) -> pa.Table:
-        """``(part, id, end, place)`` of every token: its part, the byte where it ends there, and its number."""
+        """``(part, id, end, place)`` of every token: its part, that part and the byte where it ends there, and its number."""
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
         flat, part = pc.list_flatten(lists), pc.list_parent_indices(lists)
         total = pc.cumulative_sum(size.take(flat))
         # within a part: less what the parts before it have
         starts = np.cumsum([0, *(len(x) for x in ids)])[:-1]
         before = pc.subtract(total, size.take(flat)).take(pa.array(np.minimum(starts, max(len(flat) - 1, 0))))
-        return pa.table({"part": part.cast(pa.int32()), "id": flat, "end": pc.subtract(total, before.take(part)), place: pa.array(np.arange(len(flat), dtype=np.int32))})
+        return pa.table({"part": part.cast(pa.int32()), "id": flat, "end": pc.add(pc.shift_left(part.cast(pa.int64()), 40), pc.subtract(total, before.take(part))), place: pa.array(np.arange(len(flat), dtype=np.int32))})
 
     def align(self, texts: list[str]) -> tuple[list[dict | None], pa.Table]:
         """For each part its figures, or None where its tokens don't give its bytes; and ``(part, a, b, m)``: links and how often they occur."""
         raw = [t.encode() for t in texts]
         ids_a, ids_b = [np.frombuffer(x, self.a.dtype) for x in self.a.many(texts)], self.b.many(texts)
-        same = [_joined(self.bytes_a, x, r) and _joined(self.bytes_b, y, r) for x, y, r in zip(ids_a, ids_b, raw, strict=True)]
-        fit = [k for k, ok in enumerate(same) if ok]
+        fit = np.flatnonzero(_same(self.bytes_a, ids_a, raw) & _same(self.bytes_b, ids_b, raw)).tolist()
         if not fit:
             return [None] * len(texts), _NO_LINKS
         ids_a, ids_b = [ids_a[k] for k in fit], [ids_b[k] for k in fit]
         a, b = self.side(ids_a, self.size_a, "i"), self.side(ids_b, self.size_b, "j")
-        both = a.select(["part", "end", "i"]).join(b.select(["part", "end", "j"]), ["part", "end"], join_type="inner", use_threads=False)
+        both = a.select(["end", "i"]).join(b.select(["end", "j"]), "end", join_type="inner", use_threads=False)
         ga, gb = _groups(both["i"], len(a)), _groups(both["j"], len(b))
         na, nb = np.bincount(ga), np.bincount(gb)
         last_a, last_b = np.cumsum(na), np.cumsum(nb)
@@ -165,11 +167,12 @@ class Aligner:
 _NO_LINKS = pa.table({"part": pa.array([], pa.int32()), "pair": pa.array([], pa.int64()), "m": pa.array([], pa.int64())})
 
 
-def _joined(tokens: pa.Array, ids: np.ndarray, raw: bytes) -> bool:
-    """Whether the tokens' bytes, one after another, are those given."""
-    found = tokens.take(pa.array(ids.astype(np.int32)))
-    _, ends, data = found.buffers()
-    return len(ids) > 0 and memoryview(data).cast("B")[: np.frombuffer(ends, np.int32)[len(ids)]] == raw
+def _same(tokens: pa.Array, ids: list[np.ndarray], raw: list[bytes]) -> np.ndarray:
+    """Of each part whether its tokens' bytes, one after another, are its own."""
+    _, offsets, data = tokens.take(pa.array(np.concatenate(ids).astype(np.int32))).buffers()
+    ends = np.frombuffer(offsets, np.int32)[np.cumsum([0, *map(len, ids)])].tolist() if data is not None else [0] * (len(ids) + 1)
+    joined = memoryview(data).cast("B") if data is not None else memoryview(b"")
+    return np.array([e > s and joined[s:e] == r for s, e, r in zip(ends[:-1], ends[1:], raw, strict=True)])
 
 
 def _groups(closing: pa.ChunkedArray, n: int) -> np.ndarray:
