@@ -77,25 +77,12 @@ class PieceEncoder:
         """The ids of each text; what none of them has met is encoded together."""
         if len(self.cache) > self.max_pieces:
             self.cache, self.old = {}, self.cache
-        get, new, out = self.cache.get, set(), []
-        for text in texts:
-            pieces = self._pieces(text or "")
-            if pieces is None:
-                out.append(self._whole(text or ""))
-                continue
-            found = list(map(get, pieces))
-            holes = [k for k, x in enumerate(found) if x is None] if None in found else ()
-            new.update([pieces[k] for k in holes])
-            out.append((pieces, found, holes))
+        cut = [self._pieces(text or "") for text in texts]
+        new = set().union(*[p for p in cut if p is not None]).difference(self.cache)
         if new := self._unknown(new):
             self._learn(new)
-        for n, x in enumerate(out):
-            if type(x) is tuple:
-                pieces, found, holes = x
-                for k in holes:
-                    found[k] = get(pieces[k])
-                out[n] = b"".join(found)
-        return out
+        get = self.cache.__getitem__
+        return [self._whole(t or "") if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
 
     def _pieces(self, text: str) -> list[str] | None:
         """Parts that the pre-tokenizer certainly cuts apart; in a byte-level vocabulary each but the first had a space before it."""
@@ -150,8 +137,9 @@ class PieceEncoder:
 
     def _learn_words(self, new: set[str]) -> list[str]:
         """Runs of Latin letters and runs of signs are words of their own; an id that ends a word ends its run."""
-        cache, parts, runs, rest = self.cache, {}, set(), []
-        for p in new:
+        cache, parts, rest = self.cache, {}, []
+        runs = {p for p in new if p.isascii() and p.isalpha()}
+        for p in new.difference(runs):
             found = _RUN.findall(p)
             if sum(map(len, found)) == len(p):
                 parts[p] = found
