@@ -46,7 +46,7 @@ def zoom_gating(lines: DataFrame, edges: DataFrame, base: DataFrame, first: int
     for z in range(first, last + 1):
         drawn = F.coalesce("level", "candidate") <= z
         state = stash.put(_joined(state.withColumn("drawn", drawn), both, stash))
-        main = state.where("drawn and in_base").agg(F.min("label")).first()[0]
+        main, rest = state.agg(F.min(F.when(F.col("drawn") & F.col("in_base"), F.col("label"))), F.max(~F.col("drawn"))).first()
         if main is None:
             continue
         state = state.withColumn("level", F.when(F.col("drawn") & (F.col("label") == F.lit(main)) & F.col("level").isNull(), z).otherwise(F.col("level")))
@@ -54,7 +54,9 @@ def zoom_gating(lines: DataFrame, edges: DataFrame, base: DataFrame, first: int
         waiting = stash.put(waiting.select("label", "weight", "n"))
         # a line that isn't drawn has a candidate above this level, and so costs a waiting component one or more of what it has to give
         most = waiting.agg(F.max(z * F.col("n") - F.col("weight"))).first()[0]
-        if most is None or some_without and most < 0 or not some_without and most < 1:
+        if not rest or most is None or some_without and most < 0 or not some_without and most < 1:
+            if not rest:  # no line is left that a later level could bring
+                break
             state = stash.put(state)
             continue
         bridges = stash.put(_bridges(state, both, main, waiting, None if some_without else most, stash))

@@ -186,20 +186,39 @@ def strip_itinerary(spark, d):
     return t.select("itin", C("a.type").alias("from_type"), C("a.uic").alias("from_uic"), F.round("a.lat", 6).alias("from_lat"), C("b.type").alias("to_type"), F.round("b.lat", 6).alias("to_lat"), F.size("legs").alias("n"), F.lit(fields).alias("fields"))
 
 
-def _streamed(spark, df: DataFrame, job) -> DataFrame:
-    """What a job gives for the table's rows as a stream of files, once all are read."""
+def _streamed(spark, df: DataFrame, job, ts: str | None = None, batches: int = 4) -> DataFrame:
+    """What a job gives for the table's rows as a stream of files, once all are read; with ``ts`` in micro-batches, one for each stretch of time."""
     src, out = fresh_dir(spark, "stream-in"), fresh_dir(spark, "stream-out")
-    df.write.parquet(src)
-    live = job(spark.readStream.schema(df.schema).parquet(src))
+    if ts is None:
+        df.write.parquet(src)
+    else:
+        a, b = df.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+        cut = F.least(F.lit(batches - 1), F.floor((F.unix_micros(ts) - (a or 0)) * batches / (((b or 0) - (a or 0)) or 1)))
+        for k in range(batches):  # files are read in the order of their writing
+            df.where(cut == k).coalesce(1).write.mode("append").parquet(src)
+    reader = spark.readStream.schema(df.schema)
+    live = job((reader if ts is None else reader.option("maxFilesPerTrigger", 1)).parquet(src))
     live.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", fresh_dir(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(live.schema).parquet(out)
 
 
-@query("fx_access_log", """with p as (select strptime(regexp_extract(line, '\\[([^:]*):', 1), '%d/%b/%Y')::date as day, contains(line, 'Googlebot') bot from fx_access_log)
-select day, count(*) filter (not bot) hits, count(*) filter (not bot) plans, count(*) filter (bot) bots from p group by day having day <= (select max(day) - 2 from p)""")
+@query("fx_access_log", """with p as (select strptime(regexp_extract(line, '\\[([^:]*):', 1), '%d/%b/%Y')::date as day, contains(line, 'Googlebot') bot, split_part(line, ' ', 1) ip from fx_access_log)
+select day, count(*) filter (not bot) hits, count(*) filter (not bot) plans, count(distinct ip) filter (not bot) unique_ips, count(*) filter (bot) bots from p group by day having day <= (select max(day) - 2 from p)""")
 def stream_daily_access(spark, d):
     """Days that the watermark has closed; the batch twin counts them anew."""
-    return _streamed(spark, view(spark, d, "fx_access_log").select("line"), lambda s: jobs.stream_daily_access(s, "1 day")).select("day", "hits", "plans", "bots")
+    return _streamed(spark, view(spark, d, "fx_access_log").select("line"), lambda s: jobs.stream_daily_access(s, "1 day")).select("day", "hits", "plans", "unique_ips", "bots")
+
+
+@query("", """with recursive e as (select event_id, user_id, epoch_us(ts) t, row_number() over (partition by user_id order by ts, event_id) k from events),
+r(event_id, user_id, t, k, kept, accepted) as (select null::bigint, user_id, null::bigint, 0::bigint, []::bigint[], null::boolean from e group by user_id
+ union all select event_id, user_id, t, k, case when len(kept) < 2 then list_append(kept, t) else kept end, len(kept) < 2
+ from (select e.*, list_filter(r.kept, lambda x: x > e.t - 7200000000) kept from r join e on e.user_id = r.user_id and e.k = r.k + 1) n)
+select event_id, accepted from r where t < (select max(t) // 1000 * 1000 - 172800000000 from e)""")
+def stream_throttle(spark, d):
+    """Events that the watermark has passed, in four micro-batches."""
+    e = view(spark, d, "events").select("event_id", "user_id", C("ts").cast("timestamp").alias("ts"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return _streamed(spark, e, lambda s: jobs.stream_throttle(s, "user_id", "ts", 7200, 2, "2 days", ("event_id",)), "ts").select("event_id", "accepted")
 
 
 @query("", "select distinct user_id share_id from events")

@@ -50,7 +50,7 @@ VIEWS = {
     "fx_transfers": """select o_custkey % 97 from_route, o_custkey % 89 to_route, case when o_orderkey % 3 = 0 then o_orderkey end from_trip, case when o_orderkey % 5 = 0 then o_orderkey + 3 end to_trip from {orders} where o_orderkey % 7 = 0""",
     "fx_dots": """select p_partkey stop_id, case when p_size % 3 = 0 then 'rail' else 'other' end kind, cast(7.4 as double) + cast(p_partkey*7919 % 20011 as double)/cast(100000 as double) lon,
  cast(46.8 as double) + cast(p_partkey*104729 % 30011 as double)/cast(200000 as double) lat, p_partkey % 37 line_a, 100 + p_size % 41 line_b, p_partkey*31 % 97 score, p_size % 10 tier from {part}""",
-    "fx_network": """select c_custkey line_id, c_custkey * 7 % 10 + 4 candidate, c_custkey % 5 + 1 stations, c_mktsegment = 'BUILDING' intercity, case when c_custkey % 7 > 0 then (c_custkey - c_custkey % 2) / 2 end upper from {customer}""",
+    "fx_network": """select c_custkey line_id, c_custkey * 7 % 5 + 4 candidate, c_custkey % 5 + 1 stations, c_mktsegment = 'BUILDING' intercity, case when c_custkey % 7 > 0 then (c_custkey - c_custkey % 2) / 2 end upper from {customer}""",
     "fx_places": """select p_partkey place_id, p_name name, p_brand category, p_type kind, cast(5.5 as double) + cast(p_partkey*29 % 560 as double)/cast(100 as double) lon,
  cast(45.5 as double) + cast(p_partkey*41 % 260 as double)/cast(100 as double) lat from {part}""",
 }

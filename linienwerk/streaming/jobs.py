@@ -13,11 +13,16 @@ from linienwerk.operators.usage import parse_log
 
 
 def stream_daily_access(lines: DataFrame, late: str = "1 day") -> DataFrame:
-    """``line → (day, hits, plans, unique_ips, bots)`` for days that the watermark has closed; later lines are dropped, addresses are counted approximately."""
+    """``line → (day, hits, plans, unique_ips, bots)`` for days that the watermark has closed; later lines are dropped.
+
+    A first aggregation holds a row for each day and address that are still
+    open, a second one adds those of a day up, so addresses are counted exactly.
+    """
     p = parse_log(lines).withColumn("ts", F.col("day").cast("timestamp")).withWatermark("ts", late)
     man = ~F.col("bot")
-    g = p.groupBy(F.window("ts", "1 day")).agg(F.count_if(man).alias("hits"), F.count_if(man & F.col("plan")).alias("plans"), F.approx_count_distinct(F.when(man, F.col("ip"))).alias("unique_ips"), F.count_if(F.col("bot")).alias("bots"))
-    return g.select(F.col("window.start").cast("date").alias("day"), "hits", "plans", "unique_ips", "bots")
+    each = p.groupBy(F.window("ts", "1 day").alias("span"), "ip").agg(F.count_if(man).alias("hits"), F.count_if(man & F.col("plan")).alias("plans"), F.count_if(F.col("bot")).alias("bots"))
+    g = each.groupBy(F.window("span", "1 day").alias("span")).agg(F.sum("hits").alias("hits"), F.sum("plans").alias("plans"), F.count_if(F.col("hits") > 0).alias("unique_ips"), F.sum("bots").alias("bots"))
+    return g.select(F.col("span.start").cast("date").alias("day"), "hits", "plans", "unique_ips", "bots")
 
 
 def stream_create_once(creates: DataFrame, key: str = "share_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -32,31 +37,64 @@ def stream_latest_wins(queries: DataFrame, key: str, ts: str, value: str, gap: s
 
 
 class Throttle(StatefulProcessor):
-    """Keeps the accepted stamps of a key, at most ``most`` in a span of ``seconds``; rejected events leave none."""
+    """Keeps the accepted stamps of a key, at most ``most`` in a span of ``seconds``, and the events that the watermark hasn't passed.
+
+    Events are judged in the order of time when the watermark passes them, so
+    that it doesn't matter in which micro-batch they came. A timer stands for
+    the next event to judge, or else for the end of the last stamp, when
+    nothing of the key is kept any longer.
+    """
 
-    def __init__(self, ts: str, seconds: int, most: int):
-        self.ts, self.seconds, self.most = ts, seconds, most
+    def __init__(self, ts: str, seconds: int, most: int, waiting: StructType, tie: tuple[str, ...]):
+        self.ts, self.seconds, self.most, self.waiting_schema, self.tie = ts, seconds, most, waiting, tie
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stamps = handle.getListState("stamps", StructType([StructField("t", LongType())]), ttlDurationMs=None)
+        self.handle = handle
+        self.stamps = handle.getListState("stamps", StructType([StructField("t", LongType())]))
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            micros = pdf[self.ts].astype("datetime64[us]").astype("int64")
+            plain = pdf.assign(**{self.ts: micros})[self.waiting_schema.names]
+            self.waiting.appendList([tuple(None if pd.isna(x) else getattr(x, "item", lambda x=x: x)() for x in row) for row in plain.itertuples(index=False, name=None)])
+            self.handle.registerTimer(int(micros.min()) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         held = [x[0] for x in self.stamps.get()] if self.stamps.exists() else []
-        pdf = pd.concat(list(rows)).sort_values(self.ts, kind="stable")
-        out = []
-        for t in pdf[self.ts].astype("datetime64[us]").astype("int64"):
+        rows = pd.DataFrame([tuple(x) for x in self.waiting.get()] if self.waiting.exists() else [], columns=self.waiting_schema.names)
+        ready, rest = rows[rows[self.ts] < now].sort_values([self.ts, *self.tie], kind="stable"), rows[rows[self.ts] >= now]
+        said = []
+        for t in ready[self.ts].tolist():
             held = [x for x in held if x > t - self.seconds * 1_000_000]
-            out.append(len(held) < self.most)
-            if out[-1]:
+            said.append(len(held) < self.most)
+            if said[-1]:
                 held.append(t)
-        self.stamps.put([(int(x),) for x in held])
-        yield pdf.assign(accepted=out)
+        held = [x for x in held if x > now - self.seconds * 1_000_000]
+        self.waiting.clear()
+        self.stamps.clear()
+        if held:
+            self.stamps.put([(int(x),) for x in held])
+        if len(rest):
+            self.waiting.put([tuple(getattr(x, "item", lambda x=x: x)() for x in row) for row in rest.itertuples(index=False, name=None)])
+            self.handle.registerTimer(int(rest[self.ts].min()) // 1000 + 1)
+        elif held:
+            self.handle.registerTimer((held[-1] + self.seconds * 1_000_000) // 1000 + 1)
+        if len(ready):
+            yield ready.assign(**{self.ts: pd.to_datetime(ready[self.ts], unit="us"), "accepted": said})
 
     def close(self) -> None:
         pass
 
 
-def stream_throttle(events: DataFrame, key: str, ts: str, seconds: int = 60, most: int = 10) -> DataFrame:
-    """Events with ``accepted``; the state of a key is at most ``most`` stamps. Needs the RocksDB state store."""
+def stream_throttle(events: DataFrame, key: str, ts: str, seconds: int = 60, most: int = 10, late: str = "10 seconds", tie: tuple[str, ...] = ()) -> DataFrame:
+    """Events with ``accepted``, once the watermark has passed them; later ones are dropped. Equal times go by ``tie``, then as they came.
+
+    A key's state is at most ``most`` stamps and its events of the last
+    ``late``, and goes when both have run out. Needs the RocksDB state store.
+    """
+    waiting = StructType([StructField(f.name, LongType() if f.name == ts else f.dataType) for f in events.schema])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema) + ", accepted boolean"
-    return events.groupBy(key).transformWithStateInPandas(Throttle(ts, seconds, most), schema, outputMode="Append", timeMode="None")
+    return events.withWatermark(ts, late).groupBy(key).transformWithStateInPandas(Throttle(ts, seconds, most, waiting, tie), schema, outputMode="Append", timeMode="EventTime")
