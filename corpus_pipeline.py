@@ -79,6 +79,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stash = Stash(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = stash.put(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = stash.put(stage(spark, docs, sf_dir))
+        if k:  # what a stage has read goes once its own table is written
+            stash.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
