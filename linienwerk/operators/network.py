@@ -180,17 +180,36 @@ def arrival_skip(line_ends: DataFrame, line_stops: DataFrame, modes: tuple[str,
     return alone.union(shadowed).distinct()
 
 
-def resplit_groups(variants: DataFrame, frequency: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``variants (tg, variant_id long, station), frequency (variant_id, season, f) → (variant_id, group), (group, season, f)``.
+def resplit_groups(variants: DataFrame, frequency: DataFrame, groups: DataFrame, worst: Column, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``variants (tg, variant_id long, station, rescued), frequency (variant_id, season, f_core, f_eve, f_we), groups (tg, mode, rescued, exempt)``
+    ``→ (tg, variant_id, group), (tg, group, split, passed, season, f)``.
 
     After filters, the variants of a group that still share ``least`` stations
-    are one group, named by its smallest variant; frequencies are summed anew.
+    hang together. A group that is one component keeps its key. Of any other
+    the key is retired: each component is a group of its own, named by the hash
+    of its stations, whose frequency is summed anew and has to pass the gate
+    again; a component counts as rescued if the group and one of its variants
+    are, and exempt ones always pass. Variants of components that don't pass
+    have a null group. Two components of one group with the same stations are
+    an error.
     """
     from linienwerk.operators.lines import sharing_components
-
-    m = variants.select("tg", F.col("variant_id").alias("pattern_id"), "station")
-    named = sharing_components(m, "tg", least).select(F.col("id").alias("variant_id"), F.col("component").alias("group"))
-    return named, frequency.join(named, "variant_id").groupBy("group", "season").agg(F.sum("f").alias("f"))
+    from linienwerk.operators.service import frequency_gate
+
+    comp = sharing_components(variants.select("tg", F.col("variant_id").alias("pattern_id"), "station"), "tg", least)
+    v = variants.join(comp.select(F.col("id").alias("variant_id"), "component"), "variant_id")
+    parts = v.groupBy("tg", "component").agg(F.substr(F.sha2(F.array_join(F.array_sort(F.collect_set("station")), ","), 256), F.lit(1), F.lit(8)).alias("name"), F.max(F.coalesce("rescued", F.lit(False))).alias("any_rescued"))
+    of = parts.groupBy("tg").agg((F.count("*") > 1).alias("split"), (F.count("*") > F.count_distinct("name")).alias("clash"))
+    parts = parts.join(of, "tg").join(groups.select("tg", "mode", "exempt", F.coalesce("rescued", F.lit(False)).alias("rescued")), "tg")
+    named = F.when(F.col("clash"), F.raise_error(F.lit("two components of a group have the same stations")).cast("string")).when(F.col("split"), F.col("name")).otherwise(F.col("tg").cast("string"))
+    parts = parts.withColumn("named", named)
+    sums = frequency.join(v.select("variant_id", "component").distinct(), "variant_id").groupBy(F.col("component").alias("tg"), "season").agg(*[F.sum(c).alias(c) for c in ("f_core", "f_eve", "f_we")])
+    gate = frequency_gate(sums, parts.where("split").select(F.col("component").alias("tg"), "mode", (F.col("rescued") & F.col("any_rescued")).alias("rescued")), worst)
+    j = parts.join(gate.select(F.col("tg").alias("component"), F.col("passed").alias("again"), F.col("season").alias("won"), "f"), "component", "left")
+    free = F.coalesce("exempt", F.lit(False))
+    j = j.withColumn("passed", ~F.col("split") | free | F.coalesce("again", F.lit(False))).withColumn("season", F.when(F.col("split"), F.when(free, "annual").otherwise(F.col("won"))))
+    out = j.select("tg", "component", "named", F.when(F.col("passed"), F.col("named")).alias("group"), "split", "passed", "season", F.when(F.col("split"), F.col("f")).alias("f"))
+    return v.select("tg", "variant_id", "component").distinct().join(out.select("component", "group"), "component").select("tg", "variant_id", "group"), out.select("tg", F.col("named").alias("group"), "split", "passed", "season", "f")
 
 
 def hybrid_stop(narrow: DataFrame, tram: DataFrame, points: DataFrame, most_m: float = 2.0) -> DataFrame:

@@ -86,17 +86,21 @@ def station_search_index(rows: DataFrame) -> DataFrame:
 def search_stations(queries: DataFrame, stations: DataFrame, k: int = 8) -> DataFrame:
     """``queries (q_id, text), stations (uic, name, mode, tier) → (q_id, uic, score, rank)``.
 
-    Every token of a query must stand somewhere in the name, so queries and
-    stations meet by the letter pairs of the query's first token, spread over
-    partitions, and never all with all. A query whose first token is one letter
-    meets by that letter.
+    Every token of a query must stand somewhere in the name. So an index of the
+    names' letter pairs (and letters, for tokens of one) is asked for the pair
+    of the query that the fewest names have: queries and stations meet by that
+    pair alone, keys only, and what is scored is fetched after. A query with a
+    pair that no name has finds nothing. Null names and texts find nothing.
     """
-    n = stations.select("uic", "mode", "tier", fold(F.col("name")).alias("f")).withColumn("words", name_words(F.col("f")))
     grams = lambda c, w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (w - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(w))))
-    s = n.withColumn("g", F.explode(F.array_union(grams(F.col("f"), 2), grams(F.col("f"), 1))))
+    s = stations.select("uic", "mode", "tier", fold(F.col("name")).alias("f")).where("f <> ''")
+    index = s.select("uic", F.explode(F.array_union(grams(F.col("f"), 2), grams(F.col("f"), 1))).alias("g"))
+    often = index.groupBy("g").agg(F.count("*").alias("names"))
     q = queries.select("q_id", F.filter(F.split(fold(F.trim("text")), r"\s+"), lambda t: t != "").alias("tokens")).where("size(tokens) > 0")
-    q = q.withColumn("g", F.substr(F.get("tokens", F.lit(0)), F.lit(1), F.least(F.length(F.get("tokens", F.lit(0))), F.lit(2))))
-    j = q.join(s, "g").withColumn("m", match_tier(F.col("f"), F.col("words"), F.col("tokens"))).where("m > 0")
+    asked = q.select("q_id", F.explode(F.array_distinct(F.flatten(F.transform("tokens", lambda t: grams(t, 2))))).alias("g")).join(often, "g", "left")
+    rarest = asked.groupBy("q_id").agg(F.min_by("g", F.struct(F.coalesce("names", F.lit(0)), "g")).alias("g"))
+    j = rarest.join(index, "g").select("q_id", "uic").join(s.withColumn("words", name_words(F.col("f"))), "uic").join(q, "q_id")
+    j = j.withColumn("m", match_tier(F.col("f"), F.col("words"), F.col("tokens"))).where("m > 0")
     j = j.withColumn("score", F.round(5.0 * F.col("m") + mode_score(F.col("mode")) + tier_score(F.col("tier")), 6))
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "uic")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "uic", "score", "rank")

@@ -170,14 +170,30 @@ def arrival_skip(spark, d):
     return ops.arrival_skip(e, s)
 
 
-@query("fx_stop_times fx_trips", """with recursive m as (select distinct t.route_id tg, t.route_id * 100 + t.trip_id % 25 v, x.stop_id from fx_stop_times x join fx_trips t using (trip_id)),
-e as (select a.v a, b.v b from m a join m b on a.tg = b.tg and a.stop_id = b.stop_id and a.v <> b.v group by 1, 2 having count(*) >= 5), r(id, o) as (select distinct v, v from m union select r.id, e.b from r join e on e.a = r.o), c as (select id, min(o) g from r group by 1)
-select g as "group", season, sum(id % 7 + season) f from c, (select unnest(range(3)) season) s group by 1, 2""")
+_RESPLIT = """with recursive t as (select trip_id, route_id * 1000 + dep0 % 3 tg from fx_trips), s as (select trip_id, tg, list_sort(list_distinct(list(stop_id))) l from fx_stop_times join t using (trip_id) group by all),
+vs as (select min(trip_id) v, tg, l from s group by tg, l), m as (select v, tg, unnest(l) st from vs),
+e as (select a.v a, b.v b from m a join m b on a.tg = b.tg and a.st = b.st and a.v <> b.v group by 1, 2 having count(*) >= 2), r(id, o) as (select v, v from vs union select r.id, e.b from r join e on e.a = r.o), c as (select id, min(o) comp from r group by 1),
+p as (select tg, comp, substr(sha256(string_agg(st, ',' order by st)), 1, 8) nm from (select distinct tg, comp, st from m join c on c.id = m.v) group by 1, 2), rs as (select comp, bool_or(id % 4 = 0) any_r from c group by 1), k as (select tg, count(*) > 1 split from p group by 1),
+f as (select comp, season, sum(1 + id % 7) fc, sum(id % 3 + k) fe, sum(id % 5) fw from c, (values ('annual', 0), ('winter', 1), ('summer', 2)) x(season, k) group by 1, 2),
+w as (select comp, max(case when season = 'annual' then 0.6 * fc + 0.2 * fe + 0.2 * fw end) a, max(case when season = 'winter' then 0.6 * fc + 0.2 * fe + 0.2 * fw end) w, max(case when season = 'summer' then 0.6 * fc + 0.2 * fe + 0.2 * fw end) s from f group by 1),
+j as (select p.tg, nm, split, (p.tg // 1000) % 3 = 0 and any_r resc, (p.tg // 1000) % 11 = 0 ex, 8.0 * case (p.tg // 1000) % 2 when 0 then 0.6 else 0.75 end lim, round(a, 9) a, round(w, 9) w, round(s, 9) s from p join k using (tg) join rs using (comp) join w using (comp)),
+g as (select *, case when a > lim then 'annual' when resc and w > lim then 'winter' when resc and s > lim then 'summer' end won from j)
+select tg, case when split then nm else tg::varchar end as "group", split, not split or ex or won is not null passed, case when split then case when ex then 'annual' else won end end season, case when split then round(case won when 'winter' then w when 'summer' then s else a end, 6)::double end f from g"""
+
+
+@query("fx_stop_times fx_trips", _RESPLIT)
 def resplit_groups(spark, d):
-    t = view(spark, d, "fx_trips").select("trip_id", C("route_id").alias("tg"), (C("route_id") * 100 + C("trip_id") % 25).alias("variant_id"))
-    v = view(spark, d, "fx_stop_times").join(t, "trip_id").select("tg", "variant_id", C("stop_id").alias("station")).distinct()
-    f = v.select("variant_id").distinct().withColumn("season", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("season", C("season").cast("long")).withColumn("f", C("variant_id") % 7 + C("season"))
-    return ops.resplit_groups(v, f, 5)[1]
+    from linienwerk.functions import line
+
+    t = view(spark, d, "fx_trips").select("trip_id", (C("route_id") * 1000 + C("dep0") % 3).alias("tg"))
+    s = view(spark, d, "fx_stop_times").join(t, "trip_id").groupBy("trip_id", "tg").agg(F.array_sort(F.collect_set("stop_id")).alias("l"))
+    v = s.groupBy("tg", "l").agg(F.min("trip_id").alias("variant_id"))
+    seasons = F.explode(F.array(*[F.struct(F.lit(n).alias("season"), F.lit(k).alias("k")) for k, n in enumerate(("annual", "winter", "summer"))])).alias("x")
+    f = v.select("variant_id", seasons).select("variant_id", "x.season", (1 + C("variant_id") % 7).alias("f_core"), (C("variant_id") % 3 + C("x.k")).alias("f_eve"), (C("variant_id") % 5).alias("f_we"))
+    route = F.floor(C("tg") / 1000)
+    g = v.select("tg").distinct().select("tg", F.when(route % 2 == 0, "tram").otherwise("bus").alias("mode"), (route % 3 == 0).alias("rescued"), (route % 11 == 0).alias("exempt"))
+    out = ops.resplit_groups(v.select("tg", "variant_id", F.explode("l").alias("station"), (C("variant_id") % 4 == 0).alias("rescued")), f, g, 8 * line.lookup(C("mode"), line.WORST))[1]
+    return out.select("tg", "group", "split", "passed", "season", F.round("f", 6).alias("f"))
 
 
 NEAR = """{n} as (select point_id, min(sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) * 111320) dd from (select *, greatest(0.0, least(1.0, (px * dx + py * dy) / (dx * dx + dy * dy))) t from

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linienwerk.operators.usage import BOTS
 from linienwerk.functions import geo, line, text, times, trip
 from linienwerk.plans.fixtures import view
 from linienwerk.plans.registry import query
@@ -100,7 +101,7 @@ def line_key(spark, d):
     return view(spark, d, "fx_lines").select(text.line_key(C("ref"), C("agency_id"), C("mode"), C("route_type")).alias("key"))
 
 
-@query("fx_access_log", """select event_id, regexp_matches(regexp_extract(line, '"([^"]*)"$', 1), '(?i)bot|crawl|spider|slurp|preview|scan|monitor|probe|python|curl|wget|headless|go-http|okhttp|zgrab|censys') bot from fx_access_log""")
+@query("fx_access_log", f"""select event_id, regexp_matches(regexp_extract(line, '"([^"]*)"$', 1), '(?i){BOTS}') bot from fx_access_log""")
 def is_bot(spark, d):
     from linienwerk.operators.usage import is_bot as bot
 

@@ -43,26 +43,24 @@ def mountain_line_count(spark, d):
     return ops.mountain_line_count(_index(spark, d))
 
 
-TIER = f"""{SCORES}, {INDEX}, s as (select uic, bool_or(mode = 'train') train, bool_or(mode = 'metro') metro, bool_or(mode = 'mountain') mountain, bool_or(mode = 'ferry') ferry, bool_or(mode = 'train' and (upper(ref) like 'IC%' or upper(ref) like 'EC%')) ic, sum({MLC}) mlc from idx {{f}} group by 1),
+TIER = f"""{SCORES}, {INDEX}, s as (select uic, bool_or(mode = 'train') train, bool_or(mode = 'metro') metro, bool_or(mode = 'mountain') mountain, bool_or(mode = 'ferry') ferry, bool_or(mode = 'train' and (upper(ref) like 'IC%' or upper(ref) like 'EC%')) ic, sum({MLC}) mlc from idx group by 1),
 tiers as (select uic, case when uic = '4' then 'main_train' when ic and score >= 100 then 'major_train' when ic and score >= 40 then 'main_train' when train and score >= 20 then 'important_train' when train and score >= 10 then 'train_station' when train then 'small_train' when mountain then case when mlc >= 2 then 'major_mountain' else 'mountain_stop' end when ferry then 'ferry_stop'
  when score >= 15 or metro then 'major_hub' when score >= 6 then 'big_station' when score >= 1.5 then 'normal_stop' else 'small_bus' end tier from s full join scores using (uic))"""
 
 
-def _tiers(spark, d, some=None):
-    index = _index(spark, d)
+def _tiers(spark, d):
     over = spark.createDataFrame([("4", "main_train")], "uic string, tier string")
-    return ops.stop_tier(_scores(spark, d), index if some is None else index.where(some), over)
+    return ops.stop_tier(_scores(spark, d), _index(spark, d), over)
 
 
-@query(V, f"with {TIER.replace('{f}', '')} select uic, tier from tiers")
+@query(V, f"with {TIER} select uic, tier from tiers")
 def stop_tier(spark, d):
     return _tiers(spark, d)
 
 
-@query(V, f"""with {TIER.replace('{f}', "where (mode <> 'train' or uic > '3') and (mode <> 'mountain' or uic > '2')")} select tier, count(*) n from tiers group by 1""")
+@query(V, f"with {TIER} select tier, count(*) n from tiers group by 1")
 def tier_distribution(spark, d):
-    t = _tiers(spark, d, "(mode <> 'train' or uic > '3') and (mode <> 'mountain' or uic > '2')")
-    return t.groupBy("tier").agg(F.count("*").alias("n"))
+    return _tiers(spark, d).groupBy("tier").agg(F.count("*").alias("n"))
 
 
 @query("fx_lines", "select mode, count(*) n from fx_lines group by 1")

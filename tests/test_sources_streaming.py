@@ -52,7 +52,7 @@ def test_features(spark, tmp_path):
 
 
 def test_access_log_files(spark, tmp_path):
-    line = '1.2.3.4 - - [20/Aug/2026:20:17:01 +0200] "GET /routing/api/v1/plan?fromPlace=a%20b+c HTTP/1.1" 200 1 "-" "Mozilla"'
+    line = '1.2.3.4 - - [20/Aug/2026:06:40:59 +0200] "GET /routing/api/v1/plan?fromPlace=a%20b+c HTTP/1.1" 200 1 "-" "Mozilla"'
     (tmp_path / "access.log").write_text(line + "\nbroken\n" + line.replace("Aug", "Xxx") + "\n")
     (tmp_path / "access.log.2.gz").write_bytes(gzip.compress((line.replace("Mozilla", "curl/8") + "\n").encode()))
     d = usage.daily_access(features.scan_access_log(spark, str(tmp_path / "access.log*"))).collect()
@@ -128,7 +128,7 @@ def test_streams(spark, tmp_path):
     last = run(jobs.stream_latest_wins(stream(spark, tmp_path, base, "l"), "user", "ts", "event", "20 seconds", "0 seconds"), tmp_path, "latest", "append")
     whole = usage.bursts(base, "user", "ts", "event", "20 seconds")
     assert {(r.user, r.last) for r in last.collect()} <= {(r.user, r.last) for r in whole.collect()} and last.count() > 0
-    lines = spark.range(50).select(F.format_string('10.0.0.%d - - [%02d/Aug/2026:20:17:01 +0200] "GET /api/v1/plan HTTP/1.1" 200 1 "-" "M"', F.col("id") % 5, 1 + F.col("id") % 10).alias("line"))
+    lines = spark.range(50).select(F.format_string('10.0.0.%d - - [%02d/Aug/2026:06:40:59 +0200] "GET /api/v1/plan HTTP/1.1" 200 1 "-" "M"', F.col("id") % 5, 1 + F.col("id") % 10).alias("line"))
     days = run(jobs.stream_daily_access(stream(spark, tmp_path, lines, "d"), "1 hour"), tmp_path, "days", "append")
     assert all((r.hits, r.plans, r.unique_ips) == (5, 5, 1) for r in days.collect())
 
