@@ -9,7 +9,7 @@ from linienwerk.operators.graph import connected_components
 from linienwerk.operators.lines import first_last_flags
 from linienwerk.plans.fixtures import view
 from linienwerk.plans.registry import query
-from linienwerk.plans.sources import hilbert
+from linienwerk.plans.sources import HILBERT, hilbert
 
 C = F.col
 
@@ -109,6 +109,11 @@ def stop_min_zoom(spark, d):
     return gating.stop_min_zoom(stops, lines, stations).select("uic", "level", "candidate", "label", "is_intersection", "is_terminus")
 
 
-@query("")
+@query("fx_buildings", f"""with recursive {HILBERT}, o as (select id, lon, lat, row_number() over (order by "key", id) - 1 n from curve join fx_buildings using (id)),
+r as (select id, n, n batch, 1 c, lon w, lon e, lat s, lat t from o where n = 0
+ union all select id, n, case when full_ then n else batch end, case when full_ then 1 else c + 1 end, case when full_ then lon else w end, case when full_ then lon else e end, case when full_ then lat else s end, case when full_ then lat else t end
+ from (select id, n, batch, c, lon, lat, w, e, s, t, c >= 50 or sqrt(pow((e - w) * 111320 * cos(radians(46.8)), 2) + pow((t - s) * 111320, 2)) > 50000 full_
+  from (select o.id, o.n, batch, c, o.lon, o.lat, least(w, o.lon) w, greatest(e, o.lon) e, least(s, o.lat) s, greatest(t, o.lat) t from r join o on o.n = r.n + 1) y) z)
+select id, batch from r""")
 def spatial_batches(spark, d):
     return rounds.ordered_batches(hilbert(view(spark, d, "fx_buildings")), "key", "id")

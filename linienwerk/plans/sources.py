@@ -25,14 +25,27 @@ def hilbert(df, lon: str = "lon", lat: str = "lat"):
     return df.withColumn("key", key(lon, lat))
 
 
-@query("")
+#: Places on the curve, one bit of both coordinates at a time.
+HILBERT = """b as (select min(lon) x0, max(lon) x1, min(lat) y0, max(lat) y1 from fx_buildings),
+h(id, x, y, k, s) as (select id, floor((lon - x0) / (x1 - x0) * 65535)::bigint, floor((lat - y0) / (y1 - y0) * 65535)::bigint, 0::bigint, 32768::bigint from fx_buildings, b
+ union all select id, case when ry = 0 then case when rx = 1 then 65535 - y else y end else x end, case when ry = 0 then case when rx = 1 then 65535 - x else x end else y end, k + s * s * xor(3 * rx, ry), s // 2
+ from (select *, (x & s > 0)::bigint rx, (y & s > 0)::bigint ry from h) z where s > 0),
+curve as (select id, k as "key" from h where s = 0)"""
+
+
+@query("fx_buildings", f"with recursive {HILBERT} select * from curve")
 def hilbert_order(spark, d):
     return hilbert(view(spark, d, "fx_buildings")).select("id", "key")
 
 
-@query("")
+@query("fx_line_stops", """with recursive s as (select distinct line_id, uic, uic::int * 7 % 11 points from fx_line_stops), p as (select s.*, lon, lat from s join (select line_id, uic, min(lon) lon, min(lat) lat from fx_line_stops group by all) using (line_id, uic)),
+o as (select *, row_number() over (partition by line_id order by points desc, uic) k from p),
+g(line_id, k, kept, uic) as (select line_id, 0::bigint, []::struct(x double, y double)[], null::varchar from o group by all
+ union all select line_id, k, case when hit then kept else list_append(kept, {'x': lon, 'y': lat}) end, case when not hit then uic end
+ from (select o.*, kept, len(list_filter(kept, lambda z: sqrt(pow((lon - z.x) * 111.32 * cos(radians(46.8)), 2) + pow((lat - z.y) * 111.32, 2)) < 30)) > 0 hit from g join o on o.line_id = g.line_id and o.k = g.k + 1) z)
+select line_id, uic from g where uic is not null""")
 def importance_greedy(spark, d):
-    s = view(spark, d, "fx_line_stops").select("line_id", "uic", "lon", "lat", (C("uic").cast("int") * 7 % 11).alias("points")).dropDuplicates(["line_id", "uic"])
+    s = view(spark, d, "fx_line_stops").groupBy("line_id", "uic").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat")).withColumn("points", C("uic").cast("int") * 7 % 11)
     return s.groupBy("line_id").applyInArrow(greedy.accepted_stations(30.0), "line_id long, uic string")
 
 
