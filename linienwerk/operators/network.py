@@ -111,12 +111,17 @@ def unique_stop_rescue(variants: DataFrame, stations: DataFrame, coords: DataFra
     return new.join(close, ["tg", "variant", "uic"], "left_anti").select("tg", "variant").distinct()
 
 
-def service_summary(departures: DataFrame, dates: DataFrame) -> DataFrame:
-    """``departures (line_id, a, b, dep, runs, days), dates (line_id, a, b, first, last, wd…) → a row per line and pair of ends``.
-
-    ``rpd``: runs a day of the busier direction; ``irregular``: whether its
-    departures have an odd gap; ``dep0``, ``dep1``: first and last departure,
-    averaged over the directions; ``days``: the weekdays served.
+def service_summary(departures: DataFrame, dates: DataFrame, feed_days: int | None) -> DataFrame:
+    """``departures (line_id, a, b, dep, runs, days), dates (line_id, a, b, first, last, wd0…wd6) → a row per line``.
+
+    For each pair of ends, whichever way: ``route``, as its busier direction
+    goes; ``days``, the weekdays served; ``rpd``, runs a day of that direction;
+    ``irregular``, whether its departures have an odd gap; ``dep0``, ``dep1``,
+    first and last departure, averaged over the directions; ``from``, ``to``,
+    its dates, if they span less than three quarters of the feed's.
+    ``variants`` has them, busiest first. The line itself has the busiest one's
+    figures, the days of all, and dates by the same rule. Without a length of
+    the feed no dates are told.
     """
     by = ["line_id", "a", "b"]
     g = departures.groupBy(*by).agg(F.sum("runs").alias("runs"), F.max("days").alias("days"), F.min("dep").alias("first"), F.max("dep").alias("last"))
@@ -125,9 +130,20 @@ def service_summary(departures: DataFrame, dates: DataFrame) -> DataFrame:
     odd = r.where("n >= 3").groupBy("d").agg((F.max("gap") > F.greatest(3 * F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("gap"))), F.lit(5400))).alias("odd")).select("d.*", "odd")
     pair = lambda: (F.least("a", "b").alias("end_a"), F.greatest("a", "b").alias("end_b"))
     j = g.join(odd, by, "left").withColumn("rpd", F.when(F.col("days") > 0, F.col("runs") / F.col("days")).otherwise(0.0))
-    s = j.groupBy("line_id", *pair()).agg(F.round(F.max("rpd"), 1).alias("rpd"), F.coalesce(F.max_by("odd", F.struct(F.round("rpd", 9), F.col("a"))), F.lit(False)).alias("irregular"), F.round(F.avg("first")).cast("long").alias("dep0"), F.round(F.avg("last")).cast("long").alias("dep1"))
-    d = dates.groupBy("line_id", *pair()).agg(F.array(*[F.max(f"wd{k}") for k in range(7)]).alias("wd"))
-    return s.join(d, ["line_id", "end_a", "end_b"]).select("line_id", "end_a", "end_b", "rpd", "irregular", "dep0", "dep1", weekday_mask(F.col("wd")).alias("days"))
+    busier = F.struct(F.round("rpd", 9), F.col("a"))
+    route = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.concat_ws(" ↔ ", "a", "b"))
+    s = j.groupBy("line_id", *pair()).agg(F.max_by(route, busier).alias("route"), F.round(F.max("rpd"), 1).alias("rpd"), F.coalesce(F.max_by("odd", busier), F.lit(False)).alias("irregular"), F.round(F.avg("first")).cast("long").alias("dep0"), F.round(F.avg("last")).cast("long").alias("dep1"))
+    d = dates.groupBy("line_id", *pair()).agg(F.array(*[F.max(f"wd{k}") for k in range(7)]).alias("wd"), F.min("first").alias("first"), F.max("last").alias("last"))
+    own = s.join(d, ["line_id", "end_a", "end_b"]).withColumn("days", weekday_mask(F.col("wd")))
+    seasonal = F.coalesce(F.datediff("last", "first") + 1 < F.lit(0.75 * feed_days if feed_days else None), F.lit(False))
+    own = own.withColumn("from", F.when(seasonal, F.col("first"))).withColumn("to", F.when(seasonal, F.col("last")))
+    row = F.struct((-F.col("rpd")).alias("order"), "end_a", "end_b", "route", "days", "rpd", "irregular", "dep0", "dep1", "from", "to")
+    any_day = F.concat(*[F.max(F.substr("days", F.lit(k), F.lit(1))) for k in range(1, 8)])
+    out = own.groupBy("line_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), any_day.alias("days"), F.min("first").alias("first"), F.max("last").alias("last"))
+    top = F.get("rows", F.lit(0))
+    told = ("route", "days", "rpd", "irregular", "dep0", "dep1", "from", "to")
+    variants = F.transform("rows", lambda x: F.struct(*[x[c].alias(c) for c in told]))
+    return out.select("line_id", "days", *[top[c].alias(c) for c in ("rpd", "irregular", "dep0", "dep1")], F.when(seasonal, F.col("first")).alias("from"), F.when(seasonal, F.col("last")).alias("to"), variants.alias("variants"))
 
 
 def group_audit(groups: DataFrame, stages: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -126,17 +126,32 @@ def unique_stop_rescue(spark, d):
     return ops.unique_stop_rescue(v, s, view(spark, d, "fx_stops").select(C("stop_id").alias("uic"), "lon", "lat"), 30011.0)
 
 
-SERVICE = """t as (select route_id % 30 line_id, 'E' || trip_id % 3 a, 'E' || trip_id % 2 b, dep0 dep, 1 + service_id % 4 runs, service_id % 9 + 1 as days, service_id from fx_trips), g as (select line_id, a, b, sum(runs) runs, max(days) as days, min(dep) f, max(dep) l from t group by 1, 2, 3),
+SERVICE = """c as (select service_id, count(*) k, min(d) f, max(d) l, [count(*) filter (isodow(d) = 1), count(*) filter (isodow(d) = 2), count(*) filter (isodow(d) = 3), count(*) filter (isodow(d) = 4), count(*) filter (isodow(d) = 5), count(*) filter (isodow(d) = 6), count(*) filter (isodow(d) = 7)] w
+  from fx_calendar_dates where exception_type = 1 group by 1), feed as (select max(l) - min(f) + 1 n from c),
+e as (select trip_id, min_by(stop_name, seq) a, max_by(stop_name, seq) b from fx_stop_times join fx_stops using (stop_id) group by 1),
+t as (select route_id line_id, a, b, dep0 dep, k runs, k as days, f, l, w from fx_trips join e using (trip_id) join c using (service_id)),
+g as (select line_id, a, b, sum(runs) runs, max(days) as days, min(dep) f, max(dep) l from t group by 1, 2, 3),
 gp as (select line_id, a, b, dep - lag(dep) over (partition by line_id, a, b order by dep) gap from (select distinct line_id, a, b, dep from t)), rk as (select *, row_number() over (partition by line_id, a, b order by gap) k, count(*) over (partition by line_id, a, b) n from gp where gap is not null),
 odd as (select line_id, a, b, max(gap) > greatest(3 * max(case when k = n // 2 + 1 then gap end), 5400) odd from rk where n >= 3 group by 1, 2, 3), j as (select g.*, odd, runs / days::double rpd from g left join odd using (line_id, a, b)),
-s as (select line_id, least(a, b) end_a, greatest(a, b) end_b, round(max(rpd), 1) rpd, coalesce(arg_max(odd, (round(rpd, 9), a)), false) irregular, round(avg(f))::bigint dep0, round(avg(l))::bigint dep1 from j group by 1, 2, 3),
-wd as (select line_id, least(a, b) end_a, greatest(a, b) end_b, [max(case when service_id % 7 = 0 then runs else 0 end), max(case when service_id % 7 = 1 then runs else 0 end), max(case when service_id % 7 = 2 then runs else 0 end), max(case when service_id % 7 = 3 then runs else 0 end), max(case when service_id % 7 = 4 then runs else 0 end), max(case when service_id % 7 = 5 then runs else 0 end), max(case when service_id % 7 = 6 then runs else 0 end)] c from t group by 1, 2, 3)"""
+s as (select line_id, least(a, b) end_a, greatest(a, b) end_b, arg_max(case when a = b then a else a || ' ↔ ' || b end, (round(rpd, 9), a)) route, round(max(rpd), 1) rpd, coalesce(arg_max(coalesce(odd, false), (round(rpd, 9), a)), false) irregular, round(avg(f))::bigint dep0, round(avg(l))::bigint dep1 from j group by 1, 2, 3),
+wd as (select line_id, least(a, b) end_a, greatest(a, b) end_b, [max(w[1]), max(w[2]), max(w[3]), max(w[4]), max(w[5]), max(w[6]), max(w[7])] c, min(f) f, max(l) l from t group by 1, 2, 3),
+v as (select *, list_aggregate([case when c[i] > 0 and c[i] * 2 >= list_max(c) then '1' else '0' end for i in range(1, 8)], 'string_agg', '') as days, l - f + 1 < 0.75 * n sea from s join wd using (line_id, end_a, end_b), feed),
+x as (select line_id, list(concat_ws('|', route, days, printf('%.1f', rpd), case when irregular then 'irregular' else '' end, dep0, dep1, case when sea then f::date::varchar else '' end, case when sea then l::date::varchar else '' end) order by rpd desc, end_a, end_b) vs,
+ list({'rpd': rpd, 'irregular': irregular, 'dep0': dep0, 'dep1': dep1} order by rpd desc, end_a, end_b)[1] top, min(f) f, max(l) l, max(n) n,
+ max(substr(days, 1, 1)) || max(substr(days, 2, 1)) || max(substr(days, 3, 1)) || max(substr(days, 4, 1)) || max(substr(days, 5, 1)) || max(substr(days, 6, 1)) || max(substr(days, 7, 1)) as days from v group by 1)"""
 
 
-@query("fx_trips", f"with {SERVICE} select s.*, list_aggregate([case when c[i] > 0 and c[i] * 2 >= list_max(c) then '1' else '0' end for i in range(1, 8)], 'string_agg', '') as days from s join wd using (line_id, end_a, end_b)")
+@query("fx_trips fx_stop_times fx_stops fx_calendar_dates", f"""with {SERVICE}
+select line_id, days, top.rpd rpd, top.irregular irregular, top.dep0 dep0, top.dep1 dep1, case when l - f + 1 < 0.75 * n then f::date::varchar end as "from", case when l - f + 1 < 0.75 * n then l::date::varchar end as "to", array_to_string(vs, ';') variants from x""")
 def service_summary(spark, d):
-    t = view(spark, d, "fx_trips").select((C("route_id") % 30).alias("line_id"), F.concat(F.lit("E"), (C("trip_id") % 3).cast("string")).alias("a"), F.concat(F.lit("E"), (C("trip_id") % 2).cast("string")).alias("b"), C("dep0").alias("dep"), (1 + C("service_id") % 4).alias("runs"), (C("service_id") % 9 + 1).alias("days"), *[F.when(C("service_id") % 7 == k, 1 + C("service_id") % 4).otherwise(0).alias(f"wd{k}") for k in range(7)])
-    return ops.service_summary(t, t)
+    days = view(spark, d, "fx_calendar_dates").where("exception_type = 1")
+    c = days.groupBy("service_id").agg(F.count("*").alias("runs"), F.min("d").alias("first"), F.max("d").alias("last"), *[F.count_if(F.weekday("d") == k).alias(f"wd{k}") for k in range(7)])
+    ends = view(spark, d, "fx_stop_times").join(view(spark, d, "fx_stops").select("stop_id", "stop_name"), "stop_id").groupBy("trip_id").agg(F.min_by("stop_name", "seq").alias("a"), F.max_by("stop_name", "seq").alias("b"))
+    t = view(spark, d, "fx_trips").join(ends, "trip_id").join(c, "service_id").select(C("route_id").alias("line_id"), "a", "b", C("dep0").alias("dep"), "runs", C("runs").alias("days"), "first", "last", *[f"wd{k}" for k in range(7)])
+    out = ops.service_summary(t, t, c.agg(F.datediff(F.max("last"), F.min("first")) + 1).first()[0])
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    one = lambda v: F.concat_ws("|", v["route"], v["days"], F.format_string("%.1f", v["rpd"]), F.when(v["irregular"], "irregular").otherwise(""), text(v["dep0"]), text(v["dep1"]), text(v["from"]), text(v["to"]))
+    return out.select("line_id", "days", "rpd", "irregular", "dep0", "dep1", C("from").cast("string").alias("from"), C("to").cast("string").alias("to"), F.array_join(F.transform("variants", one), ";").alias("variants"))
 
 
 @query("fx_routes", "select route_id tg, case when route_id % 5 = 0 then 'active_days' when route_id % 7 = 0 then 'frequency' when route_id % 3 = 0 then 'rare_group' else 'kept' end reason from fx_routes")
