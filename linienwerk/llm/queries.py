@@ -12,7 +12,7 @@ from linienwerk.llm.embed_dedup import embedding_duplicates
 from linienwerk.llm.minhash import near_duplicates
 from linienwerk.llm.mixing import mix_sources
 from linienwerk.llm.packing import pack_documents
-from linienwerk.llm.quality_rules import quality_rules
+from linienwerk.llm.quality_rules import CLASSES, COMMON, SYMBOLS, quality_rules
 from linienwerk.llm.rule_ensemble import classify_quality
 from linienwerk.llm.suffix_dedup import dedup_repeats
 from linienwerk.llm.token_counts import count_tokens
@@ -96,6 +96,29 @@ comp as (select id, min(other) component from reach group by id)"""
 
 
 
+def _quality_sql() -> str:
+    """Base columns, histograms, references by language and their Jensen-Shannon distances as SQL."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    without = lambda p: f"length(regexp_replace(t, {text(p)}, '', 'g'))"
+    listed = "case lang " + " ".join(f"when {text(k)} then [{', '.join(map(text, v))}]" for k, v in COMMON.items()) + " end"
+    n_char, n_word = len(CLASSES) + 2, max(map(len, COMMON.values())) + 1
+    mean = lambda c, n: "[" + ", ".join(f"coalesce(avg({c}[{k}]), 0)" for k in range(1, n + 1)) + "]"
+    part = lambda x, y: f"case when {x} > 0 then {x} * log2(2 * {x} / ({x} + {y})) else 0 end"
+    far = lambda p, q, n: f"sqrt(greatest(0, list_sum(list_transform(range(1, {n + 1}), lambda i: {part(f'{p}[i]', f'{q}[i]')} + {part(f'{q}[i]', f'{p}[i]')})) / 2))"
+    return rf"""with d as (select row_number() over () r, doc_id, lang, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+win as (select r, i, list_aggregate(w[i:i + 7], 'string_agg', ' ') s from (select r, w, unnest(range(1, len(w) - 6)) i from d where len(w) > 8)),
+rep as (select r, i from win qualify count(*) over (partition by r, s) > 1), cov as (select r, count(distinct i + k) n from rep, (select unnest(range(0, 8)) k) group by r),
+c as (select d.*, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls, length(t) n_chars, length(array_to_string(w, '')) wc, {listed} listed from d),
+e as (select *, [{', '.join(without(p) for p in CLASSES.values())}, n_chars - wc] ch, list_transform(listed, lambda x: len(list_filter(w, lambda y: y = x))) hits from c),
+s as (select r, doc_id, lang, len(w)::bigint n_words, wc::bigint word_chars, {without(f'[^{SYMBOLS}]+')}::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(cov.n, 0)::bigint n_repeat_words, n_chars,
+ list_transform(list_append(ch, n_chars - list_sum(ch)::bigint), lambda x: x / greatest(n_chars, 1)) hc, list_transform(list_append(hits, len(w) - list_sum(hits)::bigint), lambda x: x / greatest(len(w), 1)) hw from e left join cov using (r)),
+f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, n_words >= 60 and n_chars >= 200 long_ from s),
+ref as (select lang, {mean('hc', n_char)} rc, {mean('hw', n_word)} rw from f where not base_failed and long_ group by lang having count(*) >= 5)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ not base_failed and not (coalesce(long_ and {far('hc', 'rc', n_char)} > 0.35, false) or coalesce(long_ and {far('hw', 'rw', n_word)} > 0.45, false)) kept
+from f left join ref on ref.lang is not distinct from f.lang"""
+
+
 def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
     """Lloyd's method as SQL, a search of all centroids in each round."""
     parts = [
@@ -115,6 +138,7 @@ sha256(list_aggregate(list_transform(c.x, lambda y: y::varchar), 'string_agg', '
 
 ORACLE_SQL = {
     "op13_ns_centroids": _centroid_sql(),
+    "op6_quality_divergence": _quality_sql(),
     "op1_embedding_itq": f"""with recursive nodes as (select vec_id id, embedding::double[] e from embeddings),
 pairs as (select x.id a, y.id b from nodes x join nodes y on x.id < y.id and list_cosine_similarity(x.e, y.e) >= 0.9),
 links as (select a, b from pairs union all select b, a from pairs), {_COMPONENTS}

@@ -91,11 +91,12 @@ class RuleEnsemble:
         return "\n".join([f"{self.bias:+.4f}"] + [f"{w:+.4f} if " + " and ".join(f"{self.names[f]} {op} {x:.6g}" for f, op, x in r) for w, r in self.rules])
 
 
-def fit_rules(labelled: DataFrame, max_rows: int = 20_000, trees: int = 12, depth: int = 3, l1: float = 0.003, max_rules: int = 300, seed: int = 3) -> RuleEnsemble:
+def fit_rules(labelled: DataFrame, max_rows: int = 20_000, trees: int = 12, depth: int = 3, l1: float = 0.003, seed: int = 3) -> RuleEnsemble:
     """``(label, statistics…) → RuleEnsemble``.
 
     At most ``max_rows`` rows are used: those with the smallest hash of the
-    column ``pick``. With one label only, the ensemble is a constant.
+    column ``pick``. There are at most as many rules as the trees have nodes.
+    With one label only, the ensemble is a constant.
     """
     spark = labelled.sparkSession
     rows = labelled.where("label is not null").select(F.col("label").cast("double").alias("label"), *FEATURES, F.xxhash64("pick").alias("h")).orderBy("h", *FEATURES, "label").limit(max_rows)
@@ -107,7 +108,7 @@ def fit_rules(labelled: DataFrame, max_rows: int = 20_000, trees: int = 12, dept
     x = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features").cache()
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(x)
     boost = GBTClassifier(maxIter=6, maxDepth=depth, seed=seed).fit(x)
-    rules = sorted(tree_rules(forest.toDebugString) | tree_rules(boost.toDebugString), key=lambda r: (len(r), r))[:max_rules]
+    rules = sorted(tree_rules(forest.toDebugString) | tree_rules(boost.toDebugString), key=lambda r: (len(r), r))
     on = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(rows.select("label", *[rule_column(r).alias(f"r{i}") for i, r in enumerate(rules)])).select("label", "features").cache()
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=l1, maxIter=60, standardization=False).fit(on)
     x.unpersist()
