@@ -63,7 +63,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     runs = runs.withColumn("earlier", earlier).join(targets, runs["source"].eqNullSafe(targets["source"])).select(runs["source"].alias("s"), F.col("part").alias("p"), "row0", "earlier", "source_size", "target")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    ranked = placed.join(F.broadcast(runs), placed["source"].eqNullSafe(F.col("s")) & (placed["part"] == F.col("p"))).withColumn("i", F.col("earlier") + F.col("row") - F.col("row0"))
+    # sources and partitions both grow with the data: the hint holds for a table of some megabytes only
+    runs = stash.put(runs)
+    runs = F.broadcast(runs) if runs.count() <= 100_000 else runs
+    ranked = placed.join(runs, placed["source"].eqNullSafe(F.col("s")) & (placed["part"] == F.col("p"))).withColumn("i", F.col("earlier") + F.col("row") - F.col("row0"))
     ranked = ranked.withColumn("u", offset).withColumn("rate", rate).withColumn("copies", F.least(F.ceil("rate"), F.floor((F.col("i") + 1) * F.col("rate") + F.col("u")) - F.floor(F.col("i") * F.col("rate") + F.col("u"))).cast("long"))
     return ranked.select("doc_id", "source", "size", "h", "source_size", "target", "copies")
 
