@@ -147,7 +147,7 @@ def sink_by_mode_group(spark, d):
     path = fresh_dir(spark, "groups")
     s = view(spark, d, "fx_line_stops").join(view(spark, d, "fx_lines").select("line_id", "mode"), "line_id")
     features.sink_by_mode_group(s.select("uic", "line_id", "mode"), path)
-    return spark.read.parquet(path).groupBy("grp", "mode").agg(F.count("*").alias("n"))
+    return spark.read.schema("uic string, line_id long, mode string, grp string").parquet(path).groupBy("grp", "mode").agg(F.count("*").alias("n"))
 
 
 @query("fx_lines", "select line_id, ref, colour from fx_lines")
