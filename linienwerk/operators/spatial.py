@@ -1,12 +1,14 @@
 """Joins by distance over a grid of cells.
 
 Both sides get the cell of their place; the smaller side is repeated over the
-cells around it, and rows of equal cells are compared. Only the cell is a
-join key, so partitions are small, wherever places lie.
+cells around it, and rows of equal cells are compared. The cell is the join key; the
+partition of a very dense cell is split by adaptive execution.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linienwerk.functions.geo import DEGREE_M, haversine_km, planar_m
@@ -136,10 +138,16 @@ def medoid(points: DataFrame, by: str, point_id: str) -> DataFrame:
     return d.groupBy(by).agg(F.min_by(F.struct(point_id, "max_km"), F.struct(F.round("s", 6), point_id)).alias("m")).select(by, f"m.{point_id}", "m.max_km")
 
 
-def walk_matrix(stops: DataFrame, most_m: float = 11000.0, detour: float = 1.3, km_h: float = 5.1, cap_s: int = 7200) -> DataFrame:
-    """``(from_id, to_id, duration_s)`` of ordered pairs on foot: great-circle distance times a detour, at walking speed; self pairs and those over the cap go."""
+def walk_matrix(stops: DataFrame, most_m: float = 11000.0, detour: float = 1.3, km_h: float = 5.1, cap_s: int = 7200, duration_fn: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
+    """``(from_id, to_id, dist_m, duration_s)`` of ordered pairs on foot: great-circle distance times a detour, at walking speed; self pairs and those over the cap go.
+
+    ``duration_fn`` gives the seconds of a way from the places of its ends (lon,
+    lat, lon, lat) instead, as a pandas UDF that asks a router does; pairs
+    without a way, where it is null, go.
+    """
     o = stops.select(F.col("stop_id").alias("to_id"), F.col("lon").alias("x"), F.col("lat").alias("y"), "lon", "lat")
     j = grid_join(stops.select(F.col("stop_id").alias("from_id"), "lon", "lat"), o, most_m * 1.02).where("from_id <> to_id")
     km = haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
     j = j.withColumn("km", km).where(F.col("km") * 1000 <= most_m)
-    return j.select("from_id", "to_id", F.round(F.col("km") * 1000, 3).alias("dist_m"), F.floor(F.col("km") * detour / km_h * 3600).cast("long").alias("duration_s")).where(F.col("duration_s") <= cap_s)
+    seconds = duration_fn(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) if duration_fn else F.col("km") * detour / km_h * 3600
+    return j.select("from_id", "to_id", F.round(F.col("km") * 1000, 3).alias("dist_m"), F.floor(seconds).cast("long").alias("duration_s")).where(F.col("duration_s") <= cap_s)

@@ -253,3 +253,20 @@ def test_zoom_gating_without_a_base(spark):
     lines = spark.createDataFrame([(1, 4, 1), (2, None, 1)], "line_id long, candidate int, stations long")
     none = spark.createDataFrame([], "src long, dst long")
     assert {tuple(x) for x in gating.zoom_gating(lines, none, lines.limit(0).select("line_id")).collect()} == {(1, 4, True), (2, 13, True)}
+
+
+def test_walks_by_a_given_duration(spark):
+    """A pandas UDF gives the seconds of a way; pairs without a way and those over the cap go."""
+    import pandas as pd
+
+    from linienwerk.operators.spatial import walk_matrix
+
+    @F.pandas_udf("double")
+    def ask(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        d = ((x1 - x0).abs() + (y1 - y0).abs()) * 100_000
+        return d.where(x1 > x0)
+
+    stops = spark.createDataFrame([("a", 8.0, 46.8), ("b", 8.01, 46.8), ("c", 8.09, 46.8)], "stop_id string, lon double, lat double")
+    got = {(r.from_id, r.to_id): r.duration_s for r in walk_matrix(stops, duration_fn=ask).collect()}
+    assert set(got) == {("a", "b")} and got["a", "b"] in (999, 1000)
+    assert {r.from_id for r in walk_matrix(stops).collect()} == {"a", "b", "c"}
