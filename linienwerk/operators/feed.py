@@ -114,7 +114,9 @@ def parse_stop_identity(stops: DataFrame) -> DataFrame:
     s = s.withColumn("quay", F.when(gen & (mid != "missingSLOID"), mid).otherwise("")).withColumn("sector", F.when(gen, F.coalesce(F.nullif(F.col("pc"), F.lit("")), pf)).otherwise(""))
     s = s.withColumn("station", F.when(gen, _station(F.regexp_extract("stop_id", r"^(.*?)_gen:", 1))).when(F.col("parent") != "", F.col("parent")).otherwise(_station(F.col("stop_id")))).withColumn("track", F.when(gen, "").otherwise(F.col("pc")))
     q = s.select(F.col("stop_id").alias("_q"), F.col("track").alias("_track"), F.col("uic").alias("_uic"))
-    j = s.join(q, (F.col("quay") == F.col("_q")) & (F.col("quay") != ""), "left")
+    # most rows name no quay: they meet nothing, and so aren't shuffled to one place for their empty key
+    named = s.where("quay <> ''").join(q, F.col("quay") == F.col("_q"), "left").drop("_q")
+    j = named.unionByName(s.where("quay = ''"), allowMissingColumns=True)
     sector = F.col("sector") != ""
     track = F.when(sector, F.coalesce(F.nullif(F.col("_track"), F.lit("")), track_from_code(F.col("sector")))).otherwise(F.col("track"))
     uic = F.when(sector & (F.col("uic") == ""), F.coalesce("_uic", F.lit(""))).otherwise(F.col("uic"))
