@@ -235,21 +235,29 @@ def stop_min_zoom(line_stops: DataFrame, lines: DataFrame, stations: DataFrame,
 
 
 def _junctions(s: DataFrame, levels: list[int], stash: Stash) -> DataFrame:
-    """``(at, uic, tier, crosses, terminus)`` of the stations of one mode's lines drawn at each level.
-
-    Whether some two keys of a station cross is first asked of its smallest key
-    and each other one, a row for a key and not for a pair. Only where all of
-    them share more stations with that key do the others meet each other.
-    """
+    """``(at, uic, tier, crosses, terminus)`` of the stations of one mode's lines drawn at each level."""
     at = s.withColumn("at", F.explode(F.array(*map(F.lit, levels)))).where(F.col("min_zoom") <= F.col("at"))
     keys = stash.put(at.groupBy("at", "uic", "line_key").agg(F.max("ends").alias("ends"), F.first("tier").alias("tier")))
-    first = keys.groupBy("at", "uic").agg(F.min("line_key").alias("a"), F.max("ends").alias("terminus"), F.first("tier").alias("tier"), F.count("*").alias("n"))
+    every = keys.groupBy("at", "uic").agg(F.max("ends").alias("terminus"), F.first("tier").alias("tier"))
+    hit = crossing_stations(keys, stash=stash).withColumn("crosses", F.lit(True))
+    return every.join(hit, ["at", "uic"], "left").select("at", "uic", "tier", F.coalesce("crosses", F.lit(False)).alias("crosses"), "terminus")
+
+
+def crossing_stations(keys: DataFrame, most: int = CROSSING, stash: Stash | None = None) -> DataFrame:
+    """Distinct ``(at, uic, line_key) → (at, uic)``: stations where some two line keys cross, as they share at most ``most`` stations in all.
+
+    It is first asked of a station's smallest key and each other one, a row for
+    a key and not for a pair. Only where all of them share more stations with
+    that key do the others meet each other.
+    """
+    stash = stash or Stash(keys.sparkSession, "crossings")
+    first = keys.groupBy("at", "uic").agg(F.min("line_key").alias("a"), F.count("*").alias("n"))
 
     def crossing(pairs: DataFrame) -> DataFrame:
-        """Of pairs of keys at a station those that share few stations."""
+        """Stations of the pairs of keys that share few."""
         ab = pairs.select("at", "a", "b").distinct()
         shared = ab.join(keys.select("at", F.col("line_key").alias("a"), "uic"), ["at", "a"]).join(keys.select("at", F.col("line_key").alias("b"), "uic"), ["at", "b", "uic"])
-        few = shared.groupBy("at", "a", "b").agg(F.count("*").alias("c")).where(F.col("c") <= CROSSING)
+        few = shared.groupBy("at", "a", "b").agg(F.count("*").alias("c")).where(F.col("c") <= most)
         return pairs.join(few.select("at", "a", "b"), ["at", "a", "b"], "left_semi").select("at", "uic").distinct()
 
     star = keys.join(first.where("n > 1").select("at", "uic", "a"), ["at", "uic"]).where("line_key <> a").select("at", "uic", "a", F.col("line_key").alias("b"))
@@ -257,5 +265,4 @@ def _junctions(s: DataFrame, levels: list[int], stash: Stash) -> DataFrame:
     rest = first.where("n > 2").select("at", "uic", "a").join(one, ["at", "uic"], "left_anti")
     others = stash.put(keys.join(rest, ["at", "uic"]).where("line_key <> a").select("at", "uic", F.col("line_key").alias("k")))
     two = crossing(others.select("at", "uic", F.col("k").alias("a")).join(others.select("at", "uic", F.col("k").alias("b")), ["at", "uic"]).where("a < b"))
-    hit = one.unionByName(two).distinct().withColumn("crosses", F.lit(True))
-    return first.join(hit, ["at", "uic"], "left").select("at", "uic", "tier", F.coalesce("crosses", F.lit(False)).alias("crosses"), "terminus")
+    return one.unionByName(two).distinct()

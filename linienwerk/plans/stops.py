@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linienwerk.functions.line import line_weight
+from linienwerk.operators.gating import crossing_stations
 from linienwerk.operators import lines as line_ops, stops as ops
 from linienwerk.plans.fixtures import view
 from linienwerk.plans.registry import query
@@ -169,10 +170,8 @@ def display_names(spark, d):
 
 @query("fx_line_stops", """with p as (select distinct uic, line_id from fx_line_stops), n as (select a.line_id a, b.line_id b, count(*) c from p a join p b using (uic) where a.line_id < b.line_id group by 1, 2), x as (select distinct p.uic from p join p q using (uic) join n on n.a = p.line_id and n.b = q.line_id where c <= 2) select distinct p.uic, x.uic is not null hit from p left join x using (uic)""")
 def interchange_flag(spark, d):
-    p = view(spark, d, "fx_line_stops").select("uic", "line_id").distinct()
-    pairs = p.select("uic", C("line_id").alias("a")).join(p.select("uic", C("line_id").alias("b")), "uic").where("a < b")
-    few = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n <= 2").select("a", "b")
-    hit = pairs.join(few, ["a", "b"], "left_semi").select("uic").distinct().withColumn("hit", F.lit(True))
+    p = view(spark, d, "fx_line_stops").select(F.lit(0).alias("at"), "uic", C("line_id").alias("line_key")).distinct()
+    hit = crossing_stations(p).select("uic", F.lit(True).alias("hit"))
     return p.select("uic").distinct().join(hit, "uic", "left").select("uic", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
