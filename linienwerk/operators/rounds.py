@@ -11,10 +11,12 @@ early: a handful where ranks are mixed, and at worst half the chain.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from linienwerk.functions.geo import haversine_km
+from linienwerk.functions.geo import DEGREE_M, haversine_km
 from linienwerk.operators.spatial import grid_join
 from linienwerk.shared import Stash
 
@@ -95,43 +97,104 @@ def dedup_overlapping(features: DataFrame, share: float = 0.65, feature_id: str
 # --- clusters round seeds
 
 
+#: A tile is this many radii wide, and sees as many beyond its edge that it decides for itself.
+TILE_R, HALO_R = 16.0, 4.0
+
+
 def cluster_stops_greedy(stops: DataFrame, radius_m: dict[str, float], lat0: float = 46.8) -> DataFrame:
     """``(stop_id, kind, lon, lat, lines) → (stop_id, cluster)``: stops join the first seed of their kind nearer than its radius, unless a line serves them and a member already.
 
     As in a loop over stops by id: a stop that no cluster has taken becomes a
-    seed, names the cluster, and takes the free stops around it by id. The set
-    of lines grows with each that it takes. In a round all those free stops are
-    seeds that have no smaller free one within twice the radius, so that no two
-    seeds of a round want the same stop. Kinds without a radius, and stops
-    without a place, are clusters of their own; null lines are none.
+    seed and names the cluster, and the set of lines grows with each stop that
+    it takes. Kinds without a radius, and stops without a place, are clusters of
+    their own; null lines are none.
+
+    Tiles run that loop over their stops and those around them, whose choices
+    the first round guesses and each later round takes from the one before. The
+    smallest stop that is wrong has right ones before it, so a round mends it;
+    a round that changes nothing is the loop's answer. So no pairs are made, and
+    the work of a stop follows the seeds near it.
     """
     stash = Stash(stops.sparkSession, "clusters")
-    s = stash.put(stops.select("stop_id", "kind", "lon", "lat", F.coalesce("lines", F.array().cast(stops.schema["lines"].dataType)).alias("lines")))
-    near = None
-    for kind, r in radius_m.items():
-        mine = s.where((F.col("kind") == kind) & F.col("lon").isNotNull() & F.col("lat").isNotNull())
-        p = grid_join(mine.select(F.col("stop_id").alias("a"), "lon", "lat"), mine.select(F.col("stop_id").alias("b"), "lon", "lat"), 2 * r, lat0, strict=True)
-        p = p.where("a < b").select("a", "b", (F.col("dist_m") < r).alias("close"))
-        near = p if near is None else near.unionByName(p)
-    near = stash.put(near)
-    lines = s.select(F.col("stop_id").alias("b"), F.col("lines").alias("of_b"))
-    free, done = stash.put(s.select(F.col("stop_id").alias("a"))), None
-    while free.limit(1).count():
-        # pairs of free stops only: those with a smaller one wait, the others are seeds
-        open_ = stash.put(near.join(free, "a", "left_semi").join(free.select(F.col("a").alias("b")), "b", "left_semi"))
-        seeds = free.join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        wants = open_.where("close").join(seeds, "a", "left_semi").join(lines, "b").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", F.col("of_b").alias("lines")))).alias("wants"))
-        own = seeds.join(wants, "a", "left").join(lines.select(F.col("b").alias("a"), F.col("of_b").alias("own")), "a")
-        start = F.struct(F.col("own").alias("lines"), F.array("a").alias("took"))
-        grow = lambda acc, x: F.when(F.arrays_overlap(acc["lines"], x["lines"]), acc).otherwise(F.struct(F.array_union(acc["lines"], x["lines"]).alias("lines"), F.concat(acc["took"], F.array(x["b"])).alias("took")))
-        took = F.when(F.col("wants").isNull(), F.array("a")).otherwise(F.aggregate("wants", start, grow)["took"])
-        new = stash.put(own.select(F.explode(took).alias("stop_id"), F.col("a").alias("cluster")))
-        done = new if done is None else done.unionByName(new)
-        rest = stash.put(free.join(new.select(F.col("stop_id").alias("a")), "a", "left_anti"))
-        stash.drop(free)
-        stash.drop(open_)
-        free = rest
-    return done if done is not None else s.select("stop_id", F.col("stop_id").alias("cluster"))
+    kx, ky = DEGREE_M * math.cos(math.radians(lat0)), DEGREE_M
+    r = F.create_map(*[F.lit(x) for k, m in radius_m.items() for x in (k, float(m))])[F.col("kind")] if radius_m else F.lit(None).cast("double")
+    s = stops.select("stop_id", "kind", "lon", "lat", F.coalesce("lines", F.array().cast(stops.schema["lines"].dataType)).alias("lines")).withColumn("r", r)
+    placed = F.col("r").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    nothing = F.lit(None).cast(stops.schema["stop_id"].dataType)
+    state = stash.put(s.withColumns({"cluster": F.when(placed, nothing).otherwise(F.col("stop_id")), "changed": placed}))
+    alone, state = state.where("not changed").select("stop_id", "cluster"), state.where("changed")
+    first = True
+    while state.where("changed").limit(1).count():
+        x, y, w, edge = F.col("lon") * kx, F.col("lat") * ky, F.col("r") * TILE_R, F.col("r") * (HALO_R + 2.01)
+        over = lambda c: F.explode(F.sequence(F.floor((c - edge) / w), F.floor((c + edge) / w)))  # noqa: E731, B023
+        out = lambda c, t: F.greatest(F.lit(0.0), F.col(t) * w - c, c - (F.col(t) + 1) * w)  # noqa: E731, B023
+        t = state.withColumn("tx", over(x)).withColumn("ty", over(y))
+        inside = (F.floor(x / w) == F.col("tx")) & (F.floor(y / w) == F.col("ty"))
+        free = F.lit(True) if first else F.greatest(out(x, "tx"), out(y, "ty")) <= F.col("r") * HALO_R
+        t = t.select(*state.columns, "tx", "ty", inside.alias("inside"), (inside | free).alias("free"))
+        new = stash.put(t.groupBy("kind", "tx", "ty").applyInArrow(_cluster_tile(kx, ky), state.schema))
+        if not first:  # the first table holds the stops alone too
+            stash.drop(state)
+        state, first = new, False
+    return alone.unionByName(state.select("stop_id", "cluster"))
+
+
+def _cluster_tile(kx: float, ky: float) -> Callable[[pa.Table], pa.Table]:
+    """The loop over a tile's stops by id: free ones choose, the others repeat what the last round chose for them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("stop_id").combine_chunks()
+        ids, given = t["stop_id"].to_pylist(), t["cluster"].to_pylist()
+        lon, lat, free, lines = t["lon"].to_pylist(), t["lat"].to_pylist(), t["free"].to_pylist(), t["lines"].to_pylist()
+        r = t["r"][0].as_py()
+        cells: dict[tuple[int, int], tuple[list[int], dict]] = {}  # seeds by place; of each line, a bit for each seed that has it
+        of: dict = {}  # of each seed, its cell and its bit
+        took = [None] * len(ids)
+        row = {k: i for i, k in enumerate(ids)}
+        for i, k in enumerate(ids):
+            x, y = lon[i], lat[i]
+            mine = [g for g in lines[i] if g is not None]
+            if free[i]:
+                cx, cy, best = math.floor(x * kx / r), math.floor(y * ky / r), None
+                for a in (cx - 1, cx, cx + 1):
+                    for b in (cy - 1, cy, cy + 1):
+                        c = cells.get((a, b))
+                        if c is None:
+                            continue
+                        seeds, has = c
+                        full = 0
+                        for g in mine:
+                            full |= has.get(g, 0)
+                        open_ = ((1 << len(seeds)) - 1) & ~full
+                        while open_:
+                            low = open_ & -open_
+                            j = seeds[low.bit_length() - 1]
+                            if best is not None and j > best:
+                                break
+                            if math.sqrt(((lon[j] - x) * kx) ** 2 + ((lat[j] - y) * ky) ** 2) < r:
+                                best = j
+                                break
+                            open_ ^= low
+                j = i if best is None else best
+            else:
+                j = row.get(given[i])
+                if j is None or (j != i and j not in of):
+                    continue
+            if j == i:
+                c = cells.setdefault((math.floor(x * kx / r), math.floor(y * ky / r)), ([], {}))
+                of[i] = c[1], 1 << len(c[0])
+                c[0].append(i)
+            took[i] = ids[j]
+            has, bit = of[j]
+            for g in mine:
+                has[g] = has.get(g, 0) | bit
+        inside = t["inside"].to_pylist()
+        keep = pa.array([i for i, x in enumerate(inside) if x], pa.int64())
+        new = pa.array([took[i] for i, x in enumerate(inside) if x], t.schema.field("stop_id").type)
+        out = t.take(keep).select(["stop_id", "kind", "lon", "lat", "lines", "r"])
+        return out.append_column("cluster", new).append_column("changed", pa.array([took[i] != given[i] for i, x in enumerate(inside) if x], pa.bool_()))
+
+    return run
 
 
 # --- stops that take others in on small maps
