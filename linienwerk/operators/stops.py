@@ -88,22 +88,30 @@ def search_stations(queries: DataFrame, stations: DataFrame, k: int = 8) -> Data
 
     Every token of a query must stand somewhere in the name. So an index of the
     names' letter pairs (and letters, for tokens of one) is asked for the pair
-    of the query that the fewest names have: queries and stations meet by that
-    pair alone, keys only, and what is scored is fetched after. A query with a
-    pair that no name has finds nothing. Null names and texts find nothing.
+    of the query that the fewest names have: texts and names meet by that pair
+    alone. Equal texts are asked once and equal names scored once. Of stations
+    alike in name, mode and tier only the first ``k`` can be among the best, so
+    no more of them are listed. A query with a pair that no name has finds
+    nothing. Null names and texts find nothing.
     """
     grams = lambda c, w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (w - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(w))))
-    s = stations.select("uic", "mode", "tier", fold(F.col("name")).alias("f")).where("f <> ''")
-    index = s.select("uic", F.explode(F.array_union(grams(F.col("f"), 2), grams(F.col("f"), 1))).alias("g"))
+    stash = Stash(stations.sparkSession, "search")
+    s = stations.select("uic", "mode", "tier", fold(F.col("name")).alias("f")).where("f <> '' and uic is not null")
+    first = F.row_number().over(Window.partitionBy("f", "mode", "tier").orderBy("uic"))
+    s = stash.put(s.withColumn("_k", first).where(F.col("_k") <= k).drop("_k"))
+    names = s.select("f").distinct()
+    index = names.select("f", F.explode(F.array_union(grams(F.col("f"), 2), grams(F.col("f"), 1))).alias("g"))
     often = index.groupBy("g").agg(F.count("*").alias("names"))
-    q = queries.select("q_id", F.filter(F.split(fold(F.trim("text")), r"\s+"), lambda t: t != "").alias("tokens")).where("size(tokens) > 0")
-    asked = q.select("q_id", F.explode(F.array_distinct(F.flatten(F.transform("tokens", lambda t: grams(t, 2))))).alias("g")).join(often, "g", "left")
-    rarest = asked.groupBy("q_id").agg(F.min_by("g", F.struct(F.coalesce("names", F.lit(0)), "g")).alias("g"))
-    j = rarest.join(index, "g").select("q_id", "uic").join(s.withColumn("words", name_words(F.col("f"))), "uic").join(q, "q_id")
-    j = j.withColumn("m", match_tier(F.col("f"), F.col("words"), F.col("tokens"))).where("m > 0")
-    j = j.withColumn("score", F.round(5.0 * F.col("m") + mode_score(F.col("mode")) + tier_score(F.col("tier")), 6))
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "uic")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "uic", "score", "rank")
+    q = stash.put(queries.select("q_id", F.filter(F.split(fold(F.trim("text")), r"\s+"), lambda t: t != "").alias("tokens")).where("size(tokens) > 0"))
+    texts = q.select("tokens").distinct()
+    asked = texts.select("tokens", F.explode(F.array_distinct(F.flatten(F.transform("tokens", lambda t: grams(t, 2))))).alias("g")).join(often, "g", "left")
+    rarest = asked.groupBy("tokens").agg(F.min_by("g", F.struct(F.coalesce("names", F.lit(0)), "g")).alias("g"))
+    m = rarest.join(index, "g").withColumn("words", name_words(F.col("f")))
+    m = m.select("tokens", "f", match_tier(F.col("f"), F.col("words"), F.col("tokens")).alias("m")).where("m > 0")
+    j = m.join(s, "f").withColumn("score", F.round(5.0 * F.col("m") + mode_score(F.col("mode")) + tier_score(F.col("tier")), 6))
+    w = Window.partitionBy("tokens").orderBy(F.desc("score"), "uic")
+    best = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("tokens", "uic", "score", "rank")
+    return q.join(best, "tokens").select("q_id", "uic", "score", "rank")
 
 
 def station_lines(line_stops: DataFrame, lines: DataFrame) -> DataFrame:

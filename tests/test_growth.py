@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from linienwerk.operators import rounds
+from linienwerk.operators import rounds, stops
 from linienwerk.shared import Stash
 
 
@@ -30,3 +30,31 @@ def test_dense_stops_cluster_in_few_rounds(spark, monkeypatch):
     got = {x.stop_id: x.cluster for x in rounds.cluster_stops_greedy(df, {"rail": 40.0}).collect()}
     assert got == took and 50 < len(set(took.values())) < 1200
     assert len(puts) < 15
+
+
+def test_search_scores_equal_names_once(spark, tmp_path):
+    """Once every query met every station that shares a letter pair; 3,000 times 20,000 rows of one name made 60 million."""
+    st = spark.range(20000).select(F.col("id").alias("uic"), F.when(F.col("id") % 2 == 0, "Bern Wankdorf").otherwise("Bern").alias("name"), F.lit("train").alias("mode"), F.lit("normal_stop").alias("tier"))
+    q = spark.range(3000).select(F.col("id").alias("q_id"), F.lit("bern").alias("text"))
+    out = stops.search_stations(q, st, 3).cache()
+    assert out.count() == 9000 and {tuple(r)[1:] for r in out.select("q_id", "uic", "rank").collect()} == {(1, 1), (3, 2), (5, 3)}
+    assert most_rows(stops.search_stations(q, st, 3)) <= 20000
+
+
+def most_rows(df):
+    """Rows that the plan's largest join gives out."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    most, todo = 0, [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+            continue
+        if p.nodeName().endswith("QueryStage"):
+            todo.append(p.plan())
+        kids = p.children()
+        todo += [kids.apply(k) for k in range(kids.size())]
+        if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+    return most
