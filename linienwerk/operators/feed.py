@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from linienwerk.functions.geo import in_bbox, planar_m
+from linienwerk.functions.geo import DEGREE_M, in_bbox, planar_m
 from linienwerk.functions.text import track_from_code
 from linienwerk.sources.features import line_points
 
@@ -167,13 +167,21 @@ def snap_platforms(stops: DataFrame, identity: DataFrame, platforms: DataFrame,
     A stop moves to the nearest platform of its station and code within the
     radius of its parent, or of itself without one; its sector is tried before
     its track. Other stops stay.
+
+    Stops with one anchor and code look together, and platforms at one place
+    are one; both meet in stretches of latitude of the radius.
     """
     a = anchors.select("parent", F.col("lon").alias("_x"), F.col("lat").alias("_y"))
     s = stops.join(a, "parent", "left").select("stop_id", F.coalesce("_x", "lon").alias("_x"), F.coalesce("_y", "lat").alias("_y"))
     codes = identity.where("uic <> ''").select("stop_id", "uic", F.posexplode(F.filter(F.array("sector", "track"), lambda c: c.isNotNull() & (c != ""))).alias("rank", "ref"))
-    p = platforms.select("uic", "ref", F.col("lon").alias("_px"), F.col("lat").alias("_py"))
-    j = s.join(codes, "stop_id").join(p, ["uic", "ref"]).withColumn("_m", planar_m(F.col("_px"), F.col("_py"), F.col("_x"), F.col("_y"), F.col("_y"))).where(F.col("_m") < radius_m)
-    best = j.groupBy("stop_id").agg(F.min_by(F.struct("_px", "_py"), F.struct("rank", "_m", "_px", "_py")).alias("_p"))
+    stretch = lambda y: F.floor(y * (DEGREE_M / radius_m))
+    p = platforms.select("uic", "ref", F.col("lon").alias("_px"), F.col("lat").alias("_py")).distinct()
+    p = p.withColumn("_b", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: stretch(F.col("_py")) + k)))
+    ask = s.join(codes, "stop_id").where("_x is not null and _y is not null")
+    j = ask.select("uic", "ref", "_x", "_y").distinct().withColumn("_b", stretch(F.col("_y"))).join(p, ["uic", "ref", "_b"])
+    j = j.withColumn("_m", planar_m(F.col("_px"), F.col("_py"), F.col("_x"), F.col("_y"), F.col("_y"))).where(F.col("_m") < radius_m)
+    near = j.groupBy("uic", "ref", "_x", "_y").agg(F.min(F.struct("_m", "_px", "_py")).alias("_n"))
+    best = ask.join(near, ["uic", "ref", "_x", "_y"]).groupBy("stop_id").agg(F.min_by(F.struct("_n._px", "_n._py"), F.struct("rank", "_n._m", "_n._px", "_n._py")).alias("_p"))
     out = stops.join(best, "stop_id", "left")
     return out.select("stop_id", F.coalesce("_p._px", "lon").alias("lon"), F.coalesce("_p._py", "lat").alias("lat"), F.col("_p").isNotNull().alias("snapped"))
 
