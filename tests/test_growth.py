@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from linienwerk.operators import feed, network, rounds, spatial, stops, trips
+from linienwerk.plans import fixtures
 from linienwerk.shared import Stash
 
 
@@ -131,3 +132,10 @@ def test_journeys_of_equal_times_meet_once(spark):
     many = plain.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("itin", F.col("itin") * 100 + F.col("n")).drop("n")
     out = trips.dominated_itineraries(many)
     assert most_rows(out) <= 16000 and out.count() == 100 * len(want)
+
+
+def test_orders_fill_partitions_of_one_size(spark, monkeypatch):
+    """Once an order's rows were numbered in a fixed number of partitions, however large the table."""
+    monkeypatch.setattr(fixtures, "ORDER_ROWS", 500)
+    for name in ("fx_legs", "fx_stop_times"):
+        assert fixtures.view(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() > 10
