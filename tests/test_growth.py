@@ -5,9 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from linienwerk.operators import feed, network, rounds, spatial, stops, trips
+from linienwerk.operators import feed, graph, network, rounds, spatial, stops, trips
 from linienwerk.plans import fixtures
 from linienwerk.shared import Stash
+from linienwerk.streaming import jobs
 
 
 def test_dense_stops_cluster_in_few_rounds(spark, monkeypatch):
@@ -139,3 +140,31 @@ def test_orders_fill_partitions_of_one_size(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "ORDER_ROWS", 500)
     for name in ("fx_legs", "fx_stop_times"):
         assert fixtures.view(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() > 10
+
+
+def test_loops_send_no_tables_to_the_driver(spark):
+    """Once tables of the rounds were broadcast through the driver, as their files look small."""
+    p = spark.range(300).select("id", F.col("id").alias("key"), (8 + F.col("id") * 0.001).alias("lon"), F.lit(46.8).alias("lat"))
+    e = spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    for out in (rounds.ordered_batches(p, "key", "id"), graph.connected_components(e, e.select(F.col("src").alias("id")))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_throttle_keys_share_state(spark, tmp_path):
+    """Once each key had a state of its own, so that calls grew with the keys."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+
+    s = StructType([StructField("user", StringType()), StructField("ts", TimestampType()), StructField("n", LongType())])
+    rows = spark.range(400).select((F.col("id") % 40).cast("string").alias("user"), F.timestamp_seconds(1_700_000_000 + F.floor(F.col("id") / 40) * 20).alias("ts"), F.col("id").alias("n"))
+    last = spark.range(1).select(F.lit("z").alias("user"), F.timestamp_seconds(F.lit(1_700_009_000)).alias("ts"), F.lit(None).cast("long").alias("n"))
+    for part in (rows, last):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    live = jobs.stream_throttle(spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "user", "ts", 60, 2, "10 seconds", buckets=3)
+    q = live.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(x.numRowsTotal for p in q.recentProgress for x in p.stateOperators) < 40
+    got = spark.read.schema(live.schema).parquet(str(tmp_path / "out")).collect()
+    # of ten events 20 seconds apart, two in a minute
+    assert len(got) == 400 and all(x.accepted == (x.n // 40 % 3 < 2) for x in got)
