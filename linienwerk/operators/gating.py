@@ -34,7 +34,7 @@ def zoom_gating(lines: DataFrame, edges: DataFrame, base: DataFrame, first: int
     A null candidate is ``last``, null stations are 1; edges count in both
     directions, and loops, unknown lines and nulls in them don't.
     """
-    stash = Stash(lines.sparkSession, "gating")
+    stash = Stash(lines.sparkSession, "gating", merge=True)
     info = stash.put(lines.where("line_id is not null").select("line_id", F.coalesce(F.col("candidate").cast("int"), F.lit(last)).alias("candidate"), F.coalesce(F.col("stations").cast("long"), F.lit(1)).alias("stations")))
     known = info.select("line_id")
     one = edges.select("src", "dst").where("src <> dst")

@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     come back as their own component when ``vertices(id)`` is given.
     """
     spark = edges.sparkSession
-    stash = Stash(spark, "components")
+    stash = Stash(spark, "components", merge=True)
     e = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
     both = stash.put(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = stash.put(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component")))

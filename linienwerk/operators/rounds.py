@@ -300,7 +300,7 @@ def ordered_batches(points: DataFrame, order: str, point_id: str, most: int = 50
     follows by doubling these pointers from the first. So batches don't depend
     on how the rows are partitioned. ``batch`` is the number of its first row.
     """
-    stash = Stash(points.sparkSession, "batches")
+    stash = Stash(points.sparkSession, "batches", merge=True)
     rows = points.select(F.col(order).alias("key"), F.col(point_id).alias("id"), "lon", "lat")
     at = stash.put(_numbered(rows, stash))
     # blocks of ``most`` rows, each with the block after it, hold all that a row must see

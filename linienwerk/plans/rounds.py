@@ -61,12 +61,12 @@ def absorb_stops(spark, d):
 
 @query("")
 def zoom_gating(spark, d):
-    n = view(spark, d, "fx_network")
+    n = view(spark, d, "fx_network").hint("merge")
     edges = n.where("upper > 0").select(C("line_id").alias("src"), C("upper").cast("long").alias("dst"))
     between = edges.join(n.where("intercity").select(C("line_id").alias("src")), "src", "left_semi").join(n.where("intercity").select(C("line_id").alias("dst")), "dst", "left_semi")
     comp = connected_components(between, n.where("intercity").select(C("line_id").alias("id")))
     most = comp.groupBy("component").count().orderBy(C("count").desc(), "component").limit(1)
-    return gating.zoom_gating(n.select("line_id", "candidate", "stations"), edges, comp.join(most, "component", "left_semi").select(C("id").alias("line_id")))
+    return gating.zoom_gating(n.select("line_id", "candidate", "stations"), edges, comp.join(F.broadcast(most), "component", "left_semi").select(C("id").alias("line_id")))
 
 
 def _rules_sql() -> str:
