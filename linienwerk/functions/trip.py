@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import LongType
 
 
 def walk_cost(walk_s: Column) -> Column:
@@ -22,9 +25,20 @@ def distance_decay(km: Column) -> Column:
     return 100.0 * F.exp(-km / 30.0)
 
 
+@F.pandas_udf(LongType())
+def _djb2(texts: pd.Series) -> pd.Series:
+    """All texts of a batch at once: each code point times a power of 33 by its place from the end, summed modulo 2^32."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    powers = np.cumprod(np.append(np.uint32(1), np.full(n.max(initial=0), 33, np.uint32)), dtype=np.uint32)
+    ends = np.cumsum(n)
+    terms = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) * powers[np.repeat(ends, n) - 1 - np.arange(n.sum())]
+    sums = np.append(np.uint32(0), np.cumsum(terms, dtype=np.uint32))
+    return pd.Series((np.uint32(5381) * powers[n] + sums[ends] - sums[ends - n]).astype(np.int64))
+
+
 def djb2(payload: Column) -> Column:
-    """32-bit hash of a text, by its code points (of the basic plane), as 8 hex digits."""
-    h = F.aggregate(F.filter(F.split(payload, ""), lambda c: c != ""), F.lit(5381).cast("long"), lambda a, c: F.pmod(a * 33 + F.ascii(c), F.lit(1 << 32)))
+    """32-bit hash of a text, by its code points, as 8 hex digits."""
+    h = F.when(payload.isNotNull(), _djb2(F.coalesce(payload, F.lit(""))))
     return F.lpad(F.lower(F.hex(h)), 8, "0")
 
 

@@ -135,6 +135,36 @@ def test_journeys_of_equal_times_meet_once(spark):
     assert most_rows(out) <= 16000 and out.count() == 100 * len(want)
 
 
+def test_ranking_reads_legs_once(spark):
+    """Once each figure of a journey was aggregated from the legs anew, five passes and more; hashes went a character at a time."""
+    from linienwerk.functions.trip import djb2
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def tick(seq):
+        seen.add(1)
+        return seq
+
+    i = spark.range(400).select(F.col("id").alias("itin"), (F.col("id") % 7).alias("query_id"))
+    legs = i.withColumn("seq", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long")))).withColumn("seq", tick("seq"))
+    t0 = F.col("itin") % 50 * 600 + F.col("seq") * 1000
+    legs = legs.select("itin", "query_id", "seq", F.when(F.col("seq") == 2, "WALK").otherwise("BUS").alias("mode"), t0.alias("t0"), (t0 + 600 + F.col("itin") % 90).alias("t1"), F.lit(1).alias("route_id"), F.col("itin").alias("trip_id"), F.lit("1").alias("from_stop"), F.lit("2").alias("to_stop"))
+    its = i.select("*", F.lit("leave").alias("mode"), (F.col("itin") % 50 * 600 + 1000).alias("start_s"), (F.col("itin") % 50 * 600 + 3600).alias("end_s"), F.lit(2600).alias("duration_s"), F.lit(600).alias("walk_s"), F.lit(2).alias("boardings"))
+    out = trips.rank_itineraries(legs, its, 5)
+    assert len(out.collect()) == 35 and seen.value == 1200
+    texts = ["", "WALK|60", "é😀x" * 50, None]
+
+    def plain(t):
+        h = 5381
+        for c in t:
+            h = (h * 33 + ord(c)) % (1 << 32)
+        return f"{h:08x}"
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", djb2(F.col("t")).alias("h")).collect()
+    assert all(x.h == (None if x.t is None else plain(x.t)) for x in got)
+
+
 def test_orders_fill_partitions_of_one_size(spark, monkeypatch):
     """Once an order's rows were numbered in a fixed number of partitions, however large the table."""
     monkeypatch.setattr(fixtures, "ORDER_ROWS", 500)
