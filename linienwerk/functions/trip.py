@@ -43,7 +43,7 @@ def djb2(payload: Column) -> Column:
 
 
 def content_id(members: Column) -> Column:
-    return F.substring(F.sha2(F.array_join(F.array_sort(members), ",").cast("binary"), 256), 1, 8)
+    return F.substring(F.sha2(F.array_join(F.sort_array(members), ",").cast("binary"), 256), 1, 8)
 
 
 def shard_of(route_id: Column, n: int) -> Column:

@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     spark = edges.sparkSession
     stash = Stash(spark, "components", merge=True)
     e = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
-    both = stash.put(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = stash.put(e.select(F.explode(ways).alias("e")).select("e.*").distinct())
     labels = stash.put(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component")))
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("id").alias("src"), "component"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))

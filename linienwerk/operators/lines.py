@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from linienwerk.functions.geo import haversine_km
 from linienwerk.functions.trip import content_id
 from linienwerk.operators.graph import connected_components
+from linienwerk.shared import Stash
 
 
 def pattern_set(stop_times: DataFrame, by: str = "trip_id", station: str = "uic") -> DataFrame:
     """Sorted distinct stations of each trip."""
-    return stop_times.groupBy(by).agg(F.array_sort(F.collect_set(station)).alias("stations"))
+    return stop_times.groupBy(by).agg(F.sort_array(F.collect_set(station)).alias("stations"))
 
 
 def sharing_components(members: DataFrame, part: str, least: int) -> DataFrame:
@@ -23,14 +24,11 @@ def sharing_components(members: DataFrame, part: str, least: int) -> DataFrame:
     links follow the length of patterns, not their number. More than two need
     the pairs of patterns; they are counted within a part alone.
     """
+    if least == 2:
+        return pair_components(members.groupBy(part, "pattern_id").agg(F.sort_array(F.collect_set("station")).alias("stations")), part)
     m = members.select(part, "pattern_id", "station").distinct()
     nodes = m.select(F.col("pattern_id").alias("id"))
-    if least == 2:
-        own = m.groupBy(part, "pattern_id").agg(F.array_sort(F.collect_list("station")).alias("l"))
-        two = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-        both = own.select(part, "pattern_id", F.explode(two).alias("station"))
-        edges = both.withColumn("dst", F.min("pattern_id").over(Window.partitionBy(part, "station"))).select(F.col("pattern_id").alias("src"), "dst").distinct()
-    elif least == 1:
+    if least == 1:
         edges = m.withColumn("dst", F.min("pattern_id").over(Window.partitionBy(part, "station"))).select(F.col("pattern_id").alias("src"), "dst")
     else:
         o = m.select(part, F.col("pattern_id").alias("dst"), "station")
@@ -38,17 +36,34 @@ def sharing_components(members: DataFrame, part: str, least: int) -> DataFrame:
     return connected_components(edges, nodes)
 
 
+def pair_components(sets: DataFrame, part: str) -> DataFrame:
+    """``(part, pattern_id long, stations sorted array) → (id, component)``: patterns of a part that share two stations are one.
+
+    Pairs of stations are sorted by a hash first, as one number is compared
+    faster than two texts. Of a pair's only pattern nothing is left.
+    """
+    own = Stash(sets.sparkSession, "sets").put(sets)
+    two = own.where(F.col(part).isNotNull()).select(part, "pattern_id", "stations", F.posexplode("stations").alias("_i", "x"))
+    two = two.select(part, "pattern_id", "x", F.explode(F.slice("stations", F.col("_i") + 2, F.size("stations"))).alias("y"))
+    w = Window.partitionBy(F.xxhash64(part, "x", "y"), part, "x", "y")
+    edges = two.withColumn("dst", F.min("pattern_id").over(w)).where("pattern_id <> dst").select(F.col("pattern_id").alias("src"), "dst")
+    return connected_components(edges, own.select(F.col("pattern_id").alias("id")))
+
+
 def trip_groups(trips: DataFrame, stop_times: DataFrame, part: str, least: int = 2) -> DataFrame:
     """``→ (trip_id, component, tg_id)``: trips of a part whose station sets share two stations, named by the hash of all their stations.
 
-    Equal sets are one pattern, so pairs are between distinct ones.
+    Equal sets are one pattern, so pairs are between distinct ones. The sets are
+    written once with the first trip of each, which all later steps read.
     """
     p = pattern_set(stop_times).join(trips.select("trip_id", part), "trip_id")
-    first = p.groupBy(part, "stations").agg(F.min("trip_id").alias("pattern_id"))
-    comp = sharing_components(first.withColumn("station", F.explode("stations")), part, least)
-    named = first.join(comp, first["pattern_id"] == comp["id"]).select(part, "stations", "component")
-    ids = named.groupBy("component").agg(content_id(F.array_distinct(F.flatten(F.collect_set("stations")))).alias("tg_id"))
-    return p.join(named, [part, "stations"]).join(ids, "component").select("trip_id", "component", "tg_id")
+    same = Window.partitionBy(F.xxhash64(part, "stations"), part, "stations")
+    p = Stash(p.sparkSession, "patterns").put(p.withColumn("pattern_id", F.when(F.col(part).isNull(), F.col("trip_id")).otherwise(F.min("trip_id").over(same))))
+    first = p.where("trip_id = pattern_id").select(part, "pattern_id", "stations")
+    comp = pair_components(first, part) if least == 2 else sharing_components(first.withColumn("station", F.explode("stations")), part, least)
+    comp = comp.withColumnRenamed("id", "pattern_id")
+    ids = first.select("pattern_id", "stations").join(comp, "pattern_id").groupBy("component").agg(content_id(F.array_distinct(F.flatten(F.collect_set("stations")))).alias("tg_id"))
+    return p.select("trip_id", "pattern_id").join(comp, "pattern_id").join(ids, "component").select("trip_id", "component", "tg_id")
 
 
 def canonical_trip(trips: DataFrame, by: str, score: Column) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from linienwerk.operators import feed, graph, network, rounds, spatial, stops, trips
+from linienwerk.operators import feed, graph, lines, network, rounds, spatial, stops, trips
 from linienwerk.plans import fixtures
 from linienwerk.shared import Stash
 from linienwerk.streaming import jobs
@@ -165,6 +165,27 @@ def test_ranking_reads_legs_once(spark):
     assert all(x.h == (None if x.t is None else plain(x.t)) for x in got)
 
 
+def test_groups_read_stop_times_once(spark):
+    """Once the station sets were made anew for the pairs, the patterns, the names and the trips. A trip of no part is a group of its own."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def tick(uic):
+        seen.add(1)
+        return uic
+
+    sets = {1: "abc", 2: "bcd", 3: "abc", 4: "cx", 5: "xy", 6: "cd", 7: "abc", 8: "abc"}
+    part = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2, 7: None, 8: None}
+    st = spark.createDataFrame([(k, u) for k, v in sets.items() for u in v], "trip_id long, uic string").withColumn("uic", tick("uic"))
+    t = spark.createDataFrame(list(part.items()), "trip_id long, part long")
+    got = {x.trip_id: (x.component, x.tg_id) for x in lines.trip_groups(t, st, "part").collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8}
+    import hashlib
+
+    assert got[2][1] == hashlib.sha256(b"a,b,c,d").hexdigest()[:8] == got[1][1]
+    assert seen.value == sum(map(len, sets.values()))
+
+
 def test_orders_fill_partitions_of_one_size(spark, monkeypatch):
     """Once an order's rows were numbered in a fixed number of partitions, however large the table."""
     monkeypatch.setattr(fixtures, "ORDER_ROWS", 500)
