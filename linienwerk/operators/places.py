@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linienwerk.functions.geo import haversine_km
 from linienwerk.operators.graph import connected_components
+from linienwerk.shared import Stash
 
 #: Kinds of features whose name is that of the place itself, not of an address (fixed values).
 POI_KEYS = ("amenity", "shop", "tourism", "leisure", "historic", "office", "craft", "healthcare", "sport", "man_made", "emergency", "aeroway", "aerialway", "railway")
@@ -67,11 +68,11 @@ def directions_from_station(visits: DataFrame, names: DataFrame) -> DataFrame:
     v = v.withColumn("_first", F.min("seq").over(Window.partitionBy("variant", "uic"))).where("seq = _first")
     stops = F.transform("_all", lambda x: x["uic"])
     pos = F.array_position(stops, F.col("uic"))
-    v = v.select(*by, "variant", F.slice(stops, pos + 1, F.size("_all")).alias("tail"), ((pos == 1) | (pos == F.size("_all"))).alias("end"))
+    v = Stash(v.sparkSession, "ways").put(v.select(*by, "variant", F.slice(stops, pos + 1, F.size("_all")).alias("tail"), ((pos == 1) | (pos == F.size("_all"))).alias("end")))
     ends = v.groupBy(*by).agg(F.bool_or("end").alias("is_end"))
     t = v.where("size(tail) > 0").withColumn("last", F.element_at("tail", -1)).withColumn("node", F.concat_ws("\u001f", *by, F.lpad(F.col("variant").cast("string"), 20, "0")))
     met = t.select(*by, "node", F.explode(F.array_distinct("tail")).alias("at"))
-    edges = met.withColumn("dst", F.min("node").over(Window.partitionBy(*by, "at"))).select(F.col("node").alias("src"), "dst")
+    edges = met.withColumn("dst", F.min("node").over(Window.partitionBy(F.xxhash64(*by, "at"), *by, "at"))).select(F.col("node").alias("src"), "dst")
     side = connected_components(edges, t.select(F.col("node").alias("id"))).withColumnRenamed("id", "node")
     t = t.join(side, "node")
     # an end that lies on the way of another variant of its side; a variant's own way counts only through others

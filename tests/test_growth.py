@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from linienwerk.operators import feed, graph, lines, network, rounds, spatial, stops, trips
+from linienwerk.operators import feed, graph, lines, network, places, rounds, spatial, stops, trips
 from linienwerk.plans import fixtures
 from linienwerk.shared import Stash
 from linienwerk.streaming import jobs
@@ -186,6 +186,23 @@ def test_groups_read_stop_times_once(spark):
     assert seen.value == sum(map(len, sets.values()))
 
 
+def test_directions_read_visits_once(spark):
+    """Once the ways on were made anew for sides, ends and texts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def tick(uic):
+        seen.add(1)
+        return uic
+
+    rows = [("1", "bus", k, i, u) for k, w in enumerate(["abcd", "abce", "dcba", "fba"]) for i, u in enumerate(w)]
+    v = spark.createDataFrame(rows, "ref string, mode string, variant long, seq long, uic string").withColumn("uic", tick("uic"))
+    names = spark.createDataFrame([(u, u.upper()) for u in "abcdef"], "uic string, name string")
+    got = {x.uic: x.text for x in places.directions_from_station(v, names).collect()}
+    assert got == {"a": "D · E ↔ A", "b": "D · E ↔ A", "c": "D ↔ E ↔ A", "d": "A ↔ D", "f": "A ↔ F"}
+    assert seen.value == len(rows)
+
+
 def test_orders_fill_partitions_of_one_size(spark, monkeypatch):
     """Once an order's rows were numbered in a fixed number of partitions, however large the table."""
     monkeypatch.setattr(fixtures, "ORDER_ROWS", 500)
