@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linienwerk.operators import feed as ops
-from linienwerk.plans.fixtures import view
+from linienwerk.plans.fixtures import trips, view
 from linienwerk.plans.registry import query
 
 C = F.col
@@ -19,7 +19,7 @@ def _foreign(spark, d):
 
 
 def _routed(spark, d):
-    return view(spark, d, "fx_stop_times").join(view(spark, d, "fx_trips").select("trip_id", "route_id"), "trip_id").select("trip_id", "route_id", "seq", "stop_id", "arr", "dep")
+    return view(spark, d, "fx_stop_times").join(trips(spark, d).select("trip_id", "route_id"), "trip_id").select("trip_id", "route_id", "seq", "stop_id", "arr", "dep")
 
 
 @query("fx_stops", """select stop_id, case when stop_id = '5' then 7.5 when stop_id = '3' then 8.25 when uic = '5' then 7.5 when uic = '3' then 8.25 else lon end lon, case when stop_id = '5' then 47.0 when stop_id = '3' then 46.5 when uic = '5' then 47.0 when uic = '3' then 46.5 else lat end lat from fx_stops""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linienwerk.operators import lines as ops
 from linienwerk.operators.graph import connected_components
-from linienwerk.plans.fixtures import view
+from linienwerk.plans.fixtures import trips, view
 from linienwerk.plans.registry import query
 from linienwerk.plans.scalars import hav
 
@@ -26,7 +26,7 @@ STOPSETS = "m as (select distinct t.trip_id, t.route_id * 1000 + t.dep0 % 3 part
 
 
 def _parts(spark, d):
-    t = view(spark, d, "fx_trips").select("trip_id", (C("route_id") * 1000 + C("dep0") % 3).alias("part"))
+    t = trips(spark, d).select("trip_id", (C("route_id") * 1000 + C("dep0") % 3).alias("part"))
     return t, view(spark, d, "fx_stop_times").select("trip_id", C("stop_id").alias("uic"))
 
 
@@ -42,7 +42,7 @@ def trip_groups(spark, d):
 @query("fx_stop_times fx_trips", """with recursive m as (select distinct t.route_id * 100 + t.dep0 % 60 tg, t.route_id part, x.stop_id from fx_stop_times x join fx_trips t using (trip_id)),
 e as (select distinct a.tg a, b.tg b from m a join m b on a.part = b.part and a.stop_id = b.stop_id and a.tg <> b.tg), n as (select distinct tg id from m), r(id, o) as (select id, id from n union select r.id, e.b from r join e on e.a = r.o) select id, min(o) component from r group by 1""")
 def supergroups(spark, d):
-    t = view(spark, d, "fx_trips").select("trip_id", (C("route_id") * 100 + C("dep0") % 60).alias("pattern_id"), C("route_id").alias("part"))
+    t = trips(spark, d).select("trip_id", (C("route_id") * 100 + C("dep0") % 60).alias("pattern_id"), C("route_id").alias("part"))
     m = view(spark, d, "fx_stop_times").join(t, "trip_id").select("part", "pattern_id", C("stop_id").alias("station"))
     return ops.sharing_components(m, "part", 1)
 
@@ -66,7 +66,7 @@ def shared_stations(spark, d):
 @query("fx_trips fx_stop_times", "select route_id, arg_max(trip_id, (n, -trip_id)) trip_id from (select route_id, trip_id, count(*) n from fx_trips join fx_stop_times using (trip_id) group by 1, 2) group by 1")
 def canonical_trip(spark, d):
     n = view(spark, d, "fx_stop_times").groupBy("trip_id").agg(F.count("*").alias("n"))
-    t = view(spark, d, "fx_trips").select("trip_id", "route_id").join(n, "trip_id")
+    t = trips(spark, d).select("trip_id", "route_id").join(n, "trip_id")
     return ops.canonical_trip(t, "route_id", C("n")).select("route_id", "trip_id")
 
 
@@ -75,7 +75,7 @@ b as (select route_id, s, row_number() over (partition by route_id order by sum(
 select route_id, arg_min(trip_id, (-days, trip_id)) trip_id from p join b using (route_id, s) where k = 1 group by 1""")
 def representative_trip(spark, d):
     s = view(spark, d, "fx_stop_times").select("trip_id", (C("stop_id").cast("int") % 4).cast("string").alias("uic"))
-    t = view(spark, d, "fx_trips").select("route_id", "trip_id", (C("dep0") % 50).alias("weight"), (C("service_id") % 9).alias("days"))
+    t = trips(spark, d).select("route_id", "trip_id", (C("dep0") % 50).alias("weight"), (C("service_id") % 9).alias("days"))
     return ops.representative_trip(ops.pattern_set(s).join(t, "trip_id"), ["route_id"])
 
 
@@ -141,7 +141,7 @@ SPAN = "v as (select t.route_id line_id, t.trip_id, min(x.seq) a, max(x.seq) b f
 
 def _ends(spark, d):
     """Both ends of each trip, with the trip's place in the order of departures."""
-    t = view(spark, d, "fx_trips").select("trip_id", C("route_id").alias("line_id"), "dep0")
+    t = trips(spark, d).select("trip_id", C("route_id").alias("line_id"), "dep0")
     s = view(spark, d, "fx_stop_times").groupBy("trip_id").agg(F.min_by("stop_id", "seq").alias("a"), F.max_by("stop_id", "seq").alias("b"))
     name = view(spark, d, "fx_stops").select(C("stop_id").alias("end"), C("uic").alias("name"))
     e = s.join(t, "trip_id").select("line_id", F.explode(F.array(F.struct((C("dep0") * 1000000 + C("trip_id")).alias("o"), F.lit(0).alias("k"), C("a").alias("end")), F.struct((C("dep0") * 1000000 + C("trip_id")).alias("o"), F.lit(1).alias("k"), C("b").alias("end")))).alias("x"))

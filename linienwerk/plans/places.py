@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linienwerk.operators import feed, places as ops
-from linienwerk.plans.fixtures import view
+from linienwerk.plans.fixtures import trips, view
 from linienwerk.plans.registry import query
 from linienwerk.plans.scalars import hav
 
@@ -53,7 +53,7 @@ j as (select uic, ref, mode, string_agg(x, ' ↔ ' order by comp) x, flatten(lis
 select j.uic, j.ref, j.mode, case when z.e and not list_contains(names, f.stop_name) then x || ' ↔ ' || f.stop_name else x end as text from j join z using (uic, ref, mode) join fx_stops f on f.stop_id = j.uic""")
 def directions_from_station(spark, d):
     """Trips that run at a headway, as the variants of their lines."""
-    t = view(spark, d, "fx_trips").where("headway is not null").select("trip_id", C("route_id").alias("line_id"))
+    t = trips(spark, d).where("headway is not null").select("trip_id", C("route_id").alias("line_id"))
     v = view(spark, d, "fx_stop_times").join(t, "trip_id").join(view(spark, d, "fx_lines").select("line_id", "ref", "mode"), "line_id")
     names = view(spark, d, "fx_stops").select(C("stop_id").alias("uic"), C("stop_name").alias("name"))
     return ops.directions_from_station(v.select("ref", "mode", C("trip_id").alias("variant"), "seq", C("stop_id").alias("uic")), names)

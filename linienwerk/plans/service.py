@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linienwerk.functions import line
 from linienwerk.operators import service as ops
-from linienwerk.plans.fixtures import view
+from linienwerk.plans.fixtures import trips, view
 from linienwerk.plans.registry import query
 from linienwerk.plans.scalars import BUCKET
 
@@ -173,7 +173,7 @@ def dwell_by_station(spark, d):
 @query("fx_trips fx_stop_times", "select route_id, lo, hi, n from (select route_id, min(coalesce(f, dep0)) lo, max(case when headway is not null then dep0 + 7200 else f end) hi, count(*) n from fx_trips join (select trip_id, min(dep) f from fx_stop_times group by 1) using (trip_id) group by 1)")
 def departure_span(spark, d):
     first = view(spark, d, "fx_stop_times").groupBy("trip_id").agg(F.min("dep").alias("f"))
-    t = view(spark, d, "fx_trips").join(first, "trip_id")
+    t = trips(spark, d).join(first, "trip_id")
     return t.groupBy("route_id").agg(F.min(F.coalesce("f", "dep0")).alias("lo"), F.max(F.when(C("headway").isNotNull(), C("dep0") + 7200).otherwise(C("f"))).alias("hi"), F.count("*").alias("n"))
 
 

@@ -210,6 +210,27 @@ def test_orders_fill_partitions_of_one_size(spark, monkeypatch):
         assert fixtures.view(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() > 10
 
 
+def test_large_orders_meet_lineitem_by_sorting(spark, monkeypatch):
+    """Once all orders were broadcast to each task where their files looked small, up to 9 million of them."""
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(fixtures, "ORDER_ROWS", 500)
+    for df in (fixtures.view(spark, d, "fx_legs"), fixtures.view(spark, d, "fx_stop_times").join(fixtures.trips(spark, d), "trip_id")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pairs_fill_partitions_of_one_size(spark, monkeypatch):
+    """Once pairs of stations were sorted in a fixed number of partitions, however many there were."""
+    rows = [(1, k, [f"s{k // 3}", f"s{k // 3 + 100}", f"t{k}"]) for k in range(60)] + [(None, 99, ["s0", "s100"]), (1, 100, [])]
+    sets = spark.createDataFrame(rows, "part long, pattern_id long, stations array<string>")
+    plans, put = [], Stash.put
+    monkeypatch.setattr(Stash, "put", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or put(self, df))
+    monkeypatch.setattr(lines, "PAIR_ROWS", 20)
+    got = {x.id: x.component for x in lines.pair_components(sets, "part").collect()}
+    assert got == {k: k - k % 3 for k in range(60)} | {99: 99, 100: 100}
+    assert any(", 10), REPARTITION_BY_NUM" in p for p in plans)
+
+
 def test_loops_send_no_tables_to_the_driver(spark):
     """Once tables of the rounds were broadcast through the driver, as their files look small."""
     p = spark.range(300).select("id", F.col("id").alias("key"), (8 + F.col("id") * 0.001).alias("lon"), F.lit(46.8).alias("lat"))
