@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linienwerk.operators import lines as ops
 from linienwerk.operators.graph import connected_components
-from linienwerk.plans.fixtures import trips, view
+from linienwerk.plans.fixtures import dealt, parts, trips, view
 from linienwerk.plans.registry import query
 from linienwerk.plans.scalars import hav
 
@@ -58,9 +58,11 @@ def components(spark, d):
 @query("fx_stop_times fx_trips", f"with {STOPSETS} select a.trip_id a, b.trip_id b, count(*) n from m a join m b on a.part = b.part and a.stop_id = b.stop_id and a.trip_id < b.trip_id group by 1, 2")
 def shared_stations(spark, d):
     t, s = _parts(spark, d)
-    m = s.join(t, "trip_id").distinct()
+    n = parts(spark, d)
+    m = dealt(s.join(t, "trip_id"), n, "uic", "part").distinct()
     o = m.select(C("trip_id").alias("b"), "uic", "part")
-    return m.join(o, ["uic", "part"]).where("trip_id < b").groupBy(C("trip_id").alias("a"), "b").agg(F.count("*").alias("n"))
+    two = m.join(o, ["uic", "part"]).where("trip_id < b").select(C("trip_id").alias("a"), "b")
+    return dealt(two, n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query("fx_trips fx_stop_times", "select route_id, arg_max(trip_id, (n, -trip_id)) trip_id from (select route_id, trip_id, count(*) n from fx_trips join fx_stop_times using (trip_id) group by 1, 2) group by 1")

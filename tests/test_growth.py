@@ -2,11 +2,12 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from linienwerk.operators import feed, graph, lines, network, places, rounds, spatial, stops, trips
-from linienwerk.plans import fixtures
+from linienwerk.plans import fixtures, lines as plans_lines
 from linienwerk.shared import Stash
 from linienwerk.streaming import jobs
 
@@ -219,6 +220,17 @@ def test_large_orders_meet_lineitem_by_sorting(spark, monkeypatch):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_shared_stations_fill_partitions_of_one_size(spark, monkeypatch):
+    """Once stations and pairs of trips were dealt out in a fixed number of partitions, and the stations made twice."""
+    d = "/root/testdata/sf0.001"
+    want = {tuple(x) for x in plans_lines.shared_stations(spark, d).collect()}
+    monkeypatch.setattr(fixtures, "ORDER_ROWS", 500)
+    n, df = fixtures.parts(spark, d), plans_lines.shared_stations(spark, d)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert n > 10 and re.search(rf"hashpartitioning\(a#\d+L, b#\d+L, {n}\)", plan) and re.search(rf"hashpartitioning\(uic#\d+, part#\d+L, {n}\)", plan)
+    assert {tuple(x) for x in df.collect()} == want and df.count() == len(want)
+
+
 def test_pairs_fill_partitions_of_one_size(spark, monkeypatch):
     """Once pairs of stations were sorted in a fixed number of partitions, however many there were."""
     rows = [(1, k, [f"s{k // 3}", f"s{k // 3 + 100}", f"t{k}"]) for k in range(60)] + [(None, 99, ["s0", "s100"]), (1, 100, [])]
