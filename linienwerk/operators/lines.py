@@ -45,15 +45,15 @@ def pair_components(sets: DataFrame, part: str) -> DataFrame:
 
     Pairs of stations are sorted by a hash first, as one number is compared
     faster than two texts. Of a pair's only pattern nothing is left. Many pairs
-    are dealt out in partitions of one size, so a task sorts no more of them in
-    a larger table.
+    are dealt out in partitions of one size, so a task makes and sorts no more
+    of them in a larger table.
     """
     own = Stash(sets.sparkSession, "sets").put(sets)
-    two = own.where(F.col(part).isNotNull()).select(part, "pattern_id", "stations", F.posexplode("stations").alias("_i", "x"))
-    two = two.select(part, "pattern_id", "x", F.explode(F.slice("stations", F.col("_i") + 2, F.size("stations"))).alias("y")).withColumn("_h", F.xxhash64(part, "x", "y"))
     n = own.select(F.sum(F.size("stations").cast("long") * (F.size("stations") - 1) / 2)).first()[0] or 0
-    if n > 4 * PAIR_ROWS:
-        two = two.repartition(int(n // PAIR_ROWS) + 1, "_h")
+    n = int(n // PAIR_ROWS) + 1 if n > 4 * PAIR_ROWS else 0
+    two = (own.repartition(n, "pattern_id") if n else own).where(F.col(part).isNotNull()).select(part, "pattern_id", "stations", F.posexplode("stations").alias("_i", "x"))
+    two = two.select(part, "pattern_id", "x", F.explode(F.slice("stations", F.col("_i") + 2, F.size("stations"))).alias("y")).withColumn("_h", F.xxhash64(part, "x", "y"))
+    two = two.repartition(n, "_h") if n else two
     w = Window.partitionBy("_h", part, "x", "y")
     edges = two.withColumn("dst", F.min("pattern_id").over(w)).where("pattern_id <> dst").select(F.col("pattern_id").alias("src"), "dst")
     return connected_components(edges, own.select(F.col("pattern_id").alias("id")))

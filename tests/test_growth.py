@@ -251,7 +251,7 @@ def test_pairs_fill_partitions_of_one_size(spark, monkeypatch):
     monkeypatch.setattr(lines, "PAIR_ROWS", 20)
     got = {x.id: x.component for x in lines.pair_components(sets, "part").collect()}
     assert got == {k: k - k % 3 for k in range(60)} | {99: 99, 100: 100}
-    assert any(", 10), REPARTITION_BY_NUM" in p for p in plans)
+    assert any(p.count(", 10), REPARTITION_BY_NUM") == 2 for p in plans)
 
 
 def test_loops_send_no_tables_to_the_driver(spark):
