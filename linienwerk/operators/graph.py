@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from linienwerk.shared import Stash
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 60, tidy: bool = False) -> DataFrame:
     """``(src, dst) edges → (id, component)``; the label is the smallest member.
 
     Each round takes the smallest label next to a vertex and then the label of
@@ -15,10 +15,11 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     combined before the shuffle, so a vertex with very many edges is no hot
     spot. Each round is written to the shared folder. Loops and repeated edges
     are harmless; edges with a null end are ignored. Vertices without an edge
-    come back as their own component when ``vertices(id)`` is given.
+    come back as their own component when ``vertices(id)`` is given. With
+    ``tidy`` the shuffle files of edges and rounds go as soon as those are written.
     """
     spark = edges.sparkSession
-    stash = Stash(spark, "components", merge=True)
+    stash = Stash(spark, "components", merge=True, tidy=tidy)
     e = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
     ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = stash.put(e.select(F.explode(ways).alias("e")).select("e.*").distinct())

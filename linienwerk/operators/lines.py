@@ -41,22 +41,28 @@ def sharing_components(members: DataFrame, part: str, least: int) -> DataFrame:
 
 
 def pair_components(sets: DataFrame, part: str) -> DataFrame:
-    """``(part, pattern_id long, stations sorted array) → (id, component)``: patterns of a part that share two stations are one.
+    """``(part, pattern_id long, stations sorted array) → (id, component)``: patterns of a part that share two stations are one."""
+    own = Stash(sets.sparkSession, "sets", tidy=True).put(sets)
+    return connected_components(pair_edges(own, part), own.select(F.col("pattern_id").alias("id")), tidy=True)
+
+
+def pair_edges(own: DataFrame, part: str) -> DataFrame:
+    """``(part, pattern_id long, stations sorted array) → (src, dst)``: patterns of a part that share two stations, each linked to the pair's first. Sets are read twice.
 
     Pairs of stations are sorted by a hash first, as one number is compared
     faster than two texts. Of a pair's only pattern nothing is left. Many pairs
     are dealt out in partitions of one size, so a task makes and sorts no more
-    of them in a larger table.
+    of them in a larger table. The hash is made behind that: it would be a
+    third of what is sent, as it can't be compressed.
     """
-    own = Stash(sets.sparkSession, "sets").put(sets)
     n = own.select(F.sum(F.size("stations").cast("long") * (F.size("stations") - 1) / 2)).first()[0] or 0
     n = int(n // PAIR_ROWS) + 1 if n > 4 * PAIR_ROWS else 0
-    two = (own.repartition(n, "pattern_id") if n else own).where(F.col(part).isNotNull()).select(part, "pattern_id", "stations", F.posexplode("stations").alias("_i", "x"))
-    two = two.select(part, "pattern_id", "x", F.explode(F.slice("stations", F.col("_i") + 2, F.size("stations"))).alias("y")).withColumn("_h", F.xxhash64(part, "x", "y"))
-    two = two.repartition(n, "_h") if n else two
+    own = own.where(F.col(part).isNotNull() & (F.size("stations") > 1))
+    two = (own.repartition(n, "pattern_id") if n else own).select(part, "pattern_id", "stations", F.posexplode("stations").alias("_i", "x"))
+    two = two.select(part, "pattern_id", "x", F.explode(F.slice("stations", F.col("_i") + 2, F.size("stations"))).alias("y"))
+    two = (two.repartition(n, part, "x", "y") if n else two).withColumn("_h", F.xxhash64(part, "x", "y"))
     w = Window.partitionBy("_h", part, "x", "y")
-    edges = two.withColumn("dst", F.min("pattern_id").over(w)).where("pattern_id <> dst").select(F.col("pattern_id").alias("src"), "dst")
-    return connected_components(edges, own.select(F.col("pattern_id").alias("id")))
+    return two.withColumn("dst", F.min("pattern_id").over(w)).where("pattern_id <> dst").select(F.col("pattern_id").alias("src"), "dst")
 
 
 def trip_groups(trips: DataFrame, stop_times: DataFrame, part: str, least: int = 2) -> DataFrame:

@@ -196,6 +196,10 @@ def arrival_skip(line_ends: DataFrame, line_stops: DataFrame, modes: tuple[str,
     return alone.union(shadowed).distinct()
 
 
+#: Variants in a partition.
+VARIANT_ROWS = 200_000
+
+
 def resplit_groups(variants: DataFrame, frequency: DataFrame, groups: DataFrame, worst: Column, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """``variants (tg, variant_id long, station, rescued), frequency (variant_id, season, f_core, f_eve, f_we), groups (tg, mode, rescued, exempt)``
     ``→ (tg, variant_id, group), (tg, group, split, passed, season, f)``.
@@ -208,24 +212,61 @@ def resplit_groups(variants: DataFrame, frequency: DataFrame, groups: DataFrame,
     are, and exempt ones always pass. Variants of components that don't pass
     have a null group. Two components of one group with the same stations are
     an error; that the eight digits of two names agree is none.
+
+    A written table of variants may have ``stations``, an array, in place of a
+    row for each; it isn't written again. Variants meet their frequency and
+    their component once; those that share with none are components as they
+    are, and only the others are grouped.
     """
-    from linienwerk.operators.lines import sharing_components
-    from linienwerk.operators.service import frequency_gate
-
-    comp = sharing_components(variants.select("tg", F.col("variant_id").alias("pattern_id"), "station"), "tg", least)
-    v = variants.join(comp.select(F.col("id").alias("variant_id"), "component"), "variant_id")
-    parts = v.groupBy("tg", "component").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("station")), ","), 256).alias("all"), F.max(F.coalesce("rescued", F.lit(False))).alias("any_rescued"))
-    of = parts.groupBy("tg").agg((F.count("*") > 1).alias("split"), (F.count("*") > F.count_distinct("all")).alias("clash"))
-    parts = parts.withColumn("name", F.substr("all", F.lit(1), F.lit(8))).join(of, "tg").join(groups.select("tg", "mode", "exempt", F.coalesce("rescued", F.lit(False)).alias("rescued")), "tg")
-    named = F.when(F.col("clash"), F.raise_error(F.lit("two components of a group have the same stations")).cast("string")).when(F.col("split"), F.col("name")).otherwise(F.col("tg").cast("string"))
-    parts = parts.withColumn("named", named)
-    sums = frequency.join(v.select("variant_id", "component").distinct(), "variant_id").groupBy(F.col("component").alias("tg"), "season").agg(*[F.sum(c).alias(c) for c in ("f_core", "f_eve", "f_we")])
-    gate = frequency_gate(sums, parts.where("split").select(F.col("component").alias("tg"), "mode", (F.col("rescued") & F.col("any_rescued")).alias("rescued")), worst)
-    j = parts.join(gate.select(F.col("tg").alias("component"), F.col("passed").alias("again"), F.col("season").alias("won"), "f"), "component", "left")
+    from linienwerk.operators.graph import connected_components
+    from linienwerk.operators.lines import pair_edges, sharing_components
+    from linienwerk.operators.service import SEASONS, gated
+    from linienwerk.shared import Stash
+
+    stash = Stash(variants.sparkSession, "resplit", tidy=True)
+    rescued = F.coalesce("rescued", F.lit(False))
+    if "stations" in variants.columns:
+        own = variants.select("tg", "variant_id", F.array_sort(F.array_distinct(F.array_compact("stations"))).alias("stations"), rescued.alias("rescued"))
+    else:
+        own = stash.put(variants.groupBy("tg", "variant_id").agg(F.array_sort(F.collect_set("station")).alias("stations"), F.max(rescued).alias("rescued")))
+    sets = own.select("tg", F.col("variant_id").alias("pattern_id"), "stations")
+    if least == 2:
+        comp = connected_components(pair_edges(sets, "tg"), tidy=True)
+    else:
+        comp = sharing_components(sets.select("tg", "pattern_id", F.explode("stations").alias("station")), "tg", least)
+
+    n = own.count() // VARIANT_ROWS
+    n = n + 1 if n > 4 else 0
+    dealt = lambda df, *by: df.repartition(n, *by) if n else df
+    kinds = {s: [f"{s}_{c}" for c in ("f_core", "f_eve", "f_we")] for s in SEASONS}
+    sums = [c for s in SEASONS for c in kinds[s]]
+    of_one = dealt(frequency, "variant_id").groupBy("variant_id").agg(*[F.sum(F.when(F.col("season") == s, F.col(c.removeprefix(f"{s}_")))).alias(c) for s in SEASONS for c in kinds[s]])
+    v = dealt(own, "variant_id").join(of_one.hint("merge"), "variant_id", "left")
+    v = stash.put(v.join(comp.select(F.col("id").alias("variant_id"), "component").hint("merge"), "variant_id", "left"))
+
+    alone = v.where("component is null").select("tg", F.col("variant_id").alias("component"), F.array_join("stations", ",").alias("all"), F.col("rescued").alias("any_rescued"), *sums)
+    many = v.where("component is not null").select("tg", "component", "rescued", *sums, F.posexplode_outer("stations").alias("_i", "station"))
+    once = F.coalesce("_i", F.lit(0)) == 0
+    many = many.groupBy("tg", "component").agg(F.array_join(F.array_sort(F.collect_set("station")), ",").alias("all"), F.max("rescued").alias("any_rescued"), *[F.sum(F.when(once, F.col(c))).alias(c) for c in sums])
+    parts = alone.unionByName(many).withColumn("all", F.sha2("all", 256))
+
+    # of names, only those whose 64 bits agree are compared in full
+    like = dealt(parts.select("tg", F.xxhash64("all").alias("_h")), "tg", "_h").groupBy("tg", "_h").agg(F.count("*").alias("n"))
+    of = like.groupBy("tg").agg((F.sum("n") > 1).alias("split"), (F.max("n") > 1).alias("clash"))
+    of = stash.put(of.join(groups.select("tg", "mode", "exempt", F.coalesce("rescued", F.lit(False)).alias("rescued")), "tg"))
+    if of.where("clash").limit(1).count():
+        same = parts.join(of.where("clash").select("tg"), "tg", "left_semi").groupBy("tg", "all").agg(F.count("*").alias("n")).where("n > 1").select("tg", F.lit(True).alias("same")).distinct()
+        of = of.join(same, "tg", "left").withColumn("clash", F.coalesce("same", F.lit(False))).drop("same")
+
+    j = parts.join(of, "tg").withColumn("rescued", F.col("rescued") & F.col("any_rescued"))
+    named = F.when(F.col("clash"), F.raise_error(F.lit("two components of a group have the same stations")).cast("string")).when(F.col("split"), F.substr("all", F.lit(1), F.lit(8))).otherwise(F.col("tg").cast("string"))
+    j = gated(j.withColumns({s: 0.6 * F.col(core) + 0.2 * F.col(eve) + 0.2 * F.col(we) for s, (core, eve, we) in kinds.items()}), worst)
     free = F.coalesce("exempt", F.lit(False))
-    j = j.withColumn("passed", ~F.col("split") | free | F.coalesce("again", F.lit(False))).withColumn("season", F.when(F.col("split"), F.when(free, "annual").otherwise(F.col("won"))))
-    out = j.select("tg", "component", "named", F.when(F.col("passed"), F.col("named")).alias("group"), "split", "passed", "season", F.when(F.col("split"), F.col("f")).alias("f"))
-    return v.select("tg", "variant_id", "component").distinct().join(out.select("component", "group"), "component").select("tg", "variant_id", "group"), out.select("tg", F.col("named").alias("group"), "split", "passed", "season", "f")
+    passed = ~F.col("split") | free | F.col("season").isNotNull()
+    season = F.when(F.col("split"), F.when(free, "annual").otherwise(F.col("season")))
+    out = j.select("tg", "component", named.alias("named"), "split", passed.alias("passed"), season.alias("season"), F.when(F.col("split"), F.col("f")).alias("f"))
+    of_variant = v.select("tg", "variant_id", F.coalesce("component", "variant_id").alias("component")).join(out.select("component", F.when(F.col("passed"), F.col("named")).alias("group")), "component")
+    return of_variant.select("tg", "variant_id", "group"), out.select("tg", F.col("named").alias("group"), "split", "passed", "season", "f")
 
 
 def hybrid_stop(narrow: DataFrame, tram: DataFrame, points: DataFrame, most_m: float = 2.0) -> DataFrame:

@@ -114,9 +114,15 @@ def frequency_gate(freq: DataFrame, groups: DataFrame, worst: Column) -> DataFra
     """``freq (tg, season, f_*), groups (tg, mode, rescued) → (tg, passed, season, f)``: weighted frequency above the mode's worst in the year, or, for rescued groups, in any season; that season's value counts."""
     f = freq.select("tg", "season", (0.6 * F.col("f_core") + 0.2 * F.col("f_eve") + 0.2 * F.col("f_we")).alias("f"))
     p = f.groupBy("tg").agg(*[F.max(F.when(F.col("season") == s, F.col("f"))).alias(s) for s in SEASONS])
-    j = groups.join(p, "tg", "left").withColumn("_w", worst)
+    j = gated(groups.join(p, "tg", "left"), worst)
+    return j.select("tg", F.col("season").isNotNull().alias("passed"), "season", "f")
+
+
+def gated(groups: DataFrame, worst: Column) -> DataFrame:
+    """Groups with their frequencies ``annual``, ``winter``, ``summer``, and ``rescued`` → and ``season``, whose value passes (null: none does), and ``f``, that value or the year's."""
+    j = groups.withColumn("_w", worst)
     ok = {s: F.coalesce(F.round(s, 9) > F.col("_w"), F.lit(False)) for s in SEASONS}
     season = F.when(ok["annual"], "annual").when(F.col("rescued") & ok["winter"], "winter").when(F.col("rescued") & ok["summer"], "summer")
-    j = j.withColumn("season", season)
+    j = j.withColumn("season", season).drop("_w")
     value = F.when(F.col("season") == "winter", F.col("winter")).when(F.col("season") == "summer", F.col("summer")).otherwise(F.col("annual"))
-    return j.select("tg", F.col("season").isNotNull().alias("passed"), "season", value.alias("f"))
+    return j.withColumn("f", value)

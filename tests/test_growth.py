@@ -1,9 +1,11 @@
 """Steps whose work, memory or rounds once grew faster than their tables."""
 
 import math
+import os
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from linienwerk.operators import feed, graph, lines, network, places, rounds, spatial, stops, trips
@@ -82,6 +84,71 @@ def test_resplit_names_may_share_their_digits(spark):
     assert len(got) == 2 and {x.group for x in got} == {h} and all(x.split and x.passed for x in got)
 
 
+def test_resplit_reads_variants_once(spark, monkeypatch):
+    """Once variants and their frequency were made anew for the components, names, sums and groups; all components were grouped, also those of one variant."""
+    import hashlib
+
+    r = random.Random(11)
+    sets = {k: (k % 4, sorted({f"s{r.randrange(9 + 30 * (k % 4))}" for _ in range(r.randrange(1, 6))})) for k in range(120)}
+    for k, (t, l) in list(sets.items()):
+        if any(sets[x] == (t, l) for x in sets if x < k):
+            del sets[k]
+    comp, todo = {}, sorted(sets)
+    while todo:
+        near = [todo.pop(0)]
+        for a in near:
+            comp[a] = near[0]
+            near += [b for b in todo if sets[b][0] == sets[a][0] and len({*sets[a][1]} & {*sets[b][1]}) >= 2]
+            todo = [b for b in todo if b not in near]
+    want = set()
+    for c in set(comp.values()):
+        own, tg = [k for k in comp if comp[k] == c], sets[c][0]
+        split = len({comp[k] for k in comp if sets[k][0] == tg}) > 1
+        name = hashlib.sha256(",".join(sorted({x for k in own for x in sets[k][1]})).encode()).hexdigest()[:8]
+        f = {s: round(sum(0.6 * (k % 5) + 0.2 * n + 0.2 * (k % 2) for k in own), 6) for n, s in enumerate(("annual", "winter", "summer"))}
+        won = next((s for s in f if f[s] > 4 and (s == "annual" or tg % 2 == 0 and any(k % 3 == 0 for k in own))), None)
+        season = ("annual" if tg == 3 else won) if split else None
+        want.add((tg, name if split else str(tg), split, not split or tg == 3 or won is not None, season, f[won or "annual"] if split else None))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def tick(x):
+        seen.add(1)
+        return x
+
+    rows = [(t, k, x, k % 3 == 0) for k, (t, l) in sets.items() for x in l]
+    v = spark.createDataFrame(rows, "tg long, variant_id long, station string, rescued boolean")
+    f = spark.createDataFrame([(k, s, k % 5, n, k % 2) for k in sets for n, s in enumerate(("annual", "winter", "summer"))], "variant_id long, season string, f_core int, f_eve int, f_we int")
+    g = spark.createDataFrame([(t, "bus", t % 2 == 0, t == 3) for t in range(4)], "tg long, mode string, rescued boolean, exempt boolean")
+    told = lambda df: [(x.tg, x.group, x.split, x.passed, x.season, None if x.f is None else round(x.f, 6)) for x in df.collect()]
+    got = told(network.resplit_groups(v.withColumn("station", tick("station")), f.withColumn("season", tick("season")), g, F.lit(4.0))[1])
+    assert set(got) == want and len(got) == len(want) == len(set(comp.values())) and len({w[4] for w in want}) >= 3
+    assert seen.value == len(rows) + 3 * len(sets)
+    monkeypatch.setattr(network, "VARIANT_ROWS", 10)
+    arrays = v.groupBy("tg", "variant_id", "rescued").agg(F.collect_list("station").alias("stations"))
+    of_variant, groups = network.resplit_groups(arrays, f, g, F.lit(4.0))
+    assert sorted(told(groups), key=str) == sorted(got, key=str)
+    named = {x.variant_id: x.group for x in of_variant.collect()}
+    assert set(named) == set(sets) and all(named[k] == named[c] for k, c in comp.items())
+    # two variants of one station each hang together with nothing
+    with pytest.raises(Exception, match="two components of a group have the same stations"):
+        network.resplit_groups(arrays.unionByName(spark.createDataFrame([(0, k, False, ["x"]) for k in (900, 901)], arrays.schema)), f, g, F.lit(4.0))[1].collect()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Once shuffle files of written tables stayed until the driver collected its garbage, so that a query's steps added up on disk."""
+    import glob
+
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir', '/tmp')}/blockmgr-*/*/shuffle_*"))
+    before = files()
+    sets = spark.range(2000).select((F.col("id") % 3).alias("part"), F.col("id").alias("pattern_id"), F.expr("sort_array(array(string(id % 700), string(id % 701 + 1000), string(id % 13 + 2000)))").alias("stations"))
+    many = spark.range(5000).groupBy((F.col("id") % 1999).alias("k")).count()
+    written = Stash(spark, "tidy", tidy=True).put(many)
+    assert not files() - before and written.count() == 1999
+    lines.pair_components(sets, "part")
+    assert sum(os.path.getsize(x) for x in files() - before) < 20_000
+
+
 def test_platforms_at_one_place_are_one(spark):
     """Once every stop met every platform of its station and code: 2,000 times 3,000 here."""
     k = spark.range(2000)
